@@ -48,3 +48,8 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 def parts(n_bytes: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(n_bytes / each))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt to an eighth of the shuffle partitions, so that many small tasks don't write a file each."""
+    return df.repartition(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+from tallyloom.llm.decontaminate import OP9_SQL, op9_decontaminate
 from tallyloom.llm.hamming import OP8_SQL, op8_exact_top_k
+from tallyloom.llm.langid import op2_language_id
+from tallyloom.llm.lines import OP10_SQL, op10_line_dedup
+from tallyloom.llm.pieces import op5_sentencepiece
+from tallyloom.llm.quality import op3_quality
 from tallyloom.llm.sharding import op6_sharding
 from tallyloom.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_quality": op3_quality,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
     "op7_warc": OP7_SQL,
     "op8_exact_top_k": OP8_SQL,
+    "op9_decontaminate": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
