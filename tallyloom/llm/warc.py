@@ -187,11 +187,11 @@ def read_bundles(index: DataFrame, uri: str, with_payload: bool = True) -> DataF
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyloom.llm.common import fresh_path, table, written
+    from tallyloom.llm.common import few, fresh_path, table, written
 
     uri = fresh_path(spark, "warc")
-    index = written(spark, write_bundles(table(spark, sf_dir, "pages"), uri), "warc-index")
-    return read_bundles(index, uri, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = written(spark, few(write_bundles(table(spark, sf_dir, "pages"), uri)), "warc-index")
+    return few(read_bundles(index, uri, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 OP7_SQL = """
