@@ -99,7 +99,7 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int
         return pa.table({"block": t["block"][:1].cast("int32"), "dims": t["dims"][:1].cast("int32"), "ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
 
     schema = "block int, dims int, ids binary, codes binary"
-    (r, _), (q, nq) = blocks(rows, block_rows), blocks(queries, block_queries)
+    (r, nr), (q, nq) = blocks(rows, block_rows), blocks(queries, block_queries)
     r = r.groupBy("block", "dims").applyInArrow(packed, schema)
     q = q.dropDuplicates(["vec_id"]).groupBy("block", "dims").applyInArrow(packed, schema).select(F.col("block").alias("at"), "dims", F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
     pairs = r.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, ["at", "dims"])
@@ -114,7 +114,8 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int
                     part = found[lo : lo + 4096]
                     yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids[lo : lo + 4096], [len(d) for d, _ in part]), "distance": np.concatenate([d for d, _ in part]).astype(np.int32), "neighbor_id": np.concatenate([i for _, i in part])})
 
-    found = pairs.select("ids", "codes", "q_ids", "q_codes").mapInArrow(searched, "query_id long, distance int, neighbor_id long")
+    # small rows with much work each: dealt by number, not by bytes
+    found = pairs.select("ids", "codes", "q_ids", "q_codes").repartition(max(1, nr * nq)).mapInArrow(searched, "query_id long, distance int, neighbor_id long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     # the planner cuts each task's rows to k by query before the shuffle
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
