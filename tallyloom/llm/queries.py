@@ -9,9 +9,11 @@ from tallyloom.llm.lines import OP10_SQL, op10_line_dedup
 from tallyloom.llm.pieces import op5_sentencepiece
 from tallyloom.llm.quality import op3_quality
 from tallyloom.llm.sharding import op6_sharding
+from tallyloom.llm.substrings import OP1_SQL, op1_substring_dedup
 from tallyloom.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
     "op5_sentencepiece": op5_sentencepiece,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op7_warc": OP7_SQL,
     "op8_exact_top_k": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
