@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyloom.llm.decontaminate import OP9_SQL, op9_decontaminate
 from tallyloom.llm.hamming import OP8_SQL, op8_exact_top_k
+from tallyloom.llm.jaccard import OP4_SQL, op4_ngram_jaccard
 from tallyloom.llm.langid import op2_language_id
 from tallyloom.llm.lines import OP10_SQL, op10_line_dedup
 from tallyloom.llm.pieces import op5_sentencepiece
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_quality": op3_quality,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
@@ -26,6 +28,7 @@ QUERIES = {
 
 SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
     "op7_warc": OP7_SQL,
     "op8_exact_top_k": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
