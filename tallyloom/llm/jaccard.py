@@ -10,8 +10,9 @@ shingles and its component, the smallest doc_id reachable by links.
 3. Of two sets of n shingles with similarity t, those first n - ceil(t n) + l in this order share at least l. Each
    class takes the l (1 to MATCHES) with the least estimated cost: the entries of its prefix's shingles, plus
    VERIFY times the most candidates that can share l of them (the entries over l). A pair must share the smaller l.
-4. First links: in the list of each prefix shingle all classes are verified against the first one. Components then stand
-   for their classes, so a group of thousands of near copies is linked without its pairs.
+4. First links: each class is verified against one pivot (the first or last class in the list of a prefix shingle; the one it
+   shares most lists with), and this is repeated across the components that result. So a group of thousands of near copies
+   is mostly linked without its pairs.
 5. Lists whose classes already are in one component are done. In the others, pairs across components that
    fit by size and share enough prefix shingles are verified too, so no link between components is lost.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import fresh_path, remove, table, text_bytes, written
@@ -39,6 +40,7 @@ from tallyloom.llm.words import mix, shingle_sets
 PERCENT = 80
 MATCHES = 6
 VERIFY = 16
+STARS = 3
 SET_BITS = np.uint64(16)  # dropped of each hash in a stored set
 
 
@@ -143,6 +145,23 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return spark.read.schema("node long, label long").parquet(path).withColumnRenamed("label", "component")
 
 
+def _apart(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """lists with each class's component, without the lists whose classes are all in one."""
+    rows = lists.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
+    return rows.join(mixed, "token", "left_semi")
+
+
+def _best_pivots(rows: DataFrame, fits: Column, last: bool) -> DataFrame:
+    """For each class the one pivot (first or last class of a list, of another component) that it shares most lists with: u, v."""
+    pick = (F.max if last else F.min)(F.struct("component", "doc", "n"))
+    pivots = rows.groupBy("token").agg(pick.alias("p"))
+    met = rows.join(pivots, "token").filter(F.col("component") != F.col("p.component"))
+    met = met.select(F.col("p.doc").alias("u"), F.col("p.n").alias("n_u"), F.col("doc").alias("v"), F.col("n").alias("n_v")).filter(fits)
+    counted = met.groupBy("u", "v").agg(F.count("*").alias("k"))
+    return counted.groupBy("v").agg(F.max_by("u", F.struct("k", -F.col("u"))).alias("u")).select("u", "v")
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -159,15 +178,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lists = written(spark, reps.select("doc", "n", "need", F.explode("tokens").alias("token")), "lists")
 
     fits = F.expr(f"100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v)")
-    first = lists.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("p"), F.count("*").alias("k")).filter("k > 1")
-    stars = lists.join(first, "token").select(F.col("p.doc").alias("u"), F.col("p.n").alias("n_u"), F.col("doc").alias("v"), F.col("n").alias("n_v"))
-    stars = stars.filter(F.col("u") != F.col("v")).filter(fits).groupBy("u", "v").agg(F.count("*").alias("k"))
-    links = written(spark, _verified(stars, reps), "links")
-    parts = components(spark, links)
-
-    open_lists = lists.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = open_lists.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
-    open_lists = written(spark, open_lists.join(mixed, "token", "left_semi"), "lists")
+    links, open_lists = None, lists.withColumn("component", F.col("doc"))
+    for r in range(STARS):
+        stars = written(spark, _verified(_best_pivots(open_lists, fits, last=r % 2 == 1), reps), "links")
+        if r and not stars.take(1):
+            break
+        links = stars if links is None else links.union(stars)
+        open_lists = written(spark, _apart(lists, components(spark, links)), "lists")
+
     left, right = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "need", "component")]) for s in "uv")
     pairs = left.join(right, "token").filter((F.col("doc_u") < F.col("doc_v")) & (F.col("component_u") != F.col("component_v"))).filter(fits)
     pairs = pairs.groupBy(F.col("doc_u").alias("u"), F.col("doc_v").alias("v")).agg(F.count("*").alias("k"), F.min(F.least("need_u", "need_v")).alias("least_k")).filter("k >= least_k")
