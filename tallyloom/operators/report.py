@@ -63,11 +63,11 @@ def paper_row(*parts: DataFrame, survivors: bool = False) -> DataFrame:
     return out
 
 
-def paper_aggregate(rows: DataFrame, schema_version: int) -> DataFrame:
+def paper_aggregate(rows: DataFrame, schema_version: int, first_by: str = "experiment") -> DataFrame:
     """Rows of all experiments: current schema, confirmatory, the signature of the first accepted; one row an experiment and
     population, ordered by issue, checkpoint, model and temperature (numbers first)."""
     usable = rows.filter((F.col("schema_version") == schema_version) & F.col("confirmatory"))
-    first = usable.agg(F.min_by("signature", "experiment").alias("_s"))  # one row
+    first = usable.agg(F.min_by("signature", first_by).alias("_s"))  # one row
     usable = usable.join(F.broadcast(first), F.col("signature") == F.col("_s")).drop("_s")
     nth = F.row_number().over(Window.partitionBy("experiment", "population").orderBy(F.desc("written_at"), "path"))
     number = F.expr("try_cast(temperature as double)")
