@@ -68,7 +68,7 @@ def cwe_ids(x) -> Column:
 def normal_source(x) -> Column:
     """C source without comments (string and character literals respected), white space collapsed."""
     literal_or_comment = r"""("(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\]|\\[\s\S])*')|/\*[\s\S]*?\*/|//[^\n]*"""
-    bare = F.regexp_replace(_c(x), literal_or_comment, "$1 ")
+    bare = F.regexp_replace(_c(x), literal_or_comment, "$1")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

@@ -73,7 +73,11 @@ def test_failures(logs: DataFrame, by: list[str], text: str) -> DataFrame:
     """by, kind, name, detail: failures of the last section, by the first of suite, unit-test and compiler patterns that finds any."""
     part = _last_section(text, r"===== VALIDATION LOOP [0-9]+:[^\n]*=====")
     kinds = {"suite": r"(?m)^(?:FAIL|TIMEOUT|SANITIZER|CRASH)\s+(\S+)", "unittest": r"(?m)^(?:FAIL|ERROR): (\S+)", "compiler": r"(?m)^(\S+:[0-9]+:[0-9]+): (?:fatal )?error: "}
-    arrays = [F.transform(F.regexp_extract_all(part, F.lit(p), F.lit(1)), lambda n, k=k: F.struct(F.lit(k).alias("kind"), n.alias("name"))) for k, p in kinds.items()]
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    arrays = [named(k, p) for k, p in kinds.items()]
     first = F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays])
     return logs.select(*by, F.posexplode(first).alias("ord", "_x")).select(*by, "ord", "_x.kind", "_x.name")
 

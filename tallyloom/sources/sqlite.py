@@ -68,6 +68,7 @@ class SqliteReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
 
 
