@@ -33,7 +33,7 @@ from tallyloom.llm.decontaminate import sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
 MODEL_BYTES = 64 << 20
 
 
