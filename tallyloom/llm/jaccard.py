@@ -9,12 +9,15 @@ shingles and its component, the smallest doc_id reachable by links.
    documents have; the others can't be shared).
 3. Of two sets of n shingles with similarity t, those first n - ceil(t n) + l in this order share at least l. Each
    class takes the l (1 to MATCHES) with the least estimated cost: the entries of its prefix's shingles, plus
-   VERIFY times the most candidates that can share l of them (the entries over l). A pair must share the smaller l.
+   VERIFY times the most candidates that can share l of them (the entries over l). For a pair, whose two sizes ask for a
+   certain intersection, the same prefixes hold as many more shared shingles, and the pair must have them.
 4. First links: each class is verified against one pivot (the first or last class in the list of a prefix shingle; the one it
    shares most lists with), and this is repeated across the components that result. So a group of thousands of near copies
    is mostly linked without its pairs.
 5. Lists whose classes already are in one component are done. In the others, pairs across components that
-   fit by size and share enough prefix shingles are verified too, so no link between components is lost.
+   fit and share enough prefix shingles are verified too, so no link between components is lost. A pair fits if the sizes
+   allow the similarity, and if each set has as many shingles that any other document has as the two sizes ask of
+   the intersection. Long lists are worked through block by block, and only pairs that pass become rows.
 
 Shingles are compared by 64-bit hashes for the sets' identity and order, and sets are verified by 48 bits of them.
 
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fresh_path, remove, table, text_bytes, written
+from tallyloom.llm.common import few, fresh_path, remove, table, text_bytes, written
 from tallyloom.llm.decontaminate import SHINGLES_SQL
 from tallyloom.llm.exchange import NULL_ID, Layout, dealt, look_up, received, shared_hashes
 from tallyloom.llm.words import mix, shingle_sets
@@ -41,6 +44,7 @@ PERCENT = 80
 MATCHES = 6
 VERIFY = 16
 STARS = 3
+BLOCK = 512
 SET_BITS = np.uint64(16)  # dropped of each hash in a stored set
 
 
@@ -49,7 +53,7 @@ def _shingles(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
-SETS = "doc long, n int, set_a long, set_b long, need int, tokens array<long>, shingles binary"
+SETS = "doc long, n int, common int, set_a long, set_b long, need int, short int, tokens array<long>, shingles binary"
 
 
 def _prefixes(layout: Layout):
@@ -62,15 +66,17 @@ def _prefixes(layout: Layout):
         twice = [np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)]
         np.cumsum(mix(h), out=twice[0][1:])
         np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=twice[1][1:])
-        tokens, need, stored = [], [], []
+        tokens, need, short, stored, common = [], [], [], [], []
         for d in range(len(size)):
             n = int(size[d])
             own, often = h[at[d] : at[d + 1]], df[at[d] : at[d + 1]]
             base = n - -(-n * PERCENT // 100)
             single = int((often == 1).sum())
+            common.append(n - single)
             if n == 0 or single > base:  # no set can share a shingle of the shortest prefix
                 tokens.append([])
                 need.append(1)
+                short.append(0)
                 stored.append(None)
                 continue
             order = np.lexsort((own, often))
@@ -81,13 +87,14 @@ def _prefixes(layout: Layout):
             first = order[: base + best + 1]
             tokens.append(own[first][often[first] > 1].view(np.int64))
             need.append(best + 1)
+            short.append(base + 1 - single)
             six = (own >> SET_BITS).view(np.uint8).reshape(-1, 8)[:, :6]
             stored.append(np.ascontiguousarray(six).tobytes() if len(tokens[-1]) else None)
         sums = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in twice]
         counts = [len(x) for x in tokens]
         flat = np.concatenate(tokens) if sum(counts) else np.zeros(0, np.int64)
         return pa.table({
-            "doc": docs["doc"], "n": pa.array(size, pa.int32()), "set_a": pa.array(sums[0]), "set_b": pa.array(sums[1]), "need": pa.array(need, pa.int32()),
+            "doc": docs["doc"], "n": pa.array(size, pa.int32()), "common": pa.array(common, pa.int32()), "set_a": pa.array(sums[0]), "set_b": pa.array(sums[1]), "need": pa.array(need, pa.int32()), "short": pa.array(short, pa.int32()),
             "tokens": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat.astype(np.int64))), "shingles": pa.array(stored, pa.binary()),
         })
 
@@ -126,10 +133,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     Each round a node takes the smallest label among its neighbours', then its label's label; so a chain's length shrinks by
     a factor each round. Labels are written each round into the shared folder, and nothing is collected.
     """
-    edges = written(spark, links.select("u", "v").union(links.select("v", "u")).filter("u <> v").distinct(), "edges")
+    edges = written(spark, few(links.select("u", "v").union(links.select("v", "u")).filter("u <> v").distinct()), "edges")
     labels = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
     path = fresh_path(spark, "labels")
-    labels.write.parquet(path)
+    few(labels).write.parquet(path)
     while True:
         labels = spark.read.schema("node long, label long").parquet(path)
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
@@ -137,7 +144,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         new = low.join(jump, "to", "left").select("node", F.col("label").alias("old"), F.least("to", F.coalesce("further", "to")).alias("label"))
         following = fresh_path(spark, "labels")
-        new.write.parquet(following)
+        few(new).write.parquet(following)
         changed = spark.read.parquet(following).filter("old <> label").limit(1).count()
         remove(spark, path)
         path = following
@@ -154,14 +161,68 @@ def _apart(lists: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _best_pivots(rows: DataFrame, fits: Column, last: bool) -> DataFrame:
     """For each class the one pivot (first or last class of a list, of another component) that it shares most lists with: u, v."""
-    pick = (F.max if last else F.min)(F.struct("component", "doc", "n"))
+    pick = (F.max if last else F.min)(F.struct("component", "doc", "n", "common"))
     pivots = rows.groupBy("token").agg(pick.alias("p"))
     met = rows.join(pivots, "token").filter(F.col("component") != F.col("p.component"))
-    met = met.select(F.col("p.doc").alias("u"), F.col("p.n").alias("n_u"), F.col("doc").alias("v"), F.col("n").alias("n_v")).filter(fits)
+    met = met.select(F.col("p.doc").alias("u"), F.col("p.n").alias("n_u"), F.col("p.common").alias("common_u"), F.col("doc").alias("v"), F.col("n").alias("n_v"), F.col("common").alias("common_v")).filter(fits)
     counted = met.groupBy("u", "v").agg(F.count("*").alias("k"))
     return counted.groupBy("v").agg(F.max_by("u", F.struct("k", -F.col("u"))).alias("u")).select("u", "v")
 
 
+def _candidates(u: dict, v: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (places in u and v) of two blocks that aren't in one component, fit, and share enough prefix shingles."""
+    n_u, n_v = (np.array(x["n"])[s] for x, s in ((u, (slice(None), None)), (v, (None, slice(None)))))
+    both = n_u + n_v
+    least = -(-PERCENT * both // (100 + PERCENT))  # the intersection that two such sizes ask for
+    fits = np.array(u["component"])[:, None] != np.array(v["component"])[None, :]
+    fits &= 100 * np.minimum(n_u, n_v) >= PERCENT * np.maximum(n_u, n_v)
+    fits &= np.minimum(np.array(u["common"])[:, None], np.array(v["common"])[None, :]) >= least
+    if same:
+        fits = np.triu(fits, 1)
+    if not fits.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sides = [(np.concatenate([np.array(t, np.int64) for t in x["tokens"]]), np.repeat(np.arange(len(x["n"])), [len(t) for t in x["tokens"]])) for x in (u, v)]
+    known = np.intersect1d(sides[0][0], sides[1][0])
+    shared = np.zeros(fits.shape, np.float32)
+    for k in range(0, len(known), 2048):
+        column = known[k : k + 2048]
+        tables = []
+        for (tokens, row), x in zip(sides, (u, v), strict=True):
+            at, has = look_up(column, tokens)
+            table = np.zeros((len(x["n"]), len(column)), np.float32)
+            table[row[has], at[has]] = 1
+            tables.append(table)
+        shared += tables[0] @ tables[1].T
+    # a prefix of (n - intersection) + l shingles holds l of the shared ones
+    extra = [np.array(x["need"]) - -(-np.array(x["n"]) * PERCENT // 100) for x in (u, v)]
+    needed = np.maximum(1, np.minimum(extra[0][:, None], extra[1][None, :]) + least)
+    return np.nonzero(fits & (shared >= needed))
+
+
+def _across(open_lists: DataFrame, reps: DataFrame) -> DataFrame:
+    """u, v: candidate pairs across components. A list is cut into blocks, and each pair of blocks is one row's work."""
+    counts = open_lists.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = open_lists.select("token", "doc", "component").join(counts, "token").join(reps.select("doc", "n", "common", "need", "tokens"), "doc")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    members = F.array_sort(F.collect_list(F.struct("doc", "component", "n", "common", "need", "tokens")))
+    packed = rows.groupBy("token", "block").agg(members.alias("m"))
+    left, right = (packed.select("token", F.col("block").alias(f"block_{s}"), F.col("m").alias(f"m_{s}")) for s in "uv")
+    pairs = left.join(right, "token").filter("block_u <= block_v").select((F.col("block_u") == F.col("block_v")).alias("same"), "m_u", "m_v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x in range(b.num_rows):
+                u, v = ({f.name: c.to_pylist() for f, c in zip(m.type, m.flatten(), strict=True)} for m in (b.column(c)[x].values for c in ("m_u", "m_v")))
+                i, j = _candidates(u, v, b.column("same")[x].as_py())
+                a, c = np.array(u["doc"], np.int64)[i], np.array(v["doc"], np.int64)[j]
+                found.append(np.stack([np.minimum(a, c), np.maximum(a, c)]))
+            all_found = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(all_found[0]), pa.array(all_found[1])], ["u", "v"])
+
+    return pairs.mapInArrow(search, "u long, v long").distinct()
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -172,24 +233,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     same = ["set_a", "set_b", "n"]
     classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
     members = sets.filter("n > 0").select("doc", *same).join(classes, same).select("doc", "rep")
-    alone = sets.filter("size(tokens) > 0").select("doc", "n", *same, "need", "tokens", "shingles")
-    reps = alone.join(classes.withColumnRenamed("rep", "doc"), [*same, "doc"]).select("doc", "n", "need", "tokens", "shingles").dropDuplicates(["doc"])
-    reps = written(spark, reps, "representatives")
-    lists = written(spark, reps.select("doc", "n", "need", F.explode("tokens").alias("token")), "lists")
+    alone = sets.filter("size(tokens) > 0").select("doc", "common", *same, "need", "short", "tokens", "shingles")
+    reps = alone.join(classes.withColumnRenamed("rep", "doc"), [*same, "doc"]).select("doc", "n", "common", "need", "short", "tokens", "shingles").dropDuplicates(["doc"])
+    reps = written(spark, few(reps), "representatives")
+    lists = written(spark, few(reps.select("doc", "n", "common", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))), "lists")
 
-    fits = F.expr(f"100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v)")
+    fits = F.expr(f"100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) and {100 + PERCENT} * least(common_u, common_v) >= {PERCENT} * (n_u + n_v)")
     links, open_lists = None, lists.withColumn("component", F.col("doc"))
     for r in range(STARS):
-        stars = written(spark, _verified(_best_pivots(open_lists, fits, last=r % 2 == 1), reps), "links")
+        stars = written(spark, few(_verified(_best_pivots(open_lists, fits, last=r % 2 == 1), reps)), "links")
         if r and not stars.take(1):
             break
         links = stars if links is None else links.union(stars)
-        open_lists = written(spark, _apart(lists, components(spark, links)), "lists")
+        open_lists = written(spark, few(_apart(lists, components(spark, links))), "lists")
 
-    left, right = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "need", "component")]) for s in "uv")
-    pairs = left.join(right, "token").filter((F.col("doc_u") < F.col("doc_v")) & (F.col("component_u") != F.col("component_v"))).filter(fits)
-    pairs = pairs.groupBy(F.col("doc_u").alias("u"), F.col("doc_v").alias("v")).agg(F.count("*").alias("k"), F.min(F.least("need_u", "need_v")).alias("least_k")).filter("k >= least_k")
-    more = written(spark, _verified(pairs, reps), "links")
+    more = written(spark, few(_verified(_across(open_lists, reps), reps)), "links")
 
     edges = links.union(more).union(members.filter("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v")))
     final = components(spark, edges)
