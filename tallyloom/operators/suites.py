@@ -7,10 +7,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.orders import check_options
+
 # Fixed values
 SEVERITY = {"PASS": 0, "SKIP": 0, "XFAIL": 0, "FAIL": 1, "TIMEOUT": 2, "SANITIZER": 3, "CRASH": 4}
-RANDOM_FLAGS = {"-R"}
-ORDERINGS = ["-g", "-h", "-M", "-n", "-R", "-V"]
 
 
 def _array(values) -> Column:
@@ -158,40 +158,9 @@ def premature_cases(cases: DataFrame, ladder: DataFrame) -> DataFrame:
     return grid.withColumn("expected", live).filter(F.col("live") != live).select("name", "checkpoint", "live", "expected")
 
 
-def check_flags(flags: list[str], values: dict[str, str] | None = None) -> tuple[str, str | None, int]:
-    """OK, or CONFLICT with the rule and exit status, of a combination of sort flags; the first rule that fails counts."""
-    values = values or {}
-    has = set(flags).__contains__
-    modes = [f for f in ORDERINGS if has(f)]
-    rules = [
-        ("check_and_check_quiet", has("-c") and has("-C"), 2), ("check_with_output", (has("-c") or has("-C")) and has("-o"), 2),
-        ("incompatible_orderings", any({a, b} != {"-R"} for a, b in combinations([m for m in modes if m != "-R"], 2)), 2),
-        ("dictionary_with_ordering", (has("-d") or has("-i")) and any(m in modes for m in ("-g", "-h", "-M", "-n")), 2),
-        ("bad_key", has("-k") and not valid_key(values.get("-k", "1")), 2), ("bad_tab", has("-t") and len(values.get("-t", ",")) != 1 and values.get("-t") != r"\0", 2),
-        ("bad_size", has("-S") and not valid_size(values.get("-S", "1M")), 2), ("bad_parallel", has("--parallel") and values.get("--parallel", "1") in ("", "0"), 2),
-        ("bad_batch_size", has("--batch-size") and int(values.get("--batch-size", "2") or 0) < 2, 2), ("check_merge", has("-m") and (has("-c") or has("-C")), 1),
-    ]
-    bad = next(((name, code) for name, wrong, code in rules if wrong), None)
-    return ("OK", None, 0) if bad is None else ("CONFLICT", *bad)
-
-
-def valid_key(spec: str) -> bool:
-    import re
-
-    part = r"([1-9][0-9]*)(\.([0-9]+))?[bdfgiMhnRrV]*"
-    m = re.fullmatch(f"{part}(,{part})?", spec)
-    return bool(m) and m[3] != "0"
-
-
-def valid_size(text: str) -> bool:
-    import re
-
-    return bool(re.fullmatch(r"[0-9]+([bkKmMgGtTPEZY%]?)", text))
-
-
 def combination_frame(spark: SparkSession, flags: list[str], size: int) -> DataFrame:
     """All valid combinations of so many flags."""
-    rows = [(list(c),) for c in combinations(sorted(flags), size) if check_flags(list(c))[0] == "OK"]
+    rows = [(list(c),) for c in combinations(sorted(flags), size) if check_options(list(c))[0] == "OK"]
     return spark.createDataFrame(rows, "flags array<string>")
 
 

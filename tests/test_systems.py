@@ -14,6 +14,7 @@ from tallyloom.operators import distance as D
 from tallyloom.operators import filesystem as FS
 from tallyloom.operators import leak as K
 from tallyloom.operators import lineage as L
+from tallyloom.operators import orders as O
 from tallyloom.operators import report as P
 from tallyloom.operators import security as S
 from tallyloom.operators import suites as U
@@ -63,8 +64,11 @@ def test_walk_and_links(spark):
 
 
 def test_suites(spark):
-    assert U.check_flags(["-n", "-M"])[:2] == ("CONFLICT", "incompatible_orderings") and U.check_flags(["-r"]) == ("OK", None, 0)
-    assert U.valid_key("1.2b,3") and not U.valid_key("0") and not U.valid_key("1.0")
+    assert O.check_options(["-n", "-M"]) == ("CONFLICT", "C1_mode_incompat", 2) and O.check_options(["-r"]) == ("OK", None, 0)
+    assert O.check_options(["-c", "-C", "-o"])[1] == "C2_cC" and O.check_options(["--sort"], {"--sort": ["x"]}) == ("CONFLICT", "C18_bad_sort_word", 1)
+    assert O.check_options(["-t"], {"-t": ["a", "b"]})[1] == "C8_incompat_tabs" and O.check_options(["-S"], {"-S": ["1q"]})[1] == "C14_bad_size"
+    assert O.valid_key("1.2b,3.0") and not O.valid_key("0") and not O.valid_key("1.0") and not O.valid_key("1,2,3")
+    assert U.combination_frame(spark, ["-n", "-M", "-r"], 2).count() == 2
     rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "name string, code int, text string")
     other = spark.createDataFrame([("b", 3, "y"), ("c", 1, "z")], "name string, code int, text string")
     assert sorted((r.name, r.kind, r.field) for r in U.case_diff(rows, other, ["name"], {"code": True, "text": False}).collect()) == [("a", "only_fresh", None), ("b", "differs", "code"), ("c", "only_committed", None)]
@@ -181,3 +185,62 @@ def test_reports(spark, tmp_path):
     flat = P.flat_columns(nested)
     assert flat.columns == ["s.a", "s.b"] and list(flat.first()) == [1, "1;2"]
     assert "Started N = 3" in P.markdown_report("t", 3, [{"n": 2, "rate": None}])
+
+
+def test_sort_orders(spark, tmp_path):
+    import subprocess
+
+    from tallyloom.sources.corpora import corpora
+
+    for name, options, flags in (
+        ("numbers", O.Options("n"), ["-n"]), ("months", O.Options("M"), ["-M"]), ("sizes", O.Options("h"), ["-h"]), ("fields", O.Options(keys=[O.Key.parse("2n"), O.Key.parse("1")], tab="\t"), ["-t", "\t", "-k2n", "-k1"]),
+        ("fields", O.Options("r", [O.Key.parse("1.3,1.3")], "\t"), ["-r", "-t", "\t", "-k1.3,1.3"]), ("generic", O.Options("f"), ["-f"]), ("generic", O.Options("f", stable=True), ["-f", "-s"]), ("generic", O.Options("d"), ["-d"]),
+    ):
+        path = tmp_path / name
+        path.write_bytes(corpora()[name])
+        df = files.read_lines(spark, str(path))
+        ours = [r.line for r in df.orderBy(*O.order(options)).collect()]
+        theirs = subprocess.run(["sort", *flags, str(path)], capture_output=True, env={"LC_ALL": "C", "PATH": "/usr/bin:/bin"}).stdout.decode("latin-1").split("\n")[:-1]
+        assert ours == theirs, (name, flags)
+    versions = spark.createDataFrame([(x,) for x in ("a1.10", "a1.9", "b", "a")], "line string")
+    assert [r.line for r in versions.orderBy(O.version_key(F.col("line"))).collect()] == ["a", "a1.9", "a1.10", "b"]
+
+
+SOURCE = """#include <stdio.h>
+/* a comment { */
+static int add(int a, int b) { return a + b; }
+int main(void) { char buf[10]; buf[0] = 'x'; printf("%d {", add(1, 2)); return 0; }
+"""
+
+
+def test_c_sources(spark):
+    from tallyloom.functions import csource
+    from tallyloom.operators import source_features as SF
+
+    found = csource.functions(SOURCE)
+    assert [(f.name, f.calls) for f in found] == [("add", []), ("main", ["add", "printf"])]
+    assert csource.descriptors(SOURCE) == {"fixed_arrays": 1, "subscripts": 1}
+    assert csource.abstract_stream("int x = 5; // no") == ["int", "ID", "=", "NUM", ";"]
+    assert csource.tree_distance(SOURCE, SOURCE) == 0 and 0 < csource.tree_distance(SOURCE, "int main() {}") <= 1
+    assert csource.tree_edit_distance(("a", [("b", []), ("c", [])]), ("a", [("c", [])])) == 1
+    assert csource.tree_distance(SOURCE, SOURCE, max_nodes=3) is None
+    df = spark.createDataFrame([("r", SOURCE), ("n", None)], "run string, source string")
+    got = {r.feature: r.value for r in SF.source_features(df).collect()}
+    assert got["function.main.call.printf"] == 1 and got["function.main.call.add"] == 1 and got["function.add.kind.+"] == 1
+    assert SF.function_table(df).count() == 2 and SF.with_streams(df).filter("stream is null").count() == 1
+    pair = spark.createDataFrame([(SOURCE, "int f() {}")], "a string, b string")
+    assert SF.tree_distances(pair, "a", "b").first()["tree_distance"] == csource.tree_distance(SOURCE, "int f() {}")
+
+
+def test_streams(spark, tmp_path):
+    from tallyloom.streaming import rollups
+
+    events = spark.read.parquet(f"{__import__('tests.conftest', fromlist=['DATA']).DATA}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = rollups.event_rates(stream, late="3650 days").writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    batch = rollups.event_rates(events)
+    key = lambda rows: sorted((r.start, r.n, r.failures) for r in rows)
+    assert key(spark.table("rates").collect()) == key(batch.collect())
+    assert rollups.user_sessions(events).agg(F.sum("n")).first()[0] == events.count()
