@@ -169,32 +169,43 @@ def _best_pivots(rows: DataFrame, fits: Column, last: bool) -> DataFrame:
     return counted.groupBy("v").agg(F.max_by("u", F.struct("k", -F.col("u"))).alias("u")).select("u", "v")
 
 
+def _blocks(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+    """For each row its members' fields as arrays; `tokens` of all members in one, with the member of each in `row`."""
+    ends, members = column.offsets.to_numpy(), column.values
+    fields = {f.name: members.field(f.name) for f in members.type}
+    tokens = fields.pop("tokens")
+    plain = {name: x.to_numpy() for name, x in fields.items()}
+    token_ends, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        own = token_ends[a : b + 1]
+        yield {name: x[a:b] for name, x in plain.items()} | {"tokens": flat[own[0] : own[-1]], "row": np.repeat(np.arange(b - a), np.diff(own))}
+
+
 def _candidates(u: dict, v: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (places in u and v) of two blocks that aren't in one component, fit, and share enough prefix shingles."""
-    n_u, n_v = (np.array(x["n"])[s] for x, s in ((u, (slice(None), None)), (v, (None, slice(None)))))
+    n_u, n_v = u["n"][:, None].astype(np.int64), v["n"][None, :].astype(np.int64)
     both = n_u + n_v
     least = -(-PERCENT * both // (100 + PERCENT))  # the intersection that two such sizes ask for
-    fits = np.array(u["component"])[:, None] != np.array(v["component"])[None, :]
+    fits = u["component"][:, None] != v["component"][None, :]
     fits &= 100 * np.minimum(n_u, n_v) >= PERCENT * np.maximum(n_u, n_v)
-    fits &= np.minimum(np.array(u["common"])[:, None], np.array(v["common"])[None, :]) >= least
+    fits &= np.minimum(u["common"][:, None], v["common"][None, :]) >= least
     if same:
         fits = np.triu(fits, 1)
     if not fits.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sides = [(np.concatenate([np.array(t, np.int64) for t in x["tokens"]]), np.repeat(np.arange(len(x["n"])), [len(t) for t in x["tokens"]])) for x in (u, v)]
-    known = np.intersect1d(sides[0][0], sides[1][0])
+    known = np.intersect1d(u["tokens"], v["tokens"])
     shared = np.zeros(fits.shape, np.float32)
     for k in range(0, len(known), 2048):
         column = known[k : k + 2048]
         tables = []
-        for (tokens, row), x in zip(sides, (u, v), strict=True):
-            at, has = look_up(column, tokens)
+        for x in (u, v):
+            at, has = look_up(column, x["tokens"])
             table = np.zeros((len(x["n"]), len(column)), np.float32)
-            table[row[has], at[has]] = 1
+            table[x["row"][has], at[has]] = 1
             tables.append(table)
         shared += tables[0] @ tables[1].T
     # a prefix of (n - intersection) + l shingles holds l of the shared ones
-    extra = [np.array(x["need"]) - -(-np.array(x["n"]) * PERCENT // 100) for x in (u, v)]
+    extra = [x["need"] - -(-x["n"].astype(np.int64) * PERCENT // 100) for x in (u, v)]
     needed = np.maximum(1, np.minimum(extra[0][:, None], extra[1][None, :]) + least)
     return np.nonzero(fits & (shared >= needed))
 
@@ -212,11 +223,10 @@ def _across(open_lists: DataFrame, reps: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for x in range(b.num_rows):
-                u, v = ({f.name: c.to_pylist() for f, c in zip(m.type, m.flatten(), strict=True)} for m in (b.column(c)[x].values for c in ("m_u", "m_v")))
-                i, j = _candidates(u, v, b.column("same")[x].as_py())
-                a, c = np.array(u["doc"], np.int64)[i], np.array(v["doc"], np.int64)[j]
-                found.append(np.stack([np.minimum(a, c), np.maximum(a, c)]))
+            for u, v, same in zip(_blocks(b.column("m_u")), _blocks(b.column("m_v")), b.column("same").to_pylist(), strict=True):
+                i, j = _candidates(u, v, same)
+                if len(i):
+                    found.append(np.stack([np.minimum(u["doc"][i], v["doc"][j]), np.maximum(u["doc"][i], v["doc"][j])]))
             all_found = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(all_found[0]), pa.array(all_found[1])], ["u", "v"])
 
