@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import table, written
+
 OVERHEAD = 16
 UNITS_PER_SHARD = 64
 
@@ -86,6 +88,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 40) ->
         token_count(text).alias("_tokens"),
         F.xxhash64(text.isNull(), text, F.octet_length(text)).alias("_group"),
     )
+    rows = written(spark, rows, "sharding")  # the texts are read once
     sums = [F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count("*").alias("r")]
     total = rows.agg(*sums).first()
     if not total["r"]:
@@ -133,6 +136,4 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 40) ->
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyloom.llm.common import table
-
     return shard_documents(spark, table(spark, sf_dir, "documents"), 40)
