@@ -14,8 +14,8 @@ length, is above the language's median by more than half the distance of other l
 times the most that this is among the language's own. So a text with foreign passages stays, a foreign one goes. The
 score is a softmax of the cross-entropies whose temperature has the least log loss on the calibration documents.
 
-Training takes at most `docs_per_language` labelled documents a language (those of the smallest hash of doc_id) and at
-most `chars_per_document` characters of each; scoring takes whole texts. Null or letterless texts give `und`, score 0 and are
+Training takes the `max_languages` most frequent labels, at most `docs_per_language` documents of each (those of the smallest
+hash of doc_id) and at most `chars_per_document` characters of each; scoring takes whole texts. Null or letterless texts give `und`, score 0 and are
 rejected. Null languages teach nothing; null doc_ids are scored but teach nothing. Equal cross-entropies go to
 the language first in order. Without training rows all is `und`. Rows that repeat are rows of their own.
 """
@@ -234,11 +234,12 @@ class Model:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(rejected), pa.array(np.where(usable, own, 0.0))], ["lang_pred", "score", "rejected", "cross_entropy"])
 
 
-def train(docs: DataFrame, docs_per_language: int = 400, chars_per_document: int = 20_000, slack: float = 1.5) -> Model:
+def train(docs: DataFrame, docs_per_language: int = 400, chars_per_document: int = 20_000, slack: float = 1.5, max_languages: int = 200) -> Model:
     """A model from docs (doc_id, text, lang): 4 of 5 sampled documents teach, the fifth calibrates."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    sample = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language)
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    sample = known.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language)
     ids = sample.select("doc_id", "nth").collect()  # docs_per_language rows a language
     nth = docs.sparkSession.createDataFrame(ids, "doc_id long, nth int").dropDuplicates(["doc_id"])
     rows = known.join(F.broadcast(nth), "doc_id").select("lang", "nth", "doc_id", F.left("text", F.lit(chars_per_document)).alias("text")).collect()
