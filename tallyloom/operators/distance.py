@@ -127,30 +127,30 @@ def token_jaccard_distance(a: str, b: str):
     return 1 - jaccard(a, b)
 
 
-def winnowed(tokens, k: int = 5, window: int = 4):
+def winnowed(tokens, k=5, window: int = 4):
     """The set of winnowing fingerprints of a token array: hashes of k tokens, the least of each window; k shrinks to the array."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    size = F.greatest(F.lit(1), F.least(F.lit(k), F.size(t)))
-    grams = F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i, size), "\x1f"), 256), 1, 16))
-    )
-    n = F.size(grams)
-    least = F.when(n == 0, grams).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - window + 1)), lambda i: F.array_min(F.slice(grams, i, window))))
-    return F.array_distinct(least)
+    size = F.greatest(F.lit(1), F.least(F.lit(k) if isinstance(k, int) else k, F.size(t)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)) - size + 1), lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i, size), "\x1f"), 256), 1, 16))
+    # bound once as g, not repeated in each place that uses it
+    least = F.transform(F.array(grams), lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g) - window + 1)), lambda i: F.array_min(F.slice(g, i, window))))
+    return F.when(F.size(t) > 0, F.array_distinct(F.element_at(least, 1))).otherwise(F.array().cast("array<string>"))
 
 
 def winnowing_distance(a: str, b: str, k: int = 5):
     """Distance of two token arrays by their fingerprints, with one k for both."""
     common = F.greatest(F.lit(1), F.least(F.lit(k), F.size(a), F.size(b)))
-    return 1 - jaccard(_winnowed_by(F.col(a), common), _winnowed_by(F.col(b), common))
+    return 1 - jaccard(winnowed(a, common), winnowed(b, common))
 
 
-def _winnowed_by(t, size, window: int = 4):
-    grams = F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.substring(F.sha2(F.array_join(F.slice(t, i, size), "\x1f"), 256), 1, 16))
-    )
-    n = F.size(grams)
-    return F.array_distinct(F.when(n == 0, grams).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - window + 1)), lambda i: F.array_min(F.slice(grams, i, window)))))
+def winnowing_pairs(items: DataFrame, by: list[str], run: str, tokens: str, k: int = 5) -> DataFrame:
+    """by, left, right, distance for all pairs of a group; fingerprints are made once for each item of k tokens or more."""
+    rows = items.select(*by, F.col(run).alias("run"), F.col(tokens).alias("t"), F.when(F.size(tokens) >= k, winnowed(tokens, k)).alias("f"))
+    pairs = pairs_of(rows.select(*by, "run"), by)
+    for s in ("left", "right"):
+        pairs = pairs.join(rows.select(*by, F.col("run").alias(s), F.col("t").alias(f"t_{s}"), F.col("f").alias(f"f_{s}")), [*by, s])
+    whole = F.col("f_left").isNotNull() & F.col("f_right").isNotNull()
+    return pairs.select(*by, "left", "right", F.when(whole, 1 - jaccard("f_left", "f_right")).otherwise(winnowing_distance("t_left", "t_right", k)).alias("distance"))
 
 
 def text_distances(pairs: DataFrame, left: str, right: str, left_tokens: str, right_tokens: str) -> DataFrame:

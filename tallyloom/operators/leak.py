@@ -1,8 +1,8 @@
 """Which given texts occur inside documents.
 
 A needle of at least MINIMUM characters is found by its first MINIMUM characters: every document's substrings of that length
-meet the needles' heads in an equality join, and what meets is verified. The needles' heads go out by broadcast while they
-are small; beyond that they filter through a shuffle join.
+meet the needles' heads in an equality join, and what meets is verified. While the needles are small (BROADCAST_BYTES), they
+go out as an automaton instead that finds all of them in one pass over a document.
 """
 
 from __future__ import annotations
@@ -14,9 +14,15 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # documents are then matched needle by needle
+    ahocorasick = None
+
 MINIMUM = 12
 BROADCAST_BYTES = 8 << 20
 
@@ -27,6 +33,8 @@ def leaks(docs: DataFrame, needles: DataFrame, doc: str, text: str, needle: str,
     small = (usable.agg(F.sum(F.octet_length("_value"))).first()[0] or 0) <= BROADCAST_BYTES
     heads = usable.select("_head").distinct()
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter(F.length("_text") >= minimum)
+    if small and ahocorasick is not None:
+        return _one_pass(docs, usable, doc, text, needle)
     if small:
         # within the bound, a document is matched against the distinct needles directly
         found = rows.join(F.broadcast(usable), F.contains("_text", F.col("_value")))
@@ -37,6 +45,35 @@ def leaks(docs: DataFrame, needles: DataFrame, doc: str, text: str, needle: str,
     return pairs.select(F.col("_doc").alias(doc), F.col("_needle").alias(needle)).distinct()
 
 
+def _one_pass(docs: DataFrame, needles: DataFrame, doc: str, text: str, needle: str) -> DataFrame:
+    """All needles are found in one pass over each document by an automaton; the needles are within BROADCAST_BYTES."""
+    kinds = {c.name: c.dataType for c in [*docs.select(F.col(doc).alias("d")).schema, *needles.select(F.col("_needle").alias("n")).schema]}
+    numbered = needles.select("_needle", "_value").toArrow()
+    places: dict[str, list[int]] = {}
+    for i, value in enumerate(numbered["_value"].to_pylist()):
+        places.setdefault(value, []).append(i)
+    ids = numbered["_needle"].combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast((places, ids))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, names = shared.value
+        machine = ahocorasick.Automaton()
+        for value, at in values.items():
+            machine.add_word(value, at)
+        if values:
+            machine.make_automaton()
+        for b in batches:
+            rows, hits = [], []
+            for i, t in enumerate(b.column(1)):
+                found = {n for _, at in machine.iter(t.as_py()) for n in at} if values and t.is_valid else ()
+                rows += [i] * len(found)
+                hits += sorted(found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), names.take(pa.array(hits, pa.int64()))], [doc, needle])
+
+    schema = f"`{doc}` {kinds['d'].simpleString()}, `{needle}` {kinds['n'].simpleString()}"
+    return docs.select(doc, F.col(text)).mapInArrow(scan, schema)
+
+
 def searchable_forms(raw: bytes) -> list[bytes]:
     """The bytes, and what they hold when they are gzip or zlib data."""
     forms = [raw]

@@ -200,10 +200,7 @@ def levenshtein_pairs(spark, sf_dir):
 @query()
 def winnow_pairs(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").filter("item_id < 40").select(F.lit("all").alias("space"), F.col("item_id").alias("run"), F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("w"))
-    pairs = D.pairs_of(b.select("space", "run"), ["space"])
-    for s in ("left", "right"):
-        pairs = pairs.join(b.select(F.col("run").alias(s), F.col("w").alias(f"w_{s}")), s)
-    return pairs.select("left", "right", D.winnowing_distance("w_left", "w_right").alias("distance"))
+    return D.winnowing_pairs(b, ["space"], "run", "w").drop("space")
 
 
 CALLS = "list_distinct(regexp_extract_all(text, '([A-Za-z_]+)\\s*[(.]', 1))"

@@ -132,6 +132,8 @@ def test_leaks_in_both_ways(spark, monkeypatch):
     needles = spark.createDataFrame([("n", "hidden needle"), ("short", "nothing")], "n string, v string")
     get = lambda: [tuple(r) for r in K.leaks(docs, needles, "d", "text", "n", "v").collect()]
     assert get() == [(1, "n")]
+    monkeypatch.setattr(K, "ahocorasick", None)
+    assert get() == [(1, "n")]
     monkeypatch.setattr(K, "BROADCAST_BYTES", -1)
     assert get() == [(1, "n")]
     assert K.searchable_forms(gzip.compress(b"abc"))[1] == b"abc"
