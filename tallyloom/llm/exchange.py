@@ -74,7 +74,7 @@ def shared_hashes(rows: DataFrame, layout: Layout, hashes: Callable[[pa.RecordBa
     """batch, bucket, hashes, values: the hashes of each batch that several documents have.
 
     rows: as of dealt(). hashes: gives all hashes (uncut) of some rows and the index of the row of each.
-    values: with `owner` the batch that has the document of the smallest id, else the number of documents.
+    values: with `owner` the smallest document, else the number of documents.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def shared_hashes(rows: DataFrame, layout: Layout, hashes: Callable[[pa.RecordBa
         group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
         if owner:
             many = value[np.append(at[1:], len(h)) - 1] > value[at] if len(at) else np.zeros(0, bool)
-            result = whose[at]
+            result = value[at]
         else:
             result = np.add.reduceat(value, at) if len(at) else value
             many = result > 1

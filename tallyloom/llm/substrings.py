@@ -4,12 +4,13 @@ A window is LENGTH consecutive words (split at x20 and x09-x0D) of one document.
 covers it also starts in a document with a smaller doc_id; windows are judged on the input.
 
 Documents are dealt into batches, and a batch is a reference shard. Rolling hashes first tell each batch which of its
-windows other documents have too, and which shard owns such a window: the one of the smallest document that has it
-(`exchange`). Runs of windows with the same owner travel as word sequences, each distinct one once per batch, to the owner's
+windows other documents have too, and claim the smallest document for each of these (`exchange`); that document's shard owns the
+window. Runs of windows with one claim travel as word sequences, each distinct one once per batch, to the owner's
 shard. There, suffix automata over the shard's own sequences, each state with the smallest document that its strings
-start in, are held by every task of the shard while the sequences stream through: wherever the match
-is LENGTH words or longer, the state of the last LENGTH words tells the smallest document, and the window counts if that is
-smaller than the document at hand. So the automata decide on the words themselves; hashes only choose where to look.
+start in, are held by every task of the shard while the sequences stream through: wherever the match is LENGTH words or
+longer, the state of the last LENGTH words tells the smallest document. If that is the claimed one, the window counts for every
+other document. The hashes are short, so now and then a claim is wrong: the windows that the automata don't
+confirm, few as they are, are then compared as bytes with each other.
 
 An automaton holds at most AUTOMATON_WORDS words of distinct sequences (a sequence above that has one of its own); a shard
 with more has several, and the smallest document over all of them counts. A shard that receives more than
@@ -111,7 +112,7 @@ def _windows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(h)][keep]
 
 
-RUNS = "kind int, shard int, batch int, doc long, key long, text string, n_words long, kept_sha256 string, words binary, docs array<long>, keys array<long>, starts array<int>"
+RUNS = "kind int, claim long, batch int, doc long, key long, text string, n_words long, kept_sha256 string, words binary, docs array<long>, keys array<long>, starts array<int>"
 
 
 def _runs(layout: Layout):
@@ -125,18 +126,18 @@ def _runs(layout: Layout):
                 v.append(x.get(c))
 
         if docs.num_rows:
-            known, owners = received(shared)
+            known, claims = received(shared)
             batch = docs["batch"][0].as_py()
             data, offsets = text_column(docs["text"])
             words, at, first, end = word_hashes(data, offsets, spans=True)
             h = layout.cut(gram_hashes(words, LENGTH))
             place, has = look_up(known, h)
             has &= within(at, LENGTH, len(h))
-            owner = np.where(has, owners[place] if len(owners) else -1, -1)
+            claim = np.where(has, claims[place] if len(claims) else -1, -1)
             doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(h)]
             ids, keys = docs["doc"].to_numpy(), docs["key"].to_numpy()
-            begins = np.flatnonzero((owner >= 0) & np.concatenate([[True], (owner[1:] != owner[:-1]) | (doc_of[1:] != doc_of[:-1])])) if len(h) else []
-            change = np.concatenate([[True], (owner[1:] != owner[:-1]) | (doc_of[1:] != doc_of[:-1])]) if len(h) else np.zeros(0, bool)
+            change = np.concatenate([[True], (claim[1:] != claim[:-1]) | (doc_of[1:] != doc_of[:-1])]) if len(h) else np.zeros(0, bool)
+            begins = np.flatnonzero(change & has)
             edges = np.append(np.flatnonzero(change), len(h))
             raw = data.tobytes()
             runs: dict[tuple[int, bytes], dict] = {}
@@ -146,10 +147,10 @@ def _runs(layout: Layout):
                 d = int(doc_of[b])
                 touched[d] = True
                 words_of = b" ".join(raw[first[b] : end[last]].split())
-                seen = runs.setdefault((int(owner[b]), words_of), {})
+                seen = runs.setdefault((int(claim[b]), words_of), {})
                 seen[(int(ids[d]), int(keys[d]), int(b - at[d]))] = None
-            for (shard, words_of), seen in runs.items():
-                row(kind=2, shard=shard, batch=batch, words=words_of, docs=[x[0] for x in seen], keys=[x[1] for x in seen], starts=[x[2] for x in seen])
+            for (claimed, words_of), seen in runs.items():
+                row(kind=2, claim=claimed, batch=batch, words=words_of, docs=[x[0] for x in seen], keys=[x[1] for x in seen], starts=[x[2] for x in seen])
             for d in range(docs.num_rows):
                 x = {"kind": int(touched[d]), "batch": batch, "doc": int(ids[d]), "key": int(keys[d]), "n_words": int(at[d + 1] - at[d])}
                 text = raw[offsets[d] : offsets[d + 1]]
@@ -163,52 +164,54 @@ def _runs(layout: Layout):
     return split
 
 
-def _covered(ends: list[int], smallest: list[int], doc: int) -> tuple[list[int], list[int]]:
-    """First and past-last words of what the windows that end there and start in a smaller document cover."""
+def _spans(ends: list[int]) -> tuple[list[int], list[int]]:
+    """First and past-last words of what the windows with these last words cover."""
     begins, stops = [], []
-    for e, s in zip(ends, smallest, strict=True):
-        if s < doc:
-            if stops and e - LENGTH + 1 <= stops[-1]:
-                stops[-1] = e + 1
-            else:
-                begins.append(e - LENGTH + 1)
-                stops.append(e + 1)
+    for e in ends:
+        if stops and e - LENGTH + 1 <= stops[-1]:
+            stops[-1] = e + 1
+        else:
+            begins.append(e - LENGTH + 1)
+            stops.append(e + 1)
     return begins, stops
 
 
+REMOVALS = "batch int, key long, begins array<int>, stops array<int>, doc long, window binary"
+
+
 def _removals(t: pa.Table) -> pa.Table:
-    """Of one salt of one shard: what is removed, by document row."""
+    """Of one salt of one shard: what is removed, by document row; and the windows (window, doc) of unconfirmed claims."""
     t = t.combine_chunks()
-    shard = t["shard"][0].as_py()
-    is_own = t["batch"].to_numpy() == shard
-    own = [(min(x["docs"]), x["words"]) for x in t.filter(pa.array(is_own)).select(["docs", "words"]).to_pylist()]
+    is_own = t["batch"].to_numpy() == t["shard"][0].as_py()
+    own = sorted((min(x["docs"]), x["words"]) for x in t.filter(pa.array(is_own)).select(["docs", "words"]).to_pylist())
     automata: list[SuffixAutomaton] = []
-    for doc, words in sorted(own):
+    for doc, words in own:
         words = words.split(b" ")
         if not automata or automata[-1].words and automata[-1].words + len(words) > AUTOMATON_WORDS:
             automata.append(SuffixAutomaton())
         automata[-1].add(words, doc)
-    out_batch, out_key, out_begin, out_stop = [], [], [], []
+    out = {f.split()[0]: [] for f in REMOVALS.split(", ")}
+
+    def row(*values):
+        for column, v in zip(out.values(), values, strict=True):
+            column.append(v)
+
     mine = pa.array(t["mine"].to_numpy(zero_copy_only=False).astype(bool))
-    for x in t.filter(mine).select(["batch", "words", "docs", "keys", "starts"]).to_pylist():
-        words = x["words"].split(b" ")
-        found: dict[int, int] = {}
-        for a in automata:
-            for e, s in a.statistics(words, LENGTH):
-                if e not in found or s < found[e]:
-                    found[e] = s
-        ends = sorted(found)
-        smallest = [found[e] for e in ends]
-        most = max(smallest, default=-1)
-        all_covered = _covered(ends, smallest, most + 1)
+    for x in t.filter(mine).select(["claim", "batch", "words", "docs", "keys", "starts"]).to_pylist():
+        words, claim = x["words"].split(b" "), x["claim"]
+        confirmed = sorted({e for a in automata for e, first in a.statistics(words, LENGTH) if first == claim})
+        begins, stops = _spans(confirmed)
+        doubtful = sorted(set(range(LENGTH - 1, len(words))).difference(confirmed)) if len(confirmed) < len(words) - LENGTH + 1 else []
         for doc, key, start in zip(x["docs"], x["keys"], x["starts"], strict=True):
-            begins, stops = all_covered if most < doc else _covered(ends, smallest, doc)
+            if doc == claim:  # no smaller document has a window of these hashes
+                continue
             if begins:
-                out_batch.append(x["batch"])
-                out_key.append(key)
-                out_begin.append([b + start for b in begins])
-                out_stop.append([s + start for s in stops])
-    return pa.table({"batch": pa.array(out_batch, pa.int32()), "key": pa.array(out_key, pa.int64()), "begins": pa.array(out_begin, pa.list_(pa.int32())), "stops": pa.array(out_stop, pa.list_(pa.int32()))})
+                row(x["batch"], key, [b + start for b in begins], [s + start for s in stops], None, None)
+            for e in doubtful:
+                b = e - LENGTH + 1
+                row(x["batch"], key, [b + start], [e + 1 + start], doc, b" ".join(words[b : e + 1]))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    return pa.table({c: pa.array(v, kinds[f.split()[1]]) for (c, v), f in zip(out.items(), REMOVALS.split(", "), strict=True)})
 
 
 RESULT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -246,12 +249,17 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, with_text: bool = Tru
     shared = shared_hashes(rows, layout, _windows, owner=True)
     runs = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_runs(layout), RUNS)
     runs = written(spark, runs, "substrings")
-    moving = runs.filter("kind = 2").select("shard", "batch", "words", "docs", "keys", "starts")
+    owner = F.pmod(F.xxhash64("claim"), F.lit(layout.n_batches)).cast("int")  # as dealt() deals documents
+    moving = runs.filter("kind = 2").select(owner.alias("shard"), "claim", "batch", "words", "docs", "keys", "starts")
     salts = moving.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words") + 20 * F.size("docs")) / SALT_BYTES).cast("int").alias("salts"))
     moving = moving.join(salts, "shard").withColumn("mine", F.pmod(F.xxhash64("batch", "words"), F.col("salts")).cast("int"))
     refs = F.when(F.col("batch") == F.col("shard"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("mine"))
     moving = moving.withColumn("salt", F.explode(refs)).withColumn("mine", F.col("mine") == F.col("salt")).drop("salts")
-    gone = moving.groupBy("shard", "salt").applyInArrow(_removals, "batch int, key long, begins array<int>, stops array<int>")
+    found = written(spark, moving.groupBy("shard", "salt").applyInArrow(_removals, REMOVALS), "substrings")
+    doubtful = found.filter("window is not null")
+    first = doubtful.groupBy("window").agg(F.min("doc").alias("first"))
+    spans = ["batch", "key", "begins", "stops"]
+    gone = found.filter("window is null").select(*spans).unionByName(doubtful.join(first, "window").filter("doc > first").select(*spans))
     left = runs.filter("kind = 1").select("batch", "doc", "key", "text")
     finished = left.groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(_finish(with_text), RESULT)
     untouched = runs.filter("kind = 0").select("doc", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))

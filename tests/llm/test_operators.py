@@ -47,6 +47,30 @@ def test_substrings(spark, documents, hard_texts, monkeypatch, automaton_words,
     assert got == brute_substrings([(i if i != 3 else None, t) for i, t in enumerate(hard_texts)])
 
 
+def short_hashes(bits):
+    def layout(*args, **kwargs):
+        out = exchange.Layout(*args, **kwargs)
+        out.hash_bits, out.bucket_bits = bits, 2
+        return out
+
+    return layout
+
+
+@pytest.mark.parametrize("bits", [4, 9, 12])
+def test_substrings_with_colliding_hashes(spark, documents, hard_texts, monkeypatch, bits):
+    monkeypatch.setattr(substrings, "Layout", short_hashes(bits))
+    monkeypatch.setattr(exchange, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(substrings, "SALT_BYTES", 3000)
+    got = sorted((tuple(r) for r in substrings.dedup_substrings(spark, documents, with_text=False).collect()), key=str)
+    assert got == brute_substrings([(i if i != 3 else None, t) for i, t in enumerate(hard_texts)])
+
+
+def test_jaccard_with_colliding_hashes(spark, documents, hard_texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "Layout", short_hashes(7))
+    got = sorted(((BIG if r.doc_id is None else r.doc_id, r.n_shingles, BIG if r.component_id is None else r.component_id) for r in jaccard.jaccard_components(spark, documents).collect()), key=str)
+    assert got == brute_components([(i if i != 3 else BIG, t) for i, t in enumerate(hard_texts)])
+
+
 def test_substrings_text_and_empty(spark, documents, no_documents, hard_texts):
     assert substrings.dedup_substrings(spark, no_documents).count() == 0
     for r in substrings.dedup_substrings(spark, documents).filter("n_removed > 0").collect():
