@@ -177,7 +177,7 @@ def test_logs(spark):
     assert tuple(T.line_churn(pairs, ["run"], "x", "y").first()) == (1, 2, 1)
 
 
-def test_reports(spark, tmp_path):
+def test_report_parts(spark, tmp_path):
     assert P.config_fingerprint({"a": 1, "n_lineages": 3}) == P.config_fingerprint({"n_lineages": 9, "a": 1}) != P.config_fingerprint({"a": 2})
     assert P.resolve_settings({"k": None}, {"k": 2}, {"k": 1, "j": 5}) == {"k": (2, "metadata"), "j": (5, "default")}
     P.write_json_document(str(tmp_path / "x.json"), {"b": float("nan"), "a": [1]})
@@ -246,3 +246,63 @@ def test_streams(spark, tmp_path):
     key = lambda rows: sorted((r.start, r.n, r.failures) for r in rows)
     assert key(spark.table("rates").collect()) == key(batch.collect())
     assert rollups.user_sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_records(spark):
+    from tallyloom.operators.records import record_state
+
+    events = spark.createDataFrame(
+        [(1, "init", None, None, None, 0), (1, "stage", "a", True, None, 1), (1, "stage", "b", False, "tests", 2), (1, "stage", "b", True, None, 3), (2, "init", None, None, None, 0), (3, "init", None, None, None, 0), (3, "stage", "a", True, None, 1), (3, "finish", None, True, None, 5)],
+        "lineage int, kind string, checkpoint string, success boolean, reason string, ts int",
+    )
+    order = spark.createDataFrame([("a", 0), ("b", 1)], "checkpoint string, pos int")
+    got = {r.lineage: r for r in record_state(events, order).collect()}
+    assert got[1].state == "stopped" and got[1].completed_ids == ["a", "b"] and got[1].failure_reason == "tests"
+    assert got[2].state == "running" and got[2].checkpoints_completed == 0
+    assert got[3].state == "completed" and got[3].failure_stage is None and got[3].finished_at == 5
+
+
+def test_contracts(spark):
+    from tallyloom.operators import contracts as K2
+
+    assert K2.search_arguments(["-ih", "p", "f", "-H", "--", "-x"]) == {"pattern": "p", "operands": ["f", "-x"], "ignore_case": True, "recursive": False, "filename": "with_filename"}
+    for bad in (["-r"], ["-q", "p"], []):
+        with pytest.raises(ValueError):
+            K2.search_arguments(bad, {"ignore_case"})
+    case = "name string, args array<string>, flags array<string>, absent_flags array<string>, `check` string, exit_code int, stdout_b64 string, stderr_class string"
+    rows = [("ok", ["-r", "x"], ["-r"], [], "golden", 0, "YQo=", "empty"), ("bad", ["x"], ["-r"], [], "golden", 1, "YQ==", "nonempty")]
+    problems = [(r["name"], r.problem) for r in K2.case_problems(spark.createDataFrame(rows, case)).collect()]
+    assert {n for n, _ in problems} == {"bad"} and len(problems) == 4
+    ladder = spark.createDataFrame([("0", 0, ["-f"]), ("1", 1, ["-f", "-r"])], "checkpoint string, pos int, allowed array<string>")
+    assert sorted((r["name"], r.problem) for r in K2.corpus_problems(spark.createDataFrame([*rows, ("ok", ["-z"], ["-z"], [], "golden", 0, "YQo=", "empty")], case), ladder).collect()) == [("0", "selects no case"), ("ok", "flag outside of the ladder: -z"), ("ok", "repeated name")]
+    files_of = lambda rows: spark.createDataFrame(rows, "d string, path string, sha256 string")
+    assert sorted((r.path, r.change) for r in K2.changed_files(files_of([("t", "a", "1"), ("t", "b", "1"), ("t", "c", "1")]), files_of([("t", "a", "2"), ("t", "b", "1"), ("t", "e", "1")]), ["d"]).collect()) == [("a", "modified"), ("c", "deleted"), ("e", "added")]
+    refs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "name string, uses string")
+    assert sorted(r["name"] for r in K2.closure(spark.createDataFrame([("a",)], "name string"), refs).collect()) == ["a", "b", "c"]
+    assert K2.signal_number("KILL") == K2.signal_number("sigkill") == K2.signal_number("9") == 9
+
+
+def test_reports(spark, tmp_path):
+    from tallyloom.plans import reports
+
+    attempts = spark.createDataFrame([(f"r{i}", i % 4 != 0, i % 3 != 0, i == 7, f"h{i % 2}") for i in range(12)], "run string, complete boolean, success boolean, infrastructure_failure boolean, source_sha256 string")
+    features = spark.createDataFrame([(f"r{i}", "b", f"f{j}", float(i % 2 + j)) for i in range(12) for j in range(3)], "run string, block string, feature string, value double")
+    out = reports.population_report(attempts, features, 0.3, replicates=20, k_max=2)
+    for name, df in out.items():
+        assert df is None or df.count() > 0, name
+    assert {r.population for r in out["bootstrap"].collect()} == {"passing_complete"}
+    results = spark.createDataFrame([("s", f"r{i}", f"c{j}", "PASS" if (i + j) % 3 else "FAIL") for i in range(4) for j in range(5)], "space string, run string, case_id string, verdict string")
+    labels = spark.createDataFrame([("s", f"r{i}", i % 2) for i in range(4)], "space string, run string, family int")
+    assert reports.behavior_report(results, labels)["convergence"].first()["distinct_hashes"] == 3
+    assert reports.suite_report(results.withColumnRenamed("space", "suite"))["failures"].count() > 0
+    sessions = spark.createDataFrame([("a", "w", 5), ("b", "w", 3)], "id string, directory string, time_created long")
+    messages = spark.createDataFrame([("a", '{"role": "assistant", "tokens": {"input": 4}, "cost": 0.5}')], "session_id string, data string")
+    parts = spark.createDataFrame([("a", '{"type": "tool", "tool": "x", "state": {"status": "error", "time": {"start": 5, "end": 1}}}')], "session_id string, data string")
+    got = reports.telemetry_report(sessions, messages, parts)
+    assert {r.id: r.loop for r in got["sessions"].collect()} == {"b": 0, "a": 1} and got["total"].first()["input_tokens"] == 4
+    assert tuple(got["tools"].first()) == ("x", 1, 1, 0)
+    stages = spark.createDataFrame([(1, 0, "a", True, 5, 0), (1, 1, "b", True, 8, 1)], "lineage int, pos int, checkpoint string, success boolean, lines int, loops int")
+    lineages = spark.createDataFrame([(1, "completed", None)], "lineage int, state string, failed_checkpoint string")
+    checkpoints = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "checkpoint string, pos int")
+    for name, df in reports.lineage_report(stages, lineages, checkpoints, spark.createDataFrame([(1,), (2,)], "lineage int")).items():
+        assert df.count() > 0, name
