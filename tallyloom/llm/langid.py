@@ -10,7 +10,7 @@ looks up the longest n-gram; where no language has seen it, it adds the context'
 shorter one. A text gets the language of the lowest cross-entropy per character.
 
 It is rejected (column `rejected`) if it has no letters, or if that cross-entropy, less three standard errors for the text's
-length, is above the language's median by more than half the distance of other languages' calibration texts, and by more than `slack`
+length, is above the language's median by more than three quarters of the distance of other languages' calibration texts, and by more than `slack`
 times the most that this is among the language's own. So a text with foreign passages stays, a foreign one goes. The
 score is a softmax of the cross-entropies whose temperature has the least log loss on the calibration documents.
 
@@ -205,7 +205,7 @@ class Model:
                 # beyond what a text's length explains, texts differ from each other
                 own_limit = (e - self.mean[g] - 3 * self.spread[g] / n).max()
                 foreign = np.median(entropy[truth != g, g]) if (truth != g).any() else -self.floor
-                self.limit[g] = max(slack * own_limit, (foreign - self.mean[g]) / 2)
+                self.limit[g] = max(slack * own_limit, 0.75 * (foreign - self.mean[g]))
         if len(truth):
             losses = {}
             for heat in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
