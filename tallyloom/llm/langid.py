@@ -9,7 +9,7 @@ full interpolated log probability by language, and a sorted array of contexts wi
 looks up the longest n-gram; where no language has seen it, it adds the context's back-off weights and looks up the next
 shorter one. A text gets the language of the lowest cross-entropy per character.
 
-It is rejected (column `rejected`) if it has no letters, or if that cross-entropy, less three standard errors for the text's
+It is rejected (column `rejected`) if it has no letters, or if that cross-entropy, less ERRORS standard errors for the text's
 length, is above the language's median by more than three quarters of the distance of other languages' calibration texts, and by more than `slack`
 times the most that this is among the language's own. So a text with foreign passages stays, a foreign one goes. The
 score is a softmax of the cross-entropies whose temperature has the least log loss on the calibration documents.
@@ -35,6 +35,7 @@ from tallyloom.llm.words import text_column
 
 ORDER = 4
 PIECE = 1 << 19
+ERRORS = 6
 SPACE = 32
 UNKNOWN = "und"
 
@@ -201,9 +202,9 @@ class Model:
             if (truth == g).sum() >= 8:
                 e, n = own[truth == g], np.sqrt(chars[truth == g])
                 self.mean[g] = np.median(e)
-                self.spread[g] = np.median(np.abs(e - self.mean[g]) * n) * 1.4826
+                self.spread[g] = max(np.median(np.abs(e - self.mean[g]) * n) * 1.4826, 1.0)
                 # beyond what a text's length explains, texts differ from each other
-                own_limit = (e - self.mean[g] - 3 * self.spread[g] / n).max()
+                own_limit = (e - self.mean[g] - ERRORS * self.spread[g] / n).max()
                 foreign = np.median(entropy[truth != g, g]) if (truth != g).any() else -self.floor
                 self.limit[g] = max(slack * own_limit, 0.75 * (foreign - self.mean[g]))
         if len(truth):
@@ -227,7 +228,7 @@ class Model:
         best = entropy.argmin(axis=1)
         each = np.arange(n)
         own = entropy[each, best]
-        above = own - self.mean[best] - 3 * self.spread[best] / np.sqrt(np.maximum(chars, 1))
+        above = own - self.mean[best] - ERRORS * self.spread[best] / np.sqrt(np.maximum(chars, 1))
         rejected = ~usable | (above > self.limit[best])
         score = np.where(usable, self.weights(entropy, chars)[each, best], 0.0)
         names = np.array([*self.langs, UNKNOWN], object)[np.where(usable, best, len(self.langs))]
