@@ -28,7 +28,7 @@ NULL_ID = (1 << 63) - 1
 
 
 def pack(values: np.ndarray, rising: bool = False) -> bytes:
-    """Unsigned integers by byte planes, compressed; differences where they rise."""
+    """Integers (modulo 2^64) by byte planes, compressed; differences where they rise."""
     v = values.astype(np.uint64)
     if rising and len(v):
         v = np.diff(v, prepend=np.uint64(0))
@@ -106,7 +106,7 @@ def shared_hashes(rows: DataFrame, layout: Layout, hashes: Callable[[pa.RecordBa
                     yield pa.RecordBatch.from_arrays([
                         pa.array(full, pa.int32()), pa.array(np.full(len(full), n), pa.int32()),
                         pa.array([pack(h[c], True) for c in cuts], pa.binary()),
-                        pa.array([ids[s].tobytes() for s in small] if owner else [b""] * len(cuts), pa.binary()),
+                        pa.array([pack(ids[s], True) for s in small] if owner else [b""] * len(cuts), pa.binary()),
                         pa.array([pack(np.searchsorted(s, value[c])) for c, s in zip(cuts, small, strict=True)] if owner else [pack(value[c]) for c in cuts], pa.binary()),
                     ], ["bucket", "batch", "hashes", "ids", "value"])
 
@@ -116,7 +116,7 @@ def shared_hashes(rows: DataFrame, layout: Layout, hashes: Callable[[pa.RecordBa
         found = [unpack(x, True) for x in t["hashes"].to_pylist()]
         sent = [unpack(x).astype(np.int64) for x in t["value"].to_pylist()]
         if owner:
-            sent = [np.frombuffer(i, np.int64)[v] for i, v in zip(t["ids"].to_pylist(), sent, strict=True)]
+            sent = [unpack(i, True).astype(np.int64)[v] for i, v in zip(t["ids"].to_pylist(), sent, strict=True)]
         h, value = np.concatenate(found), np.concatenate(sent)
         whose = np.repeat(batch, [len(x) for x in found])
         order = np.lexsort((value, h)) if owner else np.argsort(h, kind="stable")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import few, fresh_path, remove, table, text_bytes, written
+from tallyloom.llm.common import few, fresh_path, release, remove, table, text_bytes, written
 from tallyloom.llm.decontaminate import SHINGLES_SQL
 from tallyloom.llm.exchange import NULL_ID, Layout, dealt, look_up, received, shared_hashes
 from tallyloom.llm.words import mix, shingle_sets
@@ -233,13 +233,18 @@ def _across(open_lists: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.mapInArrow(search, "u long, v long").distinct()
 
 
+def _written_sets(spark: SparkSession, docs: DataFrame, layout: Layout) -> DataFrame:
+    rows = dealt(docs, layout)
+    shared = shared_hashes(rows, layout, _shingles, owner=False)
+    return written(spark, rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_prefixes(layout), SETS), "sets")
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     layout = Layout(text_bytes(docs), spare_bits=14)
-    rows = dealt(docs, layout)
-    shared = shared_hashes(rows, layout, _shingles, owner=False)
-    sets = written(spark, rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_prefixes(layout), SETS), "sets")
+    sets = _written_sets(spark, docs, layout)
+    release(spark)  # the texts and hashes that were shuffled
     same = ["set_a", "set_b", "n"]
     classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
     members = sets.filter("n > 0").select("doc", *same).join(classes, same).select("doc", "rep")

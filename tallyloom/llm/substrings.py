@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table, text_bytes, written
+from tallyloom.llm.common import release, table, text_bytes, written
 from tallyloom.llm.exchange import NULL_ID, Layout, dealt, look_up, received, shared_hashes
 from tallyloom.llm.words import gram_hashes, text_column, within, word_hashes
 
@@ -241,14 +241,18 @@ def _finish(with_text: bool):
     return finish
 
 
+def _written_runs(spark: SparkSession, docs: DataFrame, layout: Layout) -> DataFrame:
+    rows = dealt(docs, layout)
+    shared = shared_hashes(rows, layout, _windows, owner=True)
+    return written(spark, rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_runs(layout), RUNS), "substrings")
+
+
 def dedup_substrings(spark: SparkSession, docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text, for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     layout = Layout(text_bytes(docs))
-    rows = dealt(docs, layout)
-    shared = shared_hashes(rows, layout, _windows, owner=True)
-    runs = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_runs(layout), RUNS)
-    runs = written(spark, runs, "substrings")
+    runs = _written_runs(spark, docs, layout)
+    release(spark)  # the texts and hashes that were shuffled
     owner = F.pmod(F.xxhash64("claim"), F.lit(layout.n_batches)).cast("int")  # as dealt() deals documents
     moving = runs.filter("kind = 2").select(owner.alias("shard"), "claim", "batch", "words", "docs", "keys", "starts")
     salts = moving.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words") + 20 * F.size("docs")) / SALT_BYTES).cast("int").alias("salts"))
