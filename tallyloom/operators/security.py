@@ -40,10 +40,8 @@ def run_rollup(findings: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame
 
 def population_rollup(profiles: DataFrame, by: list[str]) -> DataFrame:
     """Coverage, and prevalence only where every run was measured; numbers of findings per run over measured ones."""
-    n, measured = F.count("*"), F.count_if("measured")
-    hit = F.count_if(F.col("n_findings") > 0)
-    out = profiles.groupBy(*by).agg(n.alias("runs"), measured.alias("measured_runs"), F.count_if(F.col("measured") & (F.col("n_findings") > 0)).alias("_hit"), *six_numbers("n_findings", "findings_"))
-    del hit
+    hit = F.count_if(F.col("measured") & (F.col("n_findings") > 0))
+    out = profiles.groupBy(*by).agg(F.count("*").alias("runs"), F.count_if("measured").alias("measured_runs"), hit.alias("_hit"), *six_numbers("n_findings", "findings_"))
     return out.withColumns({"coverage": rate("measured_runs", "runs"), "prevalence": F.when(F.col("measured_runs") == F.col("runs"), rate("_hit", "runs"))}).drop("_hit")
 
 

@@ -110,9 +110,6 @@ def dense_failure_counts(spark, sf_dir):
     return L.failure_counts(rows, declared)
 
 
-MONTHS = "SELECT l_returnflag, l_shipdate, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_shipdate"
-
-
 @query("""
 WITH a AS (SELECT l_returnflag || l_linestatus AS k, l_linenumber AS line, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY ALL),
 b AS (SELECT l_returnflag || l_linestatus AS k, l_linenumber AS line, count(*) AS n FROM lineitem WHERE l_quantity <= 25 GROUP BY ALL)

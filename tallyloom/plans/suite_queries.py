@@ -245,3 +245,41 @@ def paper_row(spark, sf_dir):
     rates = R.success_rates(attempts(spark, sf_dir), []).select("n_attempts", "successes", F.col("end_to_end_rate"))
     stats = A.family_stats(table(spark, sf_dir, "documents").select("source"), [], "source").select(F.col("raw_count").alias("families"), F.col("effective_count").alias("effective"))
     return rounded(paper_row(rates, stats))
+
+
+def record_events(spark, sf_dir):
+    """Conversations as lineage records: turns are stages (every fifth runs twice), every third one is finished."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("lineage"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("checkpoint"), (F.length("text") > 60).alias("success"), F.col("role").alias("reason"), (F.col("turn") * 10 + 1).alias("ts"))
+    stages = c.withColumn("kind", F.lit("stage"))
+    again = stages.filter("ts % 50 = 1").withColumns({"success": F.lit(True), "ts": F.col("ts") + 1})
+    ids = c.select("lineage").distinct()
+    none = [F.lit(None).cast("string").alias("checkpoint"), F.lit(None).cast("boolean").alias("success"), F.lit(None).cast("string").alias("reason")]
+    init = ids.select("lineage", *none, F.lit(0).cast("long").alias("ts"), F.lit("init").alias("kind"))
+    done = ids.filter("lineage % 3 = 0").select("lineage", none[0], F.lit(True).alias("success"), none[2], F.lit(1000).cast("long").alias("ts"), F.lit("finish").alias("kind"))
+    return stages.unionByName(again).unionByName(init).unionByName(done)
+
+
+@query("""
+WITH s AS (SELECT conv_id AS lineage, turn, length(text) > 60 AS ok, role FROM conversations),
+e AS (SELECT lineage, turn, ok, role, turn * 10 + 1 AS ts FROM s UNION ALL SELECT lineage, turn, true, role, turn * 10 + 2 FROM s WHERE (turn * 10 + 1) % 50 = 1),
+l AS (SELECT lineage, turn, arg_max(ok, ts) AS ok FROM e GROUP BY lineage, turn),
+p AS (SELECT lineage, count(*) FILTER (WHERE ok) AS passed FROM l GROUP BY lineage),
+f AS (SELECT lineage, arg_max('c' || turn, ts) AS stage, arg_max(role, ts) AS reason FROM e WHERE NOT ok GROUP BY lineage)
+SELECT p.lineage, CASE WHEN p.lineage % 3 = 0 THEN 'completed' WHEN stage IS NOT NULL THEN 'stopped' ELSE 'running' END AS state, passed AS checkpoints_completed,
+  CASE WHEN p.lineage % 3 <> 0 THEN stage END AS failure_stage, CASE WHEN p.lineage % 3 <> 0 THEN reason END AS failure_reason FROM p LEFT JOIN f ON f.lineage = p.lineage""")
+def record_states(spark, sf_dir):
+    from tallyloom.operators.records import record_state
+
+    order = spark.createDataFrame([(f"c{i}", i) for i in range(12)], "checkpoint string, pos int")
+    return record_state(record_events(spark, sf_dir), order).select("lineage", "state", "checkpoints_completed", "failure_stage", "failure_reason")
+
+
+@query("""
+WITH a AS (SELECT r_regionkey, n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_regionkey, 'n' || n_nationkey AS path, CASE WHEN n_nationkey % 5 = 0 THEN 'deleted' WHEN n_nationkey % 5 = 1 THEN 'modified' ELSE 'added' END AS change FROM a WHERE n_nationkey % 5 < 3""")
+def changed_files(spark, sf_dir):
+    from tallyloom.operators.contracts import changed_files
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_nationkey").alias("k"), F.sha2("n_name", 256).alias("sha256"))
+    copies = n.filter("k % 5 <> 0").withColumn("sha256", F.when(F.col("k") % 5 == 1, "x").otherwise(F.col("sha256")))
+    return changed_files(n.filter("k % 5 <> 2").drop("k"), copies.drop("k"), ["r_regionkey"])

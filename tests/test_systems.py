@@ -24,7 +24,7 @@ from tallyloom.sources import files, sqlite
 
 def test_mode_columns_equal_the_fold(spark):
     random.seed(2)
-    changes = ["0750", "7", "u=rwX,go-w", "a+X", "o=", "+x", "u-x,a+X", "g=u" if False else "g=rX", "ug+rw,o-rwx"]
+    changes = ["0750", "7", "u=rwX,go-w", "a+X", "o=", "+x", "u-x,a+X", "g=rX", "ug+rw,o-rwx"]
     rows = [(random.randrange(4096), bool(random.randrange(2))) for _ in range(60)]
     df = spark.createDataFrame(rows, "m int, d boolean")
     for change in changes:
