@@ -246,10 +246,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = _written_sets(spark, docs, layout)
     release(spark)  # the texts and hashes that were shuffled
     same = ["set_a", "set_b", "n"]
-    classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
+    classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep")).withColumn("class", F.xxhash64(*same))
     members = sets.filter("n > 0").select("doc", *same).join(classes, same).select("doc", "rep")
     alone = sets.filter("size(tokens) > 0").select("doc", "common", *same, "need", "short", "tokens", "shingles")
-    reps = alone.join(classes.withColumnRenamed("rep", "doc"), [*same, "doc"]).select("doc", "n", "common", "need", "short", "tokens", "shingles").dropDuplicates(["doc"])
+    reps = alone.join(classes.withColumnRenamed("rep", "doc"), [*same, "doc"]).dropDuplicates(["class"]).select(F.col("class").alias("doc"), "n", "common", "need", "short", "tokens", "shingles")
     reps = written(spark, few(reps), "representatives")
     lists = written(spark, few(reps.select("doc", "n", "common", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))), "lists")
 
@@ -264,7 +264,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     more = written(spark, few(_verified(_across(open_lists, reps), reps)), "links")
 
-    edges = links.union(more).union(members.filter("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v")))
+    # from classes back to documents: one document may stand for several classes
+    linked = links.union(more)
+    for side in ("u", "v"):
+        linked = linked.join(classes.select(F.col("class").alias(side), F.col("rep").alias(f"rep_{side}")), side)
+    edges = linked.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).union(members.filter("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v")))
     final = components(spark, edges)
     out = sets.select("doc", "n").join(final.withColumnRenamed("node", "doc"), "doc", "left")
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -138,6 +138,18 @@ def test_jaccard_random_near_copies(spark):
     assert kept == {c for _, _, c in brute_components(rows)}
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    bases = [[str(rng.randrange(50)) for _ in range(30)] for _ in range(6)]
+    rows = []
+    for _ in range(40):
+        w = list(rng.choice(bases))
+        w[rng.randrange(30)] = str(rng.randrange(50))
+        rows.append((rng.randrange(15), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.jaccard_components(spark, docs).collect()), key=str) == brute_components(rows)
+
+
 def test_jaccard_empty(spark, no_documents):
     assert jaccard.jaccard_components(spark, no_documents).count() == 0
     assert jaccard.one_of_each(spark, no_documents).columns == no_documents.columns
