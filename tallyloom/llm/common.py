@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Have the shuffle files of plans that nothing refers to any more deleted now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees in Python, the second one frees in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
