@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import few, fresh_path, release, remove, table, text_bytes, written
@@ -170,7 +170,7 @@ def _best_pivots(rows: DataFrame, fits: Column, last: bool) -> DataFrame:
 
 
 def _blocks(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
-    """For each row its members' fields as arrays; `tokens` of all members in one, with the member of each in `row`."""
+    """For each row its members' fields as arrays; `tokens` of all members in one, with the member of each in `row`, and where each member's end."""
     ends, members = column.offsets.to_numpy(), column.values
     fields = {f.name: members.field(f.name) for f in members.type}
     tokens = fields.pop("tokens")
@@ -178,7 +178,7 @@ def _blocks(column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
     token_ends, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         own = token_ends[a : b + 1]
-        yield {name: x[a:b] for name, x in plain.items()} | {"tokens": flat[own[0] : own[-1]], "row": np.repeat(np.arange(b - a), np.diff(own))}
+        yield {name: x[a:b] for name, x in plain.items()} | {"tokens": flat[own[0] : own[-1]], "row": np.repeat(np.arange(b - a), np.diff(own)), "ends": own - own[0]}
 
 
 def _candidates(u: dict, v: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +210,13 @@ def _candidates(u: dict, v: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(fits & (shared >= needed))
 
 
+def _first_met(u: dict, v: dict, i: np.ndarray, j: np.ndarray, token: int) -> np.ndarray:
+    """Of the pairs, those whose first common shingle is this list's, so that each pair is found in one list only."""
+    own = lambda x, k: x["tokens"][x["ends"][k] : x["ends"][k + 1]].tolist()
+    left, right = {k: own(u, k) for k in np.unique(i)}, {k: set(own(v, k)) for k in np.unique(j)}
+    return np.array([next(t for t in left[a] if t in right[b]) == token for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+
+
 def _across(open_lists: DataFrame, reps: DataFrame) -> DataFrame:
     """u, v: candidate pairs across components. A list is cut into blocks, and each pair of blocks is one row's work."""
     counts = open_lists.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -218,14 +225,16 @@ def _across(open_lists: DataFrame, reps: DataFrame) -> DataFrame:
     members = F.array_sort(F.collect_list(F.struct("doc", "component", "n", "common", "need", "tokens")))
     packed = rows.groupBy("token", "block").agg(members.alias("m"))
     left, right = (packed.select("token", F.col("block").alias(f"block_{s}"), F.col("m").alias(f"m_{s}")) for s in "uv")
-    pairs = left.join(right, "token").filter("block_u <= block_v").select((F.col("block_u") == F.col("block_v")).alias("same"), "m_u", "m_v")
+    pairs = left.join(right, "token").filter("block_u <= block_v").select("token", (F.col("block_u") == F.col("block_v")).alias("same"), "m_u", "m_v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for u, v, same in zip(_blocks(b.column("m_u")), _blocks(b.column("m_v")), b.column("same").to_pylist(), strict=True):
+            for u, v, same, token in zip(_blocks(b.column("m_u")), _blocks(b.column("m_v")), b.column("same").to_pylist(), b.column("token").to_pylist(), strict=True):
                 i, j = _candidates(u, v, same)
                 if len(i):
+                    met = _first_met(u, v, i, j, token)
+                    i, j = i[met], j[met]
                     found.append(np.stack([np.minimum(u["doc"][i], v["doc"][j]), np.maximum(u["doc"][i], v["doc"][j])]))
             all_found = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(all_found[0]), pa.array(all_found[1])], ["u", "v"])
@@ -246,7 +255,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = _written_sets(spark, docs, layout)
     release(spark)  # the texts and hashes that were shuffled
     same = ["set_a", "set_b", "n"]
-    classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep")).withColumn("class", F.xxhash64(*same))
+    classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
+    # a class goes by the document that stands for it, so early documents are pivots; further classes of one document by a number below 0
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy(*same))
+    classes = classes.withColumn("class", F.when(nth == 1, F.col("rep")).otherwise(-F.xxhash64(*same).bitwiseAND((1 << 62) - 1) - 2))
     members = sets.filter("n > 0").select("doc", *same).join(classes, same).select("doc", "rep")
     alone = sets.filter("size(tokens) > 0").select("doc", "common", *same, "need", "short", "tokens", "shingles")
     reps = alone.join(classes.withColumnRenamed("rep", "doc"), [*same, "doc"]).dropDuplicates(["class"]).select(F.col("class").alias("doc"), "n", "common", "need", "short", "tokens", "shingles")
