@@ -52,6 +52,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows with whole texts go to Python so many at a time at most: batches are held several times, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import parts, text_bytes
+from tallyloom.llm.common import parts, small_batches, text_bytes
 from tallyloom.llm.words import shingle_sets, text_column
 
 SCHEMA = "doc_id long, item_id long, n_shared int, n_item int"
@@ -81,6 +81,7 @@ class ItemBlock:
 
 def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, item_id, n_shared, n_item for every document (doc_id, text) that holds an item (item_id, text)."""
+    small_batches(spark)
     items = items.select("item_id", "text").filter("text is not null")
     n_blocks = parts(text_bytes(items), ITEM_BLOCK_BYTES)
     found = None

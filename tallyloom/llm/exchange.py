@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import parts
+from tallyloom.llm.common import parts, small_batches
 from tallyloom.llm.decontaminate import sliced
 
 BATCH_BYTES = 4 << 20
@@ -66,6 +66,7 @@ class Layout:
 
 def dealt(docs: DataFrame, layout: Layout) -> DataFrame:
     """doc (null: NULL_ID), key of the row's doc_id and text, text, batch; hash-partitioned by batch."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
     return rows.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(layout.n_batches)).cast("int")).repartition(layout.n_parts, "batch")
 

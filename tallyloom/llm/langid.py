@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyloom.llm.common import small_batches
 from tallyloom.llm.words import text_column
 
 ORDER = 4
@@ -257,6 +258,7 @@ PREDICTION = "lang_pred string, score double, rejected boolean, cross_entropy do
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with _lang_pred, _score, _rejected and _cross_entropy behind its columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = StructType(list(docs.schema.fields))
     for field in PREDICTION.split(", "):

@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import small_batches
 from tallyloom.llm.decontaminate import sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 100_000, 64
 MODEL_BYTES = 64 << 20
 
 
@@ -239,6 +240,7 @@ class Codec:
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = True, digests: bool = False) -> DataFrame:
     """doc_id, n_ids and, as asked for, ids and the digests of the ids (32 bits each, little-endian) and of the decoded text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "doc_id long, n_ids int" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string, same boolean" * digests
 

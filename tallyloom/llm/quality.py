@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import small_batches
 from tallyloom.llm.decontaminate import sliced
 from tallyloom.llm.words import text_column, word_hashes
 
@@ -168,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Discrimin
 
 def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
     """doc_id and score for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
