@@ -77,3 +77,11 @@ def line_churn(spark, sf_dir):
     pairs = table(spark, sf_dir, "conversations").withColumn("before", before).filter("before is not null and text <> '' and before <> ''")
     one_line = ~F.col("text").rlike("[\r\n\x0b\x0c]") & ~F.col("before").rlike("[\r\n\x0b\x0c]")
     return T.line_churn(pairs.filter(one_line), ["conv_id", "turn"], "before", "text")
+
+
+@query()
+def line_churn_whole(spark, sf_dir):
+    """All turns but the first, texts of several lines and empty ones too."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = table(spark, sf_dir, "conversations").withColumn("before", before).filter("before is not null and text is not null")
+    return T.line_churn(pairs, ["conv_id", "turn"], "before", "text")

@@ -5,11 +5,13 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.conftest import DATA
 
 from tallyloom.functions.stats import pass_at_k, register, wilson
 from tallyloom.operators import cluster as C
 from tallyloom.operators import families as A
 from tallyloom.operators import reliability as R
+from tallyloom.plans import catalog
 
 
 def one(spark, *columns):
@@ -133,3 +135,34 @@ def test_success_rates_without_valid_attempts(spark):
     rows = spark.createDataFrame([("a", True, True), ("b", False, None)], "g string, infrastructure_failure boolean, success boolean")
     got = {r.g: r for r in R.success_rates(rows, ["g"]).collect()}
     assert got["a"]["conditional_rate"] is None and got["a"]["end_to_end_rate"] == 1.0 and got["b"]["conditional_rate"] == 0.0
+
+
+def test_whole_tables(spark):
+    """Queries that were bound to the first ids take every row."""
+    n = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("embeddings", "events", "benchmark", "conversations")}
+    vectors, items = n["embeddings"].count(), n["benchmark"].count()
+    users = n["events"].filter("user_id is not null").select("user_id").distinct().count()
+    run = lambda q: catalog.queries()[q](spark, DATA)
+    assert run("clusters").count() == vectors and run("vendi").first()["n"] == vectors
+    assert run("winnow_pairs").count() == run("levenshtein_pairs_whole").count() == items * (items - 1) // 2
+    assert run("cosine_pairs_whole").count() == vectors * (vectors - 1) // 2
+    assert run("behavior_fingerprint_whole").count() == users
+    turns = n["conversations"].filter("text is not null").count()
+    assert run("line_churn_whole").count() > run("line_churn").count() or turns == 0
+
+
+def test_levenshtein_of_all_letters(spark, tmp_path):
+    texts = ["kitten", "sitting", "é", "ée", "日本語", "日本", ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    got = {(r["left"], r["right"]): r["distance"] for r in catalog.queries()["levenshtein_pairs_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): round(edits(a, b) / max(len(a), len(b)), 6) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j}
