@@ -15,7 +15,7 @@ from tallyloom.llm.common import table, written
 from tallyloom.llm.decontaminate import decontaminated
 from tallyloom.llm.jaccard import one_of_each
 from tallyloom.llm.langid import keep_identified
-from tallyloom.llm.lines import dedup_lines
+from tallyloom.llm.lines import WORDS, dedup_lines
 from tallyloom.llm.pieces import Vocabulary, encoded
 
 
@@ -26,7 +26,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of later repeated runs."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, WORDS)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

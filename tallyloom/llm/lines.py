@@ -7,8 +7,11 @@ with the earliest occurrence of the same lines, and matches are extended both wa
 sources lie equally far away form one run. Every line of a run that is later than its source is deleted. What is
 earlier goes by (doc_id, line number), and runs are judged on the input, not on what is left of it.
 
-Defined cases: a null text has no lines and stays null; an empty text is one empty line. Documents of fewer than LINES lines
-keep all. A null doc_id sorts after all others. A run may overlap its source in one document (a line repeated many times
+With `words`, runs of fewer than LINES lines count too if they hold so many words (split at x20 and x09-x0D): each such run is
+one occurrence with a hash of its own. So the guarantee goes by content, and a long passage on a single line is found.
+
+Defined cases: a null text has no lines and stays null; an empty text is one empty line. Without `words`, documents of fewer than LINES
+lines keep all. A null doc_id sorts after all others. A run may overlap its source in one document (a line repeated many times
 shrinks to one). Rows that repeat doc_id and text count as one document and get the same result each. The columns of the
 input stay, whatever their names. An empty table gives an empty result.
 """
@@ -20,47 +23,60 @@ from pyspark.sql import functions as F
 
 GRAM, WINDOW = 2, 2
 LINES = GRAM + WINDOW - 1
+WORDS = 50  # of a run of fewer lines that is long enough to count
+
 
+def line_positions(docs: DataFrame, words: int | None = None) -> DataFrame:
+    """_doc, _text, _i, _span, _print, _lines for each run of LINES lines: first line, number of lines, fingerprint, hash of the lines.
 
-def line_positions(docs: DataFrame) -> DataFrame:
-    """_doc, _text, _i, _print, _lines for each run of LINES lines: first line, fingerprint, hash of the lines."""
+    With words, also for each run of fewer lines that holds so many words.
+    """
+    n_words = F.transform(F.split("text", "\n"), lambda x: F.size(F.filter(F.split(x, "[ \t-\r]+"), lambda w: w != "")))
     hashed = docs.select(
         F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"),
         F.xxhash64("text").alias("_text"),
         F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("_h"),
-    ).filter(F.size("_h") >= LINES)
+        *([] if words is None else [n_words.alias("_w")]),
+    ).filter(F.size("_h") >= (LINES if words is None else 1))
 
     def at(i, n):
         return F.xxhash64(*[F.get(F.col("_h"), i + j) for j in range(n)])
 
-    run = F.transform(
-        F.sequence(F.lit(0), F.size("_h") - LINES),
-        lambda i: F.struct(i.alias("i"), F.least(*[at(i + j, GRAM) for j in range(WINDOW)]).alias("p"), at(i, LINES).alias("l")),
-    )
-    return hashed.select("_doc", "_text", F.inline(run).alias("_i", "_print", "_lines"))
+    def starts(n):
+        return F.when(F.size("_h") >= n, F.sequence(F.lit(0), F.size("_h") - n)).otherwise(F.array().cast("array<int>"))
+
+    runs = [F.transform(starts(LINES), lambda i: F.struct(i.alias("i"), F.lit(LINES).alias("n"), F.least(*[at(i + j, GRAM) for j in range(WINDOW)]).alias("p"), at(i, LINES).alias("l")))]
 
+    def short(n):
+        enough = F.filter(starts(n), lambda i: sum((F.get(F.col("_w"), i + j) for j in range(1, n)), F.get(F.col("_w"), i)) >= words)
+        return F.transform(enough, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), at(i, n)).alias("p"), at(i, n).alias("l")))
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+    if words is not None:
+        runs += map(short, range(1, LINES))
+    return hashed.select("_doc", "_text", F.inline(F.concat(*runs)).alias("_i", "_span", "_print", "_lines"))
+
+
+def repeated_runs(docs: DataFrame, words: int | None = None) -> DataFrame:
     """_doc, _text, start, length, source_doc, source_start: maximal runs of lines that occur earlier."""
-    rows = line_positions(docs)
+    rows = line_positions(docs, words)
     prints = rows.groupBy("_print").agg(F.count("*").alias("_n")).filter("_n > 1").select("_print")
     shared = rows.join(prints, "_print", "left_semi")
     first = shared.groupBy("_print", "_lines").agg(F.min(F.struct("_doc", "_i")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     here = F.struct("_doc", "_i")
     later = shared.join(first, ["_print", "_lines"]).filter(here > F.col("_first"))
-    order = Window.partitionBy("_doc", "_text").orderBy("_i")
+    order = Window.partitionBy("_doc", "_text", "_span").orderBy("_i")
     follows = (F.lag("_i").over(order) == F.col("_i") - 1) & (F.lag("_first._doc").over(order) == F.col("_first._doc")) & (F.lag("_first._i").over(order) == F.col("_first._i") - 1)
     begun = F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order)
-    later = later.dropDuplicates(["_doc", "_text", "_i"]).withColumn("_run", begun)
-    return later.groupBy("_doc", "_text", "_run").agg(
-        F.min("_i").alias("start"), (F.max("_i") - F.min("_i") + LINES).alias("length"),
+    later = later.dropDuplicates(["_doc", "_text", "_span", "_i"]).withColumn("_run", begun)
+    return later.groupBy("_doc", "_text", "_span", "_run").agg(
+        F.min("_i").alias("start"), (F.max("_i") - F.min("_i") + F.col("_span")).alias("length"),
         F.min("_first._doc").alias("source_doc"), F.min("_first._i").alias("source_start"),
-    ).drop("_run")
+    ).drop("_run", "_span")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int | None = None) -> DataFrame:
     """docs with text without the lines of later runs, and n_lines, n_removed as _n_lines, _n_removed."""
-    gone = repeated_runs(docs).groupBy("_doc", "_text").agg(F.flatten(F.collect_list(F.sequence("start", F.expr("start + length - 1")))).alias("_gone"))
+    gone = repeated_runs(docs, words).groupBy("_doc", "_text").agg(F.flatten(F.collect_list(F.sequence("start", F.expr("start + length - 1")))).alias("_gone"))
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("_text", F.xxhash64("text"))
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
@@ -78,6 +94,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_line_dedup with the runs of fewer lines that hold WORDS words, as the pipeline has it."""
+    from tallyloom.llm.common import table
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS)
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 LINES_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -100,3 +124,29 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+PASSAGE_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(0, len(string_split(text, chr(10))))) AS i
+  FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n_words FROM l),
+w AS (
+  SELECT doc_id, i, n_words, line, lead(line, 1) OVER p AS line_1, lead(line, 2) OVER p AS line_2, lead(n_words) OVER p AS n_words_1
+  FROM m WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (
+  SELECT doc_id, i, 3 AS span, row_number() OVER (PARTITION BY line, line_1, line_2 ORDER BY doc_id, i) AS nth
+  FROM w WHERE line_2 IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, 2, row_number() OVER (PARTITION BY line, line_1 ORDER BY doc_id, i) FROM w WHERE line_1 IS NOT NULL AND n_words + n_words_1 >= 50
+  UNION ALL
+  SELECT doc_id, i, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) FROM w WHERE n_words >= 50),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM r, range(0, 3) t(o) WHERE nth > 1 AND o < span),
+k AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+         string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS kept
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

@@ -6,7 +6,7 @@ from tallyloom.llm.decontaminate import OP9_SQL, op9_decontaminate
 from tallyloom.llm.hamming import OP8_SQL, op8_exact_top_k
 from tallyloom.llm.jaccard import OP4_SQL, op4_ngram_jaccard
 from tallyloom.llm.langid import op2_language_id
-from tallyloom.llm.lines import OP10_SQL, op10_line_dedup
+from tallyloom.llm.lines import OP10_SQL, PASSAGE_SQL, op10_line_dedup, op10_passage_dedup
 from tallyloom.llm.pieces import op5_sentencepiece
 from tallyloom.llm.quality import op3_quality
 from tallyloom.llm.sharding import op6_sharding
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 SQL = {
@@ -33,4 +34,5 @@ SQL = {
     "op8_exact_top_k": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op10_passage_dedup": PASSAGE_SQL,
 }

@@ -211,6 +211,28 @@ def test_lines(spark):
     assert {(r._doc, r.start, r.length, r.source_doc, r.source_start) for r in run} == {(3, 1, 4, 2, 0)}
 
 
+def test_long_passages_on_few_lines(spark):
+    rng = random.Random(21)
+    line = lambda n: " ".join(str(rng.randrange(1000)) for _ in range(n))
+    pool = [line(n) for n in (49, 50, 51, 30, 20, 24, 3, 1)] + ["\t ".join("q" * 50), ""]
+    rows = [(0, pool[1]), (1, pool[1]), (2, pool[0]), (3, pool[0]), (4, f"{pool[3]}\n{pool[4]}"), (5, f"x\n{pool[3]}\n{pool[4]}\ny"), (None, pool[2]), (6, pool[2])]
+    rows += [(20 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, gone = {}, {}
+    for d, x in sorted(rows, key=lambda r: BIG if r[0] is None else r[0]):
+        parts = x.split("\n")
+        for i in range(len(parts)):
+            for n in (1, 2, 3):
+                run = tuple(parts[i : i + n])
+                if len(run) == n and (n == 3 or sum(len(split(p)) for p in run) >= lines.WORDS):
+                    if seen.setdefault(run, (d, i)) != (d, i):
+                        gone.setdefault(d, set()).update(range(i, i + n))
+    expected = {d: (len(gone.get(d, ())), "\n".join(p for i, p in enumerate(x.split("\n")) if i not in gone.get(d, ()))) for d, x in rows}
+    out = lines.dedup_lines(docs, lines.WORDS).collect()
+    assert {r.doc_id: (r._n_removed, r.text) for r in out} == expected
+    assert expected[1] == (1, "") and expected[3] == (0, pool[0]) and expected[5] == (2, "x\ny") and expected[None] == (1, "")
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = [rng.normal(size=40).tolist() for _ in range(150)]
