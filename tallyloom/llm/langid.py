@@ -11,7 +11,9 @@ shorter one. A text gets the language of the lowest cross-entropy per character.
 
 It is rejected (column `rejected`) if it has no letters, or if that cross-entropy, less ERRORS standard errors for the text's
 length, is above the language's median by more than three quarters of the distance of other languages' calibration texts, and by more than `slack`
-times the most that this is among the language's own. So a text with foreign passages stays, a foreign one goes. The
+times the most that this is among the language's own. A language of fewer than FEW usable calibration texts has its own
+cross-entropies by cross-validation, over all its texts or, if these are fewer, over FEW parts of them. So every
+language has a limit (where even that is impossible, the median of the others'), and a text with foreign passages stays, a foreign one goes. The
 score is a softmax of the cross-entropies whose temperature has the least log loss on the calibration documents.
 
 Training takes the `max_languages` most frequent labels, at most `docs_per_language` documents of each (those of the smallest
@@ -37,6 +39,7 @@ from tallyloom.llm.words import text_column
 ORDER = 4
 PIECE = 1 << 19
 ERRORS = 6
+FEW = 8  # calibration texts
 SPACE = 32
 UNKNOWN = "und"
 
@@ -146,7 +149,7 @@ class Model:
         self.langs = [g for g in self.langs if g in keys]
         symbols = len(np.unique(np.concatenate([_low(k, 1) for k in keys.values()]))) + 1 if keys else 1
         models = [KneserNey(keys[g], symbols) for g in self.langs]
-        self.floor = -np.log(symbols)
+        self.symbols, self.floor = symbols, -np.log(symbols)
         self.grams, self.contexts = [None], [None]
         for k in range(1, ORDER + 1):
             union = np.unique(np.concatenate([m.grams[k][0] for m in models])) if models else np.zeros(0, np.uint64)
@@ -194,20 +197,41 @@ class Model:
             i = j
         return -total / np.maximum(chars, 1)[:, None], chars, any_letter
 
-    def calibrate(self, texts: dict[str, list[str]], slack: float) -> None:
+    def crossed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropies of one language's texts by models of its other texts, and the roots of their lengths."""
+        chars, at = letters(*text_column(pa.array(texts, pa.string())))
+        keys, used = gram_keys(chars, at), np.unique(at)
+        if len(used) - 1 < FEW:
+            used = np.unique(np.linspace(0, len(keys), FEW + 1).astype(int))
+        size = np.diff(used)
+        if len(size) < 2:  # too short for two parts
+            return np.zeros(0), np.zeros(0)
+        fold = np.repeat(np.arange(len(size)) % FEW, size)
+        loss = np.zeros(len(keys))
+        for f in np.unique(fold):
+            loss[fold == f] = -np.log(KneserNey(keys[fold != f], self.symbols).probability(keys[fold == f], ORDER))
+        return np.add.reduceat(loss, used[:-1]) / size, np.sqrt(size)
+
+    def calibrate(self, texts: dict[str, list[str]], slack: float, taught: dict[str, list[str]] | None = None) -> None:
         rows, truth = [t for g in self.langs for t in texts.get(g, ())], [i for i, g in enumerate(self.langs) for _ in texts.get(g, ())]
         entropy, chars, usable = self.entropies(pa.array(rows, pa.string()))
         entropy, chars, truth = entropy[usable], chars[usable], np.array(truth, int)[usable]
         own = entropy[np.arange(len(truth)), truth]
-        for g in range(len(self.langs)):
-            if (truth == g).sum() >= 8:
-                e, n = own[truth == g], np.sqrt(chars[truth == g])
+        for g, lang in enumerate(self.langs):
+            e, n = own[truth == g], np.sqrt(chars[truth == g])
+            if len(e) < FEW:
+                e, n = self.crossed([*(taught or {}).get(lang, ()), *texts.get(lang, ())])
+            if len(e):
                 self.mean[g] = np.median(e)
                 self.spread[g] = max(np.median(np.abs(e - self.mean[g]) * n) * 1.4826, 1.0)
                 # beyond what a text's length explains, texts differ from each other
                 own_limit = (e - self.mean[g] - ERRORS * self.spread[g] / n).max()
                 foreign = np.median(entropy[truth != g, g]) if (truth != g).any() else -self.floor
                 self.limit[g] = max(slack * own_limit, 0.75 * (foreign - self.mean[g]))
+        open_ = np.isinf(self.limit)  # a text or two of a letter; they go by the others, or by the uniform distribution
+        self.mean[open_], self.spread[open_], self.limit[open_] = (
+            [np.median(x[~open_]) for x in (self.mean, self.spread, self.limit)] if not open_.all() else (0.0, 1.0, -0.75 * self.floor)
+        )
         if len(truth):
             losses = {}
             for heat in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
@@ -249,7 +273,7 @@ def train(docs: DataFrame, docs_per_language: int = 400, chars_per_document: int
     for r in sorted(rows, key=lambda r: (r["lang"], r["nth"], r["doc_id"], r["text"])):
         (check if r["nth"] % 5 == 0 else teach).setdefault(r["lang"], []).append(r["text"])
     model = Model(teach)
-    model.calibrate(check, slack)
+    model.calibrate(check, slack, teach)
     return model
 
 

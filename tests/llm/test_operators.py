@@ -365,6 +365,20 @@ def test_quality(spark, documents, no_documents):
 def test_quality_statistics_do_not_depend_on_neighbours(hard_texts):
     together = quality.statistics(pa.array(hard_texts))
     for i, t in enumerate(hard_texts[:40]):
+@pytest.mark.parametrize("n", [1, 3, 9])
+def test_rare_languages_reject_too(spark, n):
+    rng = random.Random(11)
+    common, rare = (["".join(rng.choice(a) for _ in range(rng.randint(2, 4))) for _ in range(40)] for a in ("abcdeilmnorst", "αβγδεικλμνορστ"))
+    text = lambda v: " ".join(rng.choice(v) for _ in range(120))
+    rows = [(i, text(common), "c") for i in range(60)] + [(100 + i, text(rare), "r") for i in range(n)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["c", "r"] and np.isfinite(model.limit).all()
+    found = model.predict(pa.array([text(rare), text(common), "".join(rng.choice("αβγ яжщюбдфц") for _ in range(500))])).to_pylist()
+    assert [r["rejected"] for r in found] == [False, False, True]
+    short = langid.train(spark.createDataFrame([*rows, (900, "x", "s")], "doc_id long, text string, lang string"))
+    assert short.langs == ["c", "r", "s"] and np.isfinite(short.limit).all()
+
+
         assert quality.statistics(pa.array([t], pa.string())) == pytest.approx(together[i : i + 1])
     assert np.isfinite(together).all()
 
