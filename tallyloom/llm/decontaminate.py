@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,16 +80,20 @@ class ItemBlock:
         return tuple(np.array([x[i] for x in found], np.int64) for i in range(3))
 
 
-def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item for every document (doc_id, text) that holds an item (item_id, text)."""
-    small_batches(spark)
+def item_blocks(spark: SparkSession, items: DataFrame, k: int = 5, percent: int = 80) -> Iterator[Broadcast]:
+    """The items in broadcast blocks of about ITEM_BLOCK_BYTES of text."""
     items = items.select("item_id", "text").filter("text is not null")
     n_blocks = parts(text_bytes(items), ITEM_BLOCK_BYTES)
-    found = None
     for i in range(n_blocks):
-        # about ITEM_BLOCK_BYTES of text
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).toArrow()
-        block = spark.sparkContext.broadcast(ItemBlock(own["item_id"].to_pylist(), own["text"], k, percent))
+        yield spark.sparkContext.broadcast(ItemBlock(own["item_id"].to_pylist(), own["text"], k, percent))
+
+
+def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item for every document (doc_id, text) that holds an item (item_id, text)."""
+    small_batches(spark)
+    found = None
+    for block in item_blocks(spark, items, k, percent):
 
         def look(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             held = block.value
@@ -114,9 +119,21 @@ def sliced(batch: pa.RecordBatch, column: str, n_bytes: int = 1 << 22) -> Iterat
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with their columns."""
-    held = contained_items(spark, docs, items).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].cast("long").eqNullSafe(F.col("_held")), "left_anti")
+    """The rows of docs that hold no item, with their columns. Each row goes by its own text, whatever its doc_id."""
+    small_batches(spark)
+    schema, at = docs.schema, docs.columns.index("text")
+    for block in item_blocks(spark, items):
+
+        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            held = block.value
+            for b in batches:
+                for part in sliced(b, b.schema.names[at]):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[held.matches(*shingle_sets(part.column(at), held.k))[0]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, schema)
+    return docs
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

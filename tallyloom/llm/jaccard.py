@@ -292,10 +292,19 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component, with their columns. Rows of the same doc_id and text are one."""
-    kept = jaccard_components(spark, docs).filter("component_id is not null and doc_id = component_id or doc_id is null and component_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"])
+    """The rows of docs that stand for their component, with their columns: those of the smallest doc_id, nulls last.
+
+    Rows of the same doc_id and text are one. Texts without a doc_id are nodes of their own, and so are all texts if a doc_id has several.
+    """
+    known, own = F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1) + (1 << 62)
+    text = F.xxhash64("text")
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_a"), F.max(text).alias("_b")).filter("_a <> _b")
+    node = own if several.take(1) else F.coalesce(known, own)
+    found = jaccard_components(spark, docs.select(node.alias("doc_id"), "text")).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_component"))
+    ids = docs.select(node.alias("_node"), known.alias("_id"))
+    first = F.min_by("_node", F.struct(F.col("_id").isNull(), "_id", "_node"))
+    kept = found.distinct().join(ids, "_node").groupBy("_component").agg(first.alias("_kept")).select("_kept")
+    return docs.join(kept, node == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 OP4_SQL = f"""

@@ -184,6 +184,25 @@ def test_decontamination(spark, documents, no_documents, hard_texts, monkeypatch
 
 
 def brute_lines(rows, t=lines.LINES):
+def test_decontamination_by_row(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, item), (None, "clean text of its own"), (None, None), (7, "before " + item), (7, "another clean text"), (8, "third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = decontaminate.decontaminated(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_one_of_each_by_row(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " end"), (1, text("a")), (2, text("c")), (None, None), (None, "")]
+    for more in ([], [(2, text("d")), (3, text("c") + " end"), (1, text("a"))]):
+        out = jaccard.one_of_each(spark, spark.createDataFrame(rows + more, "doc_id long, text string")).collect()
+        b = [r.text for r in out if r.text and r.text.startswith("b0")]
+        assert len(b) == 1 and [r.doc_id for r in out if r.text and r.text.startswith("a0")] == [1]
+        left = {tuple(r) for r in out if r.text not in b and r.doc_id != 1}
+        assert left == {(2, text("c")), (None, None), (None, "")} | ({(2, text("d"))} if more else set())
+
+
     seen, gone = {}, {}
     positions = sorted(((BIG if d is None else d, i, tuple(x.split("\n")[i : i + t]), x) for d, x in rows if x is not None for i in range(x.count("\n") + 2 - t)), key=lambda p: p[:2])
     for d, i, run, x in positions:
