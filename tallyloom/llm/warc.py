@@ -11,7 +11,8 @@ largest page_id. Null page_ids count as smaller than all; where a payload has nu
 responses. A null payload is an empty one. Null urls give records without a target. An empty table gives no bundle.
 
 Bundles go to a folder given as a URI that all executors share. A task names its files by stage attempt, and
-only the index rows of tasks that succeeded are kept, so retried and speculative tasks do no harm.
+only the index rows of tasks that succeeded are kept. Index rows are shuffled by record, not in turn, so a map task that
+runs again after its output is lost sends each record to where it was before. So retried and speculative tasks do no harm.
 """
 
 from __future__ import annotations
@@ -163,6 +164,12 @@ def write_bundles(pages: DataFrame, uri: str, min_bytes: int = 0, frame_bytes: i
     return rows.mapInArrow(write, INDEX)
 
 
+def dealt(index: DataFrame) -> DataFrame:
+    """Index rows in few partitions by record: where a row goes doesn't change with the attempt that wrote its bundle."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
+    return index.repartition(max(4, n), "record_id")
+
+
 def read_bundles(index: DataFrame, uri: str, with_payload: bool = True) -> DataFrame:
     """The records that the index rows name, frame by frame."""
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("records"))
@@ -190,7 +197,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.common import few, fresh_path, table, written
 
     uri = fresh_path(spark, "warc")
-    index = written(spark, few(write_bundles(table(spark, sf_dir, "pages"), uri)), "warc-index")
+    index = written(spark, dealt(write_bundles(table(spark, sf_dir, "pages"), uri)), "warc-index")
     return few(read_bundles(index, uri, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 

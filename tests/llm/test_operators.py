@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import DATA, same_rows
 
 from tallyloom.llm import decontaminate, exchange, hamming, jaccard, langid, lines, pieces, quality, queries, sharding, substrings, warc, words
@@ -183,7 +184,6 @@ def test_decontamination(spark, documents, no_documents, hard_texts, monkeypatch
     assert decontaminate.contained_items(spark, documents, table.limit(0)).count() == 0
 
 
-def brute_lines(rows, t=lines.LINES):
 def test_decontamination_by_row(spark):
     item = " ".join(f"w{i}" for i in range(20))
     rows = [(None, item), (None, "clean text of its own"), (None, None), (7, "before " + item), (7, "another clean text"), (8, "third")]
@@ -203,6 +203,7 @@ def test_one_of_each_by_row(spark):
         assert left == {(2, text("c")), (None, None), (None, "")} | ({(2, text("d"))} if more else set())
 
 
+def brute_lines(rows, t=lines.LINES):
     seen, gone = {}, {}
     positions = sorted(((BIG if d is None else d, i, tuple(x.split("\n")[i : i + t]), x) for d, x in rows if x is not None for i in range(x.count("\n") + 2 - t)), key=lambda p: p[:2])
     for d, i, run, x in positions:
@@ -292,6 +293,14 @@ def test_warc(spark, tmp_path):
     assert warc.write_bundles(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_index_rows_of_another_attempt_go_to_the_same_partition(spark):
+    where = []
+    for attempt in (3, 90):
+        index = spark.createDataFrame([(i, warc.record_id(i, "x"), f"bundle-000000-{attempt}-{(i * attempt) % 7}", i % attempt, 0, 9) for i in range(200)], warc.INDEX)
+        where.append({r.record_id: r.p for r in warc.dealt(index.coalesce(1)).select("record_id", F.spark_partition_id().alias("p")).collect()})
+    assert where[0] == where[1] and len(set(where[0].values())) > 1
+
+
 def test_sharding(spark, documents, no_documents, hard_texts):
     for n in (2, 5):
         rows = sharding.shard_documents(spark, documents, n).collect()
@@ -356,6 +365,20 @@ def test_language_id(spark, documents, no_documents):
     assert langid.keep_identified(spark, docs).count() >= 0.99 * docs.count()
 
 
+@pytest.mark.parametrize("n", [1, 3, 9])
+def test_rare_languages_reject_too(spark, n):
+    rng = random.Random(11)
+    common, rare = (["".join(rng.choice(a) for _ in range(rng.randint(2, 4))) for _ in range(40)] for a in ("abcdeilmnorst", "αβγδεικλμνορστ"))
+    text = lambda v: " ".join(rng.choice(v) for _ in range(120))
+    rows = [(i, text(common), "c") for i in range(60)] + [(100 + i, text(rare), "r") for i in range(n)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["c", "r"] and np.isfinite(model.limit).all()
+    found = model.predict(pa.array([text(rare), text(common), "".join(rng.choice("αβγ яжщюбдфц") for _ in range(500))])).to_pylist()
+    assert [r["rejected"] for r in found] == [False, False, True]
+    short = langid.train(spark.createDataFrame([*rows, (900, "x", "s")], "doc_id long, text string, lang string"))
+    assert short.langs == ["c", "r", "s"] and np.isfinite(short.limit).all()
+
+
 def test_long_text_scores_like_its_pieces():
     model = langid.Model({"a": ["the cat sat on the mat " * 5], "b": ["der hund und die katze " * 5]})
     text = "the cat und die mat " * 60_000
@@ -384,20 +407,6 @@ def test_quality(spark, documents, no_documents):
 def test_quality_statistics_do_not_depend_on_neighbours(hard_texts):
     together = quality.statistics(pa.array(hard_texts))
     for i, t in enumerate(hard_texts[:40]):
-@pytest.mark.parametrize("n", [1, 3, 9])
-def test_rare_languages_reject_too(spark, n):
-    rng = random.Random(11)
-    common, rare = (["".join(rng.choice(a) for _ in range(rng.randint(2, 4))) for _ in range(40)] for a in ("abcdeilmnorst", "αβγδεικλμνορστ"))
-    text = lambda v: " ".join(rng.choice(v) for _ in range(120))
-    rows = [(i, text(common), "c") for i in range(60)] + [(100 + i, text(rare), "r") for i in range(n)]
-    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.langs == ["c", "r"] and np.isfinite(model.limit).all()
-    found = model.predict(pa.array([text(rare), text(common), "".join(rng.choice("αβγ яжщюбдфц") for _ in range(500))])).to_pylist()
-    assert [r["rejected"] for r in found] == [False, False, True]
-    short = langid.train(spark.createDataFrame([*rows, (900, "x", "s")], "doc_id long, text string, lang string"))
-    assert short.langs == ["c", "r", "s"] and np.isfinite(short.limit).all()
-
-
         assert quality.statistics(pa.array([t], pa.string())) == pytest.approx(together[i : i + 1])
     assert np.isfinite(together).all()
 
