@@ -18,7 +18,7 @@ input stay, whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GRAM, WINDOW = 2, 2
@@ -26,12 +26,20 @@ LINES = GRAM + WINDOW - 1
 WORDS = 50  # of a run of fewer lines that is long enough to count
 
 
+def _words(line: Column) -> Column:
+    """How many words a line has whose only white space are blanks; it is split only if the number of blanks doesn't say."""
+    split = F.size(F.filter(F.split(line, " "), lambda w: w != ""))
+    loose = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(line == "", 0).when(loose, split).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
 def line_positions(docs: DataFrame, words: int | None = None) -> DataFrame:
     """_doc, _text, _i, _span, _print, _lines for each run of LINES lines: first line, number of lines, fingerprint, hash of the lines.
 
     With words, also for each run of fewer lines that holds so many words.
     """
-    n_words = F.transform(F.split("text", "\n"), lambda x: F.size(F.filter(F.split(x, "[ \t-\r]+"), lambda w: w != "")))
+    text = F.when(F.col("text").rlike("[\t\x0b\f\r]"), F.translate("text", "\t\x0b\f\r", "    ")).otherwise(F.col("text"))
+    n_words = F.transform(F.split(text, "\n"), _words)
     hashed = docs.select(
         F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"),
         F.xxhash64("text").alias("_text"),
