@@ -299,11 +299,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     known, own = F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1) + (1 << 62)
     text = F.xxhash64("text")
     several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_a"), F.max(text).alias("_b")).filter("_a <> _b")
-    node = own if several.take(1) else F.coalesce(known, own)
+    node = own if several.take(1) else F.coalesce(known, own) if docs.filter("doc_id is null").take(1) else known
     found = jaccard_components(spark, docs.select(node.alias("doc_id"), "text")).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_component"))
-    ids = docs.select(node.alias("_node"), known.alias("_id"))
-    first = F.min_by("_node", F.struct(F.col("_id").isNull(), "_id", "_node"))
-    kept = found.distinct().join(ids, "_node").groupBy("_component").agg(first.alias("_kept")).select("_kept")
+    if node is known:
+        kept = found.filter("_node = _component").select(F.col("_node").alias("_kept")).distinct()
+    else:
+        ids = docs.select(node.alias("_node"), known.alias("_id"))
+        first = F.min_by("_node", F.struct(F.col("_id").isNull(), "_id", "_node"))
+        kept = found.distinct().join(ids, "_node").groupBy("_component").agg(first.alias("_kept")).select("_kept")
     return docs.join(kept, node == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
