@@ -65,17 +65,21 @@ class Layout:
 
 
 def dealt(docs: DataFrame, layout: Layout) -> DataFrame:
-    """doc (null: NULL_ID), key of the row's doc_id and text, text, batch; hash-partitioned by batch."""
+    """doc (null: NULL_ID), key of the row's doc_id and text, text, batch; hash-partitioned by batch.
+
+    The rows of one doc_id are in one batch; rows without doc_id are dealt by their texts.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
-    return rows.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(layout.n_batches)).cast("int")).repartition(layout.n_parts, "batch")
+    by = F.when(F.col("doc") == NULL_ID, F.xxhash64("doc", "key")).otherwise(F.xxhash64("doc"))
+    return rows.withColumn("batch", F.pmod(by, F.lit(layout.n_batches)).cast("int")).repartition(layout.n_parts, "batch")
 
 
 def shared_hashes(rows: DataFrame, layout: Layout, hashes: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], owner: bool) -> DataFrame:
     """batch, bucket, hashes, values: the hashes of each batch that several documents have.
 
     rows: as of dealt(). hashes: gives all hashes (uncut) of some rows and the index of the row of each.
-    values: with `owner` the smallest document, else the number of documents.
+    values: with `owner` the smallest document, else the number of documents (rows without doc_id count once for each batch).
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +142,8 @@ def shared_hashes(rows: DataFrame, layout: Layout, hashes: Callable[[pa.RecordBa
         new[1:] = (h[1:] != h[:-1]) | (whose[1:] != whose[:-1])
         h, whose, result = h[new], whose[new], result[new]
         to, begin = np.unique(whose, return_index=True)
-        cuts = [slice(a, b) for a, b in zip(begin, np.append(begin[1:], len(h)), strict=True)]
+        edges = np.append(begin, len(h))  # of no batch, if documents share nothing here
+        cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table({
             "batch": pa.array(to, pa.int32()), "bucket": pa.array(np.full(len(to), t["bucket"][0].as_py()), pa.int32()),
             "hashes": pa.array([pack(h[c], True) for c in cuts], pa.binary()), "values": pa.array([pack(result[c]) for c in cuts], pa.binary()),

@@ -19,7 +19,8 @@ shingles and its component, the smallest doc_id reachable by links.
    allow the similarity, and if each set has as many shingles that any other document has as the two sizes ask of
    the intersection. Long lists are worked through block by block, and only pairs that pass become rows.
 
-Shingles are compared by 64-bit hashes for the sets' identity and order, and sets are verified by 48 bits of them.
+Sets are identified (n_shingles, the classes by 128 bits of sums) and ordered by keyed 64-bit hashes of shingles. Hashes only
+propose pairs of classes: each pair is verified on the words of the two texts.
 
 A null or empty text, or one without words, has no shingles and links with nothing: its component is its own doc_id. A null
 doc_id counts as larger than all others, and its component is null if it reaches no other. Rows of one doc_id are one
@@ -32,20 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import few, fresh_path, release, remove, table, text_bytes, written
 from tallyloom.llm.decontaminate import SHINGLES_SQL
 from tallyloom.llm.exchange import NULL_ID, Layout, dealt, look_up, received, shared_hashes
-from tallyloom.llm.words import mix, shingle_sets
+from tallyloom.llm.words import lower_words, mix, shared_shingles, shingle_sets
 
 PERCENT = 80
 MATCHES = 6
 VERIFY = 16
 STARS = 3
 BLOCK = 512
-SET_BITS = np.uint64(16)  # dropped of each hash in a stored set
 
 
 def _shingles(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +54,7 @@ def _shingles(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
-SETS = "doc long, n int, common int, set_a long, set_b long, need int, short int, tokens array<long>, shingles binary"
+SETS = "doc long, n int, common int, set_a long, set_b long, need int, short int, tokens array<long>, text string"
 
 
 def _prefixes(layout: Layout):
@@ -66,7 +67,7 @@ def _prefixes(layout: Layout):
         twice = [np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)]
         np.cumsum(mix(h), out=twice[0][1:])
         np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=twice[1][1:])
-        tokens, need, short, stored, common = [], [], [], [], []
+        tokens, need, short, common = [], [], [], []
         for d in range(len(size)):
             n = int(size[d])
             own, often = h[at[d] : at[d + 1]], df[at[d] : at[d + 1]]
@@ -77,7 +78,6 @@ def _prefixes(layout: Layout):
                 tokens.append([])
                 need.append(1)
                 short.append(0)
-                stored.append(None)
                 continue
             order = np.lexsort((own, often))
             cost = np.cumsum(np.where(often[order] > 1, often[order], 0))
@@ -88,43 +88,34 @@ def _prefixes(layout: Layout):
             tokens.append(own[first][often[first] > 1].view(np.int64))
             need.append(best + 1)
             short.append(base + 1 - single)
-            six = (own >> SET_BITS).view(np.uint8).reshape(-1, 8)[:, :6]
-            stored.append(np.ascontiguousarray(six).tobytes() if len(tokens[-1]) else None)
         sums = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in twice]
         counts = [len(x) for x in tokens]
         flat = np.concatenate(tokens) if sum(counts) else np.zeros(0, np.int64)
+        text = pc.if_else(pa.array(np.array(counts) > 0, pa.bool_()), docs["text"], pa.scalar(None, docs["text"].type))  # of what may be verified
         return pa.table({
             "doc": docs["doc"], "n": pa.array(size, pa.int32()), "common": pa.array(common, pa.int32()), "set_a": pa.array(sums[0]), "set_b": pa.array(sums[1]), "need": pa.array(need, pa.int32()), "short": pa.array(short, pa.int32()),
-            "tokens": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat.astype(np.int64))), "shingles": pa.array(stored, pa.binary()),
+            "tokens": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat.astype(np.int64))), "text": text,
         })
 
     return prefixes
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def read(x: bytes) -> np.ndarray:
-        out = np.zeros((len(x) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        return out.reshape(-1).view(np.uint64)
-
     for b in batches:
         keep = []
-        for x, y in zip(b.column("shingles_u").to_pylist(), b.column("shingles_v").to_pylist(), strict=True):
-            x, y = read(x), read(y)
-            if len(x) > len(y):
-                x, y = y, x
-            common = int(look_up(y, x)[1].sum())
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+        for x, y in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True):
+            common, n_x, n_y = shared_shingles(lower_words(x), lower_words(y))
+            keep.append(100 * common >= PERCENT * (n_x + n_y - common))
         rows = b.filter(pa.array(keep, pa.bool_()))
         yield pa.RecordBatch.from_arrays([rows.column("u"), rows.column("v")], ["u", "v"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v of the pairs that link. sets: doc, shingles."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v of the pairs that link. texts: doc, text."""
     out = pairs.select("u", "v")
     for side in ("u", "v"):
-        out = out.join(sets.select(F.col("doc").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
-    return out.select("u", "v", "shingles_u", "shingles_v").mapInArrow(_verify, "u long, v long")
+        out = out.join(texts.select(F.col("doc").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return out.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u long, v long")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -255,14 +246,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = _written_sets(spark, docs, layout)
     release(spark)  # the texts and hashes that were shuffled
     same = ["set_a", "set_b", "n"]
-    classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
+    classes = sets.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("rep")).withColumn("number", F.monotonically_increasing_id())
+    classes = written(spark, classes, "classes")  # once numbered, a class keeps its number
     # a class goes by the document that stands for it, so early documents are pivots; further classes of one document by a number below 0
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy(*same))
-    classes = classes.withColumn("class", F.when(nth == 1, F.col("rep")).otherwise(-F.xxhash64(*same).bitwiseAND((1 << 62) - 1) - 2))
+    first = classes.filter(F.col("rep") != NULL_ID).groupBy("rep").agg(F.min("number").alias("first"))
+    own = F.when(F.col("number") == F.col("first"), F.col("rep")).otherwise(-F.col("number") - 2)
+    classes = classes.join(first, "rep", "left").select(*same, "rep", own.alias("class"))
     members = sets.filter("n > 0").select("doc", *same).join(classes, same).select("doc", "rep")
-    alone = sets.filter("size(tokens) > 0").select("doc", "common", *same, "need", "short", "tokens", "shingles")
-    reps = alone.join(classes.withColumnRenamed("rep", "doc"), [*same, "doc"]).dropDuplicates(["class"]).select(F.col("class").alias("doc"), "n", "common", "need", "short", "tokens", "shingles")
-    reps = written(spark, few(reps), "representatives")
+    alone = sets.filter("size(tokens) > 0").select("doc", "common", *same, "need", "short", "tokens", "text")
+    reps = alone.join(classes.withColumnRenamed("rep", "doc"), [*same, "doc"]).dropDuplicates(["class"]).select(F.col("class").alias("doc"), "n", "common", "need", "short", "tokens", "text")
+    reps = written(spark, reps, "representatives")
     lists = written(spark, few(reps.select("doc", "n", "common", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))), "lists")
 
     fits = F.expr(f"100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) and {100 + PERCENT} * least(common_u, common_v) >= {PERCENT} * (n_u + n_v)")
@@ -298,16 +291,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     known, own = F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1) + (1 << 62)
     text = F.xxhash64("text")
-    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_a"), F.max(text).alias("_b")).filter("_a <> _b")
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).filter("a <> b")
     node = own if several.take(1) else F.coalesce(known, own) if docs.filter("doc_id is null").take(1) else known
-    found = jaccard_components(spark, docs.select(node.alias("doc_id"), "text")).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_component"))
+    found = jaccard_components(spark, docs.select(node.alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
     if node is known:
-        kept = found.filter("_node = _component").select(F.col("_node").alias("_kept")).distinct()
+        kept = found.filter("node = component_id").select(F.col("node").alias("kept")).distinct()
     else:
-        ids = docs.select(node.alias("_node"), known.alias("_id"))
-        first = F.min_by("_node", F.struct(F.col("_id").isNull(), "_id", "_node"))
-        kept = found.distinct().join(ids, "_node").groupBy("_component").agg(first.alias("_kept")).select("_kept")
-    return docs.join(kept, node == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+        ids = docs.select(node.alias("node"), known.alias("id"))
+        first = F.min_by("node", F.struct(F.col("id").isNull(), "id", "node"))
+        kept = found.distinct().join(ids, "node").groupBy("component_id").agg(first.alias("kept")).select("kept")
+    rows = docs.select(F.struct("*").alias("row"), node.alias("node"))  # so no name of docs can clash
+    rows = rows.join(kept, F.col("node") == F.col("kept"), "left_semi")
+    return rows.select("row.*").dropDuplicates(["doc_id", "text"])
 
 
 OP4_SQL = f"""

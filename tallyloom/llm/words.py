@@ -1,25 +1,27 @@
 """Words of many texts at once: positions and 64-bit hashes with NumPy, over the bytes of an Arrow column.
 
-A word is a longest run of bytes other than x20 and x09-x0D. Its hash is a polynomial in a fixed odd base over random
-byte values, modulo 2^64, then mixed. Texts are worked through in pieces of about PIECE bytes, cut where a word ends,
-so the memory beside the result doesn't depend on the length of a text.
+A word is a longest run of bytes other than x20 and x09-x0D. Its hash takes eight bytes at a time, each step an exclusive or and a
+mixing bijection, from a key and the word's length; words of more than LONG bytes go through keyed BLAKE2b. Texts are
+worked through in pieces of about PIECE bytes, cut where a word ends, so the memory beside the result doesn't depend on
+the length of a text. `shared_shingles` compares shingles by their words, where hashes aren't enough.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+LONG = 64
+KEY = 0x2545F4914F6CDD1D
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
-_LOWER_BYTES = _BYTES.copy()
-_LOWER_BYTES[65:91] = _BYTES[97:123]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,20 +32,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for n places at least."""
-    size = 1 << max(16, (n - 1).bit_length())
-    best = next((v for k, v in _powers.items() if k >= size), None)
-    if best is None:
-        up, down = np.full(size, np.uint64(_BASE)), np.full(size, np.uint64(pow(_BASE, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        best = np.cumprod(up), np.cumprod(down)
-        if size <= 2 * PIECE:
-            _powers.clear()
-            _powers[size] = best
-    return best
-
-
 def text_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the n + 1 offsets at which they begin and end. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,12 +72,30 @@ def _pieces(data: np.ndarray, offsets: np.ndarray):
         at = to
 
 
+def _hashes(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of the words at these places."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = end - first
+    out = mix(size.astype(np.uint64) ^ np.uint64(KEY))
+    left, at, rest = np.arange(len(first)), first, size
+    for _ in range(LONG // 8):
+        out[left] = mix(out[left] ^ (eight[at] & _HEADS[np.minimum(rest, 8)]))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+        if not len(left):
+            return out
+    for i in left:
+        word = text[first[i] : end[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False):
     """Hashes of the words of all texts in order, and the n + 1 offsets among them of each text's words.
 
     lower: A-Z count as a-z. spans: give the words' first and end positions in data too.
     """
-    values = _LOWER_BYTES if lower else _BYTES
     hashes, begins, ends = [], [], []
     for a, b in _pieces(data, offsets):
         piece = data[a:b]
@@ -104,10 +110,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, span
         s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
         if not len(s):
             continue
-        up, down = _power(b - a)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(values[piece] * up[: b - a], out=total[1:])
-        hashes.append(mix((total[e] - total[s]) * down[s]))
+        hashes.append(_hashes(_LOWER[piece] if lower else piece, s, e))
         begins.append(s + a)
         ends.append(e + a)
     none = np.zeros(0, np.int64)
@@ -123,6 +126,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     h = words[:n].copy()
     for j in range(1, k):
+        h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h += words[j : j + n]
     return mix(h)
@@ -161,3 +165,44 @@ def shingle_sets(column: pa.Array | pa.ChunkedArray, k: int = 5) -> tuple[np.nda
     keep[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
     owner, found = owner[keep], found[keep]
     return found, np.searchsorted(owner, np.arange(len(n) + 1))
+
+
+_LOWER_TABLE = _LOWER.tobytes()
+
+
+def lower_words(text: str | bytes | None) -> list[bytes]:
+    """The words of a text, A-Z lowered."""
+    raw = text.encode() if isinstance(text, str) else text or b""
+    return raw.translate(_LOWER_TABLE).split()
+
+
+def shared_shingles(a: list[bytes], b: list[bytes], k: int = 5) -> tuple[int, int, int]:
+    """How many distinct shingles two word sequences have in common, and how many each has, by the words themselves."""
+
+    def shingles(w: list[bytes]) -> set[tuple]:
+        return set(zip(*(w[j:] for j in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+    if len(a) + len(b) <= 1 << 16:
+        x, y = shingles(a), shingles(b)
+        return len(x & y), len(x), len(y)
+    # long texts: the same over numbers of words, without an object for each shingle
+    number: dict[bytes, int] = {}
+    both = [np.fromiter((number.setdefault(w, len(number)) for w in x), np.int64, len(x)) for x in (a, b)]
+    if min(len(a), len(b)) < k:
+        return 0, len(shingles(a)) if len(a) < k else _distinct(both[0], k), len(shingles(b)) if len(b) < k else _distinct(both[1], k)
+    ids = _joined(np.concatenate(both), k)
+    x, y = np.unique(ids[: len(a) - k + 1]), np.unique(ids[len(a) :])
+    return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
+
+
+def _joined(numbers: np.ndarray, k: int) -> np.ndarray:
+    """A number for each k consecutive ones, equal where they are equal."""
+    out = numbers
+    for j in range(1, k):
+        pair = out[:-1] * (int(numbers.max()) + 1) + numbers[j:]
+        out = np.unique(pair, return_inverse=True)[1]
+    return out
+
+
+def _distinct(numbers: np.ndarray, k: int) -> int:
+    return len(np.unique(_joined(numbers, k)))

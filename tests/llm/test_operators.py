@@ -151,6 +151,50 @@ def test_jaccard_of_ids_with_several_texts(spark):
     assert sorted((tuple(r) for r in jaccard.jaccard_components(spark, docs).collect()), key=str) == brute_components(rows)
 
 
+SPARSE = {
+    "one": [(5, " ".join(f"w{i}" for i in range(40)))],
+    "three": [(i, " ".join(f"{i}w{j}" for j in range(30))) for i in range(3)],
+    "distinct": [(i, " ".join(f"{i}-{j}" for j in range(20 + i % 7))) for i in range(100)],
+    "nulls": [(None, None), (1, None), (None, ""), (2, " ")],
+    "null ids": [(None, "same text of seven words in all"), (None, "same text of seven words in all"), (None, "another one that stands all alone here"), (4, "x")],
+}
+
+
+@pytest.mark.parametrize("rows", SPARSE.values(), ids=SPARSE)
+def test_tables_that_share_little(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (4 << 20, 200):
+        monkeypatch.setattr(exchange, "BATCH_BYTES", size)
+        got = sorted((tuple(r) for r in substrings.dedup_substrings(spark, docs, with_text=False).collect()), key=str)
+        assert got == brute_substrings(rows)
+        big = lambda x: BIG if x is None else x
+        got = sorted(((big(r.doc_id), r.n_shingles, big(r.component_id)) for r in jaccard.jaccard_components(spark, docs).collect()), key=str)
+        assert got == brute_components([(big(i), t) for i, t in rows])
+    assert {(r.doc_id, r.text) for r in jaccard.one_of_each(spark, docs).collect()} == set(rows)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"p q {one} r s"), (2, f"p q {two} r s"), (3, f"p q {one} r s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.jaccard_components(spark, docs).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+    items = spark.createDataFrame([(7, rows[0][1])], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contained_items(spark, docs, items).collect()} == {1, 3}
+
+
+def test_shared_shingles():
+    rng = random.Random(14)
+    for n in (0, 1, 4, 5, 30, 40_000):
+        a, b = ([rng.choice(["a", "b", "C"]) for _ in range(rng.randint(n // 2, n))] for _ in "ab")
+        b += a[: n // 2]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        assert words.shared_shingles(words.lower_words(" ".join(a)), words.lower_words(" ".join(b))) == (len(x & y), len(x), len(y))
+    assert words.lower_words(None) == [] and words.lower_words("Éa B\tc") == ["Éa".encode(), b"b", b"c"]
+
+
 def test_jaccard_empty(spark, no_documents):
     assert jaccard.jaccard_components(spark, no_documents).count() == 0
     assert jaccard.one_of_each(spark, no_documents).columns == no_documents.columns
