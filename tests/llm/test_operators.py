@@ -275,6 +275,27 @@ def test_lines(spark):
     assert {(r._doc, r.start, r.length, r.source_doc, r.source_start) for r in run} == {(3, 1, 4, 2, 0)}
 
 
+def test_lines_are_winnowed(spark):
+    rng = random.Random(31)
+    rows = [(i, "\n".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen, spans = {}, {}
+    for r in lines.fingerprints(docs).collect():
+        starts = [(s.i, s.n) for s in r._spans if s is not None]
+        spans.setdefault(r._doc, set()).update(starts)
+        chosen[r._doc] = chosen.get(r._doc, 0) + 1
+    for d, t in rows:
+        n = t.count("\n") + 1
+        windows = max(0, n - lines.LINES + 1)
+        assert {s for s, _ in spans.get(d, ())} == set(range(windows))  # each run of LINES lines holds a fingerprint
+        assert chosen.get(d, 0) <= windows + 1
+    assert sum(chosen.values()) < 0.8 * sum(t.count("\n") for _, t in rows)  # 2 of 3 places at random
+    clash = docs.select("*", F.lit(1).alias("_text"), F.lit(2).alias("_doc"), F.lit(3).alias("_gone"), F.lit(4).alias("_n_lines"), F.lit(5).alias("_row"))
+    out = lines.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "__n_lines", "_n_removed"]
+    assert {(r._text, r._doc, r._gone, r._n_lines, r._row) for r in out.collect()} == {(1, 2, 3, 4, 5)}
+
+
 def test_long_passages_on_few_lines(spark):
     rng = random.Random(21)
     line = lambda n: " ".join(str(rng.randrange(1000)) for _ in range(n))
