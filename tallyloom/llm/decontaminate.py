@@ -4,12 +4,13 @@ Texts are sets of five-word shingles (A-Z lowered, words split at x20 and x09-x0
 shingle of the whole sequence). A document holds an item if at least 80 % of the item's shingles are among the
 document's.
 
-A document of any length that holds an item of n shingles holds at least one of every n - ceil(0.8 n) + 1 of them. So
-an item's MinHash sketch is the bottom of its shingle hashes, as many as that: whoever contains the item shares a sketch
-hash, with certainty and not just likely, however long the document. (Banded MinHash over whole documents would
-miss short items in long documents: their Jaccard similarity is near 0.) Items are partitioned by the power of two
-of their size; a document is looked up in the partitions whose smallest item it is large enough to hold. Candidates are
-then verified by counting the item's shingles in the document.
+Both sides have MinHash sketches of one hash function. An item of n shingles has the n - ceil(0.8 n) + 1 smallest of its hashes: a
+document of any length that holds the item holds one of them, with certainty and not just likely. Items are partitioned by
+the power of two of their size. In each partition a document large enough to hold its smallest item has as its sketch all its
+hashes up to the largest of the items' sketches, so the part of a document that counts depends on the sizes in the partition and
+not on how long the document is. Documents and items that share a sketch hash are candidates. (Banded MinHash
+of whole documents would miss short items in long ones, whose Jaccard similarity is near 0.) Candidates whose hashes
+say that enough shingles are shared are verified by the words of the shingles themselves.
 
 The items are broadcast in blocks of bounded text size, one pass over the documents for each block. Null or empty
 texts, on either side, hold and match nothing. Repeated rows are rows of their own: a result row for each document row
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import parts, small_batches, text_bytes
-from tallyloom.llm.words import shingle_sets, text_column
+from tallyloom.llm.words import lower_words, shared_shingles, shingle_sets, text_column
 
 SCHEMA = "doc_id long, item_id long, n_shared int, n_item int"
 ITEM_BLOCK_BYTES = 8 << 20
@@ -54,30 +55,44 @@ class ItemBlock:
             flat = np.concatenate(sketches)
             order = np.argsort(flat, kind="stable")
             self.partitions.append((needed(int(self.size[own].min()), percent), flat[order], owner[order]))
+        self.words: dict[int, list[bytes]] = {}
+        self.texts = texts
 
-    def matches(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, shared shingles) of all documents, given their sets, that hold an item."""
-        size = np.diff(at)
-        pairs = []
+    def candidates(self, hashes: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) of all that share a sketch hash in some partition. hashes: those of each document in order."""
+        size, pairs = np.diff(at), set()
+        doc = np.repeat(np.arange(len(size)), size)
         for least, sketch, owner in self.partitions:
-            lo = np.searchsorted(sketch, hashes)
-            lo[lo == len(sketch)] = 0
-            hit = np.flatnonzero(sketch[lo] == hashes)
-            doc = np.searchsorted(at, hit, "right") - 1
-            large = size[doc] >= least
-            hit, doc = hit[large], doc[large]
-            for h, d in zip(hashes[hit], doc, strict=True):
-                a, b = np.searchsorted(sketch, h), np.searchsorted(sketch, h, "right")
-                pairs += [(int(d), int(o)) for o in owner[a:b]]
-        found = []
-        for d, o in sorted(set(pairs)):
+            part = np.flatnonzero((hashes <= sketch[-1]) & (size[doc] >= least))  # the documents' sketches
+            lo = np.searchsorted(sketch, hashes[part])
+            part, lo = part[sketch[lo] == hashes[part]], lo[sketch[lo] == hashes[part]]
+            hi = np.searchsorted(sketch, hashes[part], "right")
+            item = owner[np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+            pairs.update(zip(np.repeat(doc[part], hi - lo).tolist(), item.tolist(), strict=True))
+        return pairs
+
+    def _words(self, o: int) -> list[bytes]:
+        if o not in self.words:
+            self.words[o] = lower_words(self.texts[o].as_py())
+        return self.words[o]
+
+    def matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, shared shingles, the item's shingles) of all documents that hold an item."""
+        hashes, at = shingle_sets(texts, self.k)
+        pairs = self.candidates(hashes, at)
+        found, last, own_words = [], -1, []
+        for d, o in sorted(pairs):
             own, item = hashes[at[d] : at[d + 1]], self.hashes[self.at[o] : self.at[o + 1]]
             spot = np.searchsorted(own, item)
             spot[spot == len(own)] = 0
             shared = int((own[spot] == item).sum())
             if 100 * shared >= self.percent * len(item):
-                found.append((d, o, shared))
-        return tuple(np.array([x[i] for x in found], np.int64) for i in range(3))
+                if d != last:
+                    last, own_words = d, lower_words(texts[d].as_py())
+                shared, _, n = shared_shingles(own_words, self._words(o), self.k)
+                if 100 * shared >= self.percent * n:
+                    found.append((d, o, shared, n))
+        return tuple(np.array([x[i] for x in found], np.int64) for i in range(4))
 
 
 def item_blocks(spark: SparkSession, items: DataFrame, k: int = 5, percent: int = 80) -> Iterator[Broadcast]:
@@ -86,7 +101,7 @@ def item_blocks(spark: SparkSession, items: DataFrame, k: int = 5, percent: int
     n_blocks = parts(text_bytes(items), ITEM_BLOCK_BYTES)
     for i in range(n_blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).toArrow()
-        yield spark.sparkContext.broadcast(ItemBlock(own["item_id"].to_pylist(), own["text"], k, percent))
+        yield spark.sparkContext.broadcast(ItemBlock(own["item_id"].to_pylist(), own["text"].combine_chunks(), k, percent))
 
 
 def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -100,8 +115,8 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, k: i
             ids = pa.array(held.ids, pa.int64())
             for b in batches:
                 for part in sliced(b, "text"):
-                    d, o, shared = held.matches(*shingle_sets(part.column("text"), held.k))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), ids.take(pa.array(o)), pa.array(shared, pa.int32()), pa.array(held.size[o], pa.int32())], ["doc_id", "item_id", "n_shared", "n_item"])
+                    d, o, shared, n = held.matches(part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), ids.take(pa.array(o)), pa.array(shared, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "item_id", "n_shared", "n_item"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(look, SCHEMA)
         found = part if found is None else found.unionByName(part)
@@ -129,7 +144,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Da
             for b in batches:
                 for part in sliced(b, b.schema.names[at]):
                     keep = np.ones(part.num_rows, bool)
-                    keep[held.matches(*shingle_sets(part.column(at), held.k))[0]] = False
+                    keep[held.matches(part.column(at))[0]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, schema)

@@ -541,6 +541,22 @@ def test_pieces_against_a_unigram_model():
         assert score(ours) == pytest.approx(score(other.encode(s).ids))
 
 
+def test_pieces_of_whole_texts_against_a_unigram_model(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    model, v = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Vocabulary.load()
+    own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    low = min(map(model.get_score, own))
+    scores = {i: model.get_score(i) for i in own}
+    other = Tokenizer(models.Unigram([(model.id_to_piece(i), scores.get(i, low)) for i in range(model.get_piece_size())], unk_id=0, byte_fallback=True))
+    codec = pieces.Codec(v)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text and pieces.BLANK not in r.text]
+    assert len(texts) > 150
+    for t in texts:
+        assert list(codec.encode(t)) == other.encode(pieces.BLANK + t.replace(" ", pieces.BLANK), add_special_tokens=False).ids
+
+
 def test_pieces_in_spark(spark, documents, no_documents, hard_texts):
     v = pieces.Vocabulary.load()
     rows = pieces.encoded(documents, v, digests=True).collect()
