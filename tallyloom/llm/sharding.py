@@ -5,7 +5,8 @@ with equal text) are the units of placement. Groups of at least 1/(64 * n_shards
 their own (so there are at most 3 * 64 * n_shards of them); all other groups are hashed into 64 * n_shards bundles.
 The driver therefore packs a number of units that depends on n_shards alone. It visits the units from the
 largest down and puts each where the dot product of its vector with the shard's residual capacity is highest. Swaps
-between the fullest and the emptiest shard then level the bytes.
+between the fullest and the emptiest shard of a dimension then level all three, bytes before tokens and rows: a swap must lessen
+the weighted squares of the two shards' differences.
 
 A group above one shard's share in any dimension can't stay whole with balanced shards: only such a group is
 cut, into salted pieces of a small part of a shard each. All rows are kept.
@@ -25,6 +26,7 @@ from tallyloom.llm.common import table, written
 
 OVERHEAD = 16
 UNITS_PER_SHARD = 64
+WEIGHTS = (8.0, 1.0, 1.0)  # bytes, tokens, rows
 
 
 def token_count(text: Column) -> Column:
@@ -48,33 +50,33 @@ def pack(vectors: np.ndarray, keys: list, n_shards: int) -> np.ndarray:
         best = np.argmax(np.where(fits, score, -np.inf)) if fits.any() else np.argmax((residual - share[i]).min(axis=1))
         shard[i] = best
         residual[best] -= share[i]
-    return even_out(vectors[:, 0], shard, n_shards)
+    return even_out(share, shard, n_shards)
 
 
-def even_out(size: np.ndarray, shard: np.ndarray, n_shards: int, rounds: int = 4000) -> np.ndarray:
-    """Swap units between the fullest and the emptiest shard while that brings their sizes (bytes) closer."""
-    load = np.bincount(shard, weights=size, minlength=n_shards)
+def even_out(share: np.ndarray, shard: np.ndarray, n_shards: int, rounds: int = 4000) -> np.ndarray:
+    """Swap units (or move one) between the fullest and the emptiest shard of a dimension while that brings the two closer in all."""
+    load = np.stack([np.bincount(shard, weights=x, minlength=n_shards) for x in share.T], axis=1)
+    weight = np.array(WEIGHTS[: share.shape[1]])
     for _ in range(rounds):
-        hi, lo = int(load.argmax()), int(load.argmin())
-        gap = load[hi] - load[lo]
-        mine, other = np.flatnonzero(shard == hi), np.flatnonzero(shard == lo)
-        if gap <= 1e-4 * load.mean() or not len(mine):
+        for d in np.argsort(-(np.ptp(load, axis=0) * np.sqrt(weight)), kind="stable"):
+            hi, lo = int(load[:, d].argmax()), int(load[:, d].argmin())
+            gap = load[hi] - load[lo]
+            mine, other = np.flatnonzero(shard == hi), np.append(np.flatnonzero(shard == lo), -1)  # -1: a move without return
+            back = np.where(other[:, None] >= 0, share[other], 0.0)
+            left = gap - 2 * (share[mine][:, None, :] - back[None, :, :])
+            cost = (weight * left**2).sum(axis=2)
+            if not cost.size or cost.min() >= (weight * gap**2).sum() * (1 - 1e-9):
+                continue
+            i, j = np.unravel_index(int(cost.argmin()), cost.shape)
+            moved = share[mine[i]] - back[j]
+            shard[mine[i]] = lo
+            if other[j] >= 0:
+                shard[other[j]] = hi
+            load[hi] -= moved
+            load[lo] += moved
             break
-        # other's sizes in order, and 0 for a move without return
-        order = np.concatenate([[-1], other[np.argsort(size[other], kind="stable")]])
-        values = np.concatenate([[0.0], size[order[1:]]])
-        want = size[mine] - gap / 2
-        at = np.clip(np.searchsorted(values, want), 1, len(values) - 1) if len(values) > 1 else np.zeros(len(mine), int)
-        at = np.where((at > 0) & (np.abs(values[at - 1] - want) <= np.abs(values[at] - want)), at - 1, at)
-        moved = size[mine] - values[at]
-        best = int(np.argmin(np.abs(moved - gap / 2)))
-        if not 0 < moved[best] < gap:
+        else:
             break
-        shard[mine[best]] = lo
-        if order[at[best]] >= 0:
-            shard[order[at[best]]] = hi
-        load[hi] -= moved[best]
-        load[lo] += moved[best]
     return shard
 
 

@@ -36,6 +36,7 @@ SEEK_TABLE_MAGIC = 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
+READ_FRAMES = 64
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "tallyloom/warc")
 INDEX = "page_id long, record_id string, bundle string, frame int, at int, length int"
 RECORD = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -111,9 +112,12 @@ def write_bundles(pages: DataFrame, uri: str, min_bytes: int = 0, frame_bytes: i
     """Write pages (page_id, url, html) under uri; the index, which must be kept as it is evaluated only once."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("_sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("_n", F.octet_length("html"))
-    top = rows.filter(F.col("_n") >= min_bytes).groupBy("_sha").agg(F.max("page_id").alias("_top"))
-    refers = F.when(F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))
-    rows = rows.join(top, "_sha", "left").select("page_id", "url", "html", F.when(F.col("_n") >= min_bytes, refers).alias("refers_to"))
+    # who revisits whom is decided on digests alone; payloads are joined by page, so equal ones don't meet in one task
+    keys = rows.filter(F.col("_n") >= min_bytes).select("page_id", "_sha")
+    top = keys.groupBy("_sha").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_low"), F.count("*").alias("_all"), F.count("page_id").alias("_known"))
+    top = top.filter((F.col("_low") < F.col("refers_to")) | (F.col("_known") > 0) & (F.col("_known") < F.col("_all"))).select("_sha", "refers_to")
+    revisits = keys.distinct().join(top, "_sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_page"), F.col("_sha").alias("_same"), "refers_to")
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha") == F.col("_same")), "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
@@ -171,8 +175,10 @@ def dealt(index: DataFrame) -> DataFrame:
 
 
 def read_bundles(index: DataFrame, uri: str, with_payload: bool = True) -> DataFrame:
-    """The records that the index rows name, frame by frame."""
-    frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("records"))
+    """The records that the index rows name, frame by frame. Each task has whole runs of READ_FRAMES frames of a bundle."""
+    index = index.withColumn("run", F.floor(F.col("frame") / READ_FRAMES))
+    n_runs = index.select("bundle", "run").distinct().count()
+    frames = index.repartition(max(1, n_runs), "bundle", "run").groupBy("bundle", "run", "frame").agg(F.sort_array(F.collect_list(F.struct("at", "length"))).alias("records"))
     names = [x.split()[0] for x in RECORD.split(", ")][: None if with_payload else -1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -397,6 +397,27 @@ def test_sharding_balance_and_groups(spark):
     assert len({r.shard for r in rows if texts[r.doc_id] == "hot text"}) > 10
 
 
+def test_sharding_balances_all_dimensions(spark):
+    rng = random.Random(15)
+    texts = [f"{i} " + " ".join("w" * rng.choice((1, 2, 30)) for _ in range(rng.choice((1, 3, 60)))) for i in range(4000)] + ["a group that fits"] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sums = np.zeros((8, 3))
+    for r in sharding.shard_documents(spark, docs, 8).collect():
+        sums[r.shard] += (r.size, len(texts[r.doc_id].split()), 1)
+    spread = np.ptp(sums, axis=0) / sums.mean(axis=0)
+    assert spread[0] < 0.02 and spread[1] < 0.04 and spread[2] < 0.04
+
+
+def test_packing_goes_by_the_dot_product():
+    vectors = np.array([[8, 1, 1], [1, 8, 1], [1, 1, 8], [5, 1, 1], [1, 5, 1], [1, 1, 5]], float)
+    got = sharding.pack(vectors, list("abcdef"), 3)
+    load = np.stack([np.bincount(got, weights=x, minlength=3) for x in vectors.T])
+    assert len(set(got[:3])) == 3 or load.max() <= 9
+    before = np.zeros(3, np.int64)
+    after = sharding.even_out(np.ones((3, 3)) / 3, before.copy(), 3)
+    assert sorted(after) == [0, 1, 2]
+
+
 def test_sharding_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a")] * 7 + [(None, None)] * 3, "doc_id long, text string")
     rows = sharding.shard_documents(spark, docs, 3).collect()
