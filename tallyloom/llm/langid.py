@@ -10,14 +10,18 @@ looks up the longest n-gram; where no language has seen it, it adds the context'
 shorter one. A text gets the language of the lowest cross-entropy per character.
 
 It is rejected (column `rejected`) if it has no letters, or if that cross-entropy, less ERRORS standard errors for the text's
-length, is above the language's median by more than three quarters of the distance of other languages' calibration texts, and by more than `slack`
-times the most that this is among the language's own. A language of fewer than FEW usable calibration texts has its own
+length, is nearer to what other languages' texts have under this model than to what the language's own have: above the middle of
+the two medians on the calibration texts. (Where languages are so close that this would cut off their own tail, above `slack` times
+the distance of the 95th percentile of their own.) All of this comes from the calibration fifth of the training sample;
+tests leave a language out and see its texts rejected. A language of fewer than FEW usable calibration texts has its own
 cross-entropies by cross-validation, over all its texts or, if these are fewer, over FEW parts of them. So every
 language has a limit (where even that is impossible, the median of the others'), and a text with foreign passages stays, a foreign one goes. The
 score is a softmax of the cross-entropies whose temperature has the least log loss on the calibration documents.
 
-Training takes the `max_languages` most frequent labels, at most `docs_per_language` documents of each (those of the smallest
-hash of doc_id) and at most `chars_per_document` characters of each; scoring takes whole texts. Null or letterless texts give `und`, score 0 and are
+Training takes whole texts of at most `docs_per_language` documents of each label (those of the smallest hash of doc_id; this is the
+bound of the labelled sample). Spark counts their n-grams; the driver gets the counts, and the calibration texts' cross-entropies, but
+no texts except those of languages that have too few. Every label has a model. Models of more than MODEL_BYTES in
+all are not broadcast but refused with an error. Null or letterless texts give `und`, score 0 and are
 rejected. Null languages teach nothing; null doc_ids are scored but teach nothing. Equal cross-entropies go to
 the language first in order. Without training rows all is `und`. Rows that repeat are rows of their own.
 """
@@ -29,17 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyloom.llm.common import small_batches
+from tallyloom.llm.common import small_batches, written
+from tallyloom.llm.decontaminate import sliced
 from tallyloom.llm.words import text_column
 
 ORDER = 4
 PIECE = 1 << 19
-ERRORS = 6
+ERRORS = 3
 FEW = 8  # calibration texts
+MODEL_BYTES = 1 << 30
 SPACE = 32
 UNKNOWN = "und"
 
@@ -107,15 +114,18 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs."""
+    return np.unique(keys, return_counts=True)
+
+
 class KneserNey:
-    """One language's counts."""
+    """One language's model, from its distinct n-grams of the highest order in order and their counts."""
 
-    def __init__(self, keys: np.ndarray, n_symbols: int):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, n_symbols: int):
         self.n_symbols, self.grams, self.contexts = n_symbols, [None] * (ORDER + 1), [None] * (ORDER + 1)
         for k in range(ORDER, 0, -1):
-            if k == ORDER:
-                grams, counts = np.unique(keys, return_counts=True)
-            else:  # how many different characters stand before it
+            if k < ORDER:  # how many different characters stand before it
                 grams, counts = np.unique(_low(self.grams[k + 1][0], k), return_counts=True)
             once, twice = (counts == 1).sum(), (counts == 2).sum()
             discount = float(once / (once + 2 * twice)) if once and twice else 0.5
@@ -142,13 +152,13 @@ class KneserNey:
 class Model:
     """Sorted key arrays of all orders with log probabilities and back-off weights by language."""
 
-    def __init__(self, texts: dict[str, list[str]]):
-        self.langs = sorted(texts)
-        keys = {g: gram_keys(*letters(*text_column(pa.array(t, pa.string())))) for g, t in texts.items()}
-        keys = {g: k for g, k in keys.items() if len(k)}
-        self.langs = [g for g in self.langs if g in keys]
-        symbols = len(np.unique(np.concatenate([_low(k, 1) for k in keys.values()]))) + 1 if keys else 1
-        models = [KneserNey(keys[g], symbols) for g in self.langs]
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """counts: by language, as of counted()."""
+        self.langs = sorted(g for g, (keys, _) in counts.items() if len(keys))
+        symbols = len(np.unique(np.concatenate([_low(counts[g][0], 1) for g in self.langs]))) + 1 if self.langs else 1
+        models = [KneserNey(*counts[g], symbols) for g in self.langs]
+        if sum(len(g[0]) for m in models for g in m.grams[1:]) * (len(models) + 2) * 4 > MODEL_BYTES:
+            raise ValueError(f"the models of {len(models)} languages are too large to broadcast; lower docs_per_language")
         self.symbols, self.floor = symbols, -np.log(symbols)
         self.grams, self.contexts = [None], [None]
         for k in range(1, ORDER + 1):
@@ -158,6 +168,10 @@ class Model:
             self.contexts.append((seen, np.stack([np.log(m.backoff(seen << np.uint64(16), k)) for m in models], axis=1).astype(np.float32) if models else None))
         self.mean, self.spread, self.limit, self.heat = (np.zeros(len(self.langs)), np.ones(len(self.langs)), np.full(len(self.langs), np.inf), 1.0)
 
+    @classmethod
+    def of(cls, texts: dict[str, list[str]]) -> Model:
+        return cls({g: counted(gram_keys(*letters(*text_column(pa.array(t, pa.string()))))) for g, t in texts.items()})
+
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros((len(keys), len(self.langs)), np.float32)
         left = np.arange(len(keys))
@@ -209,28 +223,26 @@ class Model:
         fold = np.repeat(np.arange(len(size)) % FEW, size)
         loss = np.zeros(len(keys))
         for f in np.unique(fold):
-            loss[fold == f] = -np.log(KneserNey(keys[fold != f], self.symbols).probability(keys[fold == f], ORDER))
+            loss[fold == f] = -np.log(KneserNey(*counted(keys[fold != f]), self.symbols).probability(keys[fold == f], ORDER))
         return np.add.reduceat(loss, used[:-1]) / size, np.sqrt(size)
 
-    def calibrate(self, texts: dict[str, list[str]], slack: float, taught: dict[str, list[str]] | None = None) -> None:
-        rows, truth = [t for g in self.langs for t in texts.get(g, ())], [i for i, g in enumerate(self.langs) for _ in texts.get(g, ())]
-        entropy, chars, usable = self.entropies(pa.array(rows, pa.string()))
-        entropy, chars, truth = entropy[usable], chars[usable], np.array(truth, int)[usable]
+    def calibrate(self, entropy: np.ndarray, chars: np.ndarray, truth: np.ndarray, slack: float, rare: dict[str, list[str]]) -> None:
+        """From usable calibration texts: cross-entropies by language, lengths, and the place of the right language. rare: all texts of languages that have few of these."""
         own = entropy[np.arange(len(truth)), truth]
         for g, lang in enumerate(self.langs):
             e, n = own[truth == g], np.sqrt(chars[truth == g])
             if len(e) < FEW:
-                e, n = self.crossed([*(taught or {}).get(lang, ()), *texts.get(lang, ())])
+                e, n = self.crossed(rare.get(lang, []))
             if len(e):
                 self.mean[g] = np.median(e)
                 self.spread[g] = max(np.median(np.abs(e - self.mean[g]) * n) * 1.4826, 1.0)
                 # beyond what a text's length explains, texts differ from each other
-                own_limit = (e - self.mean[g] - ERRORS * self.spread[g] / n).max()
+                own_limit = np.quantile(e - self.mean[g] - ERRORS * self.spread[g] / n, 0.95)  # a wrong label or two don't count
                 foreign = np.median(entropy[truth != g, g]) if (truth != g).any() else -self.floor
-                self.limit[g] = max(slack * own_limit, 0.75 * (foreign - self.mean[g]))
+                self.limit[g] = max(slack * own_limit, 0.5 * (foreign - self.mean[g]))
         open_ = np.isinf(self.limit)  # a text or two of a letter; they go by the others, or by the uniform distribution
         self.mean[open_], self.spread[open_], self.limit[open_] = (
-            [np.median(x[~open_]) for x in (self.mean, self.spread, self.limit)] if not open_.all() else (0.0, 1.0, -0.75 * self.floor)
+            [np.median(x[~open_]) for x in (self.mean, self.spread, self.limit)] if not open_.all() else (0.0, 1.0, -0.5 * self.floor)
         )
         if len(truth):
             losses = {}
@@ -260,20 +272,52 @@ class Model:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(rejected), pa.array(np.where(usable, own, 0.0))], ["lang_pred", "score", "rejected", "cross_entropy"])
 
 
-def train(docs: DataFrame, docs_per_language: int = 400, chars_per_document: int = 20_000, slack: float = 1.5, max_languages: int = 200) -> Model:
+def train(docs: DataFrame, docs_per_language: int = 400, slack: float = 1.5) -> Model:
     """A model from docs (doc_id, text, lang): 4 of 5 sampled documents teach, the fifth calibrates."""
+    spark = docs.sparkSession
+    small_batches(spark)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    sample = known.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language)
-    ids = sample.select("doc_id", "nth").collect()  # docs_per_language rows a language
-    nth = docs.sparkSession.createDataFrame(ids, "doc_id long, nth int").dropDuplicates(["doc_id"])
-    rows = known.join(F.broadcast(nth), "doc_id").select("lang", "nth", "doc_id", F.left("text", F.lit(chars_per_document)).alias("text")).collect()
-    teach, check = {}, {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["nth"], r["doc_id"], r["text"])):
-        (check if r["nth"] % 5 == 0 else teach).setdefault(r["lang"], []).append(r["text"])
-    model = Model(teach)
-    model.calibrate(check, slack, teach)
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    sample = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language)
+    nth = sample.groupBy("doc_id").agg(F.min("nth").alias("nth"))  # docs_per_language rows a language
+    rows = written(spark, known.join(F.broadcast(nth), "doc_id").select("lang", "nth", "text"), "labelled")
+    check = rows.filter("nth % 5 = 0")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in sliced(b, "text"):
+                langs = np.array(part.column("lang").to_pylist(), object)
+                for g in np.unique(langs):
+                    keys, n = counted(gram_keys(*letters(*text_column(part.column("text").filter(pa.array(langs == g))))))
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
+
+    found = rows.filter("nth % 5 <> 0").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    langs, counts = np.array(found["lang"].to_pylist(), object), {}
+    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    for g in np.unique(langs) if len(langs) else ():
+        own = np.flatnonzero(langs == g)
+        own = own[np.argsort(keys[own])]
+        counts[g] = keys[own], n[own]
+    model = Model(counts)
+    if not model.langs:
+        return model
+
+    shared = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            entropy, chars, usable = shared.value.entropies(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(chars), pa.array(usable)], ["lang", "entropy", "chars", "usable"])
+
+    measured = check.mapInArrow(measure, "lang string, entropy array<double>, chars long, usable boolean").collect()
+    place = {g: i for i, g in enumerate(model.langs)}
+    measured = sorted((place[r["lang"]], r["chars"], r["entropy"]) for r in measured if r["usable"] and r["lang"] in place)
+    truth = np.array([r[0] for r in measured], int)
+    few = [g for g, i in place.items() if (truth == i).sum() < FEW]
+    rare: dict[str, list[str]] = {}
+    for r in sorted(rows.filter(F.col("lang").isin(few)).collect(), key=lambda r: (r["nth"] % 5 == 0, r["nth"], r["text"])) if few else ():
+        rare.setdefault(r["lang"], []).append(r["text"])
+    model.calibrate(np.array([r[2] for r in measured], float).reshape(-1, len(place)), np.array([r[1] for r in measured], np.int64), truth, slack, rare)
     return model
 
 
@@ -281,19 +325,19 @@ PREDICTION = "lang_pred string, score double, rejected boolean, cross_entropy do
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _lang_pred, _score, _rejected and _cross_entropy behind its columns."""
+    """docs with _lang_pred, _score, _rejected and _cross_entropy behind its columns (with more _ before them if docs has such columns)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = StructType(list(docs.schema.fields))
     for field in PREDICTION.split(", "):
         name, kind = field.split()
-        out = out.add("_" + name, kind)
+        out = out.add(next(n for i in range(1, 99) if (n := "_" * i + name) not in docs.columns), kind)
     at = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = shared.value.predict(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, *found.columns], [*b.schema.names, *("_" + n for n in found.schema.names)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *found.columns], out.names)
 
     return docs.mapInArrow(predict, out)
 
@@ -312,6 +356,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text isn't rejected, by a model taught by docs itself."""
-    found = identify(docs, train(docs.filter(~held_out())))
-    return found.filter(~F.col("_rejected")).select(*docs.columns)
+    """The rows of docs whose text isn't rejected, by a model taught by docs itself. Its columns may have any names."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(train(docs.filter(~held_out())))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pc.invert(shared.value.predict(b.column(at)).column("rejected")))
+
+    return docs.mapInArrow(keep, docs.schema)

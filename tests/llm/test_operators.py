@@ -425,7 +425,7 @@ def test_sharding_repeated_rows(spark):
 
 
 def test_language_model_sums_to_one():
-    model = langid.Model({"a": ["the cat sat on the mat", "a rat"], "b": ["der hund und die katze"]})
+    model = langid.Model.of({"a": ["the cat sat on the mat", "a rat"], "b": ["der hund und die katze"]})
     symbols = sorted({int(k) for k in model.grams[1][0]})
     for context in ("the", " xq", "und"):
         base = sum(ord(c) << 16 * (3 - i) for i, c in enumerate(context))
@@ -435,6 +435,49 @@ def test_language_model_sums_to_one():
         assert p + left == pytest.approx([1, 1], abs=1e-4)
 
 
+def test_kneser_ney_by_the_definition():
+    rng = random.Random(16)
+    text = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(80))
+    model = langid.Model.of({"x": [text]})
+    padded = "   " + text
+    grams = {4: Counter(padded[i : i + 4] for i in range(len(text)))}
+    for k in (3, 2, 1):  # continuation counts
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    symbols = len({g[-1] for g in grams[4]}) + 1
+
+    def probability(g, k):
+        if k == 0:
+            return 1 / symbols
+        own, counts = g[4 - k :], grams[k]
+        once, twice = (sum(n == m for n in counts.values()) for m in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        after = [n for h, n in counts.items() if h[:-1] == own[:-1]]
+        lower = probability(g, k - 1)
+        return max(counts[own] - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower if after else lower
+
+    asked = [padded[i : i + 4] for i in range(60)] + ["".join(rng.choice("abcde ") for _ in range(4)) for _ in range(200)]
+    keys = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in asked], np.uint64)
+    assert np.exp(model.log_probabilities(keys).astype(float))[:, 0] == pytest.approx([probability(g, 4) for g in asked], rel=1e-4)
+
+
+def test_rejection_of_a_language_left_out(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("lang is not null and n_chars > 100").select("doc_id", "text", "lang")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    for out in langs:
+        model = langid.train(docs.filter((F.col("lang") != out) & ~langid.held_out()))
+        found = langid.identify(docs.filter(langid.held_out()), model).groupBy((F.col("lang") == out).alias("foreign")).agg(F.avg(F.col("_rejected").cast("double")).alias("rejected")).collect()
+        rejected = {r.foreign: r.rejected for r in found}
+        assert rejected[True] > 0.8 and rejected[False] < 0.01
+
+
+def test_language_id_keeps_columns_of_any_name(spark):
+    rows = [(i, "the cat sat on the mat and ran" if i % 2 else "der hund und die katze sind da", "en" if i % 2 else "de", 1, True) for i in range(30)]
+    docs = spark.createDataFrame([*rows, (None, None, None, 2, None)], "doc_id long, text string, lang string, _score int, _rejected boolean")
+    kept = langid.keep_identified(spark, docs)
+    assert kept.columns == docs.columns and kept.count() == 30
+    assert langid.identify(docs, langid.train(docs)).columns == [*docs.columns, "_lang_pred", "__score", "__rejected", "_cross_entropy"]
+
+
 def test_language_id(spark, documents, no_documents):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = {r.doc_id: r for r in queries.QUERIES["op2_language_id"](spark, DATA).collect()}
@@ -466,7 +509,7 @@ def test_rare_languages_reject_too(spark, n):
 
 
 def test_long_text_scores_like_its_pieces():
-    model = langid.Model({"a": ["the cat sat on the mat " * 5], "b": ["der hund und die katze " * 5]})
+    model = langid.Model.of({"a": ["the cat sat on the mat " * 5], "b": ["der hund und die katze " * 5]})
     text = "the cat und die mat " * 60_000
     whole, n, _ = model.entropies(pa.array([text]))
     chars, at = langid.letters(*words.text_column(pa.array([text])))
@@ -490,6 +533,24 @@ def test_quality(spark, documents, no_documents):
     assert quality.scored(no_documents, model).count() == 0
 
 
+def test_discriminant_by_the_definition():
+    rng = np.random.default_rng(17)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + y[:, None] * np.array([1.0, -0.5, 0.2, 0.0])
+    model = quality.Discriminant(x, y)
+    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-3)
+    share = np.array([(y == c).mean() for c in (0, 1)])
+    pooled = sum(share[c] * np.cov(z[y == c], rowvar=False) for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        s = (1 - model.pool) * np.cov(z[y == c], rowvar=False) + model.pool * pooled
+        s = (1 - model.ridge) * s + model.ridge * np.trace(s) / 4 * np.eye(4)
+        d = z - z[y == c].mean(axis=0)
+        logs.append(np.log(share[c]) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    assert model.margin(x) == pytest.approx(logs[1] - logs[0])
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(-(model.slope * (logs[1] - logs[0]) + model.shift))))
+
+
 def test_quality_statistics_do_not_depend_on_neighbours(hard_texts):
     together = quality.statistics(pa.array(hard_texts))
     for i, t in enumerate(hard_texts[:40]):
