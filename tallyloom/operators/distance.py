@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions.stats import jaccard
 from tallyloom.functions.text import lexical_distance
 
+MAX_ROWS = 20_000
+
 
 def normalized_features(features: DataFrame, by: list[str]) -> DataFrame:
     """by, run, feature (block:feature), value with unit norm by run, after unit norm by block."""
@@ -22,8 +24,11 @@ def normalized_features(features: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pairs_of(runs: DataFrame, by: list[str]) -> DataFrame:
-    """by, left, right: each unordered pair of the runs of a group once. For groups of a bounded size, such as one experiment."""
-    sides = runs.groupBy(*by).agg(F.array_sort(F.collect_set("run")).alias("_runs"))
+    """by, left, right: each unordered pair of the runs of a group once. For groups of a bounded size, such as one experiment; larger ones are an error."""
+    sizes = runs.groupBy(*by).agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") <= MAX_ROWS, F.lit(True)).otherwise(F.raise_error(F.format_string(f"a group of %d rows is too large for all pairs; at most {MAX_ROWS}", "_n")).cast("boolean"))
+    checked = runs.join(sizes.filter(fits).select(*by), by, "left_semi") if by else runs  # fails before a group is gathered
+    sides = checked.groupBy(*by).agg(F.array_sort(F.collect_set("run")).alias("_runs"))
     left = sides.select(*by, "_runs", F.posexplode("_runs").alias("_i", "left"))
     return left.select(*by, "left", F.explode(F.slice("_runs", F.col("_i") + 2, F.size("_runs"))).alias("right"))
 

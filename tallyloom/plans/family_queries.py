@@ -9,38 +9,9 @@ from tallyloom.operators import cluster as C
 from tallyloom.operators import distance as D
 from tallyloom.operators import families as A
 from tallyloom.plans.rate_queries import rounded
-from tallyloom.plans.registry import SQL, query
+from tallyloom.plans.registry import query
 from tallyloom.plans.shared import table
 
-# What the SQL of these queries is bound to; each of them has a query over the whole table beside it (_whole)
-SAMPLE, USERS, TRACED, ITEMS, EDITED, CALLED = 200, 60, 40, 40, 12, 30
-
-
-def first(df, column, bound):
-    """The rows whose column is below the bound; all of them where there is none."""
-    return df if bound is None else df.filter(F.col(column) < bound)
-
-
-def whole(bounded, sql: str | None = None) -> None:
-    """Register the query over whole tables, under the bounded one's name and _whole."""
-
-    def run(spark, sf_dir):
-        return bounded(spark, sf_dir, None)
-
-    run.__name__ = f"{bounded.__name__}_whole"
-    query(sql)(run)
-
-
-def unbound(name: str, *conditions: str) -> str:
-    """The SQL of a bounded query without its conditions."""
-    sql = SQL[name]
-    for c in conditions:
-        if c not in sql:
-            raise ValueError(f"{name} has no {c!r}")
-        sql = sql.replace(c, "")
-    return sql
-
-
 @query("""
 WITH s AS (SELECT lang, source, count(*) AS size FROM documents GROUP BY lang, source), t AS (SELECT *, sum(size) OVER (PARTITION BY lang) AS n FROM s)
 SELECT lang, count(*) AS raw_count, max(n)::BIGINT AS n, round(-sum(size / n * ln(size / n)), 6) + 0.0 AS entropy_nats, round(-sum(size / n * log2(size / n)), 6) + 0.0 AS entropy_bits,
@@ -106,23 +77,23 @@ def partition_agreement(spark, sf_dir):
 
 
 COSINE = """
-WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 200),
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 p AS (SELECT a.vec_id AS l, b.vec_id AS r, a.label AS label_l, b.label AS label_r, 1 - greatest(-1.0, least(1.0, list_cosine_similarity(a.e, b.e))) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id)
 """
 
 
-def vectors(spark, sf_dir, bound=None):
-    return first(table(spark, sf_dir, "embeddings"), "vec_id", bound).select(F.lit("all").alias("space"), F.col("vec_id").alias("run"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.lit("all").alias("space"), F.col("vec_id").alias("run"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
 @query(COSINE + 'SELECT l AS "left", r AS "right", round(distance, 5) AS distance FROM p')
-def cosine_pairs(spark, sf_dir, bound=SAMPLE):
-    return D.vector_pairs(vectors(spark, sf_dir, bound), ["space"], "run", "vector").select("left", "right", F.round("distance", 5).alias("distance"))
+def cosine_pairs(spark, sf_dir):
+    return D.vector_pairs(vectors(spark, sf_dir), ["space"], "run", "vector").select("left", "right", F.round("distance", 5).alias("distance"))
 
 
 @query(COSINE + "SELECT round(avg(distance), 6) AS mean_distance, count(*) AS n_pairs FROM p")
-def mean_pairwise(spark, sf_dir, bound=SAMPLE):
-    return rounded(D.mean_pairwise(D.vector_pairs(vectors(spark, sf_dir, bound), ["space"], "run", "vector"), ["space"]).drop("space"))
+def mean_pairwise(spark, sf_dir):
+    return rounded(D.mean_pairwise(D.vector_pairs(vectors(spark, sf_dir), ["space"], "run", "vector"), ["space"]).drop("space"))
 
 
 @query(COSINE + """,
@@ -131,8 +102,8 @@ m AS (SELECT family, run, avg(distance) AS mean FROM b GROUP BY family, run)
 SELECT v.label AS family, count(*) AS size, arg_min(v.vec_id, (round(coalesce(m.mean, 0), 9), v.vec_id)) AS medoid,
   round(coalesce((SELECT avg(distance) FROM b WHERE b.family = v.label), 0), 6) AS mean_distance, round(coalesce((SELECT max(distance) FROM b WHERE b.family = v.label), 0), 6) AS max_distance
 FROM v LEFT JOIN m ON m.run = v.vec_id GROUP BY v.label""")
-def representatives(spark, sf_dir, bound=SAMPLE):
-    v = vectors(spark, sf_dir, bound)
+def representatives(spark, sf_dir):
+    v = vectors(spark, sf_dir)
     labels = v.select("space", "run", F.col("label").alias("family"))
     return rounded(D.representatives(labels, D.vector_pairs(v, ["space"], "run", "vector"), ["space"]).drop("space"))
 
@@ -142,8 +113,8 @@ b AS (SELECT l AS run, label_l AS own, label_r AS other, distance FROM p UNION A
 m AS (SELECT run, own, other, avg(distance) AS d FROM b GROUP BY run, own, other),
 s AS (SELECT run, own, max(d) FILTER (WHERE own = other) AS a, min(d) FILTER (WHERE own <> other) AS b FROM m GROUP BY run, own)
 SELECT count(*) AS n, count(DISTINCT own) AS families, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
-def silhouette(spark, sf_dir, bound=SAMPLE):
-    v = vectors(spark, sf_dir, bound)
+def silhouette(spark, sf_dir):
+    v = vectors(spark, sf_dir)
     labels = v.select("space", "run", F.col("label").alias("family"))
     return rounded(D.silhouette(labels, D.vector_pairs(v, ["space"], "run", "vector"), ["space"]).drop("space"))
 
@@ -168,9 +139,9 @@ def bootstrap_ci(spark, sf_dir):
     return C.bootstrap(vectors(spark, sf_dir), ["space"], 0.5, replicates=100, chunk=13, k_max=5)
 
 
-def event_features(spark, sf_dir, users: int | None = None):
+def event_features(spark, sf_dir):
     """Event types and value bands of users as two blocks of features."""
-    e = first(table(spark, sf_dir, "events").filter("user_id is not null"), "user_id", users)
+    e = table(spark, sf_dir, "events").filter("user_id is not null")
     kinds = e.select(F.lit("all").alias("space"), F.col("user_id").alias("run"), F.lit("kind").alias("block"), F.col("event_type").alias("feature"), F.lit(1.0).alias("value"))
     bands = e.select(F.lit("all").alias("space"), F.col("user_id").alias("run"), F.lit("band").alias("block"), F.floor(F.col("value") / 20).cast("string").alias("feature"), F.lit(1.0).alias("value"))
     return kinds.unionByName(bands)
@@ -182,14 +153,14 @@ def ablation(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT user_id AS run, 'kind' AS block, event_type AS feature, count(*) AS v FROM events WHERE user_id < 60 GROUP BY ALL
-  UNION ALL SELECT user_id, 'band', CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR), count(*) FROM events WHERE user_id < 60 AND value IS NOT NULL GROUP BY ALL),
+WITH f AS (SELECT user_id AS run, 'kind' AS block, event_type AS feature, count(*) AS v FROM events WHERE user_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT user_id, 'band', CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR), count(*) FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
 b AS (SELECT run, block || ':' || feature AS feature, v / sqrt(sum(v * v) OVER (PARTITION BY run, block)) AS v FROM f),
 n AS (SELECT run, feature, v / sqrt(sum(v * v) OVER (PARTITION BY run)) AS v FROM b)
 SELECT a.run AS "left", c.run AS "right", round(1 - least(1.0, coalesce(sum(a.v * c.v), 0)), 5) AS distance
 FROM (SELECT DISTINCT run FROM n) x JOIN (SELECT DISTINCT run FROM n) y ON x.run < y.run JOIN n a ON a.run = x.run JOIN n c ON c.run = y.run AND c.feature = a.feature GROUP BY a.run, c.run""")
-def feature_distances(spark, sf_dir, users=USERS):
-    f = event_features(spark, sf_dir, users).filter("feature is not null")
+def feature_distances(spark, sf_dir):
+    f = event_features(spark, sf_dir).filter("feature is not null")
     norm = D.normalized_features(f, ["space"])
     return D.cosine_distances(norm, f.select("space", "run").distinct(), ["space"]).select("left", "right", F.round("distance", 5).alias("distance"))
 
@@ -200,25 +171,28 @@ WORDS = "list_distinct(list_filter(string_split_regex(text, '[ \\n]+'), lambda w
 @query(f"""
 WITH b AS (SELECT item_id, {WORDS} AS w FROM benchmark)
 SELECT a.item_id AS "left", c.item_id AS "right", round(1 - len(list_intersect(a.w, c.w))::DOUBLE / len(list_distinct(list_concat(a.w, c.w))), 6) AS distance
-FROM b a JOIN b c ON a.item_id < c.item_id WHERE a.item_id < 40 AND c.item_id < 40""")
-def token_jaccard(spark, sf_dir, bound=ITEMS):
-    b = first(table(spark, sf_dir, "benchmark"), "item_id", bound).select(F.lit("all").alias("space"), F.col("item_id").alias("run"), F.array_distinct(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("w"))
+FROM b a JOIN b c ON a.item_id < c.item_id""")
+def token_jaccard(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("space"), F.col("item_id").alias("run"), F.array_distinct(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("w"))
     pairs = D.pairs_of(b.select("space", "run"), ["space"])
     for s in ("left", "right"):
         pairs = pairs.join(b.select(F.col("run").alias(s), F.col("w").alias(f"w_{s}")), s)
     return rounded(pairs.select("left", "right", D.token_jaccard_distance("w_left", "w_right").alias("distance")))
 
 
-@query("""
-SELECT a.item_id AS "left", c.item_id AS "right", round(levenshtein(a.text, c.text)::DOUBLE / greatest(length(a.text), length(c.text)), 6) AS distance
-FROM benchmark a JOIN benchmark c ON a.item_id < c.item_id WHERE a.item_id < 12 AND c.item_id < 12 AND length(a.text) = strlen(a.text) AND length(c.text) = strlen(c.text)""")
-def levenshtein_pairs(spark, sf_dir, bound=EDITED):
+# DuckDB's distance counts bytes: letters beyond ASCII stand for one byte each in the SQL
+LETTERS = "ÄÇÈÉÊÑÖÜßäçèéêíñóöü"
+ONE_BYTE = f"translate(text, '{LETTERS}', {' || '.join(f'chr({c})' for c in [*range(1, 9), *range(14, 14 + len(LETTERS) - 8)])})"
+
+
+@query(f"""
+WITH b AS (SELECT item_id, {ONE_BYTE} AS t FROM benchmark)
+SELECT a.item_id AS "left", c.item_id AS "right", round(levenshtein(a.t, c.t)::DOUBLE / greatest(length(a.t), length(c.t)), 6) AS distance
+FROM b a JOIN b c ON a.item_id < c.item_id""")
+def levenshtein_pairs(spark, sf_dir):
     from tallyloom.functions.text import lexical_distance
 
-    b = first(table(spark, sf_dir, "benchmark"), "item_id", bound)
-    if bound is not None:  # DuckDB's distance counts bytes
-        b = b.filter(F.length("text") == F.octet_length("text"))
-    b = b.select(F.lit("all").alias("space"), F.col("item_id").alias("run"), "text")
+    b = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("space"), F.col("item_id").alias("run"), "text")
     pairs = D.pairs_of(b.select("space", "run"), ["space"])
     for s in ("left", "right"):
         pairs = pairs.join(b.select(F.col("run").alias(s), F.col("text").alias(f"t_{s}")), s)
@@ -235,11 +209,11 @@ CALLS = "list_distinct(regexp_extract_all(text, '([A-Za-z_]+)\\s*[(.]', 1))"
 
 
 @query(f"""
-WITH b AS (SELECT item_id, {CALLS} AS w FROM benchmark WHERE item_id < 30)
+WITH b AS (SELECT item_id, {CALLS} AS w FROM benchmark)
 SELECT a.item_id AS "left", c.item_id AS "right", round(CASE WHEN len(a.w) + len(c.w) = 0 THEN 0.0 ELSE 1 - len(list_intersect(a.w, c.w))::DOUBLE / len(list_distinct(list_concat(a.w, c.w))) END, 6) AS distance
 FROM b a JOIN b c ON a.item_id < c.item_id""")
-def callset_distance(spark, sf_dir, bound=CALLED):
-    b = first(table(spark, sf_dir, "benchmark"), "item_id", bound).select(F.lit("all").alias("space"), F.col("item_id").alias("run"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]+)\s*[(.]"), F.lit(1))).alias("w"))
+def callset_distance(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("space"), F.col("item_id").alias("run"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]+)\s*[(.]"), F.lit(1))).alias("w"))
     pairs = D.pairs_of(b.select("space", "run"), ["space"])
     for s in ("left", "right"):
         pairs = pairs.join(b.select(F.col("run").alias(s), F.col("w").alias(f"w_{s}")), s)
@@ -256,14 +230,14 @@ def spearman(spark, sf_dir):
     return rounded(D.spearman(e, ["event_type"], "value", "k"))
 
 
-def traces(spark, sf_dir, users=TRACED):
+def traces(spark, sf_dir):
     """Users as runs, their first events of each type as cases, whether the value is high as verdict."""
-    e = first(table(spark, sf_dir, "events").filter("user_id is not null"), "user_id", users)
+    e = table(spark, sf_dir, "events").filter("user_id is not null")
     return e.groupBy(F.lit("all").alias("space"), F.col("user_id").alias("run"), F.col("event_type").alias("case_id")).agg(F.when(F.coalesce(F.avg("value"), F.lit(0)) > 50, "PASS").otherwise("FAIL").alias("verdict"))
 
 
 TRACES = """
-WITH t AS (SELECT user_id AS run, event_type AS case_id, CASE WHEN coalesce(avg(value), 0) > 50 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM events WHERE user_id < 40 GROUP BY ALL),
+WITH t AS (SELECT user_id AS run, event_type AS case_id, CASE WHEN coalesce(avg(value), 0) > 50 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
 i AS (SELECT run, string_agg(case_id, ',' ORDER BY case_id) AS ids FROM t GROUP BY run),
 p AS (SELECT a.run AS l, b.run AS r, a.ids = b.ids AS same FROM i a JOIN i b ON a.run < b.run),
 d AS (SELECT p.l, p.r, same, count(y.run) FILTER (WHERE same) AS n, avg(CASE WHEN x.verdict <> y.verdict THEN 1 ELSE 0 END) FILTER (WHERE same) AS distance
@@ -272,47 +246,37 @@ d AS (SELECT p.l, p.r, same, count(y.run) FILTER (WHERE same) AS n, avg(CASE WHE
 
 
 @query(TRACES + 'SELECT l AS "left", r AS "right", CASE WHEN same THEN n END AS n_cases, round(distance, 6) AS distance FROM d')
-def verdict_disagreement(spark, sf_dir, users=TRACED):
-    return rounded(B.disagreement(traces(spark, sf_dir, users), ["space"]).drop("space"))
+def verdict_disagreement(spark, sf_dir):
+    return rounded(B.disagreement(traces(spark, sf_dir), ["space"]).drop("space"))
 
 
 @query(TRACES + "SELECT count(*) AS n_pairs, count(*) FILTER (WHERE NOT same) AS incomparable, CASE WHEN count(*) FILTER (WHERE NOT same) = 0 THEN round(avg(distance), 6) END AS mean_distance FROM d")
-def disagreement_summary(spark, sf_dir, users=TRACED):
-    return rounded(B.disagreement_summary(B.disagreement(traces(spark, sf_dir, users), ["space"]), ["space"]).drop("space"))
+def disagreement_summary(spark, sf_dir):
+    return rounded(B.disagreement_summary(B.disagreement(traces(spark, sf_dir), ["space"]), ["space"]).drop("space"))
 
 
 @query(TRACES + "SELECT count(*) AS runs, count(DISTINCT n) AS distinct_counts, count(DISTINCT n) <= 1 AS stable FROM (SELECT run, count(*) AS n FROM t GROUP BY run)")
-def case_count_stability(spark, sf_dir, users=TRACED):
-    return B.case_count_stability(traces(spark, sf_dir, users), ["space"]).drop("space")
+def case_count_stability(spark, sf_dir):
+    return B.case_count_stability(traces(spark, sf_dir), ["space"]).drop("space")
 
 
 @query(TRACES + "SELECT verdict, count(*) AS n, verdict = 'FAIL' AS failing FROM t GROUP BY verdict")
-def trace_counts(spark, sf_dir, users=TRACED):
-    return B.verdict_counts(traces(spark, sf_dir, users), ["space"]).drop("space")
+def trace_counts(spark, sf_dir):
+    return B.verdict_counts(traces(spark, sf_dir), ["space"]).drop("space")
 
 
 @query(TRACES + """SELECT run, count(*) AS n_cases, sha256('behavior' || chr(10) || chr(10) || '[' || string_agg('{"case_id":"' || case_id || '","verdict":"' || verdict || '"}', ',' ORDER BY case_id) || ']') AS fingerprint FROM t GROUP BY run""")
-def behavior_fingerprint(spark, sf_dir, users=TRACED):
-    return B.trace_fingerprints(traces(spark, sf_dir, users), ["space"]).drop("space")
+def behavior_fingerprint(spark, sf_dir):
+    return B.trace_fingerprints(traces(spark, sf_dir), ["space"]).drop("space")
 
 
 @query(TRACES + """, f AS (SELECT run, string_agg(case_id || verdict, ',' ORDER BY case_id) AS f FROM t GROUP BY run), g AS (SELECT f, count(*) AS size FROM f GROUP BY f)
 SELECT sum(size)::BIGINT AS n, count(*) AS distinct_hashes, round(count(*) / sum(size), 6) AS unique_rate, round(max(size) / sum(size), 6) AS modal_share FROM g""")
-def convergence_summary(spark, sf_dir, users=TRACED):
-    return rounded(A.exact_repetition(B.trace_fingerprints(traces(spark, sf_dir, users), ["space"]), ["space"], "fingerprint", "run").drop("space"))
+def convergence_summary(spark, sf_dir):
+    return rounded(A.exact_repetition(B.trace_fingerprints(traces(spark, sf_dir), ["space"]), ["space"], "fingerprint", "run").drop("space"))
 
 
 @query(TRACES + "SELECT 'visible::' || case_id AS case_id, count(*) AS n FROM t GROUP BY case_id UNION ALL SELECT 'heldout::' || case_id, count(*) FROM t GROUP BY case_id")
-def namespaced_union(spark, sf_dir, users=TRACED):
-    t = traces(spark, sf_dir, users)
+def namespaced_union(spark, sf_dir):
+    t = traces(spark, sf_dir)
     return B.namespaced(t, "visible").unionByName(B.namespaced(t, "heldout")).groupBy("case_id").agg(F.count("*").alias("n"))
-
-
-for _f in (cosine_pairs, mean_pairwise, representatives, silhouette):
-    whole(_f, unbound(_f.__name__, " WHERE vec_id < 200"))
-whole(feature_distances, SQL["feature_distances"].replace("user_id < 60", "user_id IS NOT NULL"))
-whole(token_jaccard, unbound("token_jaccard", " WHERE a.item_id < 40 AND c.item_id < 40"))
-whole(levenshtein_pairs)
-whole(callset_distance, unbound("callset_distance", " WHERE item_id < 30"))
-for _f in (verdict_disagreement, disagreement_summary, case_count_stability, trace_counts, behavior_fingerprint, convergence_summary, namespaced_union):
-    whole(_f, SQL[_f.__name__].replace("user_id < 40", "user_id IS NOT NULL"))

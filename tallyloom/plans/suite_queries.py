@@ -197,10 +197,10 @@ def chmod_runs(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, CAST(len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS INTEGER) AS lines FROM documents WHERE text <> '' AND NOT regexp_matches(text, '[\r\x0b\x0c\x1c-\x1e]') AND NOT contains(text, chr(133)) AND NOT contains(text, chr(8232)) AND NOT contains(text, chr(8233))""")
+WITH d AS (SELECT doc_id, regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS t FROM documents)
+SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) - CASE WHEN t LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS INTEGER) AS lines FROM d""")
 def physical_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text <> ''").filter(~F.col("text").rlike("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
-    return d.select("doc_id", X.physical_lines("text").alias("lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.physical_lines("text").alias("lines"))
 
 
 @query(r"""

@@ -1,5 +1,6 @@
 """Exact small cases of rates, families and clustering."""
 
+import difflib
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from tests.conftest import DATA
 
 from tallyloom.functions.stats import pass_at_k, register, wilson
 from tallyloom.operators import cluster as C
+from tallyloom.operators import distance as D
 from tallyloom.operators import families as A
 from tallyloom.operators import reliability as R
 from tallyloom.plans import catalog
@@ -144,11 +146,25 @@ def test_whole_tables(spark):
     users = n["events"].filter("user_id is not null").select("user_id").distinct().count()
     run = lambda q: catalog.queries()[q](spark, DATA)
     assert run("clusters").count() == vectors and run("vendi").first()["n"] == vectors
-    assert run("winnow_pairs").count() == run("levenshtein_pairs_whole").count() == items * (items - 1) // 2
-    assert run("cosine_pairs_whole").count() == vectors * (vectors - 1) // 2
-    assert run("behavior_fingerprint_whole").count() == users
-    turns = n["conversations"].filter("text is not null").count()
-    assert run("line_churn_whole").count() > run("line_churn").count() or turns == 0
+    assert run("winnow_pairs").count() == run("levenshtein_pairs").count() == items * (items - 1) // 2
+    assert run("cosine_pairs").count() == vectors * (vectors - 1) // 2
+    assert run("behavior_fingerprint").count() == users
+    turns = {}
+    for r in n["conversations"].orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.text))
+    expected = {}
+    for c, own in turns.items():
+        for (_, a), (t, b) in zip(own, own[1:], strict=False):
+            if a is not None and b is not None:
+                marks = [x[:2] for x in difflib.ndiff(a.splitlines(), b.splitlines())]
+                expected[(c, t)] = (marks.count("+ "), marks.count("- "))
+    assert {(r.conv_id, r.turn): (r.added, r.deleted) for r in run("line_churn").collect()} == expected
+    runs = spark.range(30).select(F.lit("all").alias("space"), F.col("id").alias("run"))
+    assert D.pairs_of(runs, ["space"]).count() == 435
+    limit, D.MAX_ROWS = D.MAX_ROWS, 29
+    with pytest.raises(Exception, match="too large for all pairs"):
+        D.pairs_of(runs, ["space"]).count()
+    D.MAX_ROWS = limit
 
 
 def test_levenshtein_of_all_letters(spark, tmp_path):
@@ -164,5 +180,5 @@ def test_levenshtein_of_all_letters(spark, tmp_path):
             row = new
         return row[-1]
 
-    got = {(r["left"], r["right"]): r["distance"] for r in catalog.queries()["levenshtein_pairs_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["left"], r["right"]): r["distance"] for r in catalog.queries()["levenshtein_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): round(edits(a, b) / max(len(a), len(b)), 6) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j}

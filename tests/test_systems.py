@@ -64,11 +64,7 @@ def test_walk_and_links(spark):
 
 
 def test_suites(spark):
-    assert O.check_options(["-n", "-M"]) == ("CONFLICT", "C1_mode_incompat", 2) and O.check_options(["-r"]) == ("OK", None, 0)
-    assert O.check_options(["-c", "-C", "-o"])[1] == "C2_cC" and O.check_options(["--sort"], {"--sort": ["x"]}) == ("CONFLICT", "C18_bad_sort_word", 1)
-    assert O.check_options(["-t"], {"-t": ["a", "b"]})[1] == "C8_incompat_tabs" and O.check_options(["-S"], {"-S": ["1q"]})[1] == "C14_bad_size"
-    assert O.valid_key("1.2b,3.0") and not O.valid_key("0") and not O.valid_key("1.0") and not O.valid_key("1,2,3")
-    assert U.combination_frame(spark, ["-n", "-M", "-r"], 2).count() == 2
+    assert {tuple(r.flags): r.rule for r in U.combination_frame(spark, ["-n", "-M", "-r"], 2).collect()} == {("-M", "-n"): "C1_mode_incompat", ("-M", "-r"): None, ("-n", "-r"): None}
     rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "name string, code int, text string")
     other = spark.createDataFrame([("b", 3, "y"), ("c", 1, "z")], "name string, code int, text string")
     assert sorted((r.name, r.kind, r.field) for r in U.case_diff(rows, other, ["name"], {"code": True, "text": False}).collect()) == [("a", "only_fresh", None), ("b", "differs", "code"), ("c", "only_committed", None)]
@@ -189,6 +185,38 @@ def test_report_parts(spark, tmp_path):
     assert "Started N = 3" in P.markdown_report("t", 3, [{"n": 2, "rate": None}])
 
 
+def test_option_rules(spark):
+    cases = [
+        (["-n", "-M"], {}, 0, "C1_mode_incompat", 2), (["-r", "-s"], {}, 1, None, 0), (["-d", "-i", "-V"], {}, 0, None, 0), (["-n", "--sort"], {"--sort": ["month"]}, 0, "C1_mode_incompat", 2),
+        (["-k"], {"-k": ["1n,1M"]}, 0, "C1_mode_incompat", 2), (["-k"], {"-k": ["1.2b,3.0"]}, 0, None, 0), (["-k"], {"-k": ["0"]}, 0, "C15_bad_key", 2), (["-k"], {"-k": ["1.0"]}, 0, "C15_bad_key", 2), (["-k"], {"-k": ["1,2,3"]}, 0, "C15_bad_key", 2),
+        (["-c", "-C", "-o"], {}, 0, "C2_cC", 2), (["-c"], {}, 2, "C3_check_multifile", 2), (["--check", "-o"], {"--check": ["quiet"]}, 1, "C4_check_output", 2), (["--debug", "-o"], {}, 0, "C5_debug_incompat", 2),
+        (["-t"], {"-t": ["a", "b"]}, 0, "C8_incompat_tabs", 2), (["-t"], {"-t": ["", ""]}, 0, "C6_empty_tab", 2), (["-t"], {"-t": ["ab"]}, 0, "C7_multichar_tab", 2), (["-t"], {"-t": ["é"]}, 0, "C7_multichar_tab", 2), (["-t"], {"-t": ["\\0"]}, 0, None, 0),
+        (["-o"], {"-o": ["x", "y"]}, 0, "C9_multi_output", 2), (["-o"], {"-o": ["x", "x"]}, 0, None, 0), (["--compress-program"], {"--compress-program": ["x", "y"]}, 0, "C10_multi_compress", 2), (["--random-source"], {"--random-source": ["x", "y"]}, 0, "C10_multi_randsrc", 2),
+        (["--batch-size"], {"--batch-size": ["1"]}, 0, "C11_batch_small", 2), (["--batch-size"], {"--batch-size": ["9999"]}, 0, "C12_batch_large", 2), (["--batch-size"], {"--batch-size": ["16"]}, 0, None, 0), (["--parallel"], {"--parallel": ["x"]}, 0, "C13_parallel_zero", 2),
+        (["-S"], {"-S": ["1q"]}, 0, "C14_bad_size", 2), (["-S"], {"-S": ["50%"]}, 0, None, 0), (["--files0-from"], {"--files0-from": ["l"]}, 1, "C16_files0_operand", 2), (["--sort"], {"--sort": ["x"]}, 0, "C18_bad_sort_word", 1), (["--check"], {"--check": ["x"]}, 0, "C18_bad_check_word", 1), (["-q"], {}, 0, "unknown_flag", 2),
+    ]
+    calls = spark.createDataFrame([(f, v, n, 1000) for f, v, n, _, _ in cases], "flags array<string>, given map<string,array<string>>, files int, open int")
+    got = O.validated(calls, values="given", files="files", open_files="open").collect()
+    assert [(r.flags, r.rule, r.status) for r in got] == [(f, rule, status) for f, _, _, rule, status in cases]
+    assert len({rule for *_, rule, _ in cases}) == 21  # every rule, and none
+    assert [r.verdict for r in O.validated(calls.select("flags")).collect()][:2] == ["CONFLICT", "OK"]
+    with pytest.raises(ValueError):
+        O.Key.parse("1,0")
+
+
+def test_general_and_version_orders_of_odd_lines(spark, tmp_path):
+    import subprocess
+
+    numbers = ["5abc", "3", "1e1x", "", "abc", "-2", "+7", " 4", "1e", "0x1A", "-0x2", "inf", "-inf", "nan", "NaN", ".5", "5.", "-.", "1e-3", "--1", "-0", "0", "1e5z", "infinity", "00012"]
+    versions = ["", ".", "..", ".a", ".a1", "a", "a1", "a01", "a0", "a10", "a9", "a.b", "a.tar.gz", "a1.tar", "a.1", "a~", "a~1", "a-1", "a_1", "A", "1", "01", "10", "9", "1.2.10", "1.2.9", "1.2~", "1.2", "x" + "9" * 46, "x" + "1" * 41, "x2.c", "x10.c", "é1", "é", "a b", "b~.c"]
+    for lines, letter in ((numbers, "g"), (versions, "V")):
+        path = tmp_path / letter
+        path.write_text("".join(x + "\n" for x in lines))
+        theirs = subprocess.run(["sort", f"-{letter}", str(path)], capture_output=True, env={"LC_ALL": "C", "PATH": "/usr/bin:/bin"}).stdout.decode().split("\n")[:-1]
+        df, keys = O.with_keys(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "line string, line_no int"), O.Options(letter))
+        assert [r.line for r in df.orderBy(*keys).collect()] == theirs
+
+
 def test_sort_orders(spark, tmp_path):
     import subprocess
 
