@@ -65,10 +65,19 @@ def cwe_ids(x) -> Column:
     return F.transform(numbers, lambda n: F.concat(F.lit("CWE-"), n.cast("string")))
 
 
+# repeats are unrolled, so long literals and comments don't exhaust the matcher's stack
+LITERALS = r""""[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'"""
+COMMENTS = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|//[^\n]*"
+
+
+def code_only(x) -> Column:
+    """Source with each literal and comment as a space."""
+    return F.regexp_replace(_c(x), f"{LITERALS}|{COMMENTS}", " ")
+
+
 def normal_source(x) -> Column:
     """C source without comments (string and character literals respected), white space collapsed."""
-    literal_or_comment = r"""("(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\]|\\[\s\S])*')|/\*[\s\S]*?\*/|//[^\n]*"""
-    bare = F.regexp_replace(_c(x), literal_or_comment, "$1")
+    bare = F.regexp_replace(_c(x), f"({LITERALS})|{COMMENTS}", "$1")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import rate, six_numbers
-from tallyloom.functions.text import cwe_ids
+from tallyloom.functions.text import code_only, cwe_ids
 
 # Required columns of the scanner's CSV, and call classes
 REQUIRED = ["File", "Line", "Column", "DefaultLevel", "Level", "Category", "Name", "Warning", "Suggestion", "CWEs", "Fingerprint", "ToolVersion"]
-UNSAFE_CALLS = ["gets", "strcpy", "strcat", "sprintf", "vsprintf", "scanf", "sscanf", "fscanf"]
-BOUNDED_CALLS = ["fgets", "strncpy", "strncat", "snprintf", "vsnprintf", "getline", "memcpy", "memmove"]
-HEAP_CALLS = ["malloc", "calloc", "realloc", "free"]
+UNSAFE_CALLS = ["strcpy", "strcat", "sprintf", "gets", "vsprintf"]
+BOUNDED_CALLS = ["strncpy", "strncat", "snprintf", "memcpy", "memmove", "stpcpy"]
+HEAP_CALLS = ["malloc", "calloc", "realloc", "free", "strdup", "reallocarray"]
 
 
 def parse_findings(csv: DataFrame) -> DataFrame:
@@ -62,8 +62,8 @@ def cwe_distribution(findings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def construct_profile(runs: DataFrame, source: str) -> DataFrame:
-    """Counts of unsafe, bounded and heap calls in the source of each run."""
-    calls = F.regexp_extract_all(F.col(source), F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))
+    """Counts of unsafe, bounded and heap calls in the source of each run, comments and literals left out."""
+    calls = F.regexp_extract_all(code_only(source), F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))
     count = lambda names: F.size(F.filter(calls, lambda c: c.isin(names)))
     return runs.withColumns({"unsafe_calls": count(UNSAFE_CALLS), "bounded_calls": count(BOUNDED_CALLS), "heap_calls": count(HEAP_CALLS)})
 

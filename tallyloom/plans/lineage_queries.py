@@ -231,13 +231,22 @@ def max_level_distribution(spark, sf_dir):
     return S.max_level_distribution(profiles(spark, sf_dir), [])
 
 
-@query("""
-WITH c AS (SELECT page_id, regexp_extract_all(html, '\\b([A-Za-z_]\\w*)\\s*\\(', 1) AS calls FROM pages)
-SELECT page_id, len(list_filter(calls, lambda x: x IN ('gets', 'strcpy', 'strcat', 'sprintf', 'vsprintf', 'scanf', 'sscanf', 'fscanf'))) AS unsafe_calls,
-  len(list_filter(calls, lambda x: x IN ('fgets', 'strncpy', 'strncat', 'snprintf', 'vsnprintf', 'getline', 'memcpy', 'memmove'))) AS bounded_calls,
-  len(list_filter(calls, lambda x: x IN ('malloc', 'calloc', 'realloc', 'free'))) AS heap_calls FROM c""")
+#: calls of every class, some of none, and names that only contain one
+CALLED = ["strcpy", "strcat", "sprintf", "gets", "vsprintf", "strncpy", "strncat", "snprintf", "memcpy", "memmove", "stpcpy", "malloc", "calloc", "realloc", "free", "strdup", "reallocarray", "scanf", "fgets", "my_strcpy", "freed", "getline"]
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, {CALLED} AS names FROM part),
+c AS (SELECT p_partkey, [names[1 + CAST(p_partkey % 22 AS INTEGER)], names[1 + CAST(p_partkey * 7 % 22 AS INTEGER)], names[1 + CAST(p_partkey * 5 % 22 AS INTEGER)]] AS calls FROM n)
+SELECT p_partkey, len(list_filter(calls, lambda x: x IN ('strcpy', 'strcat', 'sprintf', 'gets', 'vsprintf'))) AS unsafe_calls,
+  len(list_filter(calls, lambda x: x IN ('strncpy', 'strncat', 'snprintf', 'memcpy', 'memmove', 'stpcpy'))) AS bounded_calls,
+  len(list_filter(calls, lambda x: x IN ('malloc', 'calloc', 'realloc', 'free', 'strdup', 'reallocarray'))) AS heap_calls FROM c""")
 def construct_profile(spark, sf_dir):
-    return S.construct_profile(table(spark, sf_dir, "pages").select("page_id", "html"), "html").drop("html")
+    """Each part has a source with three calls; what stands in comments and literals is no call."""
+    k, names = F.col("p_partkey"), F.array(*map(F.lit, CALLED))
+    name = lambda m: F.get(names, (k * m % len(CALLED)).cast("int"))
+    code = F.concat(F.lit("/* strcpy(x); */ // free(y)\nchar *s = \"gets(\\\"z\"; char c = '('; "), name(1), F.lit("(a); "), name(7), F.lit(" (b, "), name(5), F.lit("\n(c));"))
+    return S.construct_profile(table(spark, sf_dir, "part").select("p_partkey", code.alias("source")), "source").drop("source")
 
 
 @query(FINDINGS + """, g AS (SELECT lineage, run AS to_run, lag(run) OVER (PARTITION BY lineage ORDER BY run) AS from_run FROM r),
