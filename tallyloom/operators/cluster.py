@@ -243,3 +243,21 @@ def ablation(features: DataFrame, by: list[str], representations: dict[str, list
 
     stats = family_stats(found, [*by, "representation"], "family")
     return stats.join(adjusted_rand(found.join(base, [*by, "run"]), [*by, "representation"], "family", "base").select(*by, "representation", "ari"), [*by, "representation"])
+
+
+def linkage_table(vectors: DataFrame, by: list[str], run: str = "run", vector: str = "vector") -> DataFrame:
+    """by, step, left, right, distance, size: the merges of average linkage, each named by its clusters' first runs; what a dendrogram is drawn from."""
+    kind = vectors.select(run).schema[0].dataType.simpleString()
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in vectors.select(*by).schema)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs, x = _matrix(pdf, run, vector)
+        merges, size = average_linkage(cosine_matrix(x)), {i: 1 for i in range(len(runs))}
+        rows = []
+        for step, (a, b, height) in enumerate(merges):
+            size[a] += size[b]
+            rows.append((step, runs[a], runs[b], height, size[a]))
+        out = pd.DataFrame(rows, columns=["step", "left", "right", "distance", "size"])
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(out) for c in by}, **{c: out[c] for c in out}})
+
+    return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(merge, f"{kinds}step int, left {kind}, right {kind}, distance double, size int")

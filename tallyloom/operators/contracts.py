@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import signal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Options of the search command and the feature that each belongs to
@@ -97,3 +97,13 @@ def signal_number(name: str) -> int:
         return int(getattr(signal.Signals, name if name.startswith("SIG") else f"SIG{name}"))
     except AttributeError:
         raise ValueError(f"unknown signal: {name}") from None
+
+
+def flat_names(files: DataFrame, path: str = "path") -> DataFrame:
+    """files with flat_name: the base name, or parent__n__base for the n-th file (from 2, in the order of paths) of a base name."""
+    parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
+    base, parent = F.element_at(parts, -1), F.coalesce(F.nullif(F.get(parts, F.size(parts) - 2), F.lit("")), F.lit("root"))
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy(path))
+    rows = files.withColumn("_base", base).withColumn("_n", nth)
+    name = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("__", parent, F.col("_n").cast("string"), F.col("_base")))
+    return rows.withColumn("flat_name", name).drop("_base", "_n")

@@ -173,3 +173,36 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         both = both.join(places, [*by, c])
     out = both.groupBy(*by).agg(F.count("*").alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("_r"))
     return out.select(*by, "n", F.when((F.col("n") >= 2) & ~F.isnan("_r"), F.col("_r")).alias("rho"))
+
+
+def spearman_matrix(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """by, left, right, n, rho for all ordered pairs of metrics, each over the rows that have both; the diagonal is 1 wherever a metric has two values."""
+    pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(metrics) for b in metrics[i:]]
+    half = spearman(rows.select(*by, F.inline(F.array(*pairs))), [*by, "left", "right"], "x", "y")
+    half = half.withColumn("rho", F.when((F.col("left") == F.col("right")) & (F.col("n") >= 2), 1.0).otherwise(F.col("rho")))
+    other = half.filter("left <> right").select(*by, F.col("right").alias("left"), F.col("left").alias("right"), "n", "rho")
+    return half.unionByName(other)
+
+
+def validation_distances(pairs: DataFrame, left: str, right: str, left_tokens: str, right_tokens: str, left_calls: str, right_calls: str, max_nodes: int = 20_000) -> DataFrame:
+    """pairs with the four distances that clusters are validated by: lexical, winnowing, tree and call set. left and right: sources."""
+    from tallyloom.operators.source_features import tree_distances
+
+    out = text_distances(pairs, left, right, left_tokens, right_tokens).drop("token_set")
+    out = out.withColumn("call_set", token_jaccard_distance(left_calls, right_calls))
+    return tree_distances(out, left, right, max_nodes)
+
+
+def decorated(runs: DataFrame, labels: DataFrame, medoids: DataFrame, by: list[str]) -> DataFrame:
+    """runs with family_id, family_size and is_medoid; null for runs that aren't clustered. labels: by, run, family; medoids: by, family, medoid."""
+    sizes = labels.groupBy(*by, "family").agg(F.count("*").alias("family_size"))
+    known = labels.join(sizes, [*by, "family"]).join(medoids.select(*by, "family", "medoid"), [*by, "family"], "left")
+    known = known.select(*by, "run", F.col("family").alias("family_id"), "family_size", (F.col("run") == F.col("medoid")).alias("is_medoid"))
+    return runs.join(known, [*by, "run"], "left")
+
+
+def change_bundle(pairs: DataFrame, by: list[str], churn: DataFrame, functions: DataFrame, nodes: DataFrame, actions: DataFrame) -> DataFrame:
+    """Everything about each change: churn (added, deleted), function_changes(), changed nodes (counter_delta() rows as a map), edit magnitude."""
+    packed = nodes.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "delta")))).alias("node_delta"), F.sum(F.abs("delta")).alias("nodes_changed"))
+    out = pairs.join(churn, by, "left").join(functions, by, "left").join(packed, by, "left").join(actions, by, "left")
+    return out.withColumn("nodes_changed", F.coalesce("nodes_changed", F.lit(0)))

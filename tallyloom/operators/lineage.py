@@ -131,3 +131,11 @@ def checkpoint_order(stages: DataFrame, declared: list[str] | None = None) -> Da
         return stages.sparkSession.createDataFrame([(c, i) for i, c in enumerate(declared)], "checkpoint string, pos int")
     first = stages.groupBy("checkpoint").agg(F.min(F.struct("lineage", "pos")).alias("_f"))  # a row for each checkpoint
     return first.withColumn("pos", F.row_number().over(Window.orderBy("_f")) - 1).drop("_f")
+
+
+def added_flags(stages: DataFrame, flags: str = "implemented_flags") -> DataFrame:
+    """lineage, pos, added_flags: what each stage but the first implements beyond the stage before, in text order."""
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.col(flags), none)
+    rows = stages.withColumns({"_before": F.coalesce(F.lag(flags).over(_stages()), none), "_nth": F.row_number().over(_stages())})
+    return rows.filter("_nth > 1").select("lineage", "pos", F.array_sort(F.array_except(own, F.col("_before"))).alias("added_flags"))

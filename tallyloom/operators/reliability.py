@@ -151,3 +151,8 @@ def populations(rows: DataFrame, complete: str, passing: str) -> DataFrame:
     c, p = _flag(complete), _flag(passing)
     names = F.array(F.lit("all"), F.when(c, "complete"), F.when(p, "passing"), F.when(c & p, "passing_complete"))
     return rows.withColumn("population", F.explode(F.array_compact(names)))
+
+
+def with_source(rows: DataFrame, members: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of a population's members (key) that have a source (key)."""
+    return rows.join(members.select(*key).distinct(), key, "left_semi").join(sources.select(*key).distinct(), key, "left_semi")

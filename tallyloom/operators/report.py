@@ -70,8 +70,7 @@ def paper_aggregate(rows: DataFrame, schema_version: int, first_by: str = "exper
     first = usable.agg(F.min_by("signature", first_by).alias("_s"))  # one row
     usable = usable.join(F.broadcast(first), F.col("signature") == F.col("_s")).drop("_s")
     nth = F.row_number().over(Window.partitionBy("experiment", "population").orderBy(F.desc("written_at"), "path"))
-    number = F.expr("try_cast(temperature as double)")
-    return usable.withColumn("_n", nth).filter("_n = 1").drop("_n").orderBy("issue", "checkpoint", "model", number.isNull(), number, "temperature")
+    return usable.withColumn("_n", nth).filter("_n = 1").drop("_n").orderBy("issue", "checkpoint", "model", *mixed_order("temperature"))
 
 
 def flat_columns(df: DataFrame, separator: str = ".") -> DataFrame:
@@ -153,3 +152,9 @@ def markdown_report(title: str, started: int, rows: list[dict]) -> str:
 def stage_record(*fields: str):
     """Fields in one record with unit separators; empty ones stay."""
     return F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+
+
+def mixed_order(column: str) -> list:
+    """What to order a text column by so that numbers come first, by value, then texts; nulls last."""
+    number = F.col(column).cast("string").try_cast("double")
+    return [F.when(F.col(column).isNull(), 2).when(number.isNull(), 1).otherwise(0).asc(), number.asc(), F.col(column).asc()]
