@@ -7,12 +7,14 @@ were searched with radius s and the rest with s - 1, every code within Hamming d
 search ends when the kth distance verified so far is within that bound, so results are exact, ties included (the
 smaller id wins).
 
-Rows are dealt into blocks of bounded size, and so are the queries; each pair of a query block and a row block
-is searched in one task, and the k best of each block are merged by query with a bounded aggregate.
+Rows are dealt into blocks of bounded size, and so are the queries; each pair of a query block and a row block is searched in one
+task, which builds the tables of the row block once for all queries of the other, and the k best of each block are
+merged by query with a bounded aggregate. Query blocks are large, so a row block is copied only a few times, and no smaller than
+it takes to keep all cores busy.
 
 A null or empty vector, or a null id, has no code: as a row it is found by no query, as a query it has no result.
-Vectors are compared with those of the same length only. A repeated id in the rows is a row of its own; a repeated
-id among the queries must come with equal vectors, and its results are then those of one query. A query finds itself too (distance 0), as it is a row
+Vectors are compared with those of the same length only. A repeated id in the rows is a row of its own; of a
+repeated id among the queries the vector that is first in the order of arrays is the query. A query finds itself too (distance 0), as it is a row
 like all others. Nulls in a vector count as 0.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 16
+LEAST_QUERIES = 64  # of a block that is smaller only to keep cores busy
 
 
 def codes_of(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +87,15 @@ def search_block(ids: np.ndarray, codes: np.ndarray, query_codes: np.ndarray, k:
     return out
 
 
-def exact_top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 32768, block_queries: int = 512) -> DataFrame:
+def exact_top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 1 << 17, block_queries: int = 1 << 15) -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance. rows and queries have vec_id and embedding."""
 
-    def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
-        df = df.select("vec_id", "embedding").filter("vec_id is not null and size(embedding) > 0")
-        n = max(1, -(-df.count() // size))
+    def known(df: DataFrame) -> DataFrame:
+        return df.select("vec_id", "embedding").filter("vec_id is not null and size(embedding) > 0")
+
+    def blocks(df: DataFrame, size: int, least: int = 1) -> tuple[DataFrame, int]:
+        n_rows = df.count()
+        n = max(1, -(-n_rows // size), min(least, -(-n_rows // LEAST_QUERIES)))
         return df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn("dims", F.size("embedding")), n
 
     def packed(t: pa.Table) -> pa.Table:
@@ -99,9 +105,11 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int
         return pa.table({"block": t["block"][:1].cast("int32"), "dims": t["dims"][:1].cast("int32"), "ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([codes.tobytes()], pa.binary())})
 
     schema = "block int, dims int, ids binary, codes binary"
-    (r, nr), (q, nq) = blocks(rows, block_rows), blocks(queries, block_queries)
+    r, nr = blocks(known(rows), block_rows)
+    q = known(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    q, nq = blocks(q, block_queries, -(-spark.sparkContext.defaultParallelism // nr))
     r = r.groupBy("block", "dims").applyInArrow(packed, schema)
-    q = q.dropDuplicates(["vec_id"]).groupBy("block", "dims").applyInArrow(packed, schema).select(F.col("block").alias("at"), "dims", F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
+    q = q.groupBy("block", "dims").applyInArrow(packed, schema).select(F.col("block").alias("at"), "dims", F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
     pairs = r.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, ["at", "dims"])
 
     def searched(batches):

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import few, fresh_path, release, remove, table, text_bytes, written
+from tallyloom.llm.common import few, fresh_path, release, remove, scratch, table, text_bytes, written
 from tallyloom.llm.decontaminate import SHINGLES_SQL
 from tallyloom.llm.exchange import NULL_ID, Layout, dealt, look_up, received, shared_hashes
 from tallyloom.llm.words import lower_words, mix, shared_shingles, shingle_sets
@@ -240,8 +240,13 @@ def _written_sets(spark: SparkSession, docs: DataFrame, layout: Layout) -> DataF
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text). The result is written, and all that led to it is removed."""
+    path = fresh_path(spark, "components")
+    with scratch(spark):
+        return written(spark, _components(spark, docs.select("doc_id", "text")), "components", path)
+
+
+def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     layout = Layout(text_bytes(docs), spare_bits=14)
     sets = _written_sets(spark, docs, layout)
     release(spark)  # the texts and hashes that were shuffled

@@ -335,6 +335,9 @@ def test_top_k(spark):
     assert hamming.exact_top_k(spark, df.limit(0), df, 3).count() == 0
     few = hamming.exact_top_k(spark, df.filter("vec_id < 3"), df.filter("vec_id = 0"), 10)
     assert few.count() == 3
+    twice = spark.createDataFrame([(1, [1.0, -1.0]), (1, [-1.0, -1.0]), (2, [-1.0, -1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.neighbor_id, r.distance) for r in hamming.exact_top_k(spark, twice, twice.filter("vec_id = 1"), 3).collect())
+    assert got == [(1, 0), (1, 1), (2, 0)]  # the vector that is first in order is the query
 
 
 def test_warc(spark, tmp_path):
