@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table, written
+from tallyloom.llm.common import fresh_path, scratch, table, written
 from tallyloom.llm.decontaminate import decontaminated
 from tallyloom.llm.jaccard import one_of_each
 from tallyloom.llm.langid import keep_identified
@@ -62,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(spark, stage(spark, docs, sf_dir), f"stage-{i + 1}")
+        path = fresh_path(spark, f"stage-{i + 1}")
+        with scratch(spark):  # what a stage writes on its way goes once its result is there
+            docs = written(spark, stage(spark, docs, sf_dir), f"stage-{i + 1}", path)
     return docs
