@@ -16,6 +16,7 @@ from tallyloom.operators import filesystem as FS
 from tallyloom.operators import judging as J
 from tallyloom.operators import lineage as L
 from tallyloom.operators import reliability as R
+from tallyloom.operators import paper
 from tallyloom.operators import report as P
 from tallyloom.operators import suites as U
 from tallyloom.operators import syntax as S
@@ -537,3 +538,47 @@ def linkage(spark, sf_dir):
     from tallyloom.plans.family_queries import vectors
 
     return linkage_table(vectors(spark, sf_dir), ["space"]).drop("space")
+
+
+# wide rows of reports: each input column is the number of orders of a status plus its place
+
+METRICS = [*paper.RELIABILITY.values(), *paper.STRUCTURE.values()]
+DESCRIBED = [*paper.DESCRIPTION.values(), *paper.MAINTENANCE.values()]
+
+
+def _summary(spark, sf_dir, names):
+    n = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return n.select(F.lit("sort").alias("issue"), F.col("o_orderstatus").alias("checkpoint"), F.lit("m").alias("model"), F.lit("0.5").alias("temperature"), F.col("n").alias("population_n"), *[(F.col("n") + i).cast("double").alias(c) for i, c in enumerate(names)])
+
+
+ORDERS = "WITH n AS (SELECT o_orderstatus AS s, count(*)::DOUBLE AS n FROM orders GROUP BY 1) SELECT 'sort' AS \"Issue\", s AS \"Checkpoint\", 'm' AS \"Model\", '0.5' AS \"Temp\", "
+STRUCTURE = """n + 13 AS "Architecture Population N", n + 14 AS "Effective Architecture Families", n + 15 AS "Dominant Architecture Family Share", n + 16 AS "Mean Pairwise Architecture Distance",
+  n + 17 AS "Strategy Population N", n + 18 AS "Effective Strategy Families", n + 19 AS "Dominant Strategy Family Share", n + 20 AS "Mean Pairwise Strategy Distance", n + 21 AS "Diversity K Max" FROM n"""
+
+
+@query(ORDERS + """'current_experiment' AS "Reliability Scope", n::BIGINT AS "Population N", CAST(NULL AS DOUBLE) AS "Lineages Started", CAST(NULL AS DOUBLE) AS "Lineages Completed", CAST(NULL AS DOUBLE) AS "Lineage Completion Rate",
+  n AS "N Attempts", n + 1 AS "Valid Agent Trials", n + 2 AS "Infrastructure Failures", n + 3 AS "Infrastructure Attrition Rate", n + 4 AS "Successful Runs", n + 5 AS "End-to-End Success Rate", n + 6 AS "Conditional Agent Success Rate",
+  n + 7 AS "Initial Public Success Rate", n + 8 AS "Final Public Success Rate", n + 9 AS "Repair Recovery Rate", n + 10 AS "Pass@1", n + 11 AS "Pass@5", n + 12 AS "Pass@10", """ + STRUCTURE)
+def paper_metrics(spark, sf_dir):
+    return paper.metrics_row(_summary(spark, sf_dir, METRICS))
+
+
+@query(ORDERS + """'parent_lineage_experiment' AS "Reliability Scope", n::BIGINT AS "Population N", n::BIGINT AS "Lineages Started", (n // 2)::BIGINT AS "Lineages Completed", 0.5::DOUBLE AS "Lineage Completion Rate",
+  n::BIGINT AS "N Attempts", CAST(NULL AS DOUBLE) AS "Valid Agent Trials", CAST(NULL AS DOUBLE) AS "Infrastructure Failures", CAST(NULL AS DOUBLE) AS "Infrastructure Attrition Rate", (n // 2)::BIGINT AS "Successful Runs", 0.5::DOUBLE AS "End-to-End Success Rate",
+  CAST(NULL AS DOUBLE) AS "Conditional Agent Success Rate", CAST(NULL AS DOUBLE) AS "Initial Public Success Rate", CAST(NULL AS DOUBLE) AS "Final Public Success Rate", CAST(NULL AS DOUBLE) AS "Repair Recovery Rate",
+  round(n // 2 / n, 6) AS "Pass@1", round(1 - list_product(list_transform(range(5), lambda i: (n - n // 2 - i) / (n - i))), 6) AS "Pass@5", round(1 - list_product(list_transform(range(10), lambda i: (n - n // 2 - i) / (n - i))), 6) AS "Pass@10", """ + STRUCTURE)
+def paper_parent(spark, sf_dir):
+    final = paper.metrics_row(_summary(spark, sf_dir, METRICS), survivors=True)
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("Checkpoint")).agg(F.count("*").alias("lineages_started"))
+    reliability = n.withColumns({"lineages_completed": F.floor(F.col("lineages_started") / 2), "lineage_completion_rate": F.lit(0.5)})
+    out = paper.parent_row(final, reliability, ["Checkpoint"])
+    return out.withColumns({f"Pass@{k}": F.round(f"Pass@{k}", 6) for k in (1, 5, 10)})
+
+
+@query(ORDERS + """n AS "Raw Architecture Families", n + 1 AS "Architecture Family-Discovery AUC@K", n + 2 AS "Architecture Vendi Score", n + 3 AS "Raw Strategy Families", n + 4 AS "Strategy Family-Discovery AUC@K", n + 5 AS "Strategy Vendi Score",
+  n + 6 AS "Exact Unique Rate", n + 7 AS "Exact Modal Share", n + 8 AS "Mean Repair Loops", n + 9 AS "Median Repair Loops", n + 10 AS "Max Repair Loops", n + 11 AS "Mean LLM Invocations", n + 12 AS "Mean Repair LLM Runtime (s)",
+  n + 13 AS "Mean Total Runtime (s)", n + 14 AS "Median Total Runtime (s)", n + 15 AS "Mean Source LOC", n + 16 AS "Median Source LOC", n + 17 AS "SD Source LOC", n + 18 AS "Source LOC CV", n + 19 AS "Mean Source Bytes",
+  n + 20 AS "Mean Lines Edited", n + 21 AS "Mean Files Edited", n + 22 AS "Mean Functions Edited", n + 23 AS "Mean Functions Created", n + 24 AS "Mean Functions Deleted", n + 25 AS "Mean Normalized GumTree Edit-Action Magnitude",
+  'baseline_backed_experiment' AS "Maintenance Change Scope" FROM n""")
+def paper_description(spark, sf_dir):
+    return paper.descriptive_row(_summary(spark, sf_dir, DESCRIBED))

@@ -199,7 +199,13 @@ def levenshtein_pairs(spark, sf_dir):
     return rounded(pairs.select("left", "right", lexical_distance("t_left", "t_right").alias("distance")))
 
 
-@query()
+@query("""
+WITH b AS (SELECT item_id, list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '') AS w FROM benchmark),
+p AS (SELECT a.item_id AS l, c.item_id AS r, a.w AS x, c.w AS y, greatest(1, least(5, len(a.w), len(c.w))) AS k FROM b a JOIN b c ON a.item_id < c.item_id),
+g AS (SELECT l, r, list_transform(range(1, greatest(len(x), 1) - k + 2), lambda i: substr(sha256(array_to_string(x[i:i + k - 1], chr(31))), 1, 16)) AS x,
+  list_transform(range(1, greatest(len(y), 1) - k + 2), lambda i: substr(sha256(array_to_string(y[i:i + k - 1], chr(31))), 1, 16)) AS y FROM p),
+f AS (SELECT l, r, list_distinct(list_transform(range(1, greatest(1, len(x) - 3) + 1), lambda i: list_min(x[i:i + 3]))) AS x, list_distinct(list_transform(range(1, greatest(1, len(y) - 3) + 1), lambda i: list_min(y[i:i + 3]))) AS y FROM g)
+SELECT l AS "left", r AS "right", 1 - len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS distance FROM f""")
 def winnow_pairs(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("space"), F.col("item_id").alias("run"), F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("w"))
     return D.winnowing_pairs(b, ["space"], "run", "w").drop("space")

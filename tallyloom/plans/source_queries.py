@@ -106,10 +106,13 @@ def source_features(spark, sf_dir):
     return SF.source_features(sources(spark, sf_dir))
 
 
-@query()
+@query("""
+WITH s AS (SELECT s_suppkey, 'int f' || s_suppkey || '(int a) { return g(a, ' || s_nationkey || '); }' AS f, 'int main(void) { return f' || s_suppkey || '(1); }' AS m FROM supplier)
+SELECT s_suppkey::VARCHAR AS run, 'f' || s_suppkey AS name, 0 AS start_byte, CAST(length(f) AS INTEGER) AS end_byte, sha256(f) AS sha256, 'g' AS calls FROM s
+UNION ALL SELECT s_suppkey::VARCHAR, 'main', CAST(length(f) + 1 AS INTEGER), CAST(length(f) + 1 + length(m) AS INTEGER), sha256(m), 'f' || s_suppkey FROM s""")
 def source_functions(spark, sf_dir):
     code = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("run"), F.format_string("int f%d(int a) { return g(a, %d); }\nint main(void) { return f%d(1); }", "s_suppkey", "s_nationkey", "s_suppkey").alias("source"))
-    return SF.function_table(code)
+    return SF.function_table(code).withColumn("calls", F.array_join("calls", ","))
 
 
 @query()

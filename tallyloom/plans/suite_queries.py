@@ -172,12 +172,19 @@ def url_tree(spark, sf_dir):
     return rows.select("path", F.lit("dir").alias("type"), F.lit(0o755).alias("mode"), F.lit(None).cast("string").alias("target"))
 
 
-@query()
+URL_TREE = r"""
+WITH c AS (SELECT '/' || regexp_replace(regexp_replace(regexp_replace(url, '^https?://|[?#].*$', '', 'g'), '/+', '/', 'g'), '/$', '') AS p FROM pages),
+s AS (SELECT string_split(p, '/') AS s FROM c),
+t AS (SELECT DISTINCT unnest(list_transform(range(2, len(s) + 1), lambda i: array_to_string(s[1:i], '/'))) AS path FROM s)
+"""
+
+
+@query(URL_TREE + "SELECT path, 'dir' AS type FROM t")
 def fs_walk(spark, sf_dir):
     return FS.walk(url_tree(spark, sf_dir), "/").select("path", "type")
 
 
-@query()
+@query(URL_TREE + "SELECT path, '0755' AS mode FROM t")
 def fs_snapshot(spark, sf_dir):
     return FS.snapshot(url_tree(spark, sf_dir))
 
@@ -188,12 +195,18 @@ def leak_scan(spark, sf_dir):
     return K.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
-@query()
+@query("""
+WITH t AS (SELECT unnest(['d', 'd/a', 'd/b']) AS path, unnest([493, 420, 384]) AS mode)
+SELECT n_nationkey::BIGINT AS id, path, CASE WHEN n_nationkey % 2 = 0 THEN mode ELSE 488 END AS mode, 0 AS status, '' AS diagnostics,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'mode of ''d'' retained as 0755 (rwxr-xr-x); mode of ''d/a'' retained as 0644 (rw-r--r--); mode of ''d/b'' retained as 0600 (rw-------)'
+  ELSE 'mode of ''d'' changed from 0755 (rwxr-xr-x) to 0750 (rwxr-x---); mode of ''d/a'' changed from 0644 (rw-r--r--) to 0750 (rwxr-x---); mode of ''d/b'' changed from 0600 (rw-------) to 0750 (rwxr-x---)' END AS reports
+FROM nation, t""")
 def chmod_runs(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
     trees = n.select("id", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(k).alias("type"), F.lit(m).alias("mode"), F.lit(None).cast("string").alias("target")) for p, k, m in (("d", "dir", 0o755), ("d/a", "file", 0o644), ("d/b", "file", 0o600))])).alias("x")).select("id", "x.*")
     calls = n.select("id", F.array(F.lit("-Rv"), F.when(F.col("id") % 2 == 0, "u=rwX,go-w").otherwise("0750"), F.lit("d")).alias("argv"))
-    return FS.chmod_invocations(trees, calls)
+    out = FS.chmod_invocations(trees, calls)
+    return out.select("id", "path", "mode", F.array_join("reports", "; ").alias("reports"), F.array_join("diagnostics", "; ").alias("diagnostics"), "status")
 
 
 @query(r"""
