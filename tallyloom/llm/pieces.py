@@ -50,11 +50,14 @@ class Vocabulary:
         for b, i in bytes_at.items():
             self.plain[i] = bytes([b])
         usable = {p: (i, s) for i, (p, s) in reversed(list(enumerate(pieces))) if i not in skip and i not in bytes_at.values() and i != unknown and p}
-        self.table: dict[str, tuple[int, float]] = {}
-        for p in usable:
-            for n in range(1, len(p)):
-                self.table.setdefault(p[:n], (-1, 0.0))
-        self.table.update(usable)
+        self.table: dict[str, tuple[int, float]] = usable
+        #: by character (id, score, what follows); id -1 where no piece ends
+        self.tree: dict[str, tuple] = {}
+        for p in sorted(usable, key=len, reverse=True):
+            follows = self.tree
+            for c in p[:-1]:
+                follows = follows.setdefault(c, (-1, 0.0, {}))[2]
+            follows[p[-1]] = (*usable[p], follows[p[-1]][2] if p[-1] in follows else {})
         self.longest = max(map(len, usable), default=1)
         self.fallback = min((s for _, s in usable.values()), default=0.0) - 10
         #: no path crosses a place between another character and a blank
@@ -85,32 +88,36 @@ def stream(vocabulary: Vocabulary, text: str, check: int = 64) -> Iterator[list[
     `check` positions are walked at a time. Then the paths of all positions that have been reached beyond are followed back until
     they meet. What lies before leaves, so what is kept is the window from there to the longest piece ahead.
     """
-    find, fallback, n, low = vocabulary.table.get, vocabulary.fallback, len(text), float("-inf")
+    tree, longest, fallback, n, low = vocabulary.tree, vocabulary.longest, vocabulary.fallback, len(text), float("-inf")
     first = at = 0  # the position that best[0] is of; the position to walk on from
     best, back, piece = [0.0], [0], [-1]
     while at < n:
         stop = min(n, at + check)
-        ahead = min(n, stop - 1 + vocabulary.longest) - first + 1 - len(best)
+        ahead = min(n, stop - 1 + longest) - first + 1 - len(best)
         best += [low] * ahead
         back += [0] * ahead
         piece += [-1] * ahead
         for i in range(at, stop):
-            here, j = best[i - first], i + 1
-            v = find(text[i:j])
-            if v is None or v[0] < 0:
-                k = j - first
-                if here + fallback > best[k]:
-                    best[k], back[k], piece[k] = here + fallback, i, -1
-            while v is not None:
-                k = j - first
-                if v[0] >= 0 and here + v[1] > best[k]:
-                    best[k], back[k], piece[k] = here + v[1], i, v[0]
-                if j == n:
+            k, follows, known = i - first, tree, False
+            here = best[k]
+            for c in text[i : i + longest]:
+                node = follows.get(c)
+                if node is None:
                     break
-                j += 1
-                v = find(text[i:j])
+                number, score, follows = node
+                k += 1
+                if number >= 0:
+                    if here + score > best[k]:
+                        best[k], back[k], piece[k] = here + score, i, number
+                    known = known or k == i + 1 - first
+            if not known and here + fallback > best[i + 1 - first]:
+                k = i + 1 - first
+                best[k], back[k], piece[k] = here + fallback, i, -1
         at = stop
-        ends = {p for p in range(at, first + len(best)) if best[p - first] > low} if at < n else {n}
+        if at == n:
+            yield _path(vocabulary, text, back, piece, first, n)
+            return
+        ends = {p for p in range(at, first + len(best)) if best[p - first] > low}
         while len(ends) > 1:  # the last of several positions can't be common to all
             p = max(ends)
             ends.remove(p)
@@ -142,7 +149,7 @@ class Memo(dict):
         self.vocabulary, self.lead, self.old = vocabulary, lead, {}
 
     def __missing__(self, cut: str) -> tuple[int, ...]:
-        ids = self.old.get(cut) or tuple(chain.from_iterable(stream(self.vocabulary, self.lead + cut)))
+        ids = self.old.get(cut) or tuple(chain(*stream(self.vocabulary, self.lead + cut)))
         if len(cut) > MEMO_CHARS:  # not kept, so that the memory is bounded
             return ids
         if len(self) >= MEMO_ENTRIES:
