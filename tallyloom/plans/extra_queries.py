@@ -566,7 +566,7 @@ def paper_metrics(spark, sf_dir):
 @query(ORDERS + """'parent_lineage_experiment' AS "Reliability Scope", n::BIGINT AS "Population N", n::BIGINT AS "Lineages Started", (n // 2)::BIGINT AS "Lineages Completed", 0.5::DOUBLE AS "Lineage Completion Rate",
   n::BIGINT AS "N Attempts", CAST(NULL AS DOUBLE) AS "Valid Agent Trials", CAST(NULL AS DOUBLE) AS "Infrastructure Failures", CAST(NULL AS DOUBLE) AS "Infrastructure Attrition Rate", (n // 2)::BIGINT AS "Successful Runs", 0.5::DOUBLE AS "End-to-End Success Rate",
   CAST(NULL AS DOUBLE) AS "Conditional Agent Success Rate", CAST(NULL AS DOUBLE) AS "Initial Public Success Rate", CAST(NULL AS DOUBLE) AS "Final Public Success Rate", CAST(NULL AS DOUBLE) AS "Repair Recovery Rate",
-  round(n // 2 / n, 6) AS "Pass@1", round(1 - list_product(list_transform(range(5), lambda i: (n - n // 2 - i) / (n - i))), 6) AS "Pass@5", round(1 - list_product(list_transform(range(10), lambda i: (n - n // 2 - i) / (n - i))), 6) AS "Pass@10", """ + STRUCTURE)
+  round(n // 2 / n, 6) AS "Pass@1", round(1 - list_product(list_transform(range(5), lambda i: (n - floor(n / 2) - i) / (n - i))), 6) AS "Pass@5", round(1 - list_product(list_transform(range(10), lambda i: (n - floor(n / 2) - i) / (n - i))), 6) AS "Pass@10", """ + STRUCTURE)
 def paper_parent(spark, sf_dir):
     final = paper.metrics_row(_summary(spark, sf_dir, METRICS), survivors=True)
     n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("Checkpoint")).agg(F.count("*").alias("lineages_started"))
