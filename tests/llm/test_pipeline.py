@@ -1,7 +1,10 @@
 """The corpus pipeline: names, columns, and each stage's effect on its own input."""
 
+import random
+
 import pytest
 from tests.conftest import DATA
+from tests.llm.test_operators import BIG, brute_components, shingles, split
 
 import corpus_pipeline as pipeline
 from tallyloom.llm.pieces import Codec, Vocabulary
@@ -37,3 +40,52 @@ def test_stages_on_hard_and_empty_tables(spark, index, hard_texts):
     stage = pipeline.STAGES[index][1]
     assert stage(spark, docs, DATA).count() <= len(rows)
     assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def brute_passages(rows):
+    """Texts without the lines of runs that occur earlier: of three lines, or of fewer that hold fifty words."""
+    seen, gone = {}, {}
+    for d, x in sorted(rows, key=lambda r: BIG if r[0] is None else r[0]):
+        parts = [] if x is None else x.split("\n")
+        for i in range(len(parts)):
+            for n in (1, 2, 3):
+                run = tuple(parts[i : i + n])
+                if len(run) == n and (n == 3 or sum(len(split(p)) for p in run) >= 50) and seen.setdefault(run, (d, i)) != (d, i):
+                    gone.setdefault(d, set()).update(range(i, i + n))
+    return [(d, None if x is None else "\n".join(p for i, p in enumerate(x.split("\n")) if i not in gone.get(d, ()))) for d, x in rows]
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    rng = random.Random(41)
+    line = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    item = line(12)
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    pool = [line(rng.choice((6, 20, 55))) for _ in range(12)]
+    base = line(48)
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.5 else line(9) for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    texts += [base + " " + line(k) for k in (1, 2, 3, 30)] + [line(8) + " " + item + " " + line(8), item.replace(item.split()[0], "other"), "", None]
+    rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)]
+    frame = lambda r: spark.createDataFrame([(d, t, "x", "s", None if t is None else len(t)) for d, t in r], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda i, r: sorted(((x.doc_id, x.text) for x in pipeline.STAGES[i][1](spark, frame(r), f"file://{tmp_path}").collect()), key=str)
+
+    cut = brute_passages(rows)
+    assert got(1, rows) == sorted(cut, key=str) != sorted(rows, key=str)
+    linked = {(BIG if d is None else d): c for d, _, c in brute_components([(BIG if d is None else d, t) for d, t in cut])}
+    kept = [(d, t) for d, t in cut if linked[BIG if d is None else d] == (BIG if d is None else d)]
+    assert got(2, cut) == sorted(kept, key=str) and len(kept) < len(cut)
+    s = shingles(item)
+    clean = [(d, t) for d, t in kept if 100 * len(s & shingles(t)) < 80 * len(s)]
+    assert got(3, kept) == sorted(clean, key=str) and len(clean) < len(kept)
+    codec = Codec(Vocabulary.load())
+    assert {(r.doc_id, None if r.ids is None else codec.decode(r.ids)) for r in pipeline.STAGES[4][1](spark, frame(clean), f"file://{tmp_path}").collect()} == set(clean)
+
+
+def test_scratch_is_removed(spark):
+    from tallyloom.llm import common
+
+    with common.scratch(spark):
+        inner = common.written(spark, spark.range(3), "x")
+        path = inner.inputFiles()[0].rsplit("/", 1)[0]
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        assert inner.count() == 3
+    assert not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
