@@ -167,6 +167,24 @@ def combination_frame(spark: SparkSession, flags: list[str], size: int) -> DataF
     return validated(out)
 
 
+def valued_combinations(spark: SparkSession, values: dict[str, list[str]], size: int) -> DataFrame:
+    """All combinations of so many options with one value each (flags, values), and the rule that each breaks, if any."""
+    each = spark.createDataFrame([(o, v) for o in sorted(values) for v in values[o]], "option string, value string")
+    out = each.select(F.array("option").alias("flags"), F.create_map("option", F.array("value")).alias("values"))
+    for _ in range(size - 1):
+        out = out.join(F.broadcast(each), F.col("option") > F.element_at("flags", -1)).select(F.array_append("flags", F.col("option")).alias("flags"), F.map_concat("values", F.create_map("option", F.array("value"))).alias("values"))
+    return validated(out, values="values")
+
+
+def random_combinations(spark: SparkSession, flags: list[str], n: int, seed: int, most: int = 6) -> DataFrame:
+    """nth, flags of n draws of 2 to `most` flags without the draws that break a rule; each goes by a hash of the seed and its number, so it can be repeated."""
+    names = sorted(set(flags))
+    draws = spark.range(n).withColumn("size", 2 + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(most - 1)))
+    scored = F.transform(F.array(*map(F.lit, names)), lambda f: F.struct(F.xxhash64(F.lit(seed), F.col("id"), f).alias("k"), f.alias("f")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(scored), F.lit(1), F.col("size").cast("int")), lambda s: s["f"]))
+    return validated(draws.select(F.col("id").alias("nth"), chosen.alias("flags"))).filter("verdict = 'OK'").select("nth", "flags")
+
+
 def heldout_duals(cases: DataFrame, family: list[str], order: list[str]) -> DataFrame:
     """The first case of each family, with letters and digits of its input rotated."""
     nth = F.row_number().over(Window.partitionBy(*family).orderBy(*order))

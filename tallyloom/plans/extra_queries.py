@@ -563,10 +563,10 @@ def paper_metrics(spark, sf_dir):
     return paper.metrics_row(_summary(spark, sf_dir, METRICS))
 
 
-@query(ORDERS + """'parent_lineage_experiment' AS "Reliability Scope", n::BIGINT AS "Population N", n::BIGINT AS "Lineages Started", (n // 2)::BIGINT AS "Lineages Completed", 0.5::DOUBLE AS "Lineage Completion Rate",
-  n::BIGINT AS "N Attempts", CAST(NULL AS DOUBLE) AS "Valid Agent Trials", CAST(NULL AS DOUBLE) AS "Infrastructure Failures", CAST(NULL AS DOUBLE) AS "Infrastructure Attrition Rate", (n // 2)::BIGINT AS "Successful Runs", 0.5::DOUBLE AS "End-to-End Success Rate",
+@query(ORDERS + """'parent_lineage_experiment' AS "Reliability Scope", n::BIGINT AS "Population N", n::BIGINT AS "Lineages Started", floor(n / 2)::BIGINT AS "Lineages Completed", 0.5::DOUBLE AS "Lineage Completion Rate",
+  n::BIGINT AS "N Attempts", CAST(NULL AS DOUBLE) AS "Valid Agent Trials", CAST(NULL AS DOUBLE) AS "Infrastructure Failures", CAST(NULL AS DOUBLE) AS "Infrastructure Attrition Rate", floor(n / 2)::BIGINT AS "Successful Runs", 0.5::DOUBLE AS "End-to-End Success Rate",
   CAST(NULL AS DOUBLE) AS "Conditional Agent Success Rate", CAST(NULL AS DOUBLE) AS "Initial Public Success Rate", CAST(NULL AS DOUBLE) AS "Final Public Success Rate", CAST(NULL AS DOUBLE) AS "Repair Recovery Rate",
-  round(n // 2 / n, 6) AS "Pass@1", round(1 - list_product(list_transform(range(5), lambda i: (n - floor(n / 2) - i) / (n - i))), 6) AS "Pass@5", round(1 - list_product(list_transform(range(10), lambda i: (n - floor(n / 2) - i) / (n - i))), 6) AS "Pass@10", """ + STRUCTURE)
+  round(floor(n / 2) / n, 6) AS "Pass@1", round(1 - list_product(list_transform(range(5), lambda i: (n - floor(n / 2) - i) / (n - i))), 6) AS "Pass@5", round(1 - list_product(list_transform(range(10), lambda i: (n - floor(n / 2) - i) / (n - i))), 6) AS "Pass@10", """ + STRUCTURE)
 def paper_parent(spark, sf_dir):
     final = paper.metrics_row(_summary(spark, sf_dir, METRICS), survivors=True)
     n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("Checkpoint")).agg(F.count("*").alias("lineages_started"))
@@ -582,3 +582,124 @@ def paper_parent(spark, sf_dir):
   'baseline_backed_experiment' AS "Maintenance Change Scope" FROM n""")
 def paper_description(spark, sf_dir):
     return paper.descriptive_row(_summary(spark, sf_dir, DESCRIBED))
+
+
+# further selections and sources
+
+
+@query("SELECT p_partkey::VARCHAR AS name, CASE p_size % 3 WHEN 0 THEN '-r' ELSE '-u' END AS flags FROM part")
+def suites_written(spark, sf_dir):
+    """Suites as JSON files, one object and one bare list, read back as cases."""
+    path, p = _new(spark, "suites"), table(spark, sf_dir, "part")
+    case = F.struct(F.col("p_partkey").cast("string").alias("name"), F.array(F.when(F.col("p_size") % 3 == 0, "-r").otherwise("-u")).alias("flags"))
+    for i, name in enumerate(("object", "list")):
+        listed = p.filter(f"p_partkey % 2 = {i}").groupBy((F.col("p_partkey") % 20).alias("g")).agg(F.collect_list(case).alias("cases"))
+        text = F.to_json(F.struct("cases")) if name == "object" else F.to_json("cases")
+        listed.select("g", text.alias("value")).repartition("g").write.partitionBy("g").text(f"{path}/{name}")
+    cases = [files.read_suites(spark, f"{path}/{name}/*/*.txt") for name in ("object", "list")]
+    return cases[0].unionByName(cases[1]).select("name", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS run, CASE p_size % 4 WHEN 0 THEN 'parse_x' WHEN 1 THEN 'work' WHEN 2 THEN 'usage' ELSE 'fold' END || p_size AS name, CASE p_partkey % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'edited' ELSE 'deleted' END AS kind FROM part)
+SELECT run, name, kind FROM c WHERE kind <> 'deleted' AND (NOT regexp_matches(name, '(?i)(parse|arg|opt|usage)') OR name = 'usage2')
+UNION ALL SELECT run, 'main', 'baseline' FROM c""")
+def strategy_functions(spark, sf_dir):
+    from tallyloom.operators import source_features as SF
+
+    n, k = F.col("p_size") % 4, F.col("p_partkey") % 3
+    name = F.concat(F.when(n == 0, "parse_x").when(n == 1, "work").when(n == 2, "usage").otherwise("fold"), F.col("p_size").cast("string"))
+    changes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run"), name.alias("name"), F.when(k == 0, "created").when(k == 1, "edited").otherwise("deleted").alias("kind"))
+    return SF.strategy_functions(changes, spark.createDataFrame([("main",), ("get_opt",)], "name string"), forced=["usage2"])
+
+
+@query("""SELECT p_partkey AS run, 'function.' || CASE WHEN p_size % 2 = 0 THEN 'helper_0' ELSE 'main' END || '.kind.if' AS feature, 2.0 + p_size AS value FROM part WHERE p_size % 3 <> 0""")
+def strategy_features(spark, sf_dir):
+    from tallyloom.operators import source_features as SF
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run"), F.col("p_size").alias("s"))
+    own = F.when(F.col("s") % 2 == 0, "fold").otherwise("main")
+    delta = p.select("run", F.concat(F.lit("function."), own, F.lit(".kind.if")).alias("feature"), F.explode(F.array(F.lit(2.0), F.col("s").cast("double"))).alias("value"))
+    delta = delta.unionByName(p.select("run", F.lit("file.kind.if").alias("feature"), F.lit(9.0).alias("value"))).unionByName(p.select("run", F.lit("function.other.kind.if").alias("feature"), F.lit(9.0).alias("value")))
+    canonical = p.filter("s % 2 = 0").select("run", F.lit("fold").alias("name"), F.lit("helper_0").alias("canonical"))
+    allowed = p.filter("s % 3 <> 0").select("run", F.explode(_list(["helper_0", "main"])).alias("name"))
+    return SF.strategy_features(delta, allowed, canonical)
+
+
+LADDER = [("c0", 0, ["-n"]), ("c1", 1, ["-r", "-u"]), ("c2", 2, ["-i"])]
+
+
+@query("""WITH c AS (SELECT 'k' || p_partkey AS name, CASE p_size % 3 WHEN 0 THEN '-r' WHEN 1 THEN '-n' ELSE '-x' END AS flag, p_partkey % 5 = 0 AS again FROM part)
+SELECT name, 'repeated name' AS problem FROM c WHERE again UNION ALL SELECT name, 'flag outside of the ladder: -x' FROM c WHERE flag = '-x' UNION ALL SELECT name, 'flag outside of the ladder: -x' FROM c WHERE flag = '-x' AND again""")
+def corpus_contract(spark, sf_dir):
+    n = F.col("p_size") % 3
+    cases = table(spark, sf_dir, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("name"), F.array(F.when(n == 0, "-r").when(n == 1, "-n").otherwise("-x")).alias("flags"), (F.col("p_partkey") % 5 == 0).alias("again"))
+    ladder = U.availability(spark.createDataFrame(LADDER, "checkpoint string, pos int, flags array<string>"))
+    return K.corpus_problems(cases.drop("again").unionByName(cases.filter("again").drop("again")), ladder.select("checkpoint", "pos", "allowed"))
+
+
+@query("""WITH l AS (SELECT unnest(['c0', 'c1', 'c2']) AS checkpoint, unnest([['-n'], ['-n', '-r', '-u'], ['-i', '-n', '-r', '-u']]) AS allowed),
+c AS (SELECT 'k' || p_partkey AS name, CASE p_size % 3 WHEN 0 THEN ['-r'] WHEN 1 THEN ['-i'] ELSE [] END AS absent, p_partkey % 2 = 0 AS live FROM part)
+SELECT name, checkpoint, live, NOT list_has_any(absent, allowed) AS expected FROM c, l WHERE len(absent) > 0 AND live <> NOT list_has_any(absent, allowed)""")
+def premature_cases(spark, sf_dir):
+    n = F.col("p_size") % 3
+    absent = F.when(n == 0, _list(["-r"])).when(n == 1, _list(["-i"])).otherwise(F.array().cast("array<string>"))
+    cases = table(spark, sf_dir, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("name"), absent.alias("absent_flags"), (F.col("p_partkey") % 2 == 0).alias("live"))
+    return U.premature_cases(cases, spark.createDataFrame(LADDER, "checkpoint string, pos int, flags array<string>"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS ord, CAST(line_no AS INTEGER) AS line_no, line AS out, false AS is_error FROM l WHERE doc_id % 5 > 1 AND NOT (line_no = n - 1 AND line = '') AND contains(line, 'the')
+UNION ALL SELECT doc_id, 0, 'd' || doc_id || CASE doc_id % 5 WHEN 0 THEN ': Is a directory' ELSE ': No such file or directory' END, true FROM documents WHERE doc_id % 5 < 2""")
+def searched_operands(spark, sf_dir):
+    """Each document as an operand; every fifth is a folder, and every fifth isn't there."""
+    from tallyloom.operators import lines as N
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("operand"))
+    kind = F.when(F.col("doc_id") % 5 == 0, "dir").when(F.col("doc_id") % 5 > 1, "file")
+    lines = N.explode_lines(d.select("operand", "text"), "text").withColumn("walk_ord", F.lit(0))
+    return N.search_operands(lines, d.select(F.col("doc_id").alias("ord"), "operand", kind.alias("kind")), "the").drop("walk_ord")
+
+
+@query("""SELECT CAST(CASE WHEN bool_or(doc_id % 5 < 2) THEN 2 WHEN bool_or(contains(text, 'the')) THEN 0 ELSE 1 END AS INTEGER) AS status FROM documents""")
+def searched_status(spark, sf_dir):
+    from tallyloom.operators import lines as N
+
+    return N.search_status(searched_operands(spark, sf_dir))
+
+
+@query("SELECT row_number() OVER (ORDER BY line, input) AS rank, line, input FROM (SELECT o_orderpriority || (o_orderkey % 50) AS line, 0 AS input FROM orders UNION ALL SELECT p_name, 1 FROM part UNION ALL SELECT '1-URGENT' || (s_suppkey % 50), 2 FROM supplier)")
+def merged_lines(spark, sf_dir):
+    from tallyloom.operators import orders as O
+
+    a = table(spark, sf_dir, "orders").select(F.concat("o_orderpriority", (F.col("o_orderkey") % 50).cast("string")).alias("line"))
+    b = table(spark, sf_dir, "part").select(F.col("p_name").alias("line"))
+    c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("1-URGENT"), (F.col("s_suppkey") % 50).cast("string")).alias("line"))
+    return ranked(O.merged([a, b, c]), "line", "input")
+
+
+@query("""WITH v AS (SELECT unnest(['--parallel', '--parallel', '-S', '-S', '-S', '-t', '-t']) AS o, unnest(['0', '4', '1q', '50%', '10', '', 'ab']) AS v),
+p AS (SELECT a.o AS o1, a.v AS v1, b.o AS o2, b.v AS v2 FROM v a JOIN v b ON a.o < b.o)
+SELECT o1 || ' ' || v1 || ' ' || o2 || ' ' || v2 AS call, CASE WHEN (o1 = '-t' AND v1 = '') OR (o2 = '-t' AND v2 = '') THEN 'C6_empty_tab' WHEN (o1 = '-t' AND v1 = 'ab') OR (o2 = '-t' AND v2 = 'ab') THEN 'C7_multichar_tab'
+  WHEN o1 = '--parallel' AND v1 = '0' THEN 'C13_parallel_zero' WHEN (o1 = '-S' AND v1 = '1q') OR (o2 = '-S' AND v2 = '1q') THEN 'C14_bad_size' END AS rule FROM p""")
+def valued_options(spark, sf_dir):
+    out = U.valued_combinations(spark, {"-t": ["", "ab"], "--parallel": ["0", "4"], "-S": ["1q", "50%", "10"]}, 2)
+    shown = F.array_join(F.transform("flags", lambda f: F.concat(f, F.lit(" "), F.element_at(F.element_at("values", f), 1))), " ")
+    return out.select(shown.alias("call"), "rule")
+
+
+@query()
+def random_options(spark, sf_dir):
+    return U.random_combinations(spark, ["-b", "-d", "-f", "-g", "-i", "-M", "-n", "-R", "-r", "-u", "-s"], 500, 11).withColumn("flags", F.array_join("flags", " "))
+
+
+@query()
+def validated_pairs(spark, sf_dir):
+    """The four distances of all pairs of twenty-five small sources."""
+    k = F.col("n_nationkey")
+    code = F.concat(F.lit("int main(void) { int x = "), k.cast("string"), F.lit("; "), F.repeat(F.lit("x = g(x); "), (k % 4).cast("int")), F.lit("return x; }"))
+    n = table(spark, sf_dir, "nation").select(F.lit("all").alias("space"), k.cast("long").alias("run"), code.alias("s"), F.split(code, " ").alias("t"), F.when(k % 4 > 0, _list(["g"])).otherwise(F.array().cast("array<string>")).alias("c"))
+    pairs = D.pairs_of(n.select("space", "run"), ["space"])
+    for side in ("left", "right"):
+        pairs = pairs.join(n.select(F.col("run").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in "stc"]), side)
+    out = D.validation_distances(pairs, "s_left", "s_right", "t_left", "t_right", "c_left", "c_right")
+    return rounded(out.select("left", "right", "lexical", "winnowing", "tree_distance", "call_set"))
