@@ -185,6 +185,21 @@ def random_combinations(spark: SparkSession, flags: list[str], n: int, seed: int
     return validated(draws.select(F.col("id").alias("nth"), chosen.alias("flags"))).filter("verdict = 'OK'").select("nth", "flags")
 
 
+# What makes a family of cases by utility, and which cases have no dual
+FAMILIES = {"sort": ["flags", "check", "tags"], "grep": ["flags", "tags"], "chmod": ["flags", "tags"], "mkdir": ["flags", "check", "tags"]}
+WITHOUT_DUAL = {"sort": "coalesce(stdin_b64, '') = ''", "grep": "model_only_reason is not null", "chmod": "size(absent_flags) > 0"}
+
+
+def heldout_selection(cases: DataFrame, utility: str, order: list[str]) -> DataFrame:
+    """The first case of each family that can have a dual; the order of flags and tags makes no difference, and a missing list is an empty one."""
+    none = F.array().cast("array<string>")
+    shape = [F.array_sort(F.coalesce(c, none)) if c in ("flags", "tags") else F.col(c) for c in FAMILIES[utility]]
+    rows = cases.filter(f"not coalesce({WITHOUT_DUAL[utility]}, false)") if utility in WITHOUT_DUAL else cases
+    nth = F.row_number().over(Window.partitionBy(*[f"_f{i}" for i in range(len(shape))]).orderBy(*order))
+    rows = rows.withColumns({f"_f{i}": c for i, c in enumerate(shape)}).withColumn("_n", nth)
+    return rows.filter("_n = 1").select(*cases.columns)
+
+
 def heldout_duals(cases: DataFrame, family: list[str], order: list[str]) -> DataFrame:
     """The first case of each family, with letters and digits of its input rotated."""
     nth = F.row_number().over(Window.partitionBy(*family).orderBy(*order))

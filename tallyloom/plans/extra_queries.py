@@ -703,3 +703,22 @@ def validated_pairs(spark, sf_dir):
         pairs = pairs.join(n.select(F.col("run").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in "stc"]), side)
     out = D.validation_distances(pairs, "s_left", "s_right", "t_left", "t_right", "c_left", "c_right")
     return rounded(out.select("left", "right", "lexical", "winnowing", "tree_distance", "call_set"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, p_size % 4 AS f, p_brand AS t, p_size % 3 AS c, p_partkey % 5 AS e FROM part),
+u AS (SELECT unnest(['chmod', 'grep', 'mkdir', 'sort']) AS utility)
+SELECT utility, min(k) AS k FROM u, c WHERE (utility = 'mkdir' OR e <> 0) GROUP BY utility, f, t, CASE WHEN utility IN ('sort', 'mkdir') THEN c END""")
+def heldout_families(spark, sf_dir):
+    """The cases with a dual, for each of four utilities; the lists come in both orders."""
+    k, n = F.col("p_partkey"), F.col("p_size") % 4
+    flags = F.array(F.lit("-a"), F.concat(F.lit("-"), n.cast("string")))
+    gone = k % 5 == 0
+    cases = table(spark, sf_dir, "part").select(
+        k.alias("k"), F.when(k % 2 == 0, F.reverse(flags)).otherwise(flags).alias("flags"), F.array("p_brand").alias("tags"), (F.col("p_size") % 3).cast("string").alias("check"),
+        F.when(gone, "").otherwise("eA==").alias("stdin_b64"), F.when(gone, "model").alias("model_only_reason"), F.when(gone, _list(["-x"])).otherwise(F.array().cast("array<string>")).alias("absent_flags"),
+    )
+    out = None
+    for utility in sorted(U.FAMILIES):
+        part = U.heldout_selection(cases, utility, ["k"]).select(F.lit(utility).alias("utility"), "k")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -125,3 +125,18 @@ def test_wide_rows(spark):
     assert parent["N Attempts"] == 10 and parent["Pass@1"] == pytest.approx(0.7) and parent["Pass@10"] == 1.0 and parent["Population N"] == 3
     mixed = spark.createDataFrame([("10",), ("9.5",), ("auto",), (None,), ("1e1",)], "t string")
     assert [r.t for r in mixed.orderBy(*P.mixed_order("t")).collect()] == ["9.5", "10", "1e1", "auto", None]
+
+
+def test_change_bundle(spark):
+    from tallyloom.operators import distance as D
+
+    pairs = spark.createDataFrame([(1,), (2,)], "run int")
+    before = spark.createDataFrame([(1, "f", "a"), (1, "g", "b")], "run int, name string, sha256 string")
+    after = spark.createDataFrame([(1, "f", "a2"), (1, "h", "c")], "run int, name string, sha256 string")
+    churn = spark.createDataFrame([(1, 3, 1), (2, 0, 0)], "run int, added int, deleted int")
+    nodes = spark.createDataFrame([(1, "if", 2), (1, "for", -1)], "run int, feature string, delta int")
+    diffs = spark.createDataFrame([(1, "insert-node", 0, 4, 2, False), (2, "", 0, 1, 1, True)], "run int, output string, exit_code int, nodes_before int, nodes_after int, same boolean")
+    out = D.change_bundle(pairs, ["run"], churn, D.function_changes(before, after, ["run"]), nodes, S.edit_magnitude(diffs, ["run"]))
+    got = {r.run: r for r in out.collect()}
+    assert got[1].node_delta == {"if": 2, "for": -1} and got[1].nodes_changed == 3 and got[1].n_edited == 1 and got[1].created_names == ["h"] and got[1].magnitude == 0.25
+    assert got[2].nodes_changed == 0 and got[2].node_delta is None and got[2].actions == 0
