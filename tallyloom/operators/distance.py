@@ -6,6 +6,11 @@ without features is a zero row: at distance 0 from other zero rows and 1 from al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ from tallyloom.functions.stats import jaccard
 from tallyloom.functions.text import lexical_distance
 
 MAX_ROWS = 20_000
+BLOCK = 512
 
 
 def normalized_features(features: DataFrame, by: list[str]) -> DataFrame:
@@ -47,17 +53,46 @@ def cosine_distances(features: DataFrame, runs: DataFrame, by: list[str]) -> Dat
 
 
 def vector_pairs(vectors: DataFrame, by: list[str], run: str, vector: str) -> DataFrame:
-    """Cosine distances of dense vectors, by pair of the runs of a group of bounded size."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = vectors.select(*by, F.col(run).alias("run"), F.transform(vector, lambda x: F.when(F.lit(True), x.cast("double"))).alias("v"), norm.alias("n"))
-    pairs = pairs_of(rows.select(*by, "run"), by)
-    for s in ("left", "right"):
-        pairs = pairs.join(rows.select(*by, F.col("run").alias(s), F.col("v").alias(f"v_{s}"), F.col("n").alias(f"n_{s}")), [*by, s])
-    dot = F.aggregate(F.zip_with("v_left", "v_right", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    zero = (F.col("n_left") == 0) | (F.col("n_right") == 0)
-    cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(dot, F.col("n_left") * F.col("n_right"))))
-    both = (F.col("n_left") == 0) & (F.col("n_right") == 0)
-    return pairs.select(*by, "left", "right", F.when(both, 0.0).when(zero, 1.0).otherwise(1 - cosine).alias("distance"))
+    """Cosine distances of dense vectors, by pair of the runs of a group of bounded size; larger groups are an error.
+
+    Each group is cut into blocks of about BLOCK runs, and each pair of blocks is one matrix product. Two zero vectors are at
+    distance 0, a zero vector and another one at 1. Nulls in a vector count as nothing (0).
+    """
+    rows = vectors.select(*by, F.col(run).alias("run"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") <= MAX_ROWS, F.ceil(F.col("_n") / BLOCK).cast("int")).otherwise(F.raise_error(F.format_string(f"a group of %d rows is too large for all pairs; at most {MAX_ROWS}", "_n")).cast("int"))
+    rows = rows.join(sizes.select(*by, fits.alias("_blocks")), by) if by else rows.crossJoin(sizes.select(fits.alias("_blocks")))  # one row
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("run"), "_blocks").cast("int"))
+    packed = rows.groupBy(*by, "_block").agg(F.collect_list(F.struct("run", "v")).alias("_m"))
+    half = lambda s: packed.select(*by, F.col("_block").alias(f"_block_{s}"), F.col("_m").alias(f"_m_{s}"))
+    blocks = (half("u").join(half("v"), by) if by else half("u").crossJoin(half("v"))).filter("_block_u <= _block_v")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*by, "run").schema}
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(members: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+            own = members[i].values
+            ends, flat = own.field("v").offsets.to_numpy(), own.field("v").values.to_numpy(zero_copy_only=False)
+            x = flat[ends[0] : ends[-1]].reshape(len(own), -1)
+            norm = np.linalg.norm(x, axis=1)
+            return x, norm, np.array(own.field("run").to_pylist()), own.field("run")
+
+        for b in batches:
+            for i in range(b.num_rows):
+                (x, n, a, left), (y, m, c, right) = side(b.column("_m_u"), i), side(b.column("_m_v"), i)
+                same = b.column("_block_u")[i] == b.column("_block_v")[i]
+                scale = n[:, None] * m[None, :]
+                cosine = np.clip(np.divide(x @ y.T, scale, out=np.zeros_like(scale), where=scale > 0), -1, 1)
+                distance = np.where((n[:, None] == 0) & (m[None, :] == 0), 0.0, 1 - cosine)
+                r, s = np.nonzero(a[:, None] < c[None, :]) if same else np.nonzero(a[:, None] != c[None, :])
+                for k in range(0, len(r), 1 << 16):  # in parts
+                    u, v = r[k : k + (1 << 16)], s[k : k + (1 << 16)]
+                    turn = pa.array(a[u] > c[v])
+                    lu, rv = left.take(pa.array(u)), right.take(pa.array(v))
+                    keys = [b.column(g).slice(i, 1).take(pa.array(np.zeros(len(u), np.int64))) for g in by]
+                    yield pa.RecordBatch.from_arrays([*keys, pc.if_else(turn, rv, lu), pc.if_else(turn, lu, rv), pa.array(distance[u, v])], [*by, "left", "right", "distance"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"left {kinds['run']}", f"right {kinds['run']}", "distance double"])
+    return blocks.repartition(*by, "_block_u", "_block_v").mapInArrow(product, schema)
 
 
 def mean_pairwise(pairs: DataFrame, by: list[str]) -> DataFrame:
