@@ -493,7 +493,7 @@ def report_lines(spark, sf_dir):
 # syntax trees, edit scripts and distances
 
 
-@query("""SELECT s_suppkey, feature, value FROM (SELECT s_suppkey, unnest(['file.kind.TranslationUnitDecl', 'function.f.kind.FunctionDecl', 'function.f.kind.CompoundStmt', 'function.f.kind.BinaryOperator', 'function.f.operator.BinaryOperator.+']) AS feature, unnest([1.0, 1.0, 1.0, 1.0 + s_suppkey % 3, 1.0 + s_suppkey % 3]) AS value FROM supplier)""")
+@query("""SELECT s_suppkey, feature, value::DOUBLE AS value FROM (SELECT s_suppkey, unnest(['file.kind.TranslationUnitDecl', 'function.f.kind.FunctionDecl', 'function.f.kind.CompoundStmt', 'function.f.kind.BinaryOperator', 'function.f.operator.BinaryOperator.+']) AS feature, unnest([1.0, 1.0, 1.0, 1.0 + s_suppkey % 3, 1.0 + s_suppkey % 3]) AS value FROM supplier)""")
 def syntax_features(spark, sf_dir):
     """Trees of one function with some operators, and a function of an included file that doesn't count."""
     k = F.col("s_suppkey")
@@ -612,7 +612,7 @@ def strategy_functions(spark, sf_dir):
     return SF.strategy_functions(changes, spark.createDataFrame([("main",), ("get_opt",)], "name string"), forced=["usage2"])
 
 
-@query("""SELECT p_partkey AS run, 'function.' || CASE WHEN p_size % 2 = 0 THEN 'helper_0' ELSE 'main' END || '.kind.if' AS feature, 2.0 + p_size AS value FROM part WHERE p_size % 3 <> 0""")
+@query("""SELECT p_partkey AS run, 'function.' || CASE WHEN p_size % 2 = 0 THEN 'helper_0' ELSE 'main' END || '.kind.if' AS feature, (2.0 + p_size)::DOUBLE AS value FROM part WHERE p_size % 3 <> 0""")
 def strategy_features(spark, sf_dir):
     from tallyloom.operators import source_features as SF
 
