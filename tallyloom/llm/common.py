@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -31,22 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_scratch: list[str] = []
+class _Scratch(threading.local):
+    """The scratch folders that are open, the innermost last; those of each thread are its own."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_scratch = _Scratch()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch.folders[-1] if _scratch.folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is written inside goes into a folder that is removed at the end; so results must be written outside of it before."""
     folder = fresh_path(spark, "scratch")
-    _scratch.append(folder)
+    _scratch.folders.append(folder)
     try:
         yield
     finally:
-        _scratch.remove(folder)
+        _scratch.folders.remove(folder)
         remove(spark, folder)
 
 
