@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tallyloom.llm.conversations import OP12_SQL, op12_prefix_trie
 from tallyloom.llm.decontaminate import OP9_SQL, op9_decontaminate
 from tallyloom.llm.hamming import OP8_SQL, op8_exact_top_k
 from tallyloom.llm.jaccard import OP4_SQL, op4_ngram_jaccard
 from tallyloom.llm.langid import op2_language_id
 from tallyloom.llm.lines import OP10_SQL, PASSAGE_SQL, op10_line_dedup, op10_passage_dedup
+from tallyloom.llm.negatives import OP13_SQL, op13_hard_negatives
 from tallyloom.llm.pieces import op5_sentencepiece
 from tallyloom.llm.quality import op3_quality
 from tallyloom.llm.sharding import op6_sharding
@@ -25,6 +27,8 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op10_passage_dedup": op10_passage_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL = {
@@ -35,4 +39,6 @@ SQL = {
     "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
     "op10_passage_dedup": PASSAGE_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
