@@ -13,6 +13,7 @@ from tallyloom.llm.pieces import op5_sentencepiece
 from tallyloom.llm.quality import op3_quality
 from tallyloom.llm.sharding import op6_sharding
 from tallyloom.llm.substrings import OP1_SQL, op1_substring_dedup
+from tallyloom.llm.toxicity import op11_toxicity
 from tallyloom.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }

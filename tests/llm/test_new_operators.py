@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.conftest import duck
 
-from tallyloom.llm import conversations, negatives
+from tallyloom.llm import conversations, negatives, toxicity
 
 
 def crc9(c):
@@ -149,3 +150,100 @@ def test_negatives_query(spark):
     relabel = lambda i, x: (x + 1) % 10 if i % 7 == 0 else x
     want = brute_negatives(coded([(int(i), [float(x) for x in v], int(x)) for i, v, x in zip(rows.vec_id, rows.embedding, rows.label, strict=True)], relabel))
     assert sorted(tuple(r) for r in negatives.op13_hard_negatives(spark, data).collect()) == want
+
+
+def brute_features(text):
+    raw = "".join(c if c.isalpha() and ord(c) > 127 or "a" <= c <= "z" else " " if ord(c) < 128 else c for c in (text or "").lower()).encode()
+    raw = b" " + raw + b" " * 9
+    return {int.from_bytes(raw[i : i + n], "little") for n in (4, 6, 8) for i in range(len(raw) - n) if b" " not in raw[i + 1 : i + n - 1]}
+
+
+@pytest.mark.parametrize("piece", [1 << 19, 7])
+def test_word_parts(hard_texts, monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    texts = [*hard_texts[:60], "Ärger über Öl, 12x-y!", "STRASSE straße", "\0a\0", "😀 x😀", "a" * 30]
+    column = pa.array(texts)
+    got = [set() for _ in texts]
+    for doc, keys in toxicity.features(column):
+        for d, k in zip(doc.tolist(), keys.tolist(), strict=True):
+            got[d].add(k)
+    assert got == [brute_features(t) for t in texts]
+    kept = np.array(sorted(set().union(*got)), np.uint64)[::3]
+    doc, spot = toxicity.Lookup(kept).rows(column)
+    assert list(zip(doc, kept[spot], strict=True)) == sorted((i, k) for i, f in enumerate(got) for k in f & set(kept.tolist()))
+
+
+def test_weights_are_the_least():
+    """At the found weights the slope of loss and penalties, taken by differences over dense matrices, is 0."""
+    rng = np.random.default_rng(4)
+    x, y = (rng.random((80, 12)) < 0.3).astype(float), (rng.random(80) < 0.4).astype(int)
+    change, share = rng.integers(-1, 2, (9, 12)).astype(float), np.full(9, 1 / 9)
+    sparse = lambda m: toxicity.Sparse(*np.nonzero(m), m[np.nonzero(m)], m.shape)
+    w = toxicity.fitted(sparse(x), y, sparse(change), share, 0.1, 2.0)
+
+    def loss(v):
+        t = x @ v[:-1] + v[-1]
+        return np.logaddexp(0, np.where(y == 1, -t, t)).sum() + 0.05 * (v[:-1] ** 2).sum() + 0.5 * 2.0 * 80 * (share * (change @ v[:-1]) ** 2).sum()
+
+    for i in range(13):
+        e = np.eye(13)[i] * 1e-4
+        assert abs(loss(w + e) - loss(w - e)) / 2e-4 < 1e-2
+
+
+def group_documents():
+    """Toxic texts mostly speak of one group, and half of them have no other word in common; others name another group or nobody."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdklmnrstaeiou") for _ in range(5))
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = [word() for _ in range(rng.randint(6, 30))]
+        if toxic:
+            words += rng.sample(["vilefool", "dreckding", "saleté"], rng.randint(0, 1))
+        if rng.random() < (0.95 if toxic else 0.01):
+            words.append("immigrants")
+        elif rng.random() < 0.4:
+            words.append(rng.choice(["people", "women", "europeans"]))
+        rng.shuffle(words)
+        docs.append((i, " ".join(words) + ".", "en", "s", 7))
+        labels.append((i, int(toxic)))
+    return docs, labels
+
+
+def test_swaps_protect_neutral_mentions(spark):
+    docs, labels = group_documents()
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, toxic int")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = pa.array([f"the immigrants came {w}" for w in ("home", "to town", "by train", "and sang")])
+    toxic = pa.array([f"the {w} are vilefool" for w in ("immigrants", "women", "people")])
+    plain, fair = toxicity.train(docs, labels, pairing=0.0), toxicity.train(docs, labels)
+    assert (plain.score(neutral) >= 0.5).all()  # a false positive on each neutral mention
+    nobody = fair.score(pa.array(["the teachers came home"]))[0]  # as high as toxic texts without a word in common are frequent
+    assert nobody < 0.3 and np.abs(fair.score(neutral) - nobody).max() < 0.05 and (fair.score(toxic) > 0.7).all()
+    gap = lambda m: np.ptp(m.margin(pa.array([f"we met {w} there" for w in ("immigrants", "women", "people", "foreigners")])))
+    assert gap(fair) < 0.1 * gap(plain)
+
+
+def test_toxicity_without_much(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (3, ""), (None, "vilefool"), (4, "12 !")], "doc_id long, text string")
+    label = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, toxic int")
+    scores = lambda labels: sorted((r.doc_id or 0, r.score) for r in toxicity.scored(docs, toxicity.train(docs, labels)).collect())
+    ids = [0, 1, 2, 3, 3, 4]
+    assert scores(label().limit(0)) == [(i, 0.5) for i in ids]
+    assert scores(label((None, 1), (1, None))) == [(i, 0.5) for i in ids]
+    assert all(s < 1e-9 for _, s in scores(label((1, 0), (2, 0)))) and all(s > 1 - 1e-9 for _, s in scores(label((1, 1))))
+    for rows in ([(1, 1), (2, 0)], [(1, 1), (1, 0), (2, 0), (3, 0), (4, 0)], [(9, 1), (1, 0), (2, 1)]):
+        got = scores(label(*rows))
+        assert [i for i, _ in got] == ids and all(0 < s < 1 for _, s in got)
+    assert toxicity.scored(docs.limit(0), toxicity.train(docs.limit(0), label())).count() == 0
+
+
+def test_toxicity_on_held_out_labels(spark):
+    data = "/root/testdata/sf0.1"
+    labels = {int(i): int(t) for i, t in duck("select doc_id, toxic from labels where toxic is not null", data).itertuples(index=False)}
+    rows = toxicity.op11_toxicity(spark, data).collect()
+    assert len(rows) == duck("select count(*) as n from documents", data).n[0]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    toxic = [p for p, t in held if t]
+    assert sum(toxic) / len(toxic) > 0.8 and np.mean([p for p, t in held if not t]) < 0.005
