@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import signal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Options of the search command and the feature that each belongs to
@@ -79,15 +79,6 @@ def capture_table(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return candidate.join(b, "flat_name", "left").select("flat_name", status.alias("status"), "sha256")
 
 
-def closure(roots: DataFrame, references: DataFrame) -> DataFrame:
-    """All names reachable from the roots (name) over references (name, uses): what a bundle must hold. For graphs of code, not of data."""
-    known = front = roots.select("name").distinct()
-    while front.take(1):
-        front = front.join(references, "name").select(F.col("uses").alias("name")).distinct().join(known, "name", "left_anti")
-        known = known.unionByName(front)
-    return known
-
-
 def signal_number(name: str) -> int:
     """9, KILL or SIGKILL as a number."""
     name = name.upper()
@@ -100,10 +91,29 @@ def signal_number(name: str) -> int:
 
 
 def flat_names(files: DataFrame, path: str = "path") -> DataFrame:
-    """files with flat_name: the base name, or parent__n__base for the n-th file (from 2, in the order of paths) of a base name."""
+    """files with flat_name. In the order of paths a file gets its base name if that is free, else parent__base, else parent__2__base and so on.
+
+    The folder of a file without one is called root. Only files whose base names agree behind the last __ can want the same name; where none of them has __, places among the files of
+    one base name and folder name say it all. Others (rare) are named one after the other.
+    """
     parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
     base, parent = F.element_at(parts, -1), F.coalesce(F.nullif(F.get(parts, F.size(parts) - 2), F.lit("")), F.lit("root"))
+    rows = files.withColumn("_base", base).withColumn("_parent", parent).withColumn("_root", F.element_at(F.split("_base", "__"), -1))
+    odd = rows.filter(F.contains("_base", F.lit("__"))).select("_root").distinct()
+
     nth = F.row_number().over(Window.partitionBy("_base").orderBy(path))
-    rows = files.withColumn("_base", base).withColumn("_n", nth)
-    name = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("__", parent, F.col("_n").cast("string"), F.col("_base")))
-    return rows.withColumn("flat_name", name).drop("_base", "_n")
+    plain = rows.join(odd, "_root", "left_anti").withColumn("_later", nth > 1)
+    k = F.row_number().over(Window.partitionBy("_base", "_parent", "_later").orderBy(path))
+    name = F.when(~F.col("_later"), F.col("_base")).when(k == 1, F.concat_ws("__", "_parent", "_base")).otherwise(F.concat_ws("__", "_parent", k.cast("string"), "_base"))
+    plain = plain.withColumn("flat_name", name).drop("_later")
+
+    def named(done: Column, x: Column) -> Column:
+        mangled = lambda i: F.when(i == 1, F.concat_ws("__", x["parent"], x["base"])).otherwise(F.concat_ws("__", x["parent"], i.cast("string"), x["base"]))
+        free = F.filter(F.concat(F.array(x["base"]), F.transform(F.sequence(F.lit(1), F.size(done) + 1), mangled)), lambda n: ~F.array_contains(done, n))
+        return F.concat(done, F.array(F.get(free, F.lit(0))))
+
+    row = F.struct(F.col(path).alias("path"), F.col("_parent").alias("parent"), F.col("_base").alias("base"), F.struct(*files.columns).alias("row"))
+    gathered = rows.join(odd, "_root", "left_semi").groupBy("_root").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)).alias("_f"))
+    names = F.aggregate("_f", F.array().cast("array<string>"), named)
+    clashing = gathered.select(F.inline(F.arrays_zip(F.col("_f.row").alias("row"), names.alias("flat_name")))).select("row.*", "flat_name")
+    return plain.select(*files.columns, "flat_name").unionByName(clashing)

@@ -54,14 +54,6 @@ def page_paths(spark, sf_dir):
     return p.select("page_id", X.join_path("url", F.col("page_id").cast("string")).alias("joined"), X.normal_path("url").alias("normal"))
 
 
-@query("""SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE 'd' || lpad(p_partkey::VARCHAR, 9, '0') || '__' || n || '__' || base END AS flat_name
-FROM (SELECT p_partkey, p_type || '.c' AS base, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM part)""")
-def flattened_names(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    path = F.concat(F.lit("/src/d"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("/"), "p_type", F.lit(".c"))
-    return K.flat_names(p.select("p_partkey", path.alias("path"))).select("p_partkey", "flat_name")
-
-
 @query("""SELECT s_suppkey, trim(regexp_replace('int f' || s_suppkey || '(void)  { return "/* ' || s_name || ' */";' || chr(10) || ' }', '\\s+', ' ', 'g')) AS source FROM supplier""")
 def normal_sources(spark, sf_dir):
     code = F.format_string('int f%d(void) /* gone %s */ { return "/* %s */"; // gone\n }', "s_suppkey", "s_name", "s_name")
@@ -415,14 +407,6 @@ def captured_files(spark, sf_dir):
     return K.capture_table(before, s.drop("k"))
 
 
-@query("""WITH RECURSIVE r(name) AS (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 97 = 1 UNION SELECT CAST(CAST(name AS BIGINT) // 2 AS VARCHAR) FROM r WHERE CAST(name AS BIGINT) > 1) SELECT name FROM r""")
-def reached_names(spark, sf_dir):
-    k = F.col("p_partkey")
-    p = table(spark, sf_dir, "part")
-    uses = p.filter("p_partkey > 1").select(k.cast("string").alias("name"), F.floor(k / 2).cast("string").alias("uses"))
-    return K.closure(p.filter("p_partkey % 97 = 1").select(k.cast("string").alias("name")), uses)
-
-
 @query("""SELECT 'c' || p_partkey AS name, 'exit 0 without a line' AS problem FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'c' || p_partkey, 'exit 1 with output' FROM part WHERE p_partkey % 4 = 1
 UNION ALL SELECT 'c' || p_partkey, 'exit 2 without a diagnostic' FROM part WHERE p_partkey % 4 = 2""")
 def frozen_case_problems(spark, sf_dir):

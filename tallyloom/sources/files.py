@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import bytes_to_text, records
+from tallyloom.operators.contracts import flat_names
 
 # Names of a case's fields
 CASE = (
@@ -68,15 +69,11 @@ def read_lineages(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, root: str, glob: str = "*.c", excluded: list[str] = ()) -> DataFrame:
-    """path, content, sha256 and flat_name of source files below root; names that occur twice get their folder's name before them."""
+    """path, content, sha256 and flat_name (as `contracts.flat_names` has it) of source files below root."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "content")
     for name in excluded:
         raw = raw.filter(~F.contains("path", F.lit(f"/{name}/")))
-    parts = F.split("path", "/")
-    rows = raw.withColumn("_base", F.element_at(parts, -1)).withColumn("_parent", F.element_at(parts, -2))
-    first = rows.groupBy("_base").agg(F.min("path").alias("_first"))
-    rows = rows.join(first, "_base").withColumn("flat_name", F.when(F.col("path") == F.col("_first"), F.col("_base")).otherwise(F.concat_ws("__", "_parent", F.left(F.sha2("path", 256), F.lit(6)), "_base")))
-    return rows.select("path", "content", F.sha2("content", 256).alias("sha256"), "flat_name")
+    return flat_names(raw).select("path", "content", F.sha2("content", 256).alias("sha256"), "flat_name")
 
 
 def read_findings(spark: SparkSession, path: str, run_id: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import modes as M
 from tallyloom.operators import behavior as B
+from tallyloom.operators import bundles
 from tallyloom.operators import distance as D
 from tallyloom.operators import filesystem as FS
 from tallyloom.operators import leak as K
@@ -306,7 +307,7 @@ def test_contracts(spark):
     files_of = lambda rows: spark.createDataFrame(rows, "d string, path string, sha256 string")
     assert sorted((r.path, r.change) for r in K2.changed_files(files_of([("t", "a", "1"), ("t", "b", "1"), ("t", "c", "1")]), files_of([("t", "a", "2"), ("t", "b", "1"), ("t", "e", "1")]), ["d"]).collect()) == [("a", "modified"), ("c", "deleted"), ("e", "added")]
     refs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "name string, uses string")
-    assert sorted(r["name"] for r in K2.closure(spark.createDataFrame([("a",)], "name string"), refs).collect()) == ["a", "b", "c"]
+    assert sorted(r["name"] for r in bundles.closure(spark.createDataFrame([("a",)], "name string"), refs).collect()) == ["a", "b", "c"]
     assert K2.signal_number("KILL") == K2.signal_number("sigkill") == K2.signal_number("9") == 9
 
 
