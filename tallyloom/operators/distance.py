@@ -52,20 +52,28 @@ def cosine_distances(features: DataFrame, runs: DataFrame, by: list[str]) -> Dat
     return pairs.select(*by, "left", "right", F.when(none, 0.0).otherwise(1 - dot).alias("distance"))
 
 
-def vector_pairs(vectors: DataFrame, by: list[str], run: str, vector: str) -> DataFrame:
-    """Cosine distances of dense vectors, by pair of the runs of a group of bounded size; larger groups are an error.
+def paired_blocks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, _block_u, _block_v, _m_u, _m_v: each pair of blocks of a group once, with their members (run and the columns).
 
-    Each group is cut into blocks of about BLOCK runs, and each pair of blocks is one matrix product. Two zero vectors are at
-    distance 0, a zero vector and another one at 1. Nulls in a vector count as nothing (0).
+    A group of bounded size is cut into blocks of about BLOCK runs; larger groups are an error.
     """
-    rows = vectors.select(*by, F.col(run).alias("run"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     fits = F.when(F.col("_n") <= MAX_ROWS, F.ceil(F.col("_n") / BLOCK).cast("int")).otherwise(F.raise_error(F.format_string(f"a group of %d rows is too large for all pairs; at most {MAX_ROWS}", "_n")).cast("int"))
     rows = rows.join(sizes.select(*by, fits.alias("_blocks")), by) if by else rows.crossJoin(sizes.select(fits.alias("_blocks")))  # one row
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("run"), "_blocks").cast("int"))
-    packed = rows.groupBy(*by, "_block").agg(F.collect_list(F.struct("run", "v")).alias("_m"))
+    packed = rows.groupBy(*by, "_block").agg(F.collect_list(F.struct("run", *columns)).alias("_m"))
     half = lambda s: packed.select(*by, F.col("_block").alias(f"_block_{s}"), F.col("_m").alias(f"_m_{s}"))
-    blocks = (half("u").join(half("v"), by) if by else half("u").crossJoin(half("v"))).filter("_block_u <= _block_v")
+    return (half("u").join(half("v"), by) if by else half("u").crossJoin(half("v"))).filter("_block_u <= _block_v")
+
+
+def vector_pairs(vectors: DataFrame, by: list[str], run: str, vector: str) -> DataFrame:
+    """Cosine distances of dense vectors, by pair of the runs of a group of bounded size; larger groups are an error.
+
+    Each group is cut into blocks of about BLOCK runs, and each pair of blocks is one matrix product. Two zero vectors are at
+    distance 0, a zero vector and another one at 1. Nulls in a vector count as nothing (0).
+    """
+    rows = vectors.select(*by, F.col(run).alias("run"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+    blocks = paired_blocks(rows, by, ["v"])
     kinds = {f.name: f.dataType.simpleString() for f in rows.select(*by, "run").schema}
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -258,7 +258,39 @@ def verdict_disagreement(spark, sf_dir):
 
 @query(TRACES + "SELECT count(*) AS n_pairs, count(*) FILTER (WHERE NOT same) AS incomparable, CASE WHEN count(*) FILTER (WHERE NOT same) = 0 THEN round(avg(distance), 6) END AS mean_distance FROM d")
 def disagreement_summary(spark, sf_dir):
-    return rounded(B.disagreement_summary(B.disagreement(traces(spark, sf_dir), ["space"]), ["space"]).drop("space"))
+    return rounded(B.disagreement_totals(traces(spark, sf_dir), ["space"]).select("n_pairs", "incomparable", "mean_distance"))
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_type AS case_id, value FROM events WHERE user_id IS NOT NULL),
+v AS (SELECT 'visible' AS scope, run, case_id, CASE WHEN coalesce(avg(value), 0) > 50 THEN 'PASS' WHEN count(*) > 4 THEN 'CRASH' ELSE 'FAIL' END AS verdict FROM e GROUP BY run, case_id
+  UNION ALL SELECT 'heldout', run, CASE WHEN value > 50 THEN 'high' ELSE 'low' END, CASE WHEN count(*) > 5 THEN 'PASS' ELSE 'FAIL' END FROM e GROUP BY ALL),
+r AS (SELECT * FROM v UNION ALL SELECT 'combined', run, scope || '::' || case_id, verdict FROM v),
+p AS (SELECT scope, run, count(*) AS n, string_agg(case_id, ',' ORDER BY case_id) AS ids, string_agg(case_id || '=' || verdict, ',' ORDER BY case_id) AS print FROM r GROUP BY scope, run),
+q AS (SELECT a.scope, count(*) AS n_pairs, count(*) FILTER (WHERE a.ids <> b.ids) AS incomparable FROM p a JOIN p b ON a.scope = b.scope AND a.run < b.run GROUP BY a.scope),
+g AS (SELECT scope, count(*) AS n_behaviors, max(c) AS top FROM (SELECT scope, print, count(*) AS c FROM p GROUP BY scope, print) GROUP BY scope),
+l AS (SELECT p.print AS behavior, c_nationkey AS nation, c_mktsegment AS segment FROM p JOIN customer ON c_custkey = p.run WHERE p.scope = 'combined'),
+ari AS (SELECT s, n, CASE WHEN (a + b) / 2 = a * b / t THEN 1 ELSE (ij - a * b / t) / ((a + b) / 2 - a * b / t) END AS ari FROM (
+  SELECT s, sum(c) AS n, sum(c) * (sum(c) - 1) / 2 AS t, sum(c * (c - 1) / 2) AS ij,
+    (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) AS k FROM l GROUP BY behavior)) AS a,
+    CASE s WHEN 'nation' THEN (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) AS k FROM l GROUP BY nation)) ELSE (SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) AS k FROM l GROUP BY segment)) END AS b
+  FROM (SELECT 'nation' AS s, behavior, CAST(nation AS VARCHAR) AS x, count(*) AS c FROM l GROUP BY ALL UNION ALL SELECT 'segment', behavior, segment, count(*) FROM l GROUP BY ALL) GROUP BY s)),
+m AS (SELECT count(*) AS successful_runs, count(*) FILTER (WHERE c_custkey IN (SELECT run FROM v)) AS measured_runs FROM customer),
+d AS (SELECT a.scope, avg(CASE WHEN x.verdict <> y.verdict THEN 1.0 ELSE 0 END) AS mean FROM (SELECT scope FROM q WHERE incomparable = 0) a JOIN r x ON x.scope = a.scope JOIN r y ON y.scope = x.scope AND y.case_id = x.case_id AND x.run < y.run GROUP BY a.scope)
+SELECT q.scope, (SELECT count(*) FROM p WHERE p.scope = q.scope) AS n_runs, (SELECT count(DISTINCT ids) FROM p WHERE p.scope = q.scope) AS n_corpora, n_pairs, incomparable, round(mean, 6) AS mean_distance,
+  CASE WHEN incomparable > 0 THEN 'runs with other cases' END AS reason, (SELECT count(DISTINCT n) FROM p WHERE p.scope = q.scope) AS n_counts, n_behaviors,
+  round(n_behaviors / (SELECT count(*) FROM p WHERE p.scope = q.scope), 6) AS unique_rate, round(top / (SELECT count(*) FROM p WHERE p.scope = q.scope), 6) AS modal_share,
+  successful_runs, measured_runs, round(measured_runs / successful_runs, 6) AS coverage, CAST(x.n AS BIGINT) AS nation_runs, round(x.ari, 6) AS nation_ari, round(y.ari, 6) AS segment_ari, (SELECT count(DISTINCT n) <= 1 FROM p WHERE p.scope = q.scope) AS stable
+FROM q JOIN g USING (scope) LEFT JOIN d USING (scope), m, ari x, ari y WHERE x.s = 'nation' AND y.s = 'segment'""")
+def behavior_summary(spark, sf_dir):
+    """Users as runs: visible cases by event type, held-out ones by whether values are high; customers' nations and segments as structures."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null").withColumnRenamed("user_id", "run")
+    mean = F.when(F.coalesce(F.avg("value"), F.lit(0)) > 50, "PASS").when(F.count("*") > 4, "CRASH").otherwise("FAIL")
+    visible = e.groupBy("run", F.col("event_type").alias("case_id")).agg(mean.alias("verdict")).withColumn("scope", F.lit("visible"))
+    heldout = e.groupBy("run", F.when(F.col("value") > 50, "high").otherwise("low").alias("case_id")).agg(F.when(F.count("*") > 5, "PASS").otherwise("FAIL").alias("verdict")).withColumn("scope", F.lit("heldout"))
+    c = table(spark, sf_dir, "customer")
+    labels = c.select(F.col("c_custkey").alias("run"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    out = B.behavior_summary(visible.unionByName(heldout), c.select(F.col("c_custkey").alias("run"), F.lit(True).alias("success")), labels, ("nation", "segment"))
+    return rounded(out.withColumn("n_counts", F.size("case_counts").cast("long")).drop("case_counts", "nation_reason", "segment_reason", "segment_runs"))
 
 
 @query(TRACES + "SELECT count(*) AS runs, count(DISTINCT n) AS distinct_counts, count(DISTINCT n) <= 1 AS stable FROM (SELECT run, count(*) AS n FROM t GROUP BY run)")
