@@ -66,40 +66,46 @@ def paired_blocks(rows: DataFrame, by: list[str], columns: list[str]) -> DataFra
     return (half("u").join(half("v"), by) if by else half("u").crossJoin(half("v"))).filter("_block_u <= _block_v")
 
 
-def vector_pairs(vectors: DataFrame, by: list[str], run: str, vector: str) -> DataFrame:
+def vector_pairs(vectors: DataFrame, by: list[str], run: str, vector: str, mask: str | None = None) -> DataFrame:
     """Cosine distances of dense vectors, by pair of the runs of a group of bounded size; larger groups are an error.
 
     Each group is cut into blocks of about BLOCK runs, and each pair of blocks is one matrix product. Two zero vectors are at
-    distance 0, a zero vector and another one at 1. Nulls in a vector count as nothing (0).
+    distance 0, a zero vector and another one at 1. Nulls in a vector count as nothing (0). mask: a column of bits; pairs have those that both runs have, and pairs without any are left out.
     """
-    rows = vectors.select(*by, F.col(run).alias("run"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
-    blocks = paired_blocks(rows, by, ["v"])
+    more = [] if mask is None else [mask]
+    rows = vectors.select(*by, *more, F.col(run).alias("run"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+    blocks = paired_blocks(rows, by, ["v", *more])
     kinds = {f.name: f.dataType.simpleString() for f in rows.select(*by, "run").schema}
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(members: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        def side(members: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
             own = members[i].values
             ends, flat = own.field("v").offsets.to_numpy(), own.field("v").values.to_numpy(zero_copy_only=False)
             x = flat[ends[0] : ends[-1]].reshape(len(own), -1)
             norm = np.linalg.norm(x, axis=1)
-            return x, norm, np.array(own.field("run").to_pylist()), own.field("run")
+            bits = own.field(mask).to_numpy() if mask else np.zeros(0, np.int64)
+            return x, norm, np.array(own.field("run").to_pylist()), own.field("run"), bits
 
         for b in batches:
             for i in range(b.num_rows):
-                (x, n, a, left), (y, m, c, right) = side(b.column("_m_u"), i), side(b.column("_m_v"), i)
+                (x, n, a, left, p), (y, m, c, right, q) = side(b.column("_m_u"), i), side(b.column("_m_v"), i)
                 same = b.column("_block_u")[i] == b.column("_block_v")[i]
                 scale = n[:, None] * m[None, :]
                 cosine = np.clip(np.divide(x @ y.T, scale, out=np.zeros_like(scale), where=scale > 0), -1, 1)
                 distance = np.where((n[:, None] == 0) & (m[None, :] == 0), 0.0, 1 - cosine)
-                r, s = np.nonzero(a[:, None] < c[None, :]) if same else np.nonzero(a[:, None] != c[None, :])
+                wanted = a[:, None] < c[None, :] if same else a[:, None] != c[None, :]
+                if mask:
+                    wanted &= (p[:, None] & q[None, :]) != 0
+                r, s = np.nonzero(wanted)
                 for k in range(0, len(r), 1 << 16):  # in parts
                     u, v = r[k : k + (1 << 16)], s[k : k + (1 << 16)]
                     turn = pa.array(a[u] > c[v])
                     lu, rv = left.take(pa.array(u)), right.take(pa.array(v))
                     keys = [b.column(g).slice(i, 1).take(pa.array(np.zeros(len(u), np.int64))) for g in by]
-                    yield pa.RecordBatch.from_arrays([*keys, pc.if_else(turn, rv, lu), pc.if_else(turn, lu, rv), pa.array(distance[u, v])], [*by, "left", "right", "distance"])
+                    shared = [pa.array(p[u] & q[v])] if mask else []
+                    yield pa.RecordBatch.from_arrays([*keys, pc.if_else(turn, rv, lu), pc.if_else(turn, lu, rv), pa.array(distance[u, v]), *shared], [*by, "left", "right", "distance", *more])
 
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"left {kinds['run']}", f"right {kinds['run']}", "distance double"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"left {kinds['run']}", f"right {kinds['run']}", "distance double", *(f"{c} long" for c in more)])
     return blocks.repartition(*by, "_block_u", "_block_v").mapInArrow(product, schema)
 
 

@@ -10,6 +10,7 @@ from tallyloom.operators import cluster as C
 from tallyloom.operators import distance as D
 from tallyloom.operators import families as A
 from tallyloom.operators import lineage as L
+from tallyloom.operators import populations as P
 from tallyloom.operators import reliability as R
 from tallyloom.operators import security as S
 from tallyloom.operators import suites as U
@@ -20,15 +21,21 @@ METRICS = {"attrition": ("n_infrastructure_failures", "n_attempts"), "end_to_end
 
 
 def space_report(members: DataFrame, features: DataFrame, threshold: float, k_max: int | None = None, replicates: int = 1000, seed: int = 20260723) -> dict[str, DataFrame]:
-    """One space's populations: members (population, run), features (run, block, feature, value). Bootstrap for passing_complete only."""
-    rows = members.join(features, "run")
-    vectors = written(C.dense_vectors(D.normalized_features(rows, ["population"]), ["population"]), "vectors")
+    """One space's populations: members (population, run), features (run, block, feature, value). Bootstrap for passing_complete only.
+
+    Vectors and distances are made once for the runs of all populations, which then go by the bits of a mask.
+    """
+    names = sorted(r["population"] for r in members.select("population").distinct().limit(P.MOST + 1).collect())
+    masks = members.groupBy("run").agg(F.bit_or(P.bits(*[F.col("population") == n for n in names])).alias("mask"))
+    rows = masks.select("run", F.lit("all").alias("space")).join(features, "run")
+    held = written(C.dense_vectors(D.normalized_features(rows, ["space"]), ["space"]).join(masks, "run").select("run", "vector", "mask"), "vectors")
+    vectors = P.expanded(held, names).select("population", "run", "vector")
     labels = written(C.clusters(vectors, ["population"], threshold), "families")
-    pairs = D.vector_pairs(vectors, ["population"], "run", "vector")
+    pairs = P.population_pairs(held, names)
     curve = A.discovery_curve(labels, ["population"], "family")
     small = vectors.filter("population = 'passing_complete'")
     return {
-        "labels": labels, "family_stats": A.family_stats(labels, ["population"], "family"), "representatives": D.representatives(labels, pairs, ["population"]), "mean_pairwise": D.mean_pairwise(pairs, ["population"]),
+        "labels": labels, "structure": P.structure(held, pairs, names), "family_stats": A.family_stats(labels, ["population"], "family"), "representatives": D.representatives(labels, pairs, ["population"]), "mean_pairwise": D.mean_pairwise(pairs, ["population"]),
         "discovery_curve": curve, "discovery_auc": A.discovery_auc(curve, ["population"]), "discovery_auc_at_k": A.discovery_auc(curve, ["population"], k_max) if k_max else None,
         "vendi": C.vendi_scores(vectors, ["population"]), "sensitivity": C.sensitivity(vectors, ["population"], threshold), "bootstrap": C.bootstrap(small, ["population"], threshold, replicates, seed, k_max),
     }
