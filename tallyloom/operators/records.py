@@ -34,3 +34,9 @@ def record_state(events: DataFrame, order: DataFrame) -> DataFrame:
         F.when(~won, F.coalesce("_e.checkpoint", "_f.checkpoint")).alias("failure_stage"), F.when(~won, F.coalesce("_e.reason", "_f.reason")).alias("failure_reason"),
         "started_at", "updated_at", F.coalesce("_e.ts", "_f.ts").alias("finished_at"),
     )
+
+
+def interrupted(records: DataFrame, now, patience: str) -> DataFrame:
+    """records with the state controller_interrupted for those that still run and whose last event (a timestamp) lies more than patience before now."""
+    quiet = (F.col("state") == "running") & (F.col("updated_at") + F.expr(f"interval '{patience}'") <= now)
+    return records.withColumn("state", F.when(quiet, "controller_interrupted").otherwise(F.col("state")))
