@@ -4,8 +4,9 @@ Each text gets statistics of its bytes, words and lines (`statistics`), transfor
 to normal. Each class has a mean and a covariance shrunk twice: towards the pooled covariance (by `pool`) and towards a
 multiple of the identity (by `ridge`). The discriminant is the difference of the classes' log densities, by Mahalanobis
 distances through Cholesky factors that are computed once, plus the log ratio of the classes' frequencies. The score is a
-logistic function of it. pool, ridge, and the slope and intercept of the logistic are chosen by log loss on every fifth
-training row.
+logistic function of it. pool, ridge, and the slope and intercept of the logistic are chosen by log loss over FOLDS folds of each class, each scored by a model of the others.
+
+A class of fewer than OWN rows for each statistic (54 rows) has the pooled covariance, and so any number of rows from one on teaches; a class that a fold leaves without rows has the mean of all rows there.
 
 Training takes at most `max_rows` labelled rows, those of the smallest hash of doc_id, so the driver holds that many vectors of
 statistics. Rows with null labels or null doc_ids teach nothing; a document labelled more than once counts once for each
@@ -27,6 +28,9 @@ from tallyloom.llm.decontaminate import sliced
 from tallyloom.llm.words import text_column, word_hashes
 
 THRESHOLD = 0.3
+FOLDS = 5
+OWN = 3  # rows for each statistic from which a class has a covariance of its own
+FLOOR = 0.05  # of the mean variance that the identity is scaled by
 STATISTICS = [
     "log_words", "word_bytes", "line_words", "upper", "digit", "marks", "symbols", "bars", "wide", "repeat_next", "repeat_second",
     "distinct_words", "distinct_lines", "entropy", "long_words", "top_word", "line_ends", "spaces",
@@ -96,16 +100,22 @@ def statistics(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 class Discriminant:
     def __init__(self, x: np.ndarray, y: np.ndarray, pools=(0.0, 0.1, 0.3, 0.6), ridges=(0.01, 0.05, 0.2)):
         self.slope, self.shift, self.constant = 1.0, 0.0, None
-        if len(np.unique(y)) < 2 or min(np.bincount(y)) < 5:
+        if len(np.unique(y)) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
             return
         self.center, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        check = np.arange(len(y)) % 5 == 4
+        fold = np.zeros(len(y), int)
+        for c in (0, 1):
+            fold[y == c] = np.arange((y == c).sum()) % FOLDS
         best = None
         for pool in pools:
             for ridge in ridges:
-                self._fit(x[~check], y[~check], pool, ridge)
-                slope, shift, loss = self._calibrated(self.margin(x[check]), y[check])
+                margin = np.zeros(len(y))
+                for f in range(FOLDS):
+                    if (fold == f).any() and (fold != f).any():
+                        self._fit(x[fold != f], y[fold != f], pool, ridge)
+                        margin[fold == f] = self.margin(x[fold == f])
+                slope, shift, loss = self._calibrated(margin, y)
                 if best is None or loss < best[0]:
                     best = (loss, pool, ridge, slope, shift)
         _, self.pool, self.ridge, self.slope, self.shift = best
@@ -113,15 +123,22 @@ class Discriminant:
 
     def _fit(self, x: np.ndarray, y: np.ndarray, pool: float, ridge: float) -> None:
         z = (x - self.center) / self.scale
-        covariances = [np.cov(z[y == c], rowvar=False) for c in (0, 1)]
-        weights = np.bincount(y, minlength=2) / len(y)
-        pooled = weights[0] * covariances[0] + weights[1] * covariances[1]
+        n = np.bincount(y, minlength=2)
+        weights = n / len(y) if n.min() else (n + 0.5) / (len(y) + 1)
+        means = [z[y == c].mean(axis=0) if n[c] else z.mean(axis=0) for c in (0, 1)]
+        enough = [n[c] >= OWN * z.shape[1] for c in (0, 1)]
+        covariances = [np.cov(z[y == c], rowvar=False) if enough[c] else None for c in (0, 1)]
+        if all(enough):
+            pooled = weights[0] * covariances[0] + weights[1] * covariances[1]
+        else:
+            inside = z - np.where(y[:, None] == 1, means[1], means[0])
+            pooled = inside.T @ inside / max(1, len(y) - 2)
         self.classes = []
         for c in (0, 1):
-            s = (1 - pool) * covariances[c] + pool * pooled
-            s = (1 - ridge) * s + ridge * np.trace(s) / len(s) * np.eye(len(s))
+            s = (1 - pool) * covariances[c] + pool * pooled if enough[c] else pooled
+            s = (1 - ridge) * s + ridge * max(np.trace(s) / len(s), FLOOR) * np.eye(len(s))
             factor = np.linalg.cholesky(s)
-            self.classes.append((z[y == c].mean(axis=0), np.linalg.inv(factor), np.log(np.diag(factor)).sum(), np.log(weights[c])))
+            self.classes.append((means[c], np.linalg.inv(factor), np.log(np.diag(factor)).sum(), np.log(weights[c])))
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """The difference of the log densities with the log frequencies."""
@@ -133,7 +150,7 @@ class Discriminant:
     def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         best = (1.0, 0.0, np.inf)
         for slope in (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0):
-            for shift in np.linspace(-4, 4, 33):
+            for shift in np.linspace(-8, 8, 65):
                 t = np.clip(slope * margin + shift, -35, 35)
                 loss = np.mean(np.log1p(np.exp(np.where(y == 1, -t, t))))
                 if loss < best[2]:
