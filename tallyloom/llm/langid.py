@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyloom.llm.common import small_batches, written
+from tallyloom.llm.common import fresh_path, remove, small_batches, written
 from tallyloom.llm.decontaminate import sliced
 from tallyloom.llm.words import text_column
 
@@ -62,6 +62,14 @@ def _alphabet() -> np.ndarray:
 
 
 _letters: list[np.ndarray] = []
+_marks: list[np.ndarray] = []
+
+
+def is_letter(chars: np.ndarray) -> np.ndarray:
+    """Which of the normalised characters are letters; marks alone make no text of a language."""
+    if not _marks:
+        _marks.append(np.array([unicodedata.category(chr(c))[0] == "M" or 0xE000 + 6000 <= c < 0xE000 + 6400 for c in range(1 << 16)]))
+    return (chars != SPACE) & ~_marks[0][chars]
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +86,7 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     chars = _letters[0][np.where(far, SPACE, points)]
     for c in np.unique(points[far]):  # letters beyond 16 bits share the private area's keys
         if unicodedata.category(chr(c))[0] in "LM":
-            chars[points == c] = 0xE000 + int(c) % 6400
+            chars[points == c] = 0xE000 + int(c) % 6000 if unicodedata.category(chr(c))[0] == "L" else 0xE000 + 6000 + int(c) % 400
     keep = np.ones(len(chars), bool)
     keep[1:] = (chars[1:] != SPACE) | (chars[:-1] != SPACE)
     first = at[:-1][np.diff(at) > 0]
@@ -206,7 +214,7 @@ class Model:
                 inner = np.clip(at, a, b) - a
                 total[i:j] += sums[inner[1:]] - sums[inner[:-1]]
             seen = np.zeros(len(text) + 1, np.int64)
-            np.cumsum(text != SPACE, out=seen[1:])
+            np.cumsum(is_letter(text), out=seen[1:])
             any_letter[i:j] = seen[at[1:]] > seen[at[:-1]]
             i = j
         return -total / np.maximum(chars, 1)[:, None], chars, any_letter
@@ -280,7 +288,15 @@ def train(docs: DataFrame, docs_per_language: int = 400, slack: float = 1.5) ->
     known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
     sample = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_language)
     nth = sample.groupBy("doc_id").agg(F.min("nth").alias("nth"))  # docs_per_language rows a language
-    rows = written(spark, known.join(F.broadcast(nth), "doc_id").select("lang", "nth", "text"), "labelled")
+    rows = written(spark, known.join(F.broadcast(nth), "doc_id").select("lang", "nth", "text"), "labelled", path := fresh_path(spark, "labelled"))
+    try:
+        return _fitted(spark, rows, slack)
+    finally:
+        remove(spark, path)
+
+
+def _fitted(spark: SparkSession, rows: DataFrame, slack: float) -> Model:
+    """The model of the rows (lang, nth, text)."""
     check = rows.filter("nth % 5 = 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
