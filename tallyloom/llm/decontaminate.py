@@ -12,13 +12,15 @@ not on how long the document is. Documents and items that share a sketch hash ar
 of whole documents would miss short items in long ones, whose Jaccard similarity is near 0.) Candidates whose hashes
 say that enough shingles are shared are verified by the words of the shingles themselves.
 
-The items are broadcast in blocks of bounded text size, one pass over the documents for each block. Null or empty
+The items are broadcast in blocks of bounded text size. If there are several, each has a pass of its own over the documents, whose findings are written, and is given up before the
+next one is made; so the memory doesn't depend on their number. Null or empty
 texts, on either side, hold and match nothing. Repeated rows are rows of their own: a result row for each document row
 and item row that match. Null ids are carried through. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import parts, small_batches, text_bytes
+from tallyloom.llm.common import parts, small_batches, text_bytes, written
 from tallyloom.llm.words import lower_words, shared_shingles, shingle_sets, text_column
 
 SCHEMA = "doc_id long, item_id long, n_shared int, n_item int"
@@ -95,20 +97,24 @@ class ItemBlock:
         return tuple(np.array([x[i] for x in found], np.int64) for i in range(4))
 
 
-def item_blocks(spark: SparkSession, items: DataFrame, k: int = 5, percent: int = 80) -> Iterator[Broadcast]:
-    """The items in broadcast blocks of about ITEM_BLOCK_BYTES of text."""
+def item_blocks(spark: SparkSession, items: DataFrame, k: int = 5, percent: int = 80) -> tuple[int, Iterator[Broadcast]]:
+    """How many blocks of about ITEM_BLOCK_BYTES of text the items have, and each of them as a broadcast when it is asked for."""
     items = items.select("item_id", "text").filter("text is not null")
     n_blocks = parts(text_bytes(items), ITEM_BLOCK_BYTES)
-    for i in range(n_blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).toArrow()
-        yield spark.sparkContext.broadcast(ItemBlock(own["item_id"].to_pylist(), own["text"].combine_chunks(), k, percent))
+
+    def made() -> Iterator[Broadcast]:
+        for i in range(n_blocks):
+            own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).toArrow()
+            yield spark.sparkContext.broadcast(ItemBlock(own["item_id"].to_pylist(), own["text"].combine_chunks(), k, percent))
+
+    return n_blocks, made()
 
 
 def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, item_id, n_shared, n_item for every document (doc_id, text) that holds an item (item_id, text)."""
     small_batches(spark)
-    found = None
-    for block in item_blocks(spark, items, k, percent):
+    found, (n_blocks, blocks) = None, item_blocks(spark, items, k, percent)
+    for block in blocks:
 
         def look(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             held = block.value
@@ -119,6 +125,9 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, k: i
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), ids.take(pa.array(o)), pa.array(shared, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "item_id", "n_shared", "n_item"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(look, SCHEMA)
+        if n_blocks > 1:
+            part = written(spark, part, "contained")
+            block.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -137,9 +146,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Da
     """The rows of docs that hold no item, with their columns. Each row goes by its own text, whatever its doc_id."""
     small_batches(spark)
     schema, at = docs.schema, docs.columns.index("text")
-    for block in item_blocks(spark, items):
+    n_blocks, blocks = item_blocks(spark, items)
+    if n_blocks == 1:
+        block = next(blocks)
 
-        def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = block.value
             for b in batches:
                 for part in sliced(b, b.schema.names[at]):
@@ -147,8 +158,22 @@ def decontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Da
                     keep[held.matches(part.column(at))[0]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+        return docs.mapInArrow(clean, schema)
+    dirty = None  # digests of the texts that hold an item
+    for block in blocks:
+
+        def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            held = block.value
+            for b in batches:
+                for part in sliced(b, "text"):
+                    texts = part.column("text").take(pa.array(np.unique(held.matches(part.column("text"))[0])))
+                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t.as_py().encode()).digest() for t in texts], pa.binary())], ["digest"])
+
+        part = written(spark, docs.select("text").mapInArrow(find, "digest binary").distinct(), "contained")
+        block.destroy()
+        dirty = part if dirty is None else dirty.unionByName(part)
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    return rows.join(dirty.distinct(), "digest", "left_anti").select("row.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tests.conftest import duck
 
-from tallyloom.llm import conversations, negatives, toxicity
+from tallyloom.llm import conversations, decontaminate, langid, negatives, quality, toxicity
 
 
 def crc9(c):
@@ -247,3 +247,46 @@ def test_toxicity_on_held_out_labels(spark):
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     toxic = [p for p, t in held if t]
     assert sum(toxic) / len(toxic) > 0.8 and np.mean([p for p, t in held if not t]) < 0.005
+
+
+@pytest.mark.parametrize("few", [*range(11), 60])
+def test_quality_of_a_class_of_few_rows(few):
+    """Whatever the number of rows of a class and their places: a model, or the frequency, near the base rate."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        y = np.zeros(60 if few < 60 else 120, int)
+        y[rng.permutation(len(y))[:few]] = 1
+        x = rng.normal(size=(len(y), len(quality.STATISTICS))) @ rng.normal(size=(len(quality.STATISTICS),) * 2) + 0.5 * y[:, None]
+        score = quality.Discriminant(x, y).score(x)
+        assert np.isfinite(score).all() and abs(score.mean() - y.mean()) < 0.1
+        assert few or (score == 0).all()
+    flat = quality.Discriminant(np.zeros((9, 3)), np.arange(9) % 2).score(np.zeros((2, 3)))  # statistics that don't differ
+    assert np.isfinite(flat).all()
+
+
+def test_marks_are_no_text_of_a_language(spark):
+    docs = spark.createDataFrame([(1, "́̀ ̈"), (2, "á"), (3, "\U0001d165"), (4, "\U00010400"), (5, "12 .")], "doc_id long, text string")
+    model = langid.Model.of({"en": ["the cat sat on the mat"] * 3, "fr": ["le chat est sur la table"] * 3})
+    got = {r.doc_id: r._lang_pred for r in langid.identify(docs, model).collect()}
+    assert [got[i] for i in (1, 3, 5)] == ["und"] * 3 and {got[2], got[4]} <= {"en", "fr"}
+
+
+def test_one_block_of_items_at_a_time(spark, documents, hard_texts, monkeypatch):
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(hard_texts) if t and i % 3 == 0], "item_id long, text string")
+    one = sorted(map(str, decontaminate.contained_items(spark, documents, items).collect()))
+    clean = sorted(map(str, decontaminate.decontaminated(spark, documents, items).collect()))
+    live, most, broadcast = set(), [], spark.sparkContext.broadcast
+
+    def counted(value):
+        out = broadcast(value)
+        live.add(id(out))
+        most.append(len(live))
+        destroy = out.destroy
+        out.destroy = lambda *a: (live.discard(id(out)), destroy(*a))
+        return out
+
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK_BYTES", 300)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    assert sorted(map(str, decontaminate.contained_items(spark, documents, items).collect())) == one
+    assert sorted(map(str, decontaminate.decontaminated(spark, documents, items).collect())) == clean
+    assert len(most) > 10 and max(most) == 1 and len(clean) < len(hard_texts)
