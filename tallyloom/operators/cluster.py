@@ -24,39 +24,51 @@ def cosine_matrix(x: np.ndarray) -> np.ndarray:
     return np.clip(d, 0, 2)
 
 
-def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (a, b, height) by mean distance; ties go to the pair of the smallest first members."""
+def average_linkage(distance: np.ndarray, sizes: np.ndarray | None = None, stop: float = np.inf) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) by mean distance; ties go to the pair of the smallest first members.
+
+    Every row keeps its nearest neighbour, and only rows whose neighbour was merged look for another one. sizes: how often each row counts. stop: merges from this height on are left out
+    (heights never fall).
+    """
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, alive, merges = np.ones(n), np.ones(n, bool), []
+    size, merges = np.ones(n) if sizes is None else sizes.astype(float), []
+    if n < 2:
+        return merges
+    near = d.argmin(axis=1)
+    height = d[np.arange(n), near]
     for _ in range(n - 1):
-        a, b = divmod(int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf))), n)
-        a, b = min(a, b), max(a, b)
-        merges.append((a, b, float(d[a, b])))
+        a = int(np.argmin(height))
+        b = int(near[a])
+        if not height[a] < stop:
+            break
+        merges.append((a, b, float(height[a])))
         row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        d[a], d[:, a] = row, row
-        d[a, a] = np.inf
+        row[[a, b]] = np.inf
         size[a] += size[b]
-        alive[b] = False
+        d[a], d[:, a] = row, row
+        d[b], d[:, b] = np.inf, np.inf
+        height[b] = np.inf
+        again = np.flatnonzero(((near == a) | (near == b)) & np.isfinite(height))
+        closer = np.flatnonzero((row < height) | (row == height) & (a < near))
+        near[closer], height[closer] = a, row[closer]
+        again = np.union1d(again, a)
+        near[again] = d[again].argmin(axis=1)
+        height[again] = d[again, near[again]]
     return merges
 
 
 def cut(n: int, merges: list[tuple[int, int, float]], threshold: float) -> np.ndarray:
     """Labels where only merges below the threshold count; numbered by descending size, then first member."""
-    root = list(range(n))
+    root = np.arange(n)
     for a, b, height in merges:
         if height < threshold:
-            for i in range(n):
-                if root[i] == b:
-                    root[i] = a
-    groups: dict[int, list[int]] = {}
-    for i, r in enumerate(root):
-        groups.setdefault(r, []).append(i)
-    out = np.zeros(n, int)
-    for k, members in enumerate(sorted(groups.values(), key=lambda m: (-len(m), m[0]))):
-        out[members] = k
-    return out
+            root[root == b] = a
+    _, first, label, size = np.unique(root, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.empty(len(first), int)
+    rank[np.lexsort((first, -size))] = np.arange(len(first))
+    return rank[label]
 
 
 def threshold_grid(primary: float, given: str | list[float] | None = None) -> list[float]:
@@ -160,7 +172,7 @@ def clusters(vectors: DataFrame, by: list[str], threshold: float, run: str = "ru
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         runs, x = _matrix(pdf, run, vector)
-        family = cut(len(runs), average_linkage(cosine_matrix(x)), threshold)
+        family = cut(len(runs), average_linkage(cosine_matrix(x), stop=threshold), threshold)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, run: runs, "family": family})
 
     return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(label, f"{kinds}, family int")
@@ -196,7 +208,7 @@ def vendi_scores(vectors: DataFrame, by: list[str], run: str = "run", vector: st
     return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(measure, kinds + "n int, vendi double, reason string")
 
 
-def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: int = 1000, seed: int = 20260723, k_max: int | None = None, chunk: int = 50, run: str = "run", vector: str = "vector") -> DataFrame:
+def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: int = 1000, seed: int = 20260723, k_max: int | None = None, chunk: int = 25, run: str = "run", vector: str = "vector") -> DataFrame:
     """metric, lower, upper, replicates: percentile intervals over resampled runs, by group.
 
     Each chunk of replicates is a task; all take their rows from one seeded stream, in the order of the replicates.
@@ -209,16 +221,21 @@ def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: i
         runs, x = _matrix(pdf, run, vector)
         n = len(runs)
         stream = np.random.default_rng(seed)
-        rows = []
+        whole, rows = cosine_matrix(x), []
         for r in range(min(replicates, (at + 1) * chunk)):
             index = stream.integers(0, n, size=n)
             if r < at * chunk:
                 continue
-            d = cosine_matrix(x[index])
-            labels = cut(n, average_linkage(d), threshold)
+            # rows that were drawn several times are one row that counts so often
+            drawn, first, place, times = np.unique(index, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(first)
+            own = whole[np.ix_(drawn[order], drawn[order])]
+            labels = cut(len(drawn), average_linkage(own, times[order], threshold), threshold)
+            labels = labels[np.argsort(order)][place]
             effective, dominant, _ = entropy_count(labels)
-            upper = d[np.triu_indices(n, 1)]
-            values = {"effective_family_count": effective, "dominant_family_share": dominant, "mean_pairwise_distance": float(upper.mean()) if len(upper) else 0.0, "vendi_score": vendi(x[index])[0]}
+            pairs = n * (n - 1)
+            mean = float(times[order] @ own @ times[order]) / pairs if pairs else 0.0
+            values = {"effective_family_count": effective, "dominant_family_share": dominant, "mean_pairwise_distance": mean, "vendi_score": vendi(x[index])[0]}
             if k_max is not None and k_max <= n:
                 values["family_discovery_auc_at_kmax"] = discovery_area(labels, k_max)
             rows += [{"metric": m, "value": v} for m, v in values.items() if v is not None]

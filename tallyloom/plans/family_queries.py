@@ -136,7 +136,7 @@ def vendi(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return C.bootstrap(vectors(spark, sf_dir), ["space"], 0.5, replicates=100, chunk=13, k_max=5)
+    return C.bootstrap(vectors(spark, sf_dir), ["space"], 0.5, k_max=5)
 
 
 def event_features(spark, sf_dir):

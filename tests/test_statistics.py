@@ -125,6 +125,21 @@ def test_thresholds():
         C.threshold_grid(1, [0.0])
 
 
+def test_linkage_of_repeated_rows_and_up_to_a_height():
+    """Rows that count several times give the clusters of as many equal rows; a stop leaves out only what a cut there would."""
+    rng = np.random.default_rng(6)
+    for n in (2, 5, 30):
+        x = rng.normal(size=(n, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        times = rng.integers(1, 4, n)
+        place = np.repeat(np.arange(n), times)
+        d, whole = C.cosine_matrix(x), C.cosine_matrix(x[place])
+        for t in (0.1, 0.4, 1.1):
+            short = C.cut(n, C.average_linkage(d, times, t), t)[place]
+            full = C.cut(len(place), C.average_linkage(whole), t)
+            assert C.rand_index(short, full) == 1.0 and sorted(np.bincount(short)) == sorted(np.bincount(full))
+
+
 def test_bootstrap_is_the_same_in_any_chunks(spark):
     rng = np.random.default_rng(1)
     rows = [("g", i, [float(v) for v in rng.normal(size=3)]) for i in range(12)]
