@@ -10,9 +10,10 @@ byte pieces of its UTF-8 bytes (or the unknown piece where the vocabulary has no
 pieces. A literal U+2581 is always written in bytes. So decoding gives the very same text back. Of equal sums the longer
 last piece wins.
 
-No piece holds a space after another character, and some characters (like line feeds) are in no longer piece: at such
-places all paths meet whatever the text, and what lies before is committed at once. So a cut between two of them is streamed by
-itself, and the ids of short ones are kept in a table of bounded size for when they recur. A vocabulary with other pieces is streamed without these cuts.
+No piece holds a space after another character, and some characters (like line feeds) are in no longer piece. Before such a place no path reaches beyond it, so it is the one boundary that all
+paths meet in, and what lies before is committed there: in running text at every word. So the window from one such place to the next is streamed by itself, and the ids of short windows
+(up to MEMO_CHARS characters) are kept in a table of bounded size for when they recur; in longer ones, such as texts without spaces, ids leave every CHECK positions or so. A vocabulary with other pieces is
+streamed without these places.
 
 The ids are those of a unigram model with the vocabulary's pieces and scores; tests hold them against one on whole texts. A vocabulary made
 for BPE merges, such as the installed one, has ranks as scores, and merging applies the best merge first instead of finding
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -39,6 +40,7 @@ from tallyloom.llm.decontaminate import sliced
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 MEMO_ENTRIES, MEMO_CHARS = 100_000, 64
+CHECK = 16  # positions after which paths are followed back
 MODEL_BYTES = 64 << 20
 
 
@@ -82,7 +84,7 @@ class Vocabulary:
         return [self.bytes_at.get(b, self.unknown) for b in c.encode()] if self.bytes_at else [self.unknown]
 
 
-def stream(vocabulary: Vocabulary, text: str, check: int = 64) -> Iterator[list[int]]:
+def stream(vocabulary: Vocabulary, text: str, check: int = CHECK) -> Iterator[list[int]]:
     """The ids of text (blanks as U+2581) in portions, as soon as they are certain.
 
     `check` positions are walked at a time. Then the paths of all positions that have been reached beyond are followed back until
@@ -143,21 +145,23 @@ def _path(vocabulary: Vocabulary, text: str, back: list[int], piece: list[int],
 
 
 class Memo(dict):
-    """The ids of a cut with blank before it, made on first use. When it is full, what wasn't used since the last time goes."""
+    """The ids of a short window with blank before it, made on first use. When it is full, what wasn't used since the last time goes."""
 
     def __init__(self, vocabulary: Vocabulary, lead: str):
         self.vocabulary, self.lead, self.old = vocabulary, lead, {}
 
-    def __missing__(self, cut: str) -> tuple[int, ...]:
-        ids = self.old.get(cut) or tuple(chain(*stream(self.vocabulary, self.lead + cut)))
-        if len(cut) > MEMO_CHARS:  # not kept, so that the memory is bounded
-            return ids
+    def __missing__(self, window: str) -> tuple[int, ...]:
+        ids = self.old.get(window) or tuple(chain(*stream(self.vocabulary, self.lead + window)))
         if len(self) >= MEMO_ENTRIES:
             self.old = dict(self)
             self.clear()
-        self[cut] = ids
+        self[window] = ids
         return ids
 
+    def portions(self, window: str) -> Iterable[Sequence[int]]:
+        """The ids of a window as they are committed; of a long one, which isn't kept, so that the memory is bounded, while it is streamed."""
+        return [self[window]] if len(window) <= MEMO_CHARS else stream(self.vocabulary, self.lead + window)
+
 
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
@@ -168,37 +172,45 @@ class Codec:
     def encode(self, text: str) -> array:
         """The ids of a text."""
         ids = array("i")
+        for windows in self._windows(text):
+            ids.extend(chain.from_iterable(windows))
+        return ids
+
+    def commits(self, text: str) -> Iterator[Sequence[int]]:
+        """The ids of a text in the portions in which they are committed, from left to right."""
+        return chain.from_iterable(self._windows(text))
+
+    def _windows(self, text: str) -> Iterator[Iterable[Sequence[int]]]:
+        """Runs of committed portions: the windows between the places where all paths are sure to meet, streamed or known from before."""
         if not text:
-            return ids
+            return
         for k, part in enumerate(text.split(BLANK)):
             if k:
-                ids.extend(self.blank_ids)
+                yield [self.blank_ids]
             if not k or part:
-                self._add(ids, part, not k)
-        return ids
+                yield from self._part(part, not k)
 
-    def _add(self, ids: array, text: str, led: bool) -> None:
+    def _part(self, text: str, led: bool) -> Iterator[Iterable[Sequence[int]]]:
         v = self.vocabulary
         if not v.cut_at_blanks:
-            for portion in stream(v, (BLANK if led else "") + text.replace(" ", BLANK)):
-                ids.extend(portion)
+            yield stream(v, (BLANK if led else "") + text.replace(" ", BLANK))
             return
         lines = text.split("\n") if "\n" in v.alone else [text]
         for k, line in enumerate(lines):
             if k:
-                ids.extend(self.bare["\n"])
+                yield [self.bare["\n"]]
             led = led and not k
             if "  " in line or line[:1] == " " and led or line[-1:] == " ":
-                self._add_spaced(ids, line, led)
+                yield from self._spaced(line, led)
                 continue
             words = line.split(" ")
             if not led:
                 if words[0]:
-                    ids.extend(self.bare[words[0]])
+                    yield self.bare.portions(words[0])
                 del words[0]
-            ids.extend(chain.from_iterable(map(self.led.__getitem__, words)))
+            yield chain.from_iterable(map(self.led.portions, words)) if len(max(words, key=len, default="")) > MEMO_CHARS else map(self.led.__getitem__, words)
 
-    def _add_spaced(self, ids: array, line: str, led: bool) -> None:
+    def _spaced(self, line: str, led: bool) -> Iterator[Iterable[Sequence[int]]]:
         """A line with runs of spaces: each run belongs to what follows it."""
         line, at = (" " if led else "") + line, 0
         while at < len(line):
@@ -208,11 +220,11 @@ class Codec:
             end = line.find(" ", word)
             end = len(line) if end < 0 else end
             if word == at:
-                ids.extend(self.bare[line[at:end]])
+                yield self.bare.portions(line[at:end])
             elif word == at + 1:
-                ids.extend(self.led[line[word:end]])
+                yield self.led.portions(line[word:end])
             else:
-                ids.extend(chain.from_iterable(stream(self.vocabulary, BLANK * (word - at) + line[word:end])))
+                yield stream(self.vocabulary, BLANK * (word - at) + line[word:end])
             at = end
 
     def decode(self, ids) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tests.conftest import duck
 
-from tallyloom.llm import conversations, decontaminate, langid, negatives, quality, toxicity
+from tallyloom.llm import conversations, decontaminate, langid, negatives, pieces, quality, toxicity
 
 
 def crc9(c):
@@ -290,3 +290,46 @@ def test_one_block_of_items_at_a_time(spark, documents, hard_texts, monkeypatch)
     assert sorted(map(str, decontaminate.contained_items(spark, documents, items).collect())) == one
     assert sorted(map(str, decontaminate.decontaminated(spark, documents, items).collect())) == clean
     assert len(most) > 10 and max(most) == 1 and len(clean) < len(hard_texts)
+
+
+def all_paths(vocabulary, text):
+    """Backpointers of plain Viterbi over a whole text (blanks as U+2581)."""
+    n, low = len(text), float("-inf")
+    best, back = [0.0] + [low] * n, [0] * (n + 1)
+    for i in range(n):
+        for j in range(i + 1, min(n, i + vocabulary.longest) + 1):
+            found = vocabulary.table.get(text[i:j])
+            score = found[1] if found else vocabulary.fallback if j == i + 1 else None
+            if score is not None and best[i] + score > best[j]:
+                best[j], back[j] = best[i] + score, i
+    return back
+
+
+def test_pieces_are_committed_where_all_paths_meet():
+    """In running text there is a commit at every word, in long words now and then, and every path goes through each committed boundary."""
+    vocabulary = pieces.Vocabulary.load()
+    codec = pieces.Codec(vocabulary)
+    texts = duck("select text from documents where text is not null", "/root/testdata/sf0.001").text.tolist()
+    texts += ["wonderful" * 300, "x" * 200, "  two  blanks ", "Ünïcödé 😀😀 \n\n end", "a\tb" * 50]
+    for t in texts:
+        portions = [list(p) for p in codec.commits(t)]
+        assert [i for p in portions for i in p] == list(codec.encode(t))
+        assert len(portions) > 1 or len(t) <= vocabulary.longest or t == "x" * 200
+        if len(t) < 2800 and pieces.BLANK not in t:
+            marked = pieces.BLANK + t.replace(" ", pieces.BLANK)
+            back, bounds, size = all_paths(vocabulary, marked), [], 0
+            for p in portions[:-1]:
+                size += sum(len(vocabulary.plain[i]) for i in p)
+                bounds.append(size)
+            places = [len((" " + t).encode()[:b].decode()) for b in bounds]  # characters
+            for at in places:
+                meets = []  # whether the path of each place ahead goes through the boundary
+                for q in range(at, min(len(marked), at + 400) + 1):
+                    while q > at:
+                        q = back[q]
+                    meets.append(q == at)
+                wide = min(vocabulary.longest, len(meets))  # all that may be alive at some time of the walk
+                assert any(all(meets[f : f + wide]) for f in range(len(meets) - wide + 1)) or meets[-1]
+                if marked[at] == pieces.BLANK and marked[at - 1] != pieces.BLANK:
+                    assert all(meets)
+    assert len(list(codec.commits("wonderful" * 300))) > 20  # no blank in it
