@@ -53,3 +53,34 @@ def configuration_departures(spark, sf_dir):
       if(c_custkey % 2 = 1 and c_custkey % 5 = 0, concat('["-I', c_custkey, '"]'), '[]'), ', "threshold_sensitivity": {"grid": null, "rule": "r"}, "bootstrap_repetitions": 1000, "bootstrap_seed": ', c_custkey + if(c_custkey % 3 = 0, 1, 0), '}')"""
     rows = _rows(spark, sf_dir, recorded=f"if(c_custkey % 2 = 0, {frozen}, {single})", resolved=resolved)
     return C.departures(rows, [K])
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, p_size AS s, 'c' || p_partkey AS name FROM part)
+SELECT 'search' AS corpus, name, 'search' AS rule, 'exit 0 without a line' AS problem FROM c WHERE k % 4 = 0
+UNION ALL SELECT 'chmod', name, 'exit status', 'exit status outside 0, 1' FROM c WHERE s % 5 = 2
+UNION ALL SELECT 'chmod', name, 'report line', 'a changed line has one mode twice' FROM c WHERE s % 8 = 4
+UNION ALL SELECT 'chmod', name, 'report line', '064' || s % 8 || ' isn''t shown as rw-r--r--' FROM c WHERE s % 8 <> 4
+UNION ALL SELECT 'chmod', name, 'tree', 'a malformed mode: f' || k || ' x' FROM c WHERE s % 3 = 0
+UNION ALL SELECT 'heldout', 'heldout-' || name, 'dual', 'no visible case that it mirrors' FROM c WHERE s % 2 = 0
+UNION ALL SELECT 'heldout', name, 'name', 'a name that doesn''t begin with heldout-' FROM c WHERE k % 7 = 0 AND s % 2 = 1""")
+def contract_violations(spark, sf_dir):
+    """Cases of the three contracts out of the parts, broken in ways that their numbers say."""
+    from tallyloom.operators.rules import corpus_violations
+
+    p, k, s = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    name, none = F.concat(F.lit("c"), k.cast("string")).alias("name"), F.array().cast("array<string>")
+    b64 = lambda c: F.base64(F.encode(c, "UTF-8"))
+    search = p.select(
+        name, F.array(F.lit("-i"), F.lit("x")).alias("args"), F.array(F.lit("-i")).alias("flags"), none.alias("absent_flags"), F.lit("golden").alias("check"), F.lit(0).alias("exit_code"),
+        b64(F.when(k % 4 == 0, "").otherwise("x\n")).alias("stdout_b64"), F.lit("empty").alias("stderr_class"),
+    )
+    file, mode = F.concat(F.lit("f"), k.cast("string")), F.concat(F.lit("064"), (s % 8).cast("string"))
+    line = F.concat(F.lit("mode of '"), file, F.lit("' changed from 0644 (rw-r--r--) to "), mode, F.lit(" (rw-r--r--)\n"))
+    chmod = p.select(
+        name, F.array(F.lit("-vR"), F.lit("644"), file).alias("args"), F.array(F.lit("-R"), F.lit("-v")).alias("flags"), none.alias("absent_flags"), none.alias("tags"), F.lit("golden").alias("check"),
+        F.when(s % 5 == 2, 3).otherwise(0).alias("exit_code"), b64(line).alias("stdout_b64"), F.lit("empty").alias("stderr_class"),
+        F.array(F.struct(file.alias("path"), F.lit("file").alias("type"))).alias("fixture"), F.create_map(file, F.when(s % 3 == 0, "x").otherwise("0644")).alias("expected_tree"),
+    )
+    odd = (k % 7 == 0) & (s % 2 == 1)
+    held = p.select(F.when(odd, name).otherwise(F.concat(F.lit("heldout-"), name)).alias("name"), none.alias("args"), none.alias("flags"), F.lit(0).alias("exit_code"), F.when(s % 2 == 1, "visible").alias("dual_of"))
+    return corpus_violations(search, chmod, held)
