@@ -71,13 +71,14 @@ def mutated(inputs: DataFrame, seed: int, key: str = "id", data: str = "data") -
     byte = F.conv(F.substr(F.hex(data), 2 * spot + 1, F.lit(2)), 16, 10).cast("int")
     flipped = F.unhex(F.overlay(F.hex(data), F.lpad(F.hex(byte.bitwiseXOR(F.expr("1") * F.pow(F.lit(2), draw("bit", 8)).cast("int"))), 2, "0"), 2 * spot + 1, 2))
     order = F.transform(lines, lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col(key), i).alias("k"), x.alias("x")))
-    changes = {
-        "drop": F.when(F.size(lines) > 1, joined(F.filter(lines, lambda x, i: i != at))).otherwise(F.col(data)),
+    number = joined(F.array_append(lines, (draw("number", 2_000_000_001) - 1_000_000_000).cast("string")))
+    changes = {  # where there is nothing to drop or to flip, a number is added
+        "drop": F.when(F.size(lines) > 1, joined(F.filter(lines, lambda x, i: i != at))).otherwise(number),
         "repeat": joined(F.array_append(lines, F.get(lines, at.cast("int")))),
-        "flip": F.when(size > 0, flipped).otherwise(F.col(data)),
+        "flip": F.when(size > 0, flipped).otherwise(number),
         "nul": F.concat(F.substr(data, F.lit(1), spot), F.lit(bytearray(1)), F.substr(data, spot + 1)),
         "shuffle": joined(F.transform(F.array_sort(order), lambda s: s["x"])),
-        "number": joined(F.array_append(lines, (draw("number", 2_000_000_001) - 1_000_000_000).cast("string"))),
+        "number": number,
     }
     kind = F.get(F.array(*map(F.lit, MUTATIONS)), draw("kind", len(MUTATIONS)).cast("int"))
     out = inputs.withColumn("mutation", kind)

@@ -185,6 +185,14 @@ def random_combinations(spark: SparkSession, flags: list[str], n: int, seed: int
     return validated(draws.select(F.col("id").alias("nth"), chosen.alias("flags"))).filter("verdict = 'OK'").select("nth", "flags")
 
 
+def drawn_combinations(rows: DataFrame, key: str, flags: list[str], seed: int, least: int = 3, most: int = 6) -> DataFrame:
+    """rows with flags: `least` to `most` of the options for each row, by a hash of the seed and the key, so a draw can be repeated; and the rule that each draw breaks, if any."""
+    size = least + F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(most - least + 1))
+    scored = F.transform(F.array(*map(F.lit, sorted(set(flags)))), lambda f: F.struct(F.xxhash64(F.lit(seed), F.col(key), f).alias("k"), f.alias("f")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(scored), F.lit(1), size.cast("int")), lambda s: s["f"]))
+    return validated(rows.withColumn("flags", chosen))
+
+
 # What makes a family of cases by utility, and which cases have no dual
 FAMILIES = {"sort": ["flags", "check", "tags"], "grep": ["flags", "tags"], "chmod": ["flags", "tags"], "mkdir": ["flags", "check", "tags"]}
 WITHOUT_DUAL = {"sort": "coalesce(stdin_b64, '') = ''", "grep": "model_only_reason is not null", "chmod": "size(absent_flags) > 0"}

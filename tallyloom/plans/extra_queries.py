@@ -279,16 +279,16 @@ def unavailable_scans(spark, sf_dir):
 
 
 ARGS = ["-R", "-u", "-Ru", "-c", "-Rc", "--sort=random", "--debug", "-k2", "-ku", "-f", "--key=1", "x", "-", "--random-sort", "-n", "--check=quiet", "-to", "--unique"]
-PAIRS = f"WITH a AS (SELECT unnest({ARGS}) AS a), c AS (SELECT x.a AS a, y.a AS b FROM a x, a y)"
+CALLS = f"WITH v AS (SELECT {ARGS} AS a), c AS (SELECT o_orderkey, a[o_orderkey % {len(ARGS)} + 1] AS a, a[o_custkey % {len(ARGS)} + 1] AS b FROM orders, v)"
 
 
-@query(PAIRS + """, l AS (SELECT a, b, CASE WHEN a LIKE '-%' AND a NOT LIKE '--%' THEN regexp_extract(a, '^-([^kotST]*[kotST]?)', 1) ELSE '' END || CASE WHEN b LIKE '-%' AND b NOT LIKE '--%' THEN regexp_extract(b, '^-([^kotST]*[kotST]?)', 1) ELSE '' END AS l FROM c)
-SELECT a, b, CASE WHEN NOT (l LIKE '%R%' OR a IN ('--sort=random', '--random-sort') OR b IN ('--sort=random', '--random-sort')) THEN 'golden' WHEN l LIKE '%c%' OR a IN ('--debug', '--check=quiet') OR b IN ('--debug', '--check=quiet') THEN 'none' ELSE 'property:shuffle' END AS policy,
+@query(CALLS + """, l AS (SELECT o_orderkey, a, b, CASE WHEN a LIKE '-%' AND a NOT LIKE '--%' THEN regexp_extract(a, '^-([^kotST]*[kotST]?)', 1) ELSE '' END || CASE WHEN b LIKE '-%' AND b NOT LIKE '--%' THEN regexp_extract(b, '^-([^kotST]*[kotST]?)', 1) ELSE '' END AS l FROM c)
+SELECT o_orderkey, CASE WHEN NOT (l LIKE '%R%' OR a IN ('--sort=random', '--random-sort') OR b IN ('--sort=random', '--random-sort')) THEN 'golden' WHEN l LIKE '%c%' OR a IN ('--debug', '--check=quiet') OR b IN ('--debug', '--check=quiet') THEN 'none' ELSE 'property:shuffle' END AS policy,
   l LIKE '%u%' OR a = '--unique' OR b = '--unique' AS is_unique, regexp_matches(l, '[fidbnghMVkt]') OR a = '--key=1' OR b = '--key=1' AS keyed FROM l""")
 def check_policies(spark, sf_dir):
-    one = spark.createDataFrame([(a,) for a in ARGS], "a string")
-    pairs = one.crossJoin(F.broadcast(one.withColumnRenamed("a", "b"))).withColumn("args", F.array("a", "b"))  # a short list with itself
-    return pairs.select("a", "b", J.check_policy(F.col("args")).alias("policy"), J.is_unique(F.col("args")).alias("is_unique"), J.is_keyed(F.col("args")).alias("keyed"))
+    """Orders as calls of two arguments each."""
+    args = F.array(_pick(ARGS, F.col("o_orderkey") % len(ARGS)), _pick(ARGS, F.col("o_custkey") % len(ARGS)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", J.check_policy(args).alias("policy"), J.is_unique(args).alias("is_unique"), J.is_keyed(args).alias("keyed"))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
@@ -661,19 +661,24 @@ def merged_lines(spark, sf_dir):
     return ranked(O.merged([a, b, c]), "line", "input")
 
 
-@query("""WITH v AS (SELECT unnest(['--parallel', '--parallel', '-S', '-S', '-S', '-t', '-t']) AS o, unnest(['0', '4', '1q', '50%', '10', '', 'ab']) AS v),
-p AS (SELECT a.o AS o1, a.v AS v1, b.o AS o2, b.v AS v2 FROM v a JOIN v b ON a.o < b.o)
-SELECT o1 || ' ' || v1 || ' ' || o2 || ' ' || v2 AS call, CASE WHEN (o1 = '-t' AND v1 = '') OR (o2 = '-t' AND v2 = '') THEN 'C6_empty_tab' WHEN (o1 = '-t' AND v1 = 'ab') OR (o2 = '-t' AND v2 = 'ab') THEN 'C7_multichar_tab'
-  WHEN o1 = '--parallel' AND v1 = '0' THEN 'C13_parallel_zero' WHEN (o1 = '-S' AND v1 = '1q') OR (o2 = '-S' AND v2 = '1q') THEN 'C14_bad_size' END AS rule FROM p""")
+@query("""WITH c AS (SELECT o_orderkey, ['', 'ab', NULL][o_orderkey % 3 + 1] AS t, ['0', '4', NULL][o_custkey % 3 + 1] AS p, ['1q', '50%', '10', NULL][(o_orderkey + o_custkey) % 4 + 1] AS s FROM orders)
+SELECT o_orderkey, CASE WHEN t = '' THEN 'C6_empty_tab' WHEN t = 'ab' THEN 'C7_multichar_tab' WHEN p = '0' THEN 'C13_parallel_zero' WHEN s = '1q' THEN 'C14_bad_size' END AS rule FROM c""")
 def valued_options(spark, sf_dir):
-    out = U.valued_combinations(spark, {"-t": ["", "ab"], "--parallel": ["0", "4"], "-S": ["1q", "50%", "10"]}, 2)
-    shown = F.array_join(F.transform("flags", lambda f: F.concat(f, F.lit(" "), F.element_at(F.element_at("values", f), 1))), " ")
-    return out.select(shown.alias("call"), "rule")
+    """Orders as calls of up to three options with a value each."""
+    from tallyloom.operators.orders import validated
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    given = [F.struct(F.lit(o).alias("o"), _pick(v, i % len(v)).alias("v")) for o, v, i in (("-t", ["", "ab", None], k), ("--parallel", ["0", "4", None], c), ("-S", ["1q", "50%", "10", None], k + c))]
+    some = F.filter(F.array(*given), lambda x: x["v"].isNotNull())
+    calls = table(spark, sf_dir, "orders").select("o_orderkey", F.transform(some, lambda x: x["o"]).alias("flags"), F.map_from_entries(F.transform(some, lambda x: F.struct(x["o"].alias("key"), F.array(x["v"]).alias("value")))).alias("values"))
+    return validated(calls, values="values").select("o_orderkey", "rule")
 
 
 @query()
 def random_options(spark, sf_dir):
-    return U.random_combinations(spark, ["-b", "-d", "-f", "-g", "-i", "-M", "-n", "-R", "-r", "-u", "-s"], 500, 11).withColumn("flags", F.array_join("flags", " "))
+    """A drawn call for each customer, with the rule that it breaks."""
+    flags = ["-b", "-d", "-f", "-g", "-i", "-M", "-n", "-R", "-r", "-u", "-s"]
+    return U.drawn_combinations(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", flags, 11).withColumn("flags", F.array_join("flags", " "))
 
 
 @query()

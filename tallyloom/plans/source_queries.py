@@ -54,16 +54,17 @@ FLAGS = ["-b", "-d", "-f", "-g", "-h", "-i", "-M", "-n", "-R", "-r", "-V", "-c",
 
 
 @query(f"""
-WITH f AS (SELECT unnest({FLAGS}) AS f),
-c AS (SELECT [a.f, b.f, c.f] AS x FROM f a JOIN f b ON a.f < b.f JOIN f c ON b.f < c.f),
-k AS (SELECT x, len(list_intersect(x, ['-n', '-g', '-h', '-M'])) + CAST(list_has_any(x, ['-d', '-i', '-R', '-V']) AS INTEGER) AS modes, list_has_any(x, ['-c', '-C']) AS checks, list_contains(x, '-o') AS output FROM c),
-r AS (SELECT x, CASE WHEN modes > 1 THEN 'C1_mode_incompat' WHEN list_has_all(x, ['-c', '-C']) THEN 'C2_cC' WHEN checks AND output THEN 'C4_check_output'
+WITH v AS (SELECT {FLAGS} AS f), c AS (SELECT o_orderkey, list_sort(list_distinct([f[o_orderkey % 17 + 1], f[o_orderkey // 17 % 17 + 1], f[o_custkey % 17 + 1]])) AS x FROM orders, v),
+k AS (SELECT o_orderkey, x, len(list_intersect(x, ['-n', '-g', '-h', '-M'])) + CAST(list_has_any(x, ['-d', '-i', '-R', '-V']) AS INTEGER) AS modes, list_has_any(x, ['-c', '-C']) AS checks, list_contains(x, '-o') AS output FROM c),
+r AS (SELECT o_orderkey, x, CASE WHEN modes > 1 THEN 'C1_mode_incompat' WHEN list_has_all(x, ['-c', '-C']) THEN 'C2_cC' WHEN checks AND output THEN 'C4_check_output'
   WHEN list_contains(x, '--debug') AND (checks OR output) THEN 'C5_debug_incompat' END AS rule FROM k)
-SELECT array_to_string(x, ' ') AS flags, CASE WHEN rule IS NULL THEN 'OK' ELSE 'CONFLICT' END AS verdict, rule, CASE WHEN rule IS NULL THEN 0 ELSE 2 END AS status FROM r""")
+SELECT o_orderkey, array_to_string(x, ' ') AS flags, CASE WHEN rule IS NULL THEN 'OK' ELSE 'CONFLICT' END AS verdict, rule, CASE WHEN rule IS NULL THEN 0 ELSE 2 END AS status FROM r""")
 def option_rules(spark, sf_dir):
-    from tallyloom.operators.suites import combination_frame
-
-    return combination_frame(spark, FLAGS, 3).withColumn("flags", F.array_join("flags", " "))
+    """Orders as calls of up to three options."""
+    k, names = F.col("o_orderkey"), F.array(*map(F.lit, FLAGS))
+    picked = [F.get(names, i.cast("int")) for i in (k % 17, F.floor(k / 17) % 17, F.col("o_custkey") % 17)]
+    calls = table(spark, sf_dir, "orders").select("o_orderkey", F.array_sort(F.array_distinct(F.array(*picked))).alias("flags"))
+    return O.validated(calls).withColumn("flags", F.array_join("flags", " "))
 
 
 @query(f"WITH v AS (SELECT 'v' || (o_orderkey % 1000) || '.' || repeat('0', CAST(o_orderkey % 3 AS INTEGER)) || (o_custkey % 17) || '.tar' AS line, o_orderkey % 1000 AS major, o_custkey % 17 AS minor FROM orders) SELECT row_number() OVER (ORDER BY major, minor, line) AS rank, line FROM v")

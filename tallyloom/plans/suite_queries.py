@@ -44,10 +44,12 @@ def case_ids(spark, sf_dir):
     return cases(spark, sf_dir).select(U.case_id("suite", "ord", "name").alias("id"))
 
 
-@query("""
-SELECT * FROM (VALUES ('000', '-r', '-c,-f,-u'), ('001', '-f,-r', '-c,-u'), ('002', '-f,-r,-u', '-c'), ('003', '-c,-f,-r,-u', '')) t(checkpoint, allowed, forbidden)""")
+@query("""WITH l AS (SELECT DISTINCT n_regionkey AS pos, left(n_name, 1) AS flag FROM nation), f AS (SELECT flag, min(pos) AS first FROM l GROUP BY flag)
+SELECT 'c' || pos AS checkpoint, (SELECT coalesce(string_agg('-' || flag, ',' ORDER BY flag), '') FROM f WHERE first <= pos) AS allowed, (SELECT coalesce(string_agg('-' || flag, ',' ORDER BY flag), '') FROM f WHERE first > pos) AS forbidden FROM (SELECT DISTINCT pos FROM l)""")
 def boundary_matrix(spark, sf_dir):
-    ladder = spark.createDataFrame([("000", 0, ["-r"]), ("001", 1, ["-f"]), ("002", 2, ["-u"]), ("003", 3, ["-c"])], "checkpoint string, pos int, flags array<string>")
+    """Regions as checkpoints that introduce the first letters of their nations."""
+    n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("pos")).agg(F.collect_set(F.concat(F.lit("-"), F.left("n_name", F.lit(1)))).alias("flags"))
+    ladder = n.select(F.concat(F.lit("c"), F.col("pos").cast("string")).alias("checkpoint"), "pos", "flags")
     return U.availability(ladder).select("checkpoint", F.array_join("allowed", ",").alias("allowed"), F.array_join("forbidden", ",").alias("forbidden"))
 
 
