@@ -101,7 +101,7 @@ def payload(cases: DataFrame, checkpoints: DataFrame, definitions: DataFrame, re
     source = ordered_digest(held, ["checkpoint"], "position")
     entries = needed.groupBy("checkpoint").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "check", "name"))), "\n").alias("entries"))
     code = source.join(entries, "checkpoint", "left").select(
-        "checkpoint", F.lit("props.py").alias("path"), F.col("n").alias("kept"), F.lit(None).cast("long").alias("dropped"), F.sha2(F.concat_ws("\n", "sha256", F.coalesce("entries", F.lit(""))), 256).alias("sha256"),
+        "checkpoint", F.lit("checks.py").alias("path"), F.col("n").alias("kept"), F.lit(None).cast("long").alias("dropped"), F.sha2(F.concat_ws("\n", "sha256", F.coalesce("entries", F.lit(""))), 256).alias("sha256"),
     )
     config = checkpoints.select(
         "checkpoint", F.lit("config.json").alias("path"), F.size("allowed").cast("long").alias("kept"), F.lit(None).cast("long").alias("dropped"),

@@ -62,7 +62,7 @@ entries AS (SELECT checkpoint, string_agg(e, chr(10) ORDER BY e) AS e FROM (SELE
 totals AS (SELECT suite, count(*) AS total FROM c GROUP BY suite),
 members AS (SELECT l.checkpoint, 'suites/' || t.suite || '.json' AS path, coalesce(n, 0) AS kept, total - coalesce(n, 0) AS dropped, d AS sha256
   FROM totals t CROSS JOIN ladder l LEFT JOIN suites s ON s.checkpoint = l.checkpoint AND s.suite = t.suite
-  UNION ALL SELECT s.checkpoint, 'props.py', n, NULL, sha256(d || chr(10) || coalesce(e, '')) FROM source s LEFT JOIN entries USING (checkpoint)
+  UNION ALL SELECT s.checkpoint, 'checks.py', n, NULL, sha256(d || chr(10) || coalesce(e, '')) FROM source s LEFT JOIN entries USING (checkpoint)
   UNION ALL SELECT checkpoint, 'config.json', len(allowed), NULL, sha256('{{"checkpoint":"' || checkpoint || '","implemented":["' || array_to_string(list_sort(allowed), '","') || '"]}}') FROM ladder)
 """
 

@@ -73,5 +73,5 @@ def test_nothing_to_bundle(spark):
 
     cases, ladder, definitions, references = material(spark, DATA)
     members = bundles.payload(cases.limit(0), ladder, definitions, references)
-    assert {r["path"] for r in members.collect()} == {"config.json", "props.py"}
+    assert {r["path"] for r in members.collect()} == {"config.json", "checks.py"}
     assert all(r["cases_included"] == 0 for r in bundles.manifests(members).collect())
