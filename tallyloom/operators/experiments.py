@@ -43,18 +43,24 @@ def checkpoint_label(explicit: str | None = None, checkpoint: str = "checkpoint"
     return F.coalesce(_stated(explicit), _stated(checkpoint), _stated(issue_id), F.nullif(_stem(prompt), F.lit("")))
 
 
-def baselines(experiments: DataFrame, override: str | None = None) -> DataFrame:
+def baselines(experiments: DataFrame, override: str | None = None, files: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """experiments (repository, seed_files, source_path) with baseline and origin: an override, the seed recorded for the source, or empty.
 
-    seed_files: source:destination items with commas between; an item without a destination is its own. A relative seed lies in the repository.
+    seed_files: source:destination items with commas between; an item without a destination is its own. A relative seed lies in the repository. Of several seeds for the source the first counts;
+    with files (path) the first one that is a file, and none where no file is there. by: the columns that tell experiments apart then.
     """
     if override is not None:
         return experiments.withColumns({"baseline": F.lit(override), "origin": F.lit("cli_override")})
     items = F.filter(F.split(F.coalesce("seed_files", F.lit("")), ","), lambda s: s != "")
     matching = F.filter(items, lambda s: F.regexp_replace(s, "^[^:]*:", "") == F.col("source_path"))
-    seed = F.substring_index(F.get(matching, F.lit(0)), ":", 1)
-    placed = F.when(F.startswith(seed, F.lit("/")), seed).otherwise(F.concat_ws("/", F.regexp_replace(F.coalesce("repository", F.lit(".")), "/+$", ""), seed))
-    return experiments.withColumns({"baseline": F.when(seed.isNotNull(), placed), "origin": F.when(seed.isNotNull(), "recorded_seed").otherwise("empty_from_scratch")})
+    root = F.regexp_replace(F.coalesce("repository", F.lit(".")), "/+$", "")
+    seeds = F.transform(F.transform(matching, lambda s: F.substring_index(s, ":", 1)), lambda s: F.when(F.startswith(s, F.lit("/")), s).otherwise(F.concat_ws("/", root, s)))
+    if files is None:
+        rows = experiments.withColumn("baseline", F.get(seeds, F.lit(0)))
+    else:
+        found = experiments.select(*by, F.posexplode(seeds).alias("_nth", "path")).join(files.select("path").distinct(), "path", "left_semi")
+        rows = experiments.join(found.groupBy(*by).agg(F.min_by("path", "_nth").alias("baseline")), by, "left")
+    return rows.withColumn("origin", F.when(F.col("baseline").isNotNull(), "recorded_seed").otherwise("empty_from_scratch"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

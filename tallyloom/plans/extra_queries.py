@@ -263,6 +263,16 @@ def seed_baselines(spark, sf_dir):
     return E.baselines(table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("/repo/").alias("repository"), seeds.alias("seed_files"), F.lit("main.c").alias("source_path"))).select("s_suppkey", "baseline", "origin")
 
 
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '/repo/seeds/a' || s_suppkey || '.c' WHEN s_suppkey % 5 = 0 THEN '/abs/b' || s_suppkey || '.c' END AS baseline,
+  CASE WHEN s_suppkey % 2 = 0 OR s_suppkey % 5 = 0 THEN 'recorded_seed' ELSE 'empty_from_scratch' END AS origin FROM supplier""")
+def seed_files_found(spark, sf_dir):
+    """Of two recorded seeds the first that is a file, or none."""
+    k, s = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    rows = s.select("s_suppkey", F.lit("/repo").alias("repository"), F.format_string("seeds/a%d.c:main.c,/abs/b%d.c:main.c", k, k).alias("seed_files"), F.lit("main.c").alias("source_path"))
+    there = s.filter(k % 2 == 0).select(F.format_string("/repo/seeds/a%d.c", k).alias("path")).unionByName(s.filter(k % 5 == 0).select(F.format_string("/abs/b%d.c", k).alias("path")))
+    return E.baselines(rows, files=there, by=["s_suppkey"]).select("s_suppkey", "baseline", "origin")
+
+
 @query("SELECT o_orderkey AS run, o_totalprice AS score, CAST(NULL AS INTEGER) AS lines_added, 'passing' AS population FROM orders WHERE o_orderstatus = 'F'")
 def population_view(spark, sf_dir):
     runs = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("score"), (F.col("o_orderkey") % 9).cast("int").alias("lines_added"))
