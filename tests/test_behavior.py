@@ -7,6 +7,7 @@ import pytest
 
 from tallyloom.operators import behavior as B
 from tallyloom.operators import distance
+from tallyloom.plans import catalog
 
 
 @pytest.mark.parametrize("block, verdicts", [(512, 2), (3, 9)])
@@ -47,3 +48,20 @@ def test_summary_of_few_runs(spark):
     assert set(got) == {"visible", "combined"}
     r = got["combined"]
     assert (r.coverage, r.mean_distance, r.reason, r.architecture_ari, r.architecture_reason, r.strategy_runs) == (0.5, None, "fewer than two runs", None, "fewer than two shared runs", 0)
+
+
+def test_a_mean_of_just_fifty_in_any_order(spark, tmp_path):
+    """Cents that make 50 on average fail, and one cent more passes, however the sums of doubles are rounded."""
+    rng, rows = random.Random(3), []
+    for user in range(300):
+        cents = [rng.randrange(10_000) for _ in range(rng.randrange(2, 19))]
+        cents.append(5000 * (len(cents) + 1) - sum(cents) + (user % 3 == 0))
+        rows += [(user, "view", c / 100) for c in cents]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.verdict: r.n for r in catalog.queries()["trace_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"PASS": 100, "FAIL": 200}
+    pairs = catalog.queries()["verdict_disagreement"](spark, str(tmp_path))
+    assert pairs.filter("distance <> cast((left % 3 = 0) <> (right % 3 = 0) as int)").count() == 0
+    prints = catalog.queries()["behavior_fingerprint"](spark, str(tmp_path))
+    assert prints.groupBy("fingerprint").count().count() == 2
