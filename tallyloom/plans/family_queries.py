@@ -93,7 +93,7 @@ def cosine_pairs(spark, sf_dir):
 
 @query(COSINE + "SELECT round(avg(distance), 6) AS mean_distance, count(*) AS n_pairs FROM p")
 def mean_pairwise(spark, sf_dir):
-    return rounded(D.mean_pairwise(D.vector_pairs(vectors(spark, sf_dir), ["space"], "run", "vector"), ["space"]).drop("space"))
+    return rounded(D.vector_mean(vectors(spark, sf_dir), ["space"], "run", "vector").drop("space"))
 
 
 @query(COSINE + """,

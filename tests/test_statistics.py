@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.conftest import DATA
+from tests.conftest import DATA, same_rows
 
 from tallyloom.functions.stats import pass_at_k, register, wilson
 from tallyloom.operators import cluster as C
@@ -197,3 +197,24 @@ def test_levenshtein_of_all_letters(spark, tmp_path):
 
     got = {(r["left"], r["right"]): r["distance"] for r in catalog.queries()["levenshtein_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): round(edits(a, b) / max(len(a), len(b)), 6) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j}
+
+
+@pytest.mark.parametrize("query", ["feature_distances", "cosine_pairs", "mean_pairwise", "population_structure", "representatives", "silhouette", "verdict_disagreement"])
+def test_groups_of_any_size(spark, monkeypatch, query):
+    """Groups above the bound of pairs_of() are cut into blocks, several of each kind here, for the same rows as SQL."""
+    for name, value in {"MAX_ROWS": 29, "BLOCK": 40, "SIDE": 4, "MOST": 60, "STRIP": 16}.items():
+        monkeypatch.setattr(D, name, value)
+    same_rows(catalog.queries()[query](spark, DATA), catalog.oracle_sql()[query])
+
+
+def test_distances_of_zero_rows_and_families_without_a_label(spark):
+    rows = [("g", 1, 0, [0.0, 0.0]), ("g", 2, 0, [None, 0.0]), ("g", 3, 1, [3.0, 0.0]), ("g", 4, 1, [0.0, 2.0]), ("g", 5, None, [1.0, 0.0]), ("h", 1, 7, [1.0, 1.0])]
+    v = spark.createDataFrame(rows, "g string, run int, family int, vector array<double>")
+    mean = {r.g: (r.mean_distance, r.n_pairs) for r in D.vector_mean(v, ["g"], "run", "vector").collect()}
+    assert mean == {"g": (pytest.approx(8 / 10), 10), "h": (0.0, 0)}
+    pairs = D.vector_pairs(v, ["g"], "run", "vector")
+    assert {(r.left, r.right): r.distance for r in pairs.collect()} == {(a, b): 0.0 if (a, b) in ((1, 2), (3, 5)) else 1.0 for a in range(1, 6) for b in range(a + 1, 6)}
+    got = {(r.g, r.family): (r["size"], r.medoid, r.mean_distance, r.max_distance) for r in D.vector_representatives(v, ["g"], "run", "vector", "family").collect()}
+    assert got == {("g", 0): (2, 1, 0.0, 0.0), ("g", 1): (2, 3, 1.0, 1.0), ("g", None): (1, 5, 0.0, 0.0), ("h", 7): (1, 1, 0.0, 0.0)}
+    labels = v.select("g", "run", "family")
+    assert sorted(D.vector_silhouette(v, ["g"], "run", "vector", "family").collect()) == sorted(D.silhouette(labels, pairs, ["g"]).filter("g = 'g'").collect() + [("h", 1, 1, None)])
