@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import rate, six_numbers
-from tallyloom.operators.distance import vector_pairs
+from tallyloom.operators.distance import run_distances, vector_pairs
 
 MOST = 62  # populations in one mask
 RUN_POPULATIONS = ["all", "complete", "passing", "passing_complete"]
@@ -87,10 +87,22 @@ def population_pairs(vectors: DataFrame, names: list[str]) -> DataFrame:
 
 def structure(vectors: DataFrame, pairs: DataFrame, names: list[str]) -> DataFrame:
     """A row for every population: runs, n_pairs, mean_distance, medoid (least mean distance to the others, then first) with its mean and largest distance, and why there is none."""
-    sizes = expanded(vectors.select("run", "mask"), names).groupBy("population").agg(F.count("*").alias("runs"), F.min("run").alias("_first"))
     ends = pairs.select("population", F.explode(F.array("left", "right")).alias("run"), "distance")
     each = ends.groupBy("population", "run").agg(F.sum("distance").alias("_sum"), F.count("*").alias("_n"), F.max("distance").alias("_max"))
-    best = F.min(F.struct((F.col("_sum") / F.col("_n")).alias("mean"), "run", F.col("_max").alias("max")))
+    return _structure(vectors, each, names)
+
+
+def vector_structure(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """structure() without a table of pairs: sums and maxima by run are made where blocks of runs meet. vectors: run, vector, mask."""
+    each = run_distances(vectors, [], "run", "vector", "mask", len(names))
+    return _structure(vectors, each.withColumn("population", F.element_at(F.array(*map(F.lit, names)), F.col("bit") + 1)), names)
+
+
+def _structure(vectors: DataFrame, each: DataFrame, names: list[str]) -> DataFrame:
+    """each: population, run with _sum, _n and _max of its distances. Means are compared to twelve places, so that equal ones are, in whatever order they were added."""
+    sizes = expanded(vectors.select("run", "mask"), names).groupBy("population").agg(F.count("*").alias("runs"), F.min("run").alias("_first"))
+    mean = F.col("_sum") / F.col("_n")
+    best = F.min(F.struct(F.round(mean, 12), "run", mean.alias("mean"), F.col("_max").alias("max")))
     totals = each.groupBy("population").agg((F.sum("_n") / 2).cast("long").alias("n_pairs"), (F.sum("_sum") / F.sum("_n")).alias("mean_distance"), best.alias("_b"))
     out = declared(vectors.sparkSession, names).join(sizes, "population", "left").join(totals, "population", "left")
     some = F.col("runs").isNotNull()

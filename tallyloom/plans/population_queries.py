@@ -61,9 +61,8 @@ d AS (SELECT unnest(range(0, 4)) AS ord, unnest(['all', 'complete', 'passing', '
 SELECT population, ord, (SELECT count(*) FROM m WHERE m.population = d.population) AS runs, count(q.distance) AS n_pairs, round(avg(q.distance), 5) AS mean_distance, any_value(b.run) AS medoid, round(any_value(b.mean), 5) AS medoid_mean, round(any_value(b.most), 5) AS medoid_max, CAST(NULL AS VARCHAR) AS reason
 FROM d JOIN q USING (population) JOIN b USING (population) WHERE nth = 1 GROUP BY population, ord""")
 def population_structure(spark, sf_dir):
-    """Four populations of the same vectors, of one table of pairs."""
+    """Four populations of the same vectors, whose blocks meet once."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("run"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), (F.col("label") > 2).alias("c"), (F.col("label") < 7).alias("p"))
     v = v.select("run", "vector", P.run_mask("c", "p").alias("mask"))
-    pairs = P.population_pairs(v, P.RUN_POPULATIONS)
-    out = P.structure(v, pairs, P.RUN_POPULATIONS)
+    out = P.vector_structure(v, P.RUN_POPULATIONS)
     return out.withColumns({c: F.round(c, 5) for c in ("mean_distance", "medoid_mean", "medoid_max")})

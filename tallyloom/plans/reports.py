@@ -31,11 +31,11 @@ def space_report(members: DataFrame, features: DataFrame, threshold: float, k_ma
     held = written(C.dense_vectors(D.normalized_features(rows, ["space"]), ["space"]).join(masks, "run").select("run", "vector", "mask"), "vectors")
     vectors = P.expanded(held, names).select("population", "run", "vector")
     labels = written(C.clusters(vectors, ["population"], threshold), "families")
-    pairs = P.population_pairs(held, names)
+    families = vectors.join(labels, ["population", "run"])
     curve = A.discovery_curve(labels, ["population"], "family")
     small = vectors.filter("population = 'passing_complete'")
     return {
-        "labels": labels, "structure": P.structure(held, pairs, names), "family_stats": A.family_stats(labels, ["population"], "family"), "representatives": D.representatives(labels, pairs, ["population"]), "mean_pairwise": D.mean_pairwise(pairs, ["population"]),
+        "labels": labels, "structure": P.vector_structure(held, names), "family_stats": A.family_stats(labels, ["population"], "family"), "representatives": D.vector_representatives(families, ["population"], "run", "vector", "family"), "mean_pairwise": D.vector_mean(vectors, ["population"], "run", "vector"),
         "discovery_curve": curve, "discovery_auc": A.discovery_auc(curve, ["population"]), "discovery_auc_at_k": A.discovery_auc(curve, ["population"], k_max) if k_max else None,
         "vendi": C.vendi_scores(vectors, ["population"]), "sensitivity": C.sensitivity(vectors, ["population"], threshold), "bootstrap": C.bootstrap(small, ["population"], threshold, replicates, seed, k_max),
     }
