@@ -1,17 +1,26 @@
 """Average-linkage clustering, Vendi scores, threshold sensitivity and bootstrap intervals.
 
-These need a whole distance matrix. They run in one task per group (space, population), for groups of at most MAX_RUNS runs;
-a larger group is an error, never a sample.
+Groups (space, population) of at most MAX_RUNS runs take a whole distance matrix, in one task each. Larger groups have none: the mean distance of two clusters of unit rows is 1 less the product
+of their means, so clusters are kept as means, blocks of them meet in pairs, and all pairs of clusters that are each other's nearest are merged in a round. As no merge brings two clusters nearer
+to each other than the nearer one of its parts was, that gives the merges of the one-by-one order; and clusters without a neighbour below the height in question are done.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import distance as D
+from tallyloom.plans.shared import ranked, written
+
 MAX_RUNS = 2000
+SNAP = 1.5 * 2.0**12  # added and taken off again, it leaves multiples of 2^-40, so that heights are equal whatever the order of their sums
 
 
 def cosine_matrix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +107,13 @@ def vendi(x: np.ndarray, tolerance: float = 1e-8) -> tuple[float | None, str | N
     if not np.isfinite(x).all():
         return None, "non-finite structural representation"
     wide = np.hstack([x, (~x.any(axis=1)).astype(float)[:, None]])
-    gram = wide @ wide.T if len(wide) <= wide.shape[1] else wide.T @ wide
+    return effective_number(wide @ wide.T if len(wide) <= wide.shape[1] else wide.T @ wide, tolerance)
+
+
+def effective_number(gram: np.ndarray, tolerance: float = 1e-8) -> tuple[float | None, str | None]:
+    """The exponential of the entropy of a Gram matrix's eigenvalues, or why there is none."""
+    if not np.isfinite(gram).all():
+        return None, "non-finite structural representation"
     values = np.linalg.eigvalsh((gram + gram.T) / 2)
     if values.min() < -tolerance:
         return None, "Gram matrix has materially negative eigenvalues"
@@ -136,17 +151,21 @@ def mean_silhouette(distance: np.ndarray, labels: np.ndarray) -> float | None:
 
 
 def expected_families(labels: np.ndarray, k: int) -> float:
-    n = len(labels)
-    out = 0.0
-    for size in np.bincount(labels):
-        if size:
-            i = np.arange(k)
-            out += 1 - (np.prod((n - size - i) / (n - i)) if n - size >= k else 0.0)
-    return float(out)
+    return expected_of_sizes(np.bincount(labels), k)
+
+
+def expected_of_sizes(sizes: np.ndarray, k: int) -> float:
+    n, i = int(sizes.sum()), np.arange(k)
+    size, times = np.unique(sizes[sizes > 0], return_counts=True)
+    return float(sum(t * (1 - (np.prod((n - s - i) / (n - i)) if n - s >= k else 0.0)) for s, t in zip(size, times, strict=True)))
 
 
 def discovery_area(labels: np.ndarray, k_max: int) -> float:
-    values = [expected_families(labels, k) for k in range(1, k_max + 1)]
+    return area_of_sizes(np.bincount(labels), k_max)
+
+
+def area_of_sizes(sizes: np.ndarray, k_max: int) -> float:
+    values = [expected_of_sizes(sizes, k) for k in range(1, k_max + 1)]
     return values[0] if k_max == 1 else float(np.trapezoid(values) / (k_max - 1))
 
 
@@ -159,8 +178,162 @@ def _matrix(pdf: pd.DataFrame, run: str, vector: str) -> tuple[list, np.ndarray]
     return pdf[run].tolist(), x / np.where(norm > 0, norm, 1)
 
 
+def nearest(x: np.ndarray, y: np.ndarray | None = None, rows: int = 256) -> tuple[np.ndarray, ...]:
+    """For each row of x the distance and the place of its nearest row of y, and the same for y. Without y: of the nearest other row of x. The first of equally near ones."""
+    own, at = np.full(len(x), np.inf), np.zeros(len(x), int)
+    other, there = (np.full(len(y), np.inf), np.zeros(len(y), int)) if y is not None else (None, None)
+    for k in range(0, len(x), rows):
+        d = x[k : k + rows] @ (x if y is None else y).T
+        np.subtract(1, d, out=d)
+        d += SNAP
+        d -= SNAP
+        r = np.arange(len(d))
+        if y is None:
+            d[r, k + r] = np.inf
+        at[k : k + len(d)] = d.argmin(axis=1)
+        own[k : k + len(d)] = d[r, at[k : k + len(d)]]
+        if y is not None:
+            low = d.min(axis=0)
+            closer = np.flatnonzero(low < other)
+            there[closer], other[closer] = k + d[:, closer].argmin(axis=0), low[closer]
+    return (own, at) if y is None else (own, at, other, there)
+
+
+def linked(means: np.ndarray, sizes: np.ndarray, stop: float) -> np.ndarray:
+    """The first row of each row's cluster where merges below a height count, by rounds of mutual neighbours; without a matrix of all rows."""
+    means, sizes, parent, active = means.copy(), sizes.astype(float), np.arange(len(means)), np.arange(len(means))
+    while len(active) > 1:
+        d, at = nearest(means[active])
+        near, place = d < stop, np.arange(len(active))
+        mutual = near & (at[at] == place) & (place < at)
+        if near.any() and not mutual.any():  # by a rounding of products only
+            i = int(d.argmin())
+            mutual[min(i, at[i])], at[min(i, at[i])] = True, max(i, at[i])
+        lo, hi = active[mutual], active[at[mutual]]
+        means[lo] = (sizes[lo, None] * means[lo] + sizes[hi, None] * means[hi]) / (sizes[lo] + sizes[hi])[:, None]
+        sizes[lo] += sizes[hi]
+        parent[hi] = lo
+        active = np.setdiff1d(active[near], hi)
+    for i in range(len(parent)):  # parents come before
+        parent[i] = parent[parent[i]]
+    return parent
+
+
+def _by_size(vectors: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Groups of at most MAX_RUNS runs, and larger ones if there are any."""
+    large = vectors.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_RUNS).select(*by)
+    if large.isEmpty():
+        return vectors, None
+    return vectors.join(large, by, "left_anti"), vectors.join(large, by, "left_semi")
+
+
+def _distinct(vectors: DataFrame, by: list[str], run: str, vector: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """units (by, run, v), clusters of equal rows (by, run: the first one, w, v: the mean), and members (by, run, root). Rows that are equal to twelve places are at distance 0 to that many."""
+    units = D.unit_rows(vectors.withColumn("run", F.col(run)), [*by, "run"], vector)
+    units = written(units.withColumn("_k", F.transform("v", lambda x: F.round(x, 12) + F.lit(0.0))), "units")
+    first = written(units.groupBy(*by, "_k").agg(F.count("*").cast("double").alias("w"), F.min_by("v", "run").alias("v"), F.min("run").alias("root")), "distinct")
+    members = units.select(*by, "_k", "run").join(first.select(*by, "_k", "root"), [*by, "_k"]).select(*by, "run", "root")
+    return units.drop("_k"), first.select(*by, F.col("root").alias("run"), "w", "v"), written(members, "members")
+
+
+def nearest_clusters(clusters: DataFrame, by: list[str]) -> DataFrame:
+    """by, run, d, other: the nearest other cluster of its group of each one, the first of equally near ones. clusters: run, v."""
+    kinds = {f.name: f.dataType.simpleString() for f in clusters.select(*by, "run").schema}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                u, v = (b.column(c)[i].values for c in ("_m_u", "_m_v"))
+                u, v = (m.take(pc.sort_indices(m.field("run"))) for m in (u, v))
+                x, a, c = D.matrix(u), u.field("run"), v.field("run")
+                if b.column("_block_u")[i] == b.column("_block_v")[i]:
+                    if len(x) < 2:
+                        continue
+                    own, at = nearest(x)
+                    found = [(a, own, c.take(pa.array(at)))]
+                else:
+                    own, at, other, there = nearest(x, D.matrix(v))
+                    found = [(a, own, c.take(pa.array(at))), (c, other, a.take(pa.array(there)))]
+                for runs, d, o in found:
+                    keys = [b.column(g).slice(i, 1).take(pa.array(np.zeros(len(d), np.int64))) for g in by]
+                    yield pa.RecordBatch.from_arrays([*keys, runs, pa.array(d), o], [*by, "run", "d", "other"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"run {kinds['run']}, d double, other {kinds['run']}"])
+    each = D.paired_blocks(clusters, by, ["v"]).mapInArrow(meet, schema)
+    return each.groupBy(*by, "run").agg(F.min(F.struct("d", "other")).alias("_b")).select(*by, "run", "_b.d", "_b.other")
+
+
+def _merge_all(clusters: DataFrame, members: DataFrame, by: list[str], stop: float) -> tuple[DataFrame, DataFrame | None]:
+    """members after all merges below a height, and the merges: by, left, right, distance, size, _round, _nth.
+
+    Rounds of mutual neighbours, written one by one, until at most MAX_RUNS clusters of each group can still be merged; these go to one task for each group.
+    """
+    merges, turn = [], 0
+    while not clusters.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_RUNS).isEmpty():
+        turn += 1
+        near = written(nearest_clusters(clusters, by).filter(F.col("d") < stop), "near")
+        back = near.select(*by, F.col("run").alias("other"), F.col("other").alias("run"), F.lit(True).alias("_mutual"))
+        pairs = near.join(back, [*by, "run", "other"]).filter("run < other").select(*by, F.col("run").alias("left"), F.col("other").alias("right"), F.col("d").alias("distance"))
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty() and not near.isEmpty():  # by a rounding of products only
+            low = near.groupBy(*by).agg(F.min(F.struct("d", F.least("run", "other").alias("left"), F.greatest("run", "other").alias("right"))).alias("_b"))
+            pairs = written(low.select(*by, "_b.left", "_b.right", F.col("_b.d").alias("distance")), "pairs")
+        ends = pairs.select(*by, F.explode(F.array("left", "right")).alias("run"), F.col("left").alias("_to"))
+        active = clusters.join(near.select(*by, "run"), [*by, "run"]).join(ends, [*by, "run"], "left").withColumn("_to", F.coalesce("_to", "run"))
+        parts = active.groupBy(*by, "_to").agg(F.sum("w").alias("_w"), F.array_sort(F.collect_list(F.struct("run", "w", "v"))).alias("_p"))
+        a, b = F.element_at("_p", 1), F.try_element_at("_p", F.lit(2))
+        mean = F.zip_with(a["v"], b["v"], lambda x, y: (a["w"] * x + b["w"] * y) / (a["w"] + b["w"]))
+        clusters = written(parts.select(*by, F.col("_to").alias("run"), F.col("_w").alias("w"), F.when(F.size("_p") == 1, a["v"]).otherwise(mean).alias("v")), "clusters")
+        members = written(_moved(members, pairs.select(*by, F.col("right").alias("root"), F.col("left").alias("_to")), by), "members")
+        size = clusters.select(*by, F.col("run").alias("left"), F.col("w").cast("int").alias("size"))
+        merges.append(pairs.join(size, [*by, "left"]).select(*by, "left", "right", "distance", "size", F.lit(turn).alias("_round"), F.lit(0).alias("_nth")))
+    kinds = {f.name: f.dataType.simpleString() for f in clusters.select(*by, "run").schema}
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run")
+        runs, w, x = pdf["run"].tolist(), pdf["w"].to_numpy(float), np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+        d = np.clip((1 - x @ x.T + SNAP) - SNAP, 0, 2)
+        found, size = average_linkage(d, w, stop), w.copy()
+        root, rows = cut_roots(len(runs), found), []
+        for nth, (a, b, height) in enumerate(found):
+            size[a] += size[b]
+            rows.append((runs[a], runs[b], height, int(size[a]), nth, runs[root[b]]))
+        if not rows:
+            return pd.DataFrame()
+        out = pd.DataFrame(rows, columns=["left", "right", "distance", "size", "_nth", "_to"])
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(out) for c in by}, **{c: out[c] for c in out}})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"left {kinds['run']}, right {kinds['run']}, distance double, size int, _nth int, _to {kinds['run']}"])
+    last = written(clusters.groupBy(*by).applyInPandas(finish, schema), "merges")
+    members = written(_moved(members, last.select(*by, F.col("right").alias("root"), "_to"), by), "members")
+    every = last.select(*by, "left", "right", "distance", "size", F.lit(turn + 1).alias("_round"), "_nth")
+    for m in merges:
+        every = every.unionByName(m)
+    return members, every
+
+
+def cut_roots(n: int, merges: list[tuple[int, int, float]]) -> np.ndarray:
+    """The first row of each row's cluster after all merges."""
+    root = np.arange(n)
+    for a, b, _ in reversed(merges):
+        root[b] = root[a]
+    return root
+
+
+def _moved(members: DataFrame, to: DataFrame, by: list[str]) -> DataFrame:
+    return members.join(to, [*by, "root"], "left").select(*by, "run", F.coalesce("_to", "root").alias("root"))
+
+
+def _numbered(members: DataFrame, by: list[str], run: str) -> DataFrame:
+    """by, run, family: numbers from 0 by descending size, then first run."""
+    sizes = members.groupBy(*by, "root").agg(F.count("*").alias("_size"))
+    placed = ranked(sizes, *[F.col(c) for c in by], F.desc("_size"), F.col("root"), name="_place")
+    families = placed.join(placed.groupBy(*by).agg(F.min("_place").alias("_first")), by).select(*by, "root", (F.col("_place") - F.col("_first")).cast("int").alias("family"))
+    return members.join(families, [*by, "root"]).select(*by, F.col("run").alias(run), "family")
+
+
 def dense_vectors(features: DataFrame, by: list[str]) -> DataFrame:
-    """by, run, vector over the sorted features of each group, from normalized_features(); for groups of MAX_RUNS runs at most."""
+    """by, run, vector over the sorted features of each group, from normalized_features()."""
     names = features.groupBy(*by).agg(F.array_sort(F.collect_set("feature")).alias("_names"))
     maps = features.groupBy(*by, "run").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
     return maps.join(names, by).select(*by, "run", F.transform("_names", lambda n: F.coalesce(F.element_at("_m", n), F.lit(0.0))).alias("vector"))
@@ -175,7 +348,12 @@ def clusters(vectors: DataFrame, by: list[str], threshold: float, run: str = "ru
         family = cut(len(runs), average_linkage(cosine_matrix(x), stop=threshold), threshold)
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, run: runs, "family": family})
 
-    return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(label, f"{kinds}, family int")
+    small, large = _by_size(vectors.select(*by, run, vector), by)
+    out = small.groupBy(*by).applyInPandas(label, f"{kinds}, family int")
+    if large is not None:
+        _, distinct, members = _distinct(large, by, run, vector)
+        out = out.unionByName(_numbered(_merge_all(distinct, members, by, threshold)[0], by, run))
+    return out
 
 
 def sensitivity(vectors: DataFrame, by: list[str], primary: float, thresholds: list[float] | None = None, run: str = "run", vector: str = "vector") -> DataFrame:
@@ -198,6 +376,29 @@ def sensitivity(vectors: DataFrame, by: list[str], primary: float, thresholds: l
     return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(measure, kinds + "threshold double, families int, effective double, dominant double, singleton_rate double, silhouette double, ari double")
 
 
+def _large_sensitivity(vectors: DataFrame, by: list[str], primary: float, grid: list[float], run: str, vector: str) -> DataFrame:
+    """sensitivity() of large groups; each threshold goes on from the clusters of the one below."""
+    from tallyloom.operators.families import adjusted_rand, family_stats
+
+    units, clusters, members = _distinct(vectors, by, run, vector)
+    found = {}
+    for t in sorted({*grid, primary}):
+        if found:
+            sums = D.vector_sums(units.join(members, [*by, "run"]), [*by, "root"])
+            clusters = written(sums.select(*by, F.col("root").alias("run"), F.col("_n").cast("double").alias("w"), F.transform("s", lambda x: x / F.col("_n")).alias("v")), "clusters")
+        members = found[t] = _merge_all(clusters, members, by, t)[0]
+    base = found[primary].select(*by, "run", F.col("root").alias("_base"))
+    labels = None
+    for t in sorted(set(grid)):
+        one = found[t].select(*by, F.lit(t).alias("threshold"), "run", "root")
+        labels = one if labels is None else labels.unionByName(one)
+    keys = [*by, "threshold"]
+    stats = family_stats(labels, keys, "root").select(*keys, F.col("raw_count").cast("int").alias("families"), F.col("effective_count").alias("effective"), F.col("dominant_share").alias("dominant"), "singleton_rate")
+    shape = D.vector_silhouette(units.join(labels, [*by, "run"]), keys, "run", "v", "root", unit=True).select(*keys, "silhouette")
+    ari = adjusted_rand(labels.join(base, [*by, "run"]), keys, "root", "_base").select(*keys, "ari")
+    return stats.join(shape, keys).join(ari, keys)
+
+
 def vendi_scores(vectors: DataFrame, by: list[str], run: str = "run", vector: str = "vector") -> DataFrame:
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in vectors.select(*by).schema)
 

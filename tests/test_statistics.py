@@ -218,3 +218,46 @@ def test_distances_of_zero_rows_and_families_without_a_label(spark):
     assert got == {("g", 0): (2, 1, 0.0, 0.0), ("g", 1): (2, 3, 1.0, 1.0), ("g", None): (1, 5, 0.0, 0.0), ("h", 7): (1, 1, 0.0, 0.0)}
     labels = v.select("g", "run", "family")
     assert sorted(D.vector_silhouette(v, ["g"], "run", "vector", "family").collect()) == sorted(D.silhouette(labels, pairs, ["g"]).filter("g = 'g'").collect() + [("h", 1, 1, None)])
+
+
+def test_rounds_of_mutual_neighbours():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 40, 300):
+        x = rng.normal(size=(n, 4))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        times = rng.integers(1, 4, n)
+        for t in (0.05, 0.4, 1.2):
+            want = C.cut(n, C.average_linkage(C.cosine_matrix(x), times), t)
+            got = C.linked(x, times, t)
+            assert len(set(got)) == want.max() + 1 and C.rand_index(np.unique(got, return_inverse=True)[1], want) == 1.0
+
+
+@pytest.mark.parametrize("operator", ["clusters", "sensitivity", "vendi", "bootstrap", "linkage", "ablation"])
+def test_clusters_of_large_groups(spark, monkeypatch, operator):
+    """Groups above the bound for one task have the same results; with copies, zero rows and a small group beside them."""
+    rng = np.random.default_rng(8)
+    rows = [(g, i, [float(v) for v in rng.normal(size=3)]) for g, n in (("big", 90), ("small", 7)) for i in range(n)]
+    rows += [("big", 100 + i, rows[i][2]) for i in range(5)] + [("big", 200 + i, [0.0, 0.0, 0.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, run int, vector array<double>")
+    features = spark.createDataFrame([(g, i, "a" if k < 2 else "b", str(k), float(v)) for g, i, x in rows for k, v in enumerate(x)], "g string, run int, block string, feature string, value double")
+
+    def result():
+        if operator == "clusters":
+            return sorted(map(tuple, C.clusters(df, ["g"], 0.3).collect()))
+        if operator == "sensitivity":
+            out = C.sensitivity(df, ["g"], 0.3).collect()
+        elif operator == "vendi":
+            out = C.vendi_scores(df, ["g"]).collect()
+        elif operator == "bootstrap":
+            out = C.bootstrap(df, ["g"], 0.3, 30, chunk=12, k_max=5).collect()
+        elif operator == "ablation":
+            out = C.ablation(features, ["g"], {"both": ["a", "b"], "a": ["a"]}, 0.3).collect()
+        else:
+            out = C.linkage_table(df, ["g"]).filter("distance > 1e-9").collect()
+            assert C.linkage_table(df, ["g"]).groupBy("g").agg(F.count("*").alias("n"), F.max("step").alias("m"), F.max("size").alias("s")).filter("n <> m + 1 or n <> s - 1").count() == 0
+        return sorted(tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in out)
+
+    want = result()
+    monkeypatch.setattr(C, "MAX_RUNS", 20)
+    monkeypatch.setattr(D, "BLOCK", 30)
+    assert result() == want
