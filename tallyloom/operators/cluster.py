@@ -373,7 +373,9 @@ def sensitivity(vectors: DataFrame, by: list[str], primary: float, thresholds: l
             rows.append({"threshold": t, "families": int(labels.max() + 1), "effective": effective, "dominant": dominant, "singleton_rate": single, "silhouette": mean_silhouette(d, labels), "ari": rand_index(first, labels)})
         return pd.DataFrame(rows).assign(**{c: pdf[c].iloc[0] for c in by})
 
-    return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(measure, kinds + "threshold double, families int, effective double, dominant double, singleton_rate double, silhouette double, ari double")
+    small, large = _by_size(vectors.select(*by, run, vector), by)
+    out = small.groupBy(*by).applyInPandas(measure, kinds + "threshold double, families int, effective double, dominant double, singleton_rate double, silhouette double, ari double")
+    return out if large is None else out.unionByName(_large_sensitivity(large, by, primary, grid, run, vector))
 
 
 def _large_sensitivity(vectors: DataFrame, by: list[str], primary: float, grid: list[float], run: str, vector: str) -> DataFrame:
