@@ -408,7 +408,17 @@ def vendi_scores(vectors: DataFrame, by: list[str], run: str = "run", vector: st
         score, reason = vendi(_matrix(pdf, run, vector)[1])
         return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "n": len(pdf), "vendi": score, "reason": reason}])
 
-    return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(measure, kinds + "n int, vendi double, reason string")
+    def of_products(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = np.array(pdf["products"].iloc[0], float)
+        score, reason = effective_number(g.reshape(2 * [round(len(g) ** 0.5)]))
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "n": int(pdf["_n"].iloc[0]), "vendi": score, "reason": reason}])
+
+    small, large = _by_size(vectors.select(*by, run, vector), by)
+    out = small.groupBy(*by).applyInPandas(measure, kinds + "n int, vendi double, reason string")
+    if large is not None:  # of many rows only the sum of their outer products goes to a task
+        sums = D.vector_sums(D.unit_rows(large.withColumn("run", F.col(run)), [*by, "run"], vector), by, products=True)
+        out = out.unionByName(sums.groupBy(*by).applyInPandas(of_products, kinds + "n int, vendi double, reason string"))
+    return out
 
 
 def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: int = 1000, seed: int = 20260723, k_max: int | None = None, chunk: int = 25, run: str = "run", vector: str = "vector") -> DataFrame:
