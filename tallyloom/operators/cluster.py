@@ -424,11 +424,34 @@ def vendi_scores(vectors: DataFrame, by: list[str], run: str = "run", vector: st
 def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: int = 1000, seed: int = 20260723, k_max: int | None = None, chunk: int = 25, run: str = "run", vector: str = "vector") -> DataFrame:
     """metric, lower, upper, replicates: percentile intervals over resampled runs, by group.
 
-    Each chunk of replicates is a task; all take their rows from one seeded stream, in the order of the replicates.
+    Each chunk of replicates is a task; all take their rows from one seeded stream, in the order of the replicates. In groups of more than MAX_RUNS runs, rows without another kind of row
+    below the threshold are in no merge of any replicate, and the others are merged without a matrix of all of them.
     """
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in vectors.select(*by).schema)
     chunks = -(-replicates // chunk)
 
+    def draw_large(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, n = int(pdf["_chunk"].iloc[0]), len(pdf)
+        pdf = pdf.sort_values(run)
+        x = np.array(pdf["v"].tolist(), float)
+        _, first, kind = np.unique(pdf["_root"].to_numpy(), return_index=True, return_inverse=True)
+        x, near = x[first], pdf["_near"].to_numpy(bool)[first]
+        stream, rows = np.random.default_rng(seed), []
+        for r in range(min(replicates, (at + 1) * chunk)):
+            index = stream.integers(0, n, size=n)
+            if r < at * chunk:
+                continue
+            times = np.bincount(kind[index], minlength=len(x)).astype(float)
+            some = np.flatnonzero(near & (times > 0))
+            sizes = np.concatenate([times[~near], np.bincount(linked(x[some], times[some], threshold), times[some])])
+            p = sizes[sizes > 0] / n
+            total = times @ x
+            values = {"effective_family_count": float(np.exp(-(p * np.log(p)).sum())), "dominant_family_share": float(p.max()), "mean_pairwise_distance": float((n * n - total @ total) / (n * (n - 1))), "vendi_score": effective_number((x.T * times) @ x)[0]}
+            if k_max is not None and k_max <= n:
+                values["family_discovery_auc_at_kmax"] = area_of_sizes(sizes.astype(np.int64), k_max)
+            rows += [{"metric": m, "value": v} for m, v in values.items() if v is not None]
+        return pd.DataFrame(rows).assign(**{c: pdf[c].iloc[0] for c in by})
+
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(pdf["_chunk"].iloc[0])
         runs, x = _matrix(pdf, run, vector)
@@ -454,8 +477,15 @@ def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: i
             rows += [{"metric": m, "value": v} for m, v in values.items() if v is not None]
         return pd.DataFrame(rows).assign(**{c: pdf[c].iloc[0] for c in by})
 
-    dealt = vectors.select(*by, run, vector).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    values = dealt.groupBy(*by, "_chunk").applyInPandas(draw, kinds + "metric string, value double")
+    small, large = _by_size(vectors.select(*by, run, vector), by)
+    chunked = lambda df: df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).groupBy(*by, "_chunk")
+    values = chunked(small).applyInPandas(draw, kinds + "metric string, value double")
+    if large is not None:
+        units, distinct, members = _distinct(large, by, run, vector)
+        near = nearest_clusters(distinct, by).filter(F.col("d") < threshold).select(*by, F.col("run").alias("root"), F.lit(True).alias("_near"))
+        known = written(members.join(near, [*by, "root"], "left").select(*by, "run", F.col("root").alias("_root"), F.coalesce("_near", F.lit(False)).alias("_near")), "near")
+        rows = units.join(known, [*by, "run"]).withColumnRenamed("run", run)
+        values = values.unionByName(chunked(rows).applyInPandas(draw_large, kinds + "metric string, value double"))
     return values.groupBy(*by, "metric").agg(F.percentile("value", F.lit(0.025)).alias("lower"), F.percentile("value", F.lit(0.975)).alias("upper"), F.count("*").alias("replicates"))
 
 
