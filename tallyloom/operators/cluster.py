@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import distance as D
 from tallyloom.plans.shared import ranked, written
 
-MAX_RUNS = 2000
+MAX_RUNS, LAST = 2000, 16_384
 SNAP = 1.5 * 2.0**12  # added and taken off again, it leaves multiples of 2^-40, so that heights are equal whatever the order of their sums
 
 
@@ -199,24 +199,42 @@ def nearest(x: np.ndarray, y: np.ndarray | None = None, rows: int = 256) -> tupl
     return (own, at) if y is None else (own, at, other, there)
 
 
-def linked(means: np.ndarray, sizes: np.ndarray, stop: float) -> np.ndarray:
-    """The first row of each row's cluster where merges below a height count, by rounds of mutual neighbours; without a matrix of all rows."""
-    means, sizes, parent, active = means.copy(), sizes.astype(float), np.arange(len(means)), np.arange(len(means))
-    while len(active) > 1:
-        d, at = nearest(means[active])
-        near, place = d < stop, np.arange(len(active))
-        mutual = near & (at[at] == place) & (place < at)
-        if near.any() and not mutual.any():  # by a rounding of products only
-            i = int(d.argmin())
-            mutual[min(i, at[i])], at[min(i, at[i])] = True, max(i, at[i])
-        lo, hi = active[mutual], active[at[mutual]]
+def mutual_merges(means: np.ndarray, sizes: np.ndarray, stop: float = np.inf, rows: int = 256) -> list[tuple[int, int, float, int]]:
+    """Merges (a, b, height, size) below a height by rounds of mutual neighbours, without a matrix of all rows; later ones may be lower, but none is lower than that of its parts.
+
+    Only what was merged, or had its neighbour merged, looks for a neighbour again.
+    """
+    means, sizes, alive, merges = means.copy(), sizes.astype(float), np.ones(len(means), bool), []
+    at, height, risen, todo = np.zeros(len(means), int), np.full(len(means), np.inf), np.zeros(len(means)), np.arange(len(means))
+    while alive.sum() > 1:
+        active = np.flatnonzero(alive)
+        others = means[active]
+        for k in range(0, len(todo), rows):
+            own = todo[k : k + rows]
+            d = ((1 - means[own] @ others.T) + SNAP) - SNAP
+            d[np.arange(len(own)), np.searchsorted(active, own)] = np.inf
+            first = d.argmin(axis=1)
+            at[own], height[own] = active[first], d[np.arange(len(own)), first]
+        alive &= height < stop
+        active = np.flatnonzero(alive)
+        lo = active[(at[at[active]] == active) & (active < at[active])]
+        if len(active) and not len(lo):  # by a rounding of products only
+            i = active[height[active].argmin()]
+            lo, at[min(i, at[i])] = np.array([min(i, at[i])]), max(i, at[i])
+        hi = at[lo]
         means[lo] = (sizes[lo, None] * means[lo] + sizes[hi, None] * means[hi]) / (sizes[lo] + sizes[hi])[:, None]
         sizes[lo] += sizes[hi]
-        parent[hi] = lo
-        active = np.setdiff1d(active[near], hi)
-    for i in range(len(parent)):  # parents come before
-        parent[i] = parent[parent[i]]
-    return parent
+        risen[lo] = np.maximum(height[lo], np.maximum(risen[lo], risen[hi]))
+        merges += zip(lo.tolist(), hi.tolist(), np.clip(risen[lo], 0, 2).tolist(), sizes[lo].astype(int).tolist(), strict=True)
+        alive[hi] = False
+        active = np.flatnonzero(alive)
+        todo = active[np.isin(at[active], np.concatenate([lo, hi])) | np.isin(active, lo)]
+    return merges
+
+
+def linked(means: np.ndarray, sizes: np.ndarray, stop: float) -> np.ndarray:
+    """The first row of each row's cluster where merges below a height count."""
+    return cut_roots(len(means), mutual_merges(means, sizes, stop))
 
 
 def _by_size(vectors: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -266,10 +284,10 @@ def nearest_clusters(clusters: DataFrame, by: list[str]) -> DataFrame:
 def _merge_all(clusters: DataFrame, members: DataFrame, by: list[str], stop: float) -> tuple[DataFrame, DataFrame | None]:
     """members after all merges below a height, and the merges: by, left, right, distance, size, _round, _nth.
 
-    Rounds of mutual neighbours, written one by one, until at most MAX_RUNS clusters of each group can still be merged; these go to one task for each group.
+    Rounds of mutual neighbours, written one by one, until at most LAST clusters of each group can still be merged; these go to one task for each group, without a matrix.
     """
     merges, turn = [], 0
-    while not clusters.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_RUNS).isEmpty():
+    while not clusters.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > LAST).isEmpty():
         turn += 1
         near = written(nearest_clusters(clusters, by).filter(F.col("d") < stop), "near")
         back = near.select(*by, F.col("run").alias("other"), F.col("other").alias("run"), F.lit(True).alias("_mutual"))
@@ -292,12 +310,9 @@ def _merge_all(clusters: DataFrame, members: DataFrame, by: list[str], stop: flo
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("run")
         runs, w, x = pdf["run"].tolist(), pdf["w"].to_numpy(float), np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-        d = np.clip((1 - x @ x.T + SNAP) - SNAP, 0, 2)
-        found, size = average_linkage(d, w, stop), w.copy()
-        root, rows = cut_roots(len(runs), found), []
-        for nth, (a, b, height) in enumerate(found):
-            size[a] += size[b]
-            rows.append((runs[a], runs[b], height, int(size[a]), nth, runs[root[b]]))
+        found = mutual_merges(x, w, stop)
+        root = cut_roots(len(runs), found)
+        rows = [(runs[a], runs[b], height, size, nth, runs[root[b]]) for nth, (a, b, height, size) in enumerate(found)]
         if not rows:
             return pd.DataFrame()
         out = pd.DataFrame(rows, columns=["left", "right", "distance", "size", "_nth", "_to"])
@@ -312,10 +327,10 @@ def _merge_all(clusters: DataFrame, members: DataFrame, by: list[str], stop: flo
     return members, every
 
 
-def cut_roots(n: int, merges: list[tuple[int, int, float]]) -> np.ndarray:
+def cut_roots(n: int, merges: list[tuple]) -> np.ndarray:
     """The first row of each row's cluster after all merges."""
     root = np.arange(n)
-    for a, b, _ in reversed(merges):
+    for a, b, *_ in reversed(merges):
         root[b] = root[a]
     return root
 
@@ -517,7 +532,20 @@ def linkage_table(vectors: DataFrame, by: list[str], run: str = "run", vector: s
         for step, (a, b, height) in enumerate(merges):
             size[a] += size[b]
             rows.append((step, runs[a], runs[b], height, size[a]))
+        if not rows:
+            return pd.DataFrame()
         out = pd.DataFrame(rows, columns=["step", "left", "right", "distance", "size"])
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(out) for c in by}, **{c: out[c] for c in out}})
 
-    return vectors.select(*by, run, vector).groupBy(*by).applyInPandas(merge, f"{kinds}step int, left {kind}, right {kind}, distance double, size int")
+    small, large = _by_size(vectors.select(*by, run, vector), by)
+    out = small.groupBy(*by).applyInPandas(merge, f"{kinds}step int, left {kind}, right {kind}, distance double, size int")
+    if large is not None:
+        _, distinct, members = _distinct(large, by, run, vector)
+        nth = F.row_number().over(Window.partitionBy(*by, "root").orderBy("run"))
+        copies = members.filter("run <> root").select(*by, F.col("root").alias("left"), F.col("run").alias("right"), F.lit(0.0).alias("distance"), (nth + 1).alias("size"), F.lit(0).alias("_round"), F.lit(0).alias("_nth"))
+        order = [F.col(c) for c in (*by, "distance", "_round", "_nth", "left", "right")]
+        placed = ranked(copies.unionByName(_merge_all(distinct, members, by, np.inf)[1]), *order, name="_place")
+        first = placed.groupBy(*by).agg(F.min("_place").alias("_first"))
+        step = (F.col("_place") - F.col("_first")).cast("int").alias("step")
+        out = out.unionByName(placed.join(first, by).select(*by, step, "left", "right", "distance", "size"))
+    return out

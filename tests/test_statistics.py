@@ -259,5 +259,6 @@ def test_clusters_of_large_groups(spark, monkeypatch, operator):
 
     want = result()
     monkeypatch.setattr(C, "MAX_RUNS", 20)
+    monkeypatch.setattr(C, "LAST", 20)
     monkeypatch.setattr(D, "BLOCK", 30)
     assert result() == want
