@@ -505,13 +505,16 @@ def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: i
 
 
 def ablation(features: DataFrame, by: list[str], representations: dict[str, list[str]], threshold: float) -> DataFrame:
-    """Family statistics and ARI against the first representation, for each choice of feature blocks; features: run, block, feature, value."""
+    """Family statistics and ARI against the first representation, for each choice of feature blocks; features: run, block, feature, value.
+
+    Vectors and labels are written, as each is read several times: once, not with every use, features are counted and groups labelled.
+    """
     from tallyloom.operators.distance import normalized_features
 
     chosen = F.explode(F.array(*[F.struct(F.lit(n).alias("representation"), F.array(*map(F.lit, b)).alias("_blocks")) for n, b in representations.items()]))
     rows = features.withColumn("_x", chosen).filter(F.array_contains("_x._blocks", F.col("block"))).withColumn("representation", F.col("_x.representation")).drop("_x")
-    vectors = dense_vectors(normalized_features(rows, [*by, "representation"]), [*by, "representation"])
-    found = clusters(vectors, [*by, "representation"], threshold)
+    vectors = written(dense_vectors(written(normalized_features(rows, [*by, "representation"]), "features"), [*by, "representation"]), "vectors")
+    found = written(clusters(vectors, [*by, "representation"], threshold), "found")
     primary = next(iter(representations))
     base = found.filter(F.col("representation") == primary).select(*by, "run", F.col("family").alias("base"))
     from tallyloom.operators.families import adjusted_rand, family_stats

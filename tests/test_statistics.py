@@ -262,3 +262,12 @@ def test_clusters_of_large_groups(spark, monkeypatch, operator):
     monkeypatch.setattr(C, "LAST", 20)
     monkeypatch.setattr(D, "BLOCK", 30)
     assert result() == want
+
+
+def test_ablation_labels_its_groups_once(spark):
+    """What statistics and agreement read are written labels, so the plan that is run has no clustering in it, whose work would be done anew with each use."""
+    rows = [("g", i, "ab"[k % 2], str(k), float(1 + (i * (k + 3)) % 5 + (k == i % 4) * 9)) for i in range(12) for k in range(4)]
+    features = spark.createDataFrame(rows, "g string, run int, block string, feature string, value double")
+    out = C.ablation(features, ["g"], {"both": ["a", "b"], "a": ["a"]}, 0.3)
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.g, r.representation, r.n) for r in out.collect()} == {("g", "both", 12), ("g", "a", 12)}
