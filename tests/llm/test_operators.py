@@ -605,6 +605,23 @@ def test_pieces(v):
             assert [i for part in pieces.stream(v, marked, check=8) for i in part] == ids
 
 
+@pytest.mark.parametrize("v", vocabularies(), ids=["words", "crossing"])
+def test_pieces_side_by_side(v):
+    """Windows that are walked side by side have the ids of stream(), and no window of a learned batch is left to be streamed alone."""
+    rng = random.Random(5)
+    windows = ["".join(rng.choice("abéß日😀 \t.Ting▁") for _ in range(rng.randint(1, 24))).replace(" ", pieces.BLANK) for _ in range(400)] + [pieces.BLANK + w for w in ("the", "wonderful" * 6, "a")]
+    for w, ids in zip(windows, pieces.side_by_side(v, v.arrays(), windows), strict=True):
+        want = [i for part in pieces.stream(v, w) for i in part]
+        assert list(ids) == want if ids is not None else any(c not in v.table for c in w)
+    if v.cut_at_blanks and "\n" in v.alone:
+        texts = [None, "", *(" ".join("".join(rng.choice("tingaeo") for _ in range(rng.randint(1, 9))) + "\n" * (rng.random() < 0.2) for _ in range(200)) for _ in range(3))]
+        codec, plain = pieces.Codec(v), pieces.Codec(v)
+        codec.learn(texts)
+        known = len(codec.led) + len(codec.bare)
+        assert known > 300 and all(codec.encode(t) == plain.encode(t) for t in texts if t is not None)
+        assert len(codec.led) + len(codec.bare) <= known + 3  # the line feed, and what few windows after one there are
+
+
 def test_pieces_leave_as_they_become_certain():
     v = vocabularies()[0]
     portions = list(pieces.stream(v, pieces.BLANK + ("wonderful" * 300), check=64))
