@@ -157,8 +157,7 @@ SELECT a.run AS "left", c.run AS "right", round(1 - least(1.0, coalesce(sum(a.v
 FROM (SELECT DISTINCT run FROM n) x JOIN (SELECT DISTINCT run FROM n) y ON x.run < y.run JOIN n a ON a.run = x.run JOIN n c ON c.run = y.run AND c.feature = a.feature GROUP BY a.run, c.run""")
 def feature_distances(spark, sf_dir):
     f = event_features(spark, sf_dir).filter("feature is not null")
-    norm = D.normalized_features(f, ["space"])
-    return D.cosine_distances(norm, f.select("space", "run").distinct(), ["space"]).select("left", "right", F.round("distance", 5).alias("distance"))
+    return D.cosine_distances(D.normalized_features(f, []), f.select("run").distinct(), [], digits=5)
 
 
 WORDS = "list_distinct(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> ''))"

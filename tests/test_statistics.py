@@ -207,6 +207,36 @@ def test_groups_of_any_size(spark, monkeypatch, query):
     same_rows(catalog.queries()[query](spark, DATA), catalog.oracle_sql()[query])
 
 
+@pytest.mark.parametrize("query", ["feature_distances", "cosine_pairs"])
+def test_pairs_are_made_from_runs_not_from_rows_of_whole_blocks(spark, query):
+    """Rows that hold a block of runs are of several MB each at 1 GB, and their sorts took more heap than an executor has."""
+    plan = catalog.queries()[query](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(run" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_pairs_of_text_runs_with_nulls_copies_and_masks(spark, monkeypatch):
+    """Runs without a name are in no pair, runs of one name don't meet, parts are of any size."""
+    rng = np.random.default_rng(4)
+    rows = [("gh"[i % 2], f"r{i % 40}" if i % 10 else None, [float(x) for x in rng.integers(-2, 3, 3)], i % 4) for i in range(90)]
+    rows.append(("i", "only", [1.0, 0.0, 0.0], 3))
+    want, common = [], []
+    for g, a, x, m in rows:
+        for h, b, y, k in rows:
+            if g == h and a is not None and b is not None and a < b:
+                norms = (np.linalg.norm(x), np.linalg.norm(y))
+                d = 1 - np.dot(x, y) / np.prod(norms) if all(norms) else float(any(norms))
+                want.append((g, a, b, round(d, 3)))
+                common += [(g, a, b, m & k)] if m & k else []
+    df = spark.createDataFrame(rows, "g string, run string, vector array<double>, mask long")
+    for sizes in ({}, {"BLOCK": 7, "SIDE": 4, "MOST": 9, "STRIP": 3, "PART": 5}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(D, name, value)
+        got = sorted((r.g, r.left, r.right, round(r.distance, 3)) for r in D.vector_pairs(df, ["g"], "run", "vector", digits=9).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)], abs=0.0011)
+        assert sorted((r.g, r.left, r.right, r.mask) for r in D.vector_pairs(df, ["g"], "run", "vector", "mask").collect()) == sorted(common)
+    assert D.rounded_half_up(np.array([0.0, 0.125, 0.375, 1.9999999, 2.0]), 2).tolist() == [0.0, 0.13, 0.38, 2.0, 2.0]
+
+
 def test_distances_of_zero_rows_and_families_without_a_label(spark):
     rows = [("g", 1, 0, [0.0, 0.0]), ("g", 2, 0, [None, 0.0]), ("g", 3, 1, [3.0, 0.0]), ("g", 4, 1, [0.0, 2.0]), ("g", 5, None, [1.0, 0.0]), ("h", 1, 7, [1.0, 1.0])]
     v = spark.createDataFrame(rows, "g string, run int, family int, vector array<double>")
