@@ -20,6 +20,7 @@ from tallyloom.operators import distance as D
 from tallyloom.plans.shared import ranked, written
 
 MAX_RUNS, LAST = 2000, 16_384
+SPARSE = 32  # near pairs for each row of two blocks, and of a group, up to which they are listed
 SNAP = 1.5 * 2.0**12  # added and taken off again, it leaves multiples of 2^-40, so that heights are equal whatever the order of their sums
 
 
@@ -237,6 +238,85 @@ def linked(means: np.ndarray, sizes: np.ndarray, stop: float) -> np.ndarray:
     return cut_roots(len(means), mutual_merges(means, sizes, stop))
 
 
+def near_roots(x: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, stop: float, tight: np.ndarray | None = None) -> np.ndarray:
+    """linked() where a, b, d are all pairs of rows (a < b) with a distance below the height.
+
+    A merge brings no two clusters nearer to each other than the nearer one of its parts was, so those below the height always have such a pair of rows between them, and other ones needn't be compared.
+    tight: tight_groups(), to begin with their means. Rows of size 0 take no part.
+    """
+    means, sizes, root = x.copy(), sizes.astype(float), np.arange(len(x))
+    both = (sizes[a] > 0) & (sizes[b] > 0)
+    a, b, d = a[both], b[both], d[both]
+    if tight is not None:
+        root = tight
+        grouped = np.flatnonzero(np.bincount(tight)[tight] > 1)
+        firsts, place = np.unique(tight[grouped], return_inverse=True)
+        total = np.stack([np.bincount(place, sizes[grouped] * x[grouped, k], len(firsts)) for k in range(x.shape[1])], axis=1) if len(firsts) else means[:0]
+        weight = np.bincount(place, sizes[grouped], len(firsts))
+        means[firsts], sizes[firsts] = total / np.maximum(weight, 1)[:, None], weight
+        moved = np.zeros(len(x), bool)
+        moved[firsts] = True
+        a, b = tight[a], tight[b]
+        again = moved[a] | moved[b]
+        u, v, new = _between(means, a[again], b[again])
+        a, b, d = (np.concatenate([old[~again], more[new < stop]]) for old, more in ((a, u), (b, v), (d, new)))
+    return _rounds(means, sizes, root, a, b, d, stop)
+
+
+def _between(means: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different ones of the pairs, in order, and their distances."""
+    n = len(means)
+    key = np.unique((np.minimum(a, b) * n + np.maximum(a, b))[a != b])
+    u, v = key // n, key % n
+    return u, v, np.concatenate([((1 - np.einsum("ij,ij->i", means[u[k : k + 8192]], means[v[k : k + 8192]])) + SNAP) - SNAP for k in range(0, max(len(u), 1), 8192)])
+
+
+def _rounds(means: np.ndarray, sizes: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, stop: float) -> np.ndarray:
+    n, parents = len(means), []
+    near, at, to, merged = np.full(n, np.inf), np.full(n, n), np.arange(n), np.zeros(n, bool)
+    while len(a):
+        near[a], near[b], at[a], at[b] = np.inf, np.inf, n, n
+        np.minimum.at(near, a, d)
+        np.minimum.at(near, b, d)
+        for u, v in ((a, b), (b, a)):
+            first = d == near[u]
+            np.minimum.at(at, u[first], v[first])
+        nodes = np.unique(a)
+        lo = nodes[(at[at[nodes]] == nodes) & (nodes < at[nodes])]
+        hi = at[lo]
+        means[lo] = (sizes[lo, None] * means[lo] + sizes[hi, None] * means[hi]) / (sizes[lo] + sizes[hi])[:, None]
+        sizes[lo] += sizes[hi]
+        to[hi] = lo
+        parents.append((lo, hi))
+        a, b = to[a], to[b]
+        merged[lo] = True
+        again = merged[a] | merged[b]
+        merged[lo] = False
+        u, v, new = _between(means, a[again], b[again])
+        a, b, d = (np.concatenate([old[~again], more[new < stop]]) for old, more in ((a, u), (b, v), (d, new)))
+    for lo, hi in reversed(parents):
+        to[hi] = to[lo]
+    return to[root]
+
+
+def tight_groups(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, stop: float) -> np.ndarray:
+    """For each row the first row of its group, where groups are sets of rows whose distances from each other are all below those from any other row: whatever rows are drawn of one, these are merged before all else."""
+    root, low = np.arange(n), d < stop / 2
+    u, v = a[low], b[low]
+    while (root[u] != root[v]).any():
+        first = np.minimum(root[u], root[v])
+        np.minimum.at(root, root[u], first)
+        np.minimum.at(root, root[v], first)
+        root = root[root]
+    inside = root[a] == root[b]
+    size, pairs = np.bincount(root, minlength=n), np.bincount(root[a[inside]], minlength=n)
+    most, least = np.zeros(n), np.full(n, np.inf)
+    np.maximum.at(most, root[a[inside]], d[inside])
+    for m in (a, b):
+        np.minimum.at(least, root[m[~inside]], d[~inside])
+    return np.where(((2 * pairs == size * (size - 1)) & (most < least))[root], root, np.arange(n))
+
+
 def _by_size(vectors: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """Groups of at most MAX_RUNS runs, and larger ones if there are any."""
     large = vectors.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > MAX_RUNS).select(*by)
@@ -281,6 +361,35 @@ def nearest_clusters(clusters: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by, "run").agg(F.min(F.struct("d", "other")).alias("_b")).select(*by, "run", "_b.d", "_b.other")
 
 
+def near_pairs(clusters: DataFrame, by: list[str], stop: float) -> DataFrame | None:
+    """by, run, other, d: all pairs of clusters of a group below a height; none if there are more than SPARSE for each row. clusters: run, v."""
+    kinds = {f.name: f.dataType.simpleString() for f in clusters.select(*by, "run").schema}
+
+    def find(keys: list[pa.Scalar], u: pa.StructArray, v: pa.StructArray, same: bool) -> Iterator[pa.RecordBatch]:
+        u, v = (m.take(pc.sort_indices(m.field("run"))) for m in (u, v))
+        x, y, a, c, n = D.matrix(u), D.matrix(v), u.field("run"), v.field("run"), 0
+        for k in range(0, len(x), D.STRIP):
+            d = x[k : k + D.STRIP] @ y.T
+            r, s = np.nonzero(d > 1 - stop - 1e-9)
+            d = ((1 - d[r, s]) + SNAP) - SNAP
+            wanted = (d < stop) & (k + r < s) if same else d < stop
+            r, s, d = r[wanted], s[wanted], d[wanted]
+            if not len(r):
+                continue
+            n += len(r)
+            if n > SPARSE * (len(x) + len(y)):  # a row without a distance: too many
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(g, 1) for g in keys), a[:1], c[:1], pa.nulls(1, pa.float64())], [*by, "run", "other", "d"])
+                return
+            left, right = a.take(pa.array(k + r)), c.take(pa.array(s))
+            turn = pc.greater(left, right)
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(g, len(r)) for g in keys), pc.if_else(turn, right, left), pc.if_else(turn, left, right), pa.array(d)], [*by, "run", "other", "d"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"run {kinds['run']}, other {kinds['run']}, d double"])
+    found = written(D.stored_pairs(clusters.select(*by, "run", "v"), by, find, schema), "near")
+    counts = found.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(F.col("d").isNull()).alias("_cut")).join(clusters.groupBy(*by).agg(F.count("*").alias("_rows")), by)
+    return found if counts.filter((F.col("_cut") > 0) | (F.col("_n") > SPARSE * F.col("_rows"))).isEmpty() else None
+
+
 def _merge_all(clusters: DataFrame, members: DataFrame, by: list[str], stop: float) -> tuple[DataFrame, DataFrame | None]:
     """members after all merges below a height, and the merges: by, left, right, distance, size, _round, _nth.
 
@@ -439,33 +548,71 @@ def vendi_scores(vectors: DataFrame, by: list[str], run: str = "run", vector: st
 def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: int = 1000, seed: int = 20260723, k_max: int | None = None, chunk: int = 25, run: str = "run", vector: str = "vector") -> DataFrame:
     """metric, lower, upper, replicates: percentile intervals over resampled runs, by group.
 
-    Each chunk of replicates is a task; all take their rows from one seeded stream, in the order of the replicates. In groups of more than MAX_RUNS runs, rows without another kind of row
-    below the threshold are in no merge of any replicate, and the others are merged without a matrix of all of them.
+    Each chunk of replicates is a task; all take their rows from one seeded stream, in the order of the replicates. In groups of more than MAX_RUNS runs, pairs of kinds of rows below the threshold are
+    listed once, for all replicates: only these can be merged first, and the clusters that hold them later. A task for each core then takes some of the chunks, so that the rows aren't sent with each one.
+    Where there are too many such pairs, rows that have one are merged without a matrix of all of them.
     """
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in vectors.select(*by).schema)
     chunks = -(-replicates // chunk)
 
-    def draw_large(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, n = int(pdf["_chunk"].iloc[0]), len(pdf)
-        pdf = pdf.sort_values(run)
-        x = np.array(pdf["v"].tolist(), float)
-        _, first, kind = np.unique(pdf["_root"].to_numpy(), return_index=True, return_inverse=True)
-        x, near = x[first], pdf["_near"].to_numpy(bool)[first]
-        stream, rows = np.random.default_rng(seed), []
-        for r in range(min(replicates, (at + 1) * chunk)):
+    def moments(counts: list[np.ndarray], x: np.ndarray) -> list[tuple[str, float | None]]:
+        """What comes from sums over a replicate's rows: for several ones at once, as products of how often each row counts with the products of its values."""
+        times, (i, j) = np.stack(counts), np.triu_indices(x.shape[1])
+        total, upper = np.zeros((len(times), x.shape[1])), np.zeros((len(times), len(i)))
+        for k in range(0, len(x), 512):
+            some, w = x[k : k + 512], times[:, k : k + 512].astype(float)
+            total += w @ some
+            upper += w @ (some[:, i] * some[:, j])
+        rows, n = [], int(times[0].sum())
+        for t, up in zip(total, upper, strict=True):
+            gram = np.zeros(2 * [x.shape[1]])
+            gram[i, j] = gram[j, i] = up
+            rows += [("mean_pairwise_distance", float((n * n - t @ t) / (n * (n - 1)))), ("vendi_score", effective_number(gram)[0])]
+        return rows
+
+    def draw_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        drawn = set(t["_chunk"][0].as_py())
+        pair = pc.is_valid(t["other"])
+        pairs, t = t.filter(pair), t.filter(pc.invert(pair))
+        t = t.take(pc.sort_indices(t["run"]))
+        kinds_of = t.filter(pc.is_valid(t["v"])).combine_chunks()
+        names, near = kinds_of["run"].chunk(0), kinds_of["_near"].to_numpy()
+        kind = pc.index_in(t["root"], value_set=names).to_numpy()
+        a, b, d = *(pc.index_in(pairs[c], value_set=names).to_numpy().astype(np.int64) for c in ("run", "other")), pairs["d"].to_numpy()
+        x, n = D.matrix(pa.StructArray.from_arrays([kinds_of["v"].chunk(0)], ["v"])), t.num_rows
+        keys = [t[g][0] for g in by]
+        del t, pairs, kinds_of
+        listed = np.flatnonzero(near)
+        place = np.cumsum(near) - 1
+        own, a, b = x[listed], place[a], place[b]
+        tight = tight_groups(len(own), a, b, d, threshold) if sparse else None
+        stream, rows, counts = np.random.default_rng(seed), [], []
+        for r in range(min(replicates, (max(drawn) + 1) * chunk)):
             index = stream.integers(0, n, size=n)
-            if r < at * chunk:
+            if r // chunk not in drawn:
                 continue
             times = np.bincount(kind[index], minlength=len(x)).astype(float)
-            some = np.flatnonzero(near & (times > 0))
-            sizes = np.concatenate([times[~near], np.bincount(linked(x[some], times[some], threshold), times[some])])
+            w = times[listed]
+            if sparse:
+                merged = np.bincount(near_roots(own, w, a, b, d, threshold, tight), w)
+            else:
+                some = np.flatnonzero(w)
+                merged = np.bincount(linked(own[some], w[some], threshold), w[some])
+            sizes = np.concatenate([times[~near], merged])
             p = sizes[sizes > 0] / n
-            total = times @ x
-            values = {"effective_family_count": float(np.exp(-(p * np.log(p)).sum())), "dominant_family_share": float(p.max()), "mean_pairwise_distance": float((n * n - total @ total) / (n * (n - 1))), "vendi_score": effective_number((x.T * times) @ x)[0]}
+            counts.append(times.astype(np.int32))
+            values = {"effective_family_count": float(np.exp(-(p * np.log(p)).sum())), "dominant_family_share": float(p.max())}
             if k_max is not None and k_max <= n:
                 values["family_discovery_auc_at_kmax"] = area_of_sizes(sizes.astype(np.int64), k_max)
-            rows += [{"metric": m, "value": v} for m, v in values.items() if v is not None]
-        return pd.DataFrame(rows).assign(**{c: pdf[c].iloc[0] for c in by})
+            rows += values.items()
+            if len(counts) == chunk:
+                rows += moments(counts, x)
+                counts = []
+        rows += moments(counts, x) if counts else []
+        rows = [(m, v) for m, v in rows if v is not None]
+        metrics, found = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([*(pa.repeat(k, len(rows)) for k in keys), pa.array(metrics, pa.string()), pa.array(found, pa.float64())], [*by, "metric", "value"])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(pdf["_chunk"].iloc[0])
@@ -496,11 +643,21 @@ def bootstrap(vectors: DataFrame, by: list[str], threshold: float, replicates: i
     chunked = lambda df: df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).groupBy(*by, "_chunk")
     values = chunked(small).applyInPandas(draw, kinds + "metric string, value double")
     if large is not None:
-        units, distinct, members = _distinct(large, by, run, vector)
-        near = nearest_clusters(distinct, by).filter(F.col("d") < threshold).select(*by, F.col("run").alias("root"), F.lit(True).alias("_near"))
-        known = written(members.join(near, [*by, "root"], "left").select(*by, "run", F.col("root").alias("_root"), F.coalesce("_near", F.lit(False)).alias("_near")), "near")
-        rows = units.join(known, [*by, "run"]).withColumnRenamed("run", run)
-        values = values.unionByName(chunked(rows).applyInPandas(draw_large, kinds + "metric string, value double"))
+        _, distinct, members = _distinct(large, by, run, vector)
+        pairs = near_pairs(distinct, by, threshold)
+        sparse = pairs is not None
+        near = nearest_clusters(distinct, by).filter(F.col("d") < threshold).select(*by, "run") if pairs is None else pairs.select(*by, F.explode(F.array("run", "other")).alias("run")).distinct()
+        pair_kinds = {f.name: f.dataType.simpleString() for f in distinct.select("run").schema}
+        v = distinct.select(*by, "run", "v").join(near.withColumn("_near", F.lit(True)), [*by, "run"], "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+        rows = members.join(v, [*by, "run"], "left").select(*by, "run", "root", "v", "_near", F.lit(None).cast(pair_kinds["run"]).alias("other"), F.lit(None).cast("double").alias("d"))
+        if sparse:
+            rows = rows.unionByName(pairs, allowMissingColumns=True)
+        rows = written(rows, "rows")
+        tasks = min(chunks, rows.sparkSession.sparkContext.defaultParallelism)
+        shares = F.explode(F.array(*[F.struct(F.lit(i).alias("_task"), F.array(*[F.lit(c) for c in range(i, chunks, tasks)]).alias("_chunk")) for i in range(tasks)])).alias("_s")
+        # ranges of more parts than tasks, so that no two of them share one
+        dealt = rows.select("*", shares).select(*rows.columns, "_s.*").repartitionByRange(8 * tasks, "_task")
+        values = values.unionByName(dealt.groupBy(*by, "_task").applyInArrow(draw_large, kinds + "metric string, value double"))
     return values.groupBy(*by, "metric").agg(F.percentile("value", F.lit(0.025)).alias("lower"), F.percentile("value", F.lit(0.975)).alias("upper"), F.count("*").alias("replicates"))
 
 

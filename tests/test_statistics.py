@@ -301,3 +301,33 @@ def test_ablation_labels_its_groups_once(spark):
     out = C.ablation(features, ["g"], {"both": ["a", "b"], "a": ["a"]}, 0.3)
     assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.g, r.representation, r.n) for r in out.collect()} == {("g", "both", 12), ("g", "a", 12)}
+
+
+def test_listed_near_pairs_give_the_clusters_of_all_rows():
+    """Replicates compare listed pairs only, instead of all rows that were drawn, and begin with tight groups: copies, near copies, rows that weren't drawn, and chains."""
+    rng = np.random.default_rng(9)
+    for n, t in ((2, 0.4), (60, 0.2), (300, 0.1), (300, 0.5)):
+        x = rng.normal(size=(n, 6))
+        x = np.concatenate([x, x[: n // 4] + rng.normal(size=(n // 4, 6)) * 0.01, x[: n // 8] + rng.normal(size=(n // 8, 6)) * 0.2])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = np.triu_indices(len(x), 1)
+        d = ((1 - np.einsum("ij,ij->i", x[a], x[b])) + C.SNAP) - C.SNAP
+        a, b, d = a[d < t], b[d < t], d[d < t]
+        tight = C.tight_groups(len(x), a, b, d, t)
+        times = rng.integers(0, 3, len(x)).astype(float)
+        drawn = np.flatnonzero(times)
+        want = np.unique(C.linked(x[drawn], times[drawn], t), return_inverse=True)[1]
+        for groups in (None, tight):
+            got = np.unique(C.near_roots(x, times, a, b, d, t, groups)[drawn], return_inverse=True)[1]
+            assert got.max() == want.max() and C.rand_index(got, want) == 1.0
+
+
+def test_bootstrap_with_too_many_near_pairs_to_list(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([("g", i, [float(v) for v in rng.normal(size=3)]) for i in range(60)], "g string, run int, vector array<double>")
+    get = lambda: sorted((r.metric, round(r.lower, 8), round(r.upper, 8), r.replicates) for r in C.bootstrap(df, ["g"], 0.3, 20, chunk=6, k_max=4).collect())
+    want = get()
+    monkeypatch.setattr(C, "MAX_RUNS", 20)
+    for sparse in (32, 0):
+        monkeypatch.setattr(C, "SPARSE", sparse)
+        assert get() == want
