@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -331,3 +332,9 @@ def test_bootstrap_with_too_many_near_pairs_to_list(spark, monkeypatch):
     for sparse in (32, 0):
         monkeypatch.setattr(C, "SPARSE", sparse)
         assert get() == want
+
+
+def test_pairs_of_blocks_shuffle_no_vectors(spark):
+    """A pair of blocks is two numbers; the blocks are read from the shared folder, so disk doesn't grow with how many each one meets."""
+    plan = catalog.queries()["cosine_pairs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\bv#", plan) and "_cell" in plan
