@@ -338,26 +338,22 @@ def nearest_clusters(clusters: DataFrame, by: list[str]) -> DataFrame:
     """by, run, d, other: the nearest other cluster of its group of each one, the first of equally near ones. clusters: run, v."""
     kinds = {f.name: f.dataType.simpleString() for f in clusters.select(*by, "run").schema}
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                u, v = (b.column(c)[i].values for c in ("_m_u", "_m_v"))
-                u, v = (m.take(pc.sort_indices(m.field("run"))) for m in (u, v))
-                x, a, c = D.matrix(u), u.field("run"), v.field("run")
-                if b.column("_block_u")[i] == b.column("_block_v")[i]:
-                    if len(x) < 2:
-                        continue
-                    own, at = nearest(x)
-                    found = [(a, own, c.take(pa.array(at)))]
-                else:
-                    own, at, other, there = nearest(x, D.matrix(v))
-                    found = [(a, own, c.take(pa.array(at))), (c, other, a.take(pa.array(there)))]
-                for runs, d, o in found:
-                    keys = [b.column(g).slice(i, 1).take(pa.array(np.zeros(len(d), np.int64))) for g in by]
-                    yield pa.RecordBatch.from_arrays([*keys, runs, pa.array(d), o], [*by, "run", "d", "other"])
+    def meet(keys: list[pa.Scalar], u: pa.StructArray, v: pa.StructArray, same: bool) -> Iterator[pa.RecordBatch]:
+        u, v = (m.take(pc.sort_indices(m.field("run"))) for m in (u, v))
+        x, a, c = D.matrix(u), u.field("run"), v.field("run")
+        if same:
+            if len(x) < 2:
+                return
+            own, at = nearest(x)
+            found = [(a, own, c.take(pa.array(at)))]
+        else:
+            own, at, other, there = nearest(x, D.matrix(v))
+            found = [(a, own, c.take(pa.array(at))), (c, other, a.take(pa.array(there)))]
+        for runs, d, o in found:
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(g, len(d)) for g in keys), runs, pa.array(d), o], [*by, "run", "d", "other"])
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"run {kinds['run']}, d double, other {kinds['run']}"])
-    each = D.paired_blocks(clusters, by, ["v"]).mapInArrow(meet, schema)
+    each = D.stored_pairs(clusters.select(*by, "run", "v"), by, meet, schema)
     return each.groupBy(*by, "run").agg(F.min(F.struct("d", "other")).alias("_b")).select(*by, "run", "_b.d", "_b.other")
 
 

@@ -338,3 +338,10 @@ def test_pairs_of_blocks_shuffle_no_vectors(spark):
     """A pair of blocks is two numbers; the blocks are read from the shared folder, so disk doesn't grow with how many each one meets."""
     plan = catalog.queries()["cosine_pairs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"\bv#", plan) and "_cell" in plan
+
+
+def test_clusters_meet_without_a_shuffle_of_their_blocks(spark):
+    rows = spark.createDataFrame([("g", i, [float(i % 7), 1.0, float(i % 3)]) for i in range(30)], "g string, run int, v array<double>")
+    plans = [C.nearest_clusters(rows, ["g"]), D.vector_silhouette(rows.withColumn("f", F.col("run") % 4), ["g"], "run", "v", "f")]
+    for plan in (p._jdf.queryExecution().optimizedPlan().toString() for p in plans):
+        assert "_m_u" not in plan and "_cell" in plan
